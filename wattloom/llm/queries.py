@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import line_dedup, mixing
 from .common import table
 
 
@@ -12,7 +13,42 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+#: The same from the definition: every two lines that share a half, compared with levenshtein().
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, row_number() OVER () AS r, text FROM documents
+), x AS (
+  SELECT doc_id, r, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM l
+), n AS (
+  SELECT *, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM x
+), f AS (
+  SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM n WHERE length(line) >= 20 GROUP BY line
+), k AS (
+  SELECT line, n, first, n AS m, 0 AS e, substr(line, 1, n // 2) AS half FROM f
+  UNION ALL SELECT line, n, first, n, 1, right(line, n - n // 2) FROM f
+  UNION ALL SELECT line, n, first, n - 1, 0, substr(line, 1, (n - 1) // 2) FROM f
+  UNION ALL SELECT line, n, first, n - 1, 1, right(line, n - 1 - (n - 1) // 2) FROM f
+), near AS (
+  SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.e = b.e AND a.half = b.half AND b.first < a.first AND abs(a.n - b.n) <= 1
+  WHERE levenshtein(a.line, b.line) <= 1
+), d AS (
+  SELECT n.doc_id, n.r, n.no, n.raw, length(n.line) < 20 OR (f.first = (n.doc_id, n.no) AND near.line IS NULL) AS keep
+  FROM n LEFT JOIN f ON f.line = n.line LEFT JOIN near ON near.line = n.line
+)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (NOT keep) AS INTEGER) AS n_removed,
+  md5(coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (keep), '')) AS kept_md5
+FROM d GROUP BY doc_id, r
+"""
+
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op6_mixing": op6_mixing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_line_dedup": OP3_SQL,
+}
