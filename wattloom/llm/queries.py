@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, simhash
+from . import line_dedup, mixing, packing, simhash, token_files
 from .common import table
 
 
@@ -23,6 +24,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), end_id=1, capacity=4096)
+    return packing.pack_pieces(pieces, capacity=4096)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    out = token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), end_id=2)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 #: The same from the definition: every two lines that share a half, compared with levenshtein().
 OP3_SQL = r"""
 WITH l AS (
@@ -30,7 +41,7 @@ WITH l AS (
 ), x AS (
   SELECT doc_id, r, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM l
 ), n AS (
-  SELECT *, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM x
+  SELECT *, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM x
 ), f AS (
   SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM n WHERE length(line) >= 20 GROUP BY line
 ), k AS (
@@ -51,6 +62,8 @@ FROM d GROUP BY doc_id, r
 """
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op8_token_files": op8_token_files,
     "op7_simhash": op7_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op6_mixing": op6_mixing,
