@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, simhash, token_files
+from . import line_dedup, mixing, packing, simhash, syncmers, token_files
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, sf_dir, "documents"))
+
+
 #: The same from the definition: every two lines that share a half, compared with levenshtein().
 OP3_SQL = r"""
 WITH l AS (
@@ -62,6 +66,7 @@ FROM d GROUP BY doc_id, r
 """
 
 QUERIES = {
+    "op10_syncmers": op10_syncmers,
     "op2_packing": op2_packing,
     "op8_token_files": op8_token_files,
     "op7_simhash": op7_simhash,
