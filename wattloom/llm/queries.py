@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, simhash, syncmers, token_files
+from . import ann, line_dedup, mixing, packing, simhash, syncmers, token_files
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 #: The same from the definition: every two lines that share a half, compared with levenshtein().
 OP3_SQL = r"""
 WITH l AS (
@@ -66,6 +70,7 @@ FROM d GROUP BY doc_id, r
 """
 
 QUERIES = {
+    "op5_neighbours": op5_neighbours,
     "op10_syncmers": op10_syncmers,
     "op2_packing": op2_packing,
     "op8_token_files": op8_token_files,
