@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, packing, simhash, syncmers, token_files
+from . import ann, line_dedup, mixing, packing, simhash, suffix_tree, syncmers, token_files
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 #: The same from the definition: every two lines that share a half, compared with levenshtein().
 OP3_SQL = r"""
 WITH l AS (
@@ -70,6 +74,7 @@ FROM d GROUP BY doc_id, r
 """
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op5_neighbours": op5_neighbours,
     "op10_syncmers": op10_syncmers,
     "op2_packing": op2_packing,
