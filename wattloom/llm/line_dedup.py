@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, with built-in functions only.
 
-Lines are compared trimmed, lower-cased (A-Z) and with runs of white space as one space. A line is
+Lines are compared trimmed, lower-cased and with runs of white space as one space. A line is
 removed if an earlier line of the corpus (by doc_id, then place in the text) is the same or within
 one edit (insertion, deletion or substitution of a character). Lines under `min_chars` characters,
 blank ones among them, are neither removed nor compared: one edit is most of such a line.
@@ -29,9 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, lower_ascii, write_table
+from .common import NO_ID, write_table
 
 GAPS = r"[\x20\x09-\x0D]+"
+#: So many lines (48 bytes each) that share a half with another may be broadcast; more are joined by a shuffle.
+SMALL = 200_000
 
 
 def _lines(text: Column) -> Column:
@@ -39,7 +41,11 @@ def _lines(text: Column) -> Column:
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(lower_ascii(line), GAPS, " "))
+    line = F.lower(line)
+    odd = line.contains("  ")
+    for gap in "\t\r\x0b\x0c":
+        odd = odd | line.contains(gap)
+    return F.trim(F.when(odd, F.regexp_replace(line, GAPS, " ")).otherwise(line))
 
 
 def _place(docs: DataFrame) -> DataFrame:
@@ -64,12 +70,16 @@ def _halves() -> Column:
 
 
 def _variants(window: int) -> Column:
-    """(key, gap) of a line and its variants with one character left out; gap: that place, null for the line itself."""
-    before = "xxhash64(substring(line, 1, c * {w}))"
-    whole = f"transform(sequence(0, (n - 1) div {window}), c -> named_struct('key', xxhash64(c, {before}, substring(line, c * {window} + 1, {window}), xxhash64(substring(line, (c + 1) * {window} + 1))), 'gap', int(null)))"
-    less = f"""flatten(transform(sequence(0, greatest(n - 2, 0) div {window}), c -> transform(sequence(c * {window}, least((c + 1) * {window}, n - 1)), i -> named_struct(
-        'key', xxhash64(c, {before}, concat(substring(line, c * {window} + 1, i - c * {window}), substring(line, i + 2, (c + 1) * {window} - i)), xxhash64(substring(line, (c + 1) * {window} + 2))), 'gap', i))))"""
-    return F.expr(f"concat({whole}, {less})".replace("{w}", str(window)))
+    """(key, gap) of a line and its variants with one character left out; gap: that place, null for the line itself.
+
+    The parts before and behind each window are hashed once per window.
+    """
+    w = window
+    parts = f"transform(sequence(0, greatest(n - {{less}} - 1, 0) div {w}), c -> named_struct('c', c, 'before', xxhash64(substring(line, 1, c * {w})), 'here', substring(line, c * {w} + 1, {w} + {{less}}), 'behind', xxhash64(substring(line, (c + 1) * {w} + 1 + {{less}}))))"
+    whole = f"transform({parts.format(less=0)}, p -> named_struct('key', xxhash64(p.c, p.before, p.here, p.behind), 'gap', int(null)))"
+    less = f"""flatten(transform({parts.format(less=1)}, p -> transform(sequence(0, length(p.here) - 1), i -> named_struct(
+        'key', xxhash64(p.c, p.before, concat(substring(p.here, 1, i), substring(p.here, i + 2)), p.behind), 'gap', p.c * {w} + i))))"""
+    return F.expr(f"concat({whole}, {less})")
 
 
 def kept_lines(docs: DataFrame, min_chars: int = 20, window: int = 64) -> DataFrame:
@@ -82,8 +92,10 @@ def kept_lines(docs: DataFrame, min_chars: int = 20, window: int = 64) -> DataFr
     keys = firsts.select("id1", "id2", F.explode(F.array_distinct(F.array(*halves))).alias("half"))
     shared = keys.groupBy("half").agg(F.min("id1").alias("_a"), F.max("id1").alias("_b")).where("_a <> _b").select("half")
     near = keys.join(shared, "half", "left_semi").select("id1", "id2").distinct()
-    near = near.join(firsts.select("id1", "id2", "at"), ["id1", "id2"])
-    texts = occurrences.join(near.withColumnRenamed("at", "_first"), ["id1", "id2"]).where(F.col("at") == F.col("_first"))
+    near = write_table(near.join(firsts.select("id1", "id2", "at"), ["id1", "id2"]).withColumnRenamed("at", "_first"), "lines-near")
+    if near.count() <= SMALL:
+        near = F.broadcast(near)
+    texts = occurrences.join(near, ["id1", "id2"]).where(F.col("at") == F.col("_first"))
     texts = write_table(texts.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("line").alias("line")), "line-texts")
 
     variants = texts.withColumn("n", F.length("line")).select("at", "id1", "id2", F.explode(_variants(window)).alias("v")).select("at", "id1", "id2", "v.*")
