@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, packing, simhash, suffix_tree, syncmers, token_files
+from . import ann, line_dedup, mixing, packing, simhash, suffix_dedup, suffix_tree, syncmers, token_files
 from .common import table
 
 
@@ -46,6 +46,11 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The same from the definition: every two lines that share a half, compared with levenshtein().
 OP3_SQL = r"""
 WITH l AS (
@@ -74,6 +79,7 @@ FROM d GROUP BY doc_id, r
 """
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op1_suffix_tree": op1_suffix_tree,
     "op5_neighbours": op5_neighbours,
     "op10_syncmers": op10_syncmers,

@@ -257,5 +257,7 @@ def _answer(n: int, **cells) -> pa.RecordBatch:
 
 def _runs(x: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, from, to) of each run of equal values."""
-    edges = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    if not len(x):
+        return []
+    edges = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
     return list(zip(x[edges].tolist(), edges.tolist(), np.append(edges[1:], len(x)).tolist(), strict=True))
