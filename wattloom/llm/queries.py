@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, packing, simhash, suffix_dedup, suffix_tree, syncmers, token_files
+from . import ann, line_dedup, mixing, packing, simhash, suffix_dedup, suffix_tree, syncmers, token_files, toxicity
 from .common import table
 
 
@@ -51,6 +51,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "severity", "toxic")
+
+
 #: The same from the definition: every two lines that share a half, compared with levenshtein().
 OP3_SQL = r"""
 WITH l AS (
@@ -79,6 +84,7 @@ FROM d GROUP BY doc_id, r
 """
 
 QUERIES = {
+    "op9_toxicity": op9_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op1_suffix_tree": op1_suffix_tree,
     "op5_neighbours": op5_neighbours,
