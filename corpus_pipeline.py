@@ -11,9 +11,9 @@ from wattloom.llm.common import table, write_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an expected severity of 0.5 or more go."""
+    """Documents with an expected severity of toxicity.REJECT or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.where(toxicity.severity(model, F.col("text")) < 0.5)
+    return docs.where(toxicity.severity(model, F.col("text")) < toxicity.REJECT)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

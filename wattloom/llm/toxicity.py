@@ -6,10 +6,12 @@ thresholds t_0 < t_1 < ..., fitted by gradient steps. severity() is the expected
 the sum of these probabilities.
 
 Labels only say whether a document is toxic. Its grade is 0 if not; toxic ones are graded 1 to 3 by
-the share of their words that are marked (that have a feature found mostly in toxic documents),
-split where the toxic labelled documents fall into three equal parts. A table that has grades can be
+the number of their different words that have such a feature, split where the toxic labelled documents fall into three equal parts. A table that has grades can be
 fitted as it is (`grade`). The model is fitted on at most `fit_rows` labelled documents (a documented
-bound: those with the smallest seeded hashes); which features it uses follows from counts over them.
+bound: those with the smallest seeded hashes). It uses the features of `least_toxic` toxic ones or
+more whose log-odds between toxic and
+clean documents, by counts over those, are `least_odds` or more and as surely (`least_sure` standard
+errors) above 0: words that toxic documents have at least 20 times as often.
 
 Nulls: a null text has no words; labels that are null, or whose document is missing, take no part. Of
 several labels of a document each counts. Without toxic labels the severity is 0. Texts are
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import write_table
 
-BITS = 20
 GRADES = 3
+#: Expected severity from which a document is rejected: about a fifth of a chance that it is toxic at all.
+REJECT = 0.2
 _WORDS = re.compile(r"\w+")
 
 
@@ -40,7 +44,7 @@ def word_features(word: str) -> list[int]:
     """Hashed: the word, and its beginnings (shorter ones only if they are shorter)."""
     found = [zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass"))]
     found += [zlib.crc32(b"%d" % n + word[:n].encode("utf-8", "surrogatepass")) for n in (4, 5, 6) if len(word) >= n]
-    return [x & ((1 << BITS) - 1) for x in found]
+    return found
 
 
 def different_words(text: str | None) -> set[str]:
@@ -71,21 +75,22 @@ class Model:
         return math.fsum(1 / (1 + math.exp(min(700.0, t - x))) for t in self.thresholds)
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): documents that have it."""
+def _counts(rows: DataFrame, only: set[int] | None = None) -> DataFrame:
+    """(feature, n): documents that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 << BITS), np.int64)
+        n: Counter = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[int(toxic > 0), np.array(list({f for w in different_words(text) for f in word_features(w)}), np.int64)] += 1
-        some = np.flatnonzero(n.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[1, some]), pa.array(n[0, some])], ["feature", "toxic", "clean"])
+            for text in batch.column(0).to_pylist():
+                found = {f for w in different_words(text) for f in word_features(w)}
+                n.update(found if only is None else found & only)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, rounds: int = 400, rate: float = 0.1, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, rounds: int = 1000, rate: float = 0.1, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam steps on the mean log-likelihood of the grades."""
     row = np.repeat(np.arange(len(x)), [len(f) for f, _ in x])
     col, val = (np.concatenate([a[k] for a in x]) for k in (0, 1))
@@ -112,21 +117,22 @@ def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, rounds:
     return p[:n], p[n] + np.append(0, np.cumsum(np.exp(p[n + 1 :])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 2000, grade: str | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 2000, least_sure: float = 3.5, least_odds: float = 3.0, least_toxic: int = 5, grade: str | None = None) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic, and `grade` if given)."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.col(grade) if grade else F.lit(None)).cast("int").alias("grade"))
     known = known.where("doc_id is not null and toxic is not null").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(fit_rows)
     rows = write_table(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", "grade").repartition(16), "labelled")
-    counts = write_table(_counts(rows), "feature-counts")
     totals = rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).head()
-    n_toxic, n_clean = max(totals[0], 1), max(totals[1], 1)
-    if not totals[0]:
-        return Model({}, [])
-    odds = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1.0)) / ((F.col("clean") + 0.5) / (n_clean + 1.0)))
-    weight = F.abs(odds) * F.sqrt(F.col("toxic") / float(n_toxic) + F.col("clean") / float(n_clean))
-    picked = counts.where("toxic + clean >= 3").withColumns({"odds": odds, "weight": weight}).orderBy(F.desc("weight"), "feature").limit(features).collect()
+    n_toxic, n_clean = totals[0], max(totals[1], 1)
+    often = {r["feature"]: r["n"] for r in _counts(rows.where("toxic > 0")).where(F.col("n") >= least_toxic).collect()} if n_toxic else {}
+    clean = {r["feature"]: r["n"] for r in _counts(rows.where("toxic <= 0"), set(often)).collect()} if often else {}
+    found = []
+    for f, n in often.items():
+        m = clean.get(f, 0)
+        odds = math.log(((n + 0.5) / (n_toxic + 1)) / ((m + 0.5) / (n_clean + 1)))
+        found.append((-abs(odds) / math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)), f, odds))
+    picked = [{"feature": f, "odds": odds} for sure, f, odds in sorted(found)[:features] if -sure >= least_sure and odds >= least_odds]
     place = {r["feature"]: k for k, r in enumerate(picked)}
-    marked = {r["feature"] for r in picked if r["odds"] > 2.5}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,18 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
                 words, hits = different_words(text), 0
                 for w in words:
                     own = word_features(w)
-                    hits += any(f in marked for f in own)
+                    hits += any(f in place for f in own)
                     for f in own:
                         if f in place:
                             n[place[f]] = n.get(place[f], 0.0) + 1.0
-                for cell, x in zip(out, (list(n), list(n.values()), toxic, given, hits / max(len(words), 1)), strict=True):
+                for cell, x in zip(out, (list(n), list(n.values()), toxic, given, float(hits)), strict=True):
                     cell.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.float64())], ["features", "values", "toxic", "grade", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.float64())], ["features", "values", "toxic", "grade", "hits"])
 
-    got = rows.mapInArrow(encode, "features array<int>, values array<double>, toxic int, grade int, share double").collect()  # at most fit_rows rows, a few features each
-    got.sort(key=lambda r: (r["toxic"], r["share"], r["features"], r["values"]))
-    cuts = np.quantile([r["share"] for r in got if r["toxic"] > 0], [k / GRADES for k in range(1, GRADES)])
-    y = np.array([r["grade"] if r["grade"] is not None else 1 + int((r["share"] > cuts).sum()) if r["toxic"] > 0 else 0 for r in got])
+    if not picked:
+        return Model({}, [])
+    got = rows.mapInArrow(encode, "features array<int>, values array<double>, toxic int, grade int, hits double").collect()  # at most fit_rows rows, a few features each
+    got.sort(key=lambda r: (r["toxic"], r["hits"], r["features"], r["values"]))
+    cuts = np.quantile([r["hits"] for r in got if r["toxic"] > 0], [k / GRADES for k in range(1, GRADES)])
+    y = np.array([r["grade"] if r["grade"] is not None else 1 + int((r["hits"] > cuts).sum()) if r["toxic"] > 0 else 0 for r in got])
     used = np.unique(y[y > 0])  # grades without rows would have no threshold
     y = np.searchsorted(used, y, side="right")
     w, t = _fit([(np.array(r["features"], np.int64), np.array(r["values"])) for r in got], y, len(picked))
@@ -165,7 +173,7 @@ def severity(model: Model, text: Column) -> Column:
     return run(text)
 
 
-def scored(docs: DataFrame, labels: DataFrame, reject: float = 0.5, **how) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **how) -> DataFrame:
     """docs with severity, and toxic: whether that is `reject` or more."""
     model = fit(docs, labels, **how)
     return docs.withColumn("severity", severity(model, F.col("text"))).withColumn("toxic", F.col("severity") >= reject)
