@@ -114,15 +114,13 @@ def kept_lines(docs: DataFrame, min_chars: int = 20, window: int = 64) -> DataFr
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, window: int = 64) -> DataFrame:
-    """docs with the text that is left, and n_lines and n_removed of each document."""
-    keep = write_table(kept_lines(docs.select("doc_id", "text"), min_chars, window), "kept-lines")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64("text")}).join(keep, ["_id", "_hash"], "left")
-    none = F.array().cast("array<int>")
-    rows = rows.withColumns({"_lines": _lines(F.col("text")), "_keep": F.coalesce("keep", none)})
-    rows = rows.withColumn("_left", F.filter("_lines", lambda x, i: (F.length(_normal(x)) < min_chars) | F.array_contains(F.col("_keep"), i)))
-    rows = rows.withColumns({"_n": F.coalesce(F.size("_lines"), F.lit(0)), "_text": F.array_join("_left", "\n")})
-    rows = rows.withColumn("_gone", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n") - F.size("_left")))
-    return rows.select(
-        *[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_n")).alias("n_lines"), F.col("_gone").alias("n_removed"),
-    )
+    """docs with the text that is left, and n_lines and n_removed of each document (in place of columns of these names)."""
+    keep = write_table(kept_lines(docs.select("doc_id", "text"), min_chars, window).toDF("_dl_id", "_dl_hash", "_dl_keep"), "kept-lines")
+    rows = docs.withColumns({"_dl_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_dl_hash": F.xxhash64("text")}).join(keep, ["_dl_id", "_dl_hash"], "left")
+    kept = F.coalesce("_dl_keep", F.array().cast("array<int>"))
+    rows = rows.withColumns({"_dl_lines": _lines(F.col("text")), "_dl_keep": kept})
+    rows = rows.withColumn("_dl_left", F.filter("_dl_lines", lambda x, i: (F.length(_normal(x)) < min_chars) | F.array_contains(F.col("_dl_keep"), i)))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_dl_lines"))
+    left = F.when(F.col("text").isNull(), 0).otherwise(F.size("_dl_left"))
+    own = {"text": F.array_join("_dl_left", "\n").alias("text")}
+    return rows.select(*[own.get(c, F.col(c)) for c in docs.columns if c not in ("n_lines", "n_removed")], n.alias("n_lines"), (n - left).alias("n_removed"))
