@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import SLOTS, not_negative
 from .features import by_slot, daily_total_features, normalized_profile, smoothed, tree_features, weighted_profile
@@ -60,7 +61,7 @@ def clear_sky_forecast(rows: DataFrame, keys: list[str], days: int = 7, oldest:
     return rows.withColumn("pred", F.least(F.col("envelope") * sum(parts[1:], parts[0]) / sum(weights), 1.1 * F.col("envelope"))).drop("_ratio")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def simplex_weights(gram: pd.Series, target: pd.Series) -> pd.Series:
     """Non-negative least squares for four candidates from their sums of products, by all active sets; scaled to 1, or a quarter each."""
 

@@ -119,8 +119,7 @@ ROLL = ", ".join(f"{f}(power) OVER ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDI
 LAGS = ", ".join(f"lag(power, {n}) OVER ({W}) AS lag{n}" for n in (1, 2, 7, 14))
 add("lag_day_lookup", lambda s, d: X.lags(A.site(s, d), SITE).drop("day_no", "power"), f"SELECT *, {LAGS} FROM site", plain="target, series_id, day, slot", rounded="lag1, lag2, lag7, lag14")
 for name in ("mean7", "std7", "mean14", "std14", "median7"):
-    kind, n = name.rstrip("0123456789"), name.lstrip("meandstd")
-    add(f"rolling_{kind}{n}", lambda s, d, name=name: X.rolling(A.site(s, d), SITE).select(*SITE, "day", "slot", name), f"SELECT *, {ROLL} FROM site", plain="target, series_id, day, slot", rounded=name)
+    add(f"rolling_{name}", lambda s, d, name=name: X.rolling(A.site(s, d), SITE).select(*SITE, "day", "slot", name), f"SELECT *, {ROLL} FROM site", plain="target, series_id, day, slot", rounded=name)
 add("daily_total_features", lambda s, d: X.daily_total_features(A.daily_totals(s, d), SERIES),
     "SELECT *, (lag1 - lag3) / 2 AS trend FROM (SELECT *, " + ", ".join(f"lag(total, {n}) OVER w AS lag{n}" for n in (1, 2, 3, 7, 14)) + ", " + ", ".join(f"{f}(total) OVER (PARTITION BY series_id ORDER BY day_no ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS {k}{n}" for n in (7, 14) for k, f in (("mean", "avg"), ("std", "stddev_pop"))) + " FROM tot WINDOW w AS (PARTITION BY series_id ORDER BY day_no))",
     TOTALS, "series_id, day, day_no", "total, lag1, lag2, lag3, lag7, lag14, mean7, mean14, std7, std14, trend")
