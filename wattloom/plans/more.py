@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import economics as E
 from ..operators import features as X
 from ..operators import forecasts as P
@@ -88,3 +89,21 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 add("adjusted_order_settlement", lambda s, d: E.settlement(_orders(s, d), SERIES), "SELECT series_id, day_no, sum(price * ordered + 1.5 * price * greatest(adjusted - ordered, 0) - 0.5 * price * greatest(ordered - adjusted, 0) + 5 * price * greatest(used - adjusted, 0)) AS cash, sum(greatest(used - adjusted, 0)) AS emergency FROM ord GROUP BY ALL", ORDERED, "series_id, day_no", "cash, emergency")
 add("check_roundtrip", lambda s, d: Q.check_roundtrip(files.unpivot_power(files.pivot_power(A.endpoints(s, d))), A.endpoints(s, d), ["series_id", "day", "slot"], "power"), "SELECT count(*) AS n, CAST(0 AS BIGINT) AS missing, 0.0 AS off FROM ep", BIN, "n, missing", "off")
 add("many_series_baseline", lambda s, d: M.by_group(P.baseline(A.user_endpoints(s, d).withColumn("target", F.lit("load")), SITE), ["series_id"]).select("series_id", "n", "mae", "rmse", "bias"))
+add("period_dim", lambda s, d: A.endpoints(s, d).groupBy("slot").agg(F.sum(F.col("power").cast("decimal(18,2)")).cast("double").alias("power")).withColumns({"from_minute": (F.col("slot") - 1) * 10, "to_minute": F.col("slot") * 10, "hours": F.lit(1 / 6)}),
+    "SELECT slot, sum(CAST(power AS DECIMAL(18,2))) AS power, (slot - 1) * 10 AS from_minute, slot * 10 AS to_minute, 1 / 6.0 AS hours FROM ep GROUP BY slot", BIN, "slot, from_minute, to_minute", "power, hours")
+add("endpoint_label", lambda s, d: A.endpoints(s, d).groupBy(C.label_of_minute(F.col("slot") * 10).alias("label")).agg(F.max("power").alias("most")),
+    "SELECT lpad(CAST(slot * 10 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(slot * 10 % 60 AS VARCHAR), 2, '0') AS label, max(power) AS most FROM ep GROUP BY slot", BIN, "label", "most")
+add("to_energy", lambda s, d: A.site(s, d).select(*SITE, "day", "slot", (F.col("power") / 6).alias("energy")), "SELECT target, series_id, day, slot, power / 6 AS energy FROM site", BIN, "target, series_id, day, slot", "energy")
+add("clip_range", lambda s, d: A.site(s, d).select(*SITE, "day", "slot", F.least(F.lit(100.0), C.not_negative(F.col("power") - 20)).alias("clipped")), "SELECT target, series_id, day, slot, least(100, greatest(0, power - 20)) AS clipped FROM site", BIN, "target, series_id, day, slot", "clipped")
+add("daylight_flag", lambda s, d: A.site(s, d).groupBy(*SITE, "day").agg(F.count_if(C.daylight(F.col("power"))).alias("slots")), "SELECT target, series_id, day, count(*) FILTER (power > 1) AS slots FROM site GROUP BY ALL", BIN, "target, series_id, day, slots")
+
+
+def _training_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows and mean of the training days (from 14 on) before each origin, as a running frame instead of a join of days."""
+    days = A.site(s, d).where("day_no >= 14").groupBy(*SITE, "day_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("power").cast("decimal(18,2)")).cast("double").alias("power"))
+    before = Window.partitionBy(*SITE).orderBy("day_no").rowsBetween(Window.unboundedPreceding, -1)
+    return days.select(*SITE, F.col("day_no").alias("origin"), F.sum("n").over(before).alias("rows"), (F.sum("power").over(before) / F.sum("n").over(before)).alias("mean"))
+
+
+add("expanding_train_join", _training_rows,
+    "SELECT o.target, o.series_id, o.day_no AS origin, CAST(nullif(count(t.power), 0) AS BIGINT) AS rows, avg(t.power) AS mean FROM (SELECT DISTINCT target, series_id, day_no FROM site WHERE day_no >= 14) o LEFT JOIN site t ON t.target = o.target AND t.day_no >= 14 AND t.day_no < o.day_no GROUP BY ALL", BIN, "target, series_id, origin, rows", "mean")
