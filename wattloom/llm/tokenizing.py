@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 
 #: Pieces that a worker remembers: at most twice as many.
-REMEMBER = 400_000
+REMEMBER = 500_000
 _OTHER_GAP = re.compile(r"[^\S \n]|\0")
 _AFTER_SIGN = re.compile(r"[.,](?<![^\W_][.,])(?=\s|\Z)")
 
@@ -37,17 +37,32 @@ def encoder(path: str, keeps_space: bool):
     older: dict[str, bytes] = {}
     gap = "\0 " if keeps_space else "\0"
 
+    edge = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that begin (keeps_space) or end a word of letters
+    for token, i in tokenizer.get_vocab().items():
+        edge[i] = token.startswith("\u0120") if keeps_space else token.endswith("</w>")
+
     def learn(pieces: set[str]) -> None:
-        new = []
+        words, others = [], []
         for piece in pieces:
             if (ids := older.get(piece)) is not None:
                 known[piece] = ids
+            elif piece[1:].isalpha() and piece[0] == " " if keeps_space else piece.isalpha():
+                words.append(piece)
+            else:
+                others.append(piece)
+        if words:  # as one text, which is cheaper than one by one; every word has one edge
+            ids = np.asarray(tokenizer.encode(("" if keeps_space else " ").join(words), add_special_tokens=False).ids, np.int32)
+            at = np.flatnonzero(edge[ids])
+            ends = (np.append(at[1:], len(ids)) if keeps_space else at + 1) * 4
+            if len(at) == len(words):
+                data, begin = ids.tobytes(), 0
+                for word, end in zip(words, ends.tolist(), strict=True):
+                    known[word] = data[begin:end]
+                    begin = end
             else:
-                new.append(piece)
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for piece, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = np.asarray(found.ids, np.int32).tobytes()
+                others += words
+        for piece, found in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else [], strict=True):
+            known[piece] = np.asarray(found.ids, np.int32).tobytes()
 
     def cut(text: str) -> list[str]:
         text = text.replace(" ", gap).replace("\n", "\0\n\0" if keeps_space else "\0")
@@ -55,21 +70,19 @@ def encoder(path: str, keeps_space: bool):
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         nonlocal known, older
-        out: list = [None] * len(texts)
-        cuts = {}
-        for i, text in enumerate(texts):
+        out: list = []
+        for text in texts:
             if not text:
-                out[i] = np.zeros(0, np.int32)
+                out.append(np.zeros(0, np.int32))
             elif _as_a_whole(text):
-                out[i] = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+                out.append(np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
             else:
-                cuts[i] = cut(text)
-        for i, pieces in cuts.items():
-            if len(known) > REMEMBER:
-                known, older = {}, known
-            if new := set(pieces).difference(known):
-                learn(new)
-            out[i] = np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+                pieces = cut(text)
+                if len(known) > REMEMBER:
+                    known, older = {}, known
+                if new := set(pieces).difference(known):
+                    learn(new)
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32))
         return out
 
     return encode
