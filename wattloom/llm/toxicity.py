@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import write_table
 
 GRADES = 3
-#: Expected severity from which a document is rejected: about a fifth of a chance that it is toxic at all.
-REJECT = 0.2
+#: Expected severity from which a document is rejected: about a quarter of a chance that it is toxic at all.
+REJECT = 0.25
 _WORDS = re.compile(r"\w+")
 
 
