@@ -38,11 +38,11 @@ site AS (SELECT k.target, 'site' AS series_id, p.day, p.day_no, p.slot, coalesce
   LEFT JOIN (SELECT target, day, slot, sum(v) AS v FROM sol GROUP BY ALL) b ON b.target = k.target AND b.day = p.day AND b.slot = p.slot)"""
 ISSUES = BIN + """,
 truth AS (SELECT series_id, day_no * 144 + slot AS at, power FROM site WHERE target = 'pv'),
-iss AS (SELECT n.series_id, n.at AS issue_at, d.day, d.day_no, v.r AS release_hour, CAST(g.h AS INTEGER) AS lead_h, n.at + g.h * 6 AS at, 0.5 * p.power + 0.5 * n.power AS pred, n.power AS now
+iss AS (SELECT n.series_id, n.at AS issue_at, d.day, d.day_no, v.r AS release_hour, CAST(g.h AS INTEGER) AS lead_h, CAST(n.at + g.h * 6 AS INTEGER) AS at, 0.5 * p.power + 0.5 * n.power AS pred, n.power AS now
   FROM (SELECT DISTINCT day, day_no FROM spine WHERE day_no >= 2) d CROSS JOIN (VALUES (0), (6), (12), (18)) v(r) CROSS JOIN generate_series(1, 24) g(h)
   JOIN truth n ON n.at = d.day_no * 144 + v.r * 6 JOIN truth p ON p.at = n.at + g.h * 6 - 144),
 kn AS (SELECT DISTINCT series_id, issue_at, day, day_no, release_hour, 0 AS k, now AS x FROM iss UNION ALL SELECT series_id, issue_at, day, day_no, release_hour, lead_h, pred FROM iss),
-lin24 AS (SELECT l.series_id, l.issue_at, l.day, l.day_no, l.release_hour, CAST(s.step AS INTEGER) AS step, l.issue_at + s.step AS at, greatest(0, l.x + (r.x - l.x) * (s.step - 6 * l.k) / 6) AS a
+lin24 AS (SELECT l.series_id, l.issue_at, l.day, l.day_no, l.release_hour, CAST(s.step AS INTEGER) AS step, CAST(l.issue_at + s.step AS INTEGER) AS at, greatest(0, l.x + (r.x - l.x) * (s.step - 6 * l.k) / 6) AS a
   FROM generate_series(0, 144) s(step) JOIN kn l ON l.k = greatest(1, CAST(ceil(s.step / 6.0) AS INTEGER)) - 1 JOIN kn r ON r.series_id = l.series_id AND r.issue_at = l.issue_at AND r.k = l.k + 1),
 lin AS (SELECT * FROM lin24 WHERE step <= (24 - release_hour) * 6)"""
 BASE = BIN + """,
