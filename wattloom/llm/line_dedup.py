@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, window: int = 64) -> DataF
     rows = docs.withColumns({"_dl_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_dl_hash": F.xxhash64("text")}).join(keep, ["_dl_id", "_dl_hash"], "left")
     kept = F.coalesce("_dl_keep", F.array().cast("array<int>"))
     rows = rows.withColumns({"_dl_lines": _lines(F.col("text")), "_dl_keep": kept})
-    rows = rows.withColumn("_dl_left", F.filter("_dl_lines", lambda x, i: (F.length(_normal(x)) < min_chars) | F.array_contains(F.col("_dl_keep"), i)))
+    rows = rows.withColumn("_dl_left", F.filter("_dl_lines", lambda x, i: F.array_contains(F.col("_dl_keep"), i) | (F.length(_normal(x)) < min_chars)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_dl_lines"))
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size("_dl_left"))
     own = {"text": F.array_join("_dl_left", "\n").alias("text")}
