@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import line_dedup, mixing, packing, simhash, toxicity
+from wattloom.llm import line_dedup, mixing, near_copies, packing, simhash, toxicity
 from wattloom.llm.common import table, write_table
 
 
@@ -23,8 +23,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints of five-word shingles link (4 bits, a cosine over 0.98), the one with the smallest doc_id stays."""
-    return simhash.one_of_each(docs, shingle=5, bits=4)
+    """Of documents whose five-word shingles have a Jaccard similarity of 0.8 or more, linked in chains, the one with the smallest doc_id stays."""
+    return simhash.first_of_each(docs, near_copies.near_duplicates(docs.select("doc_id", "text"), shingle=5, least=0.8))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,7 +258,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, parts: int
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without near copies: of each component the document with the smallest doc_id; of rows that repeat this doc_id, one."""
-    found = near_duplicates(docs.select("doc_id", "text"), **how)
+    return first_of_each(docs, near_duplicates(docs.select("doc_id", "text"), **how))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that lead their components in found (doc_id, component_id); of rows that repeat such a doc_id, one."""
     keep = write_table(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
     out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"])).drop(keep["doc_id"])
     if not keep.where("_rows > 1").isEmpty():
