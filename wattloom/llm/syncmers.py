@@ -3,10 +3,12 @@
 A k-mer (of `k` code points) is an anchor if the smallest of its inner substrings of `s` code points
 stands at its first or last place. Whether it is one depends on the k-mer alone, so an edit
 elsewhere never moves an anchor. anchors() gives them with their positions; fingerprint() is the
-`size` smallest of their distinct hashes, as hexadecimal digits. likeness() estimates the Jaccard
-similarity of two documents' anchors from that: the share of common hashes among the `size`
-smallest of both. A text without anchors (shorter than k, say) has one hash, of the whole text; an
-empty one has none, is like another empty one (1) and unlike any other (0).
+`size` smallest of their distinct hashes, as hexadecimal digits: a compact column that nothing is
+compared by. likeness() compares two documents by all their anchors: the n-th anchor of a hash in
+one meets the n-th in the other, the most of these that stand in the same order in both are what
+the texts have in common, and that is given as a share of all anchors of both. A text without
+anchors (shorter than k, say) has one hash, of the whole text; an empty one has none, is like
+another empty one (1) and unlike any other (0).
 
 successors() pairs each document with the next in the order of doc_id (after the last: the first)
 without a sort in one task: documents are dealt by doc_id into ranges whose limits come from
@@ -19,6 +21,7 @@ the order of their texts' hashes. Texts are processed whole. An empty table give
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,25 +76,57 @@ def anchors(text: str, k: int = 15, s: int = 5) -> tuple[np.ndarray, np.ndarray]
     return np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
 
-def sketch(text: str, k: int = 15, s: int = 5, size: int = 128) -> np.ndarray:
-    """The smallest distinct hashes of the anchors, as 32-bit numbers in ascending order."""
+def marks(text: str, k: int = 15, s: int = 5) -> np.ndarray:
+    """The hashes of all anchors in the order of their positions."""
     if not text:
-        return np.zeros(0, np.uint32)
-    found = (anchors(text, k, s)[1] >> np.uint64(32)).astype(np.uint32)
+        return np.zeros(0, np.uint64)
+    found = anchors(text, k, s)[1]
     if not len(found):
-        return np.array([int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big")], np.uint32)
-    return np.unique(found)[:size]
+        return np.array([int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") << 32], np.uint64)
+    return found
+
+
+def smallest(found: np.ndarray, size: int = 128) -> np.ndarray:
+    """The smallest distinct hashes of marks(), as 32-bit numbers in ascending order."""
+    return np.unique((found >> np.uint64(32)).astype(np.uint32))[:size]
+
+
+def sketch(text: str, k: int = 15, s: int = 5, size: int = 128) -> np.ndarray:
+    return smallest(marks(text, k, s), size)
 
 
 def fingerprint(found: np.ndarray) -> str:
     return found.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = 128) -> float:
+def _numbered(found: np.ndarray) -> np.ndarray:
+    """The hashes made distinct: each with the number of times that it came before."""
+    order = np.argsort(found, kind="stable")
+    ranked = found[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    out = np.empty_like(found)
+    out[order] = ranked + (np.arange(len(ranked)) - np.repeat(first, np.diff(np.append(first, len(ranked))))).astype(np.uint64) * _MUL
+    return out
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """How many anchors of a and b, given in order, can be matched without crossing."""
+    _, left, right = np.intersect1d(_numbered(a), _numbered(b), return_indices=True)
+    right = right[np.argsort(left)]
+    if (right[1:] > right[:-1]).all():
+        return len(right)
+    tails: list[int] = []
+    for x in right.tolist():
+        at = bisect_left(tails, x)
+        tails[at : at + 1] = [x]
+    return len(tails)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:size]
-    return float(np.isin(both, np.intersect1d(a, b, assume_unique=True)).mean())
+    both = in_order(a, b)
+    return both / (len(a) + len(b) - both)
 
 
 def successors(docs: DataFrame, then: Callable, schema: str) -> DataFrame:
@@ -156,20 +191,20 @@ def compare_edited(docs: DataFrame, k: int = 15, s: int = 5, size: int = 128) ->
     """Fingerprint of each text and of its edited form: its last quarter replaced by the beginning of the next text."""
     memory: list = [None, None]
 
-    def sketched(text: str) -> np.ndarray:
+    def marked(text: str) -> np.ndarray:
         if memory[0] != text:  # the next document's is needed again for that document
-            memory[:] = text, sketch(text, k, s, size)
+            memory[:] = text, marks(text, k, s)
         return memory[1]
 
     def then(doc: tuple, after: tuple) -> dict:
         text, cut = doc[1], len(doc[1]) // 4
         edited = text[: len(text) - cut] + after[1][:cut]
-        own = sketched(text)
-        new = own if edited == text else sketch(edited, k, s, size)
-        following = sketched(after[1])
+        own = marked(text)
+        new = own if edited == text else marks(edited, k, s)
+        following = marked(after[1])
         return {
-            "doc_id": doc[0], "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": fingerprint(own),
-            "edited_fingerprint": fingerprint(new), "near_edited": likeness(own, new, size), "near_next": likeness(own, following, size),
+            "doc_id": doc[0], "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": fingerprint(smallest(own, size)),
+            "edited_fingerprint": fingerprint(smallest(new, size)), "near_edited": likeness(own, new), "near_next": likeness(own, following),
         }
 
     return successors(docs, then, COMPARED)
