@@ -103,7 +103,7 @@ def block_bootstrap(daily: DataFrame, reps: int, blocks: list[int], seed: int =
     plan = spark.range(reps).withColumnRenamed("id", "rep").withColumn("length", F.explode(F.array(*[F.lit(b) for b in blocks if b <= n])))
     plan = plan.withColumn("b", F.explode(F.expr(f"sequence(0, int(ceil({n} / length)) - 1)"))).withColumn("start", F.expr(f"int(pmod(xxhash64({seed}, length, rep, b), {n} - length + 1))"))
     plan = plan.withColumn("k", F.explode(F.expr("sequence(0, length - 1)"))).where(F.expr(f"b * length + k < {n}")).withColumn("i", F.expr("start + k"))
-    sums = plan.join(wide, "i").groupBy("length", "rep").agg(*[F.sum(str(m)).alias(f"m{m}") for m in range(8)])
+    sums = plan.join(F.broadcast(wide), "i").groupBy("length", "rep").agg(*[F.sum(str(m)).alias(f"m{m}") for m in range(8)])
     per = {"all_vs_none": "m0 - m7", "only6": "m0 - m1", "only12": "m0 - m2", "only18": "m0 - m4", "m12_vs_m6": "m1 - m2", "m12_vs_m18": "m4 - m2"}
     return sums.select("length", "rep", *[F.expr(f"({e}) / {n}").alias(k) for k, e in per.items()])
 

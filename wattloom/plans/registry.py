@@ -255,8 +255,8 @@ add("saving_moving_avg7", lambda s, d: A.strategies(s, d).groupBy("day").agg(F.s
 add("monthly_cost_saving", lambda s, d: A.strategies(s, d).withColumn("month", F.date_format("day", "yyyy-MM")).groupBy("month").pivot("mask", [0, 7]).agg(F.sum(F.col("cost").cast("decimal(18,2)")).cast("double")).select("month", F.col("0").alias("base"), F.col("7").alias("best"), (F.col("0") - F.col("7")).alias("saving")),
     "SELECT strftime(day, '%Y-%m') AS month, sum(cost) FILTER (mask = 0) AS base, sum(cost) FILTER (mask = 7) AS best, sum(cost) FILTER (mask = 0) - sum(cost) FILTER (mask = 7) AS saving FROM daily GROUP BY month", STRATEGY, "month", "base, best, saving")
 add("cost_distribution", lambda s, d: E.cost_distribution(A.strategies(s, d)), "SELECT mask, q1, q2, q3, min(cost) FILTER (cost >= q1 - 1.5 * (q3 - q1) AND cost <= q3 + 1.5 * (q3 - q1)) AS low, max(cost) FILTER (cost >= q1 - 1.5 * (q3 - q1) AND cost <= q3 + 1.5 * (q3 - q1)) AS high FROM daily JOIN (SELECT mask, quantile_cont(cost, 0.25) AS q1, quantile_cont(cost, 0.5) AS q2, quantile_cont(cost, 0.75) AS q3 FROM daily GROUP BY mask) USING (mask) GROUP BY ALL", STRATEGY, "mask", "q1, q2, q3, low, high")
-add("block_bootstrap", lambda s, d: E.block_bootstrap(A.strategies(s, d), 200, [7, 14]))
-add("bootstrap_ci", lambda s, d: E.intervals_of(E.block_bootstrap(A.strategies(s, d), 200, [7, 14])))
+add("block_bootstrap", lambda s, d: E.block_bootstrap(A.strategies(s, d), 5000, [7, 14]))
+add("bootstrap_ci", lambda s, d: E.intervals_of(E.block_bootstrap(A.strategies(s, d), 5000, [7, 14])))
 
 # --- checks
 add("check_shape", lambda s, d: Q.check_shape(A.endpoints(s, d), SERIES), "SELECT series_id, count(*) AS days, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n <> 144) AS bad_days FROM (SELECT series_id, day, count(*) AS n FROM ep GROUP BY ALL) GROUP BY series_id", plain="series_id, days, rows, bad_days")
