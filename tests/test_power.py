@@ -49,11 +49,11 @@ def test_equal_days(spark):
     assert (m.n, m.mae, m.rmse, m.wape) == (9 * 144, 0, 0, 0)
 
 
-@pytest.mark.parametrize("job", ["baseline", "clear_sky", "adaptive", "trees"])
+@pytest.mark.parametrize("job", ["baseline", "clear_sky", "adaptive", "trees", "energy"])
 def test_forecasts_see_nothing_of_their_day(spark, job):
     jobs = {
         "baseline": lambda r: P.baseline(r, KEYS), "clear_sky": lambda r: P.clear_sky_forecast(r, KEYS), "adaptive": lambda r: P.adaptive_forecast(r, KEYS),
-        "trees": lambda r: P.tree_backtest(r, KEYS, 18, 18, estimator=lambda: P.boosted_trees(2, 2)),
+        "trees": lambda r: P.tree_backtest(r, KEYS, 18, rounds=5), "energy": lambda r: P.energy_profile(r, KEYS, 18, rounds=5),
     }
     power = lambda d, k: (d * 7 + k * 3) % 11 + (5 if k > 40 else 0)
     one = series(spark, 19, power, "pv")
@@ -81,9 +81,90 @@ def test_metrics_of_nothing_and_of_nights(spark):
     r = M.by_group(rows, ["target"]).head()
     assert r.mae == 0 and r.wape is None and r.daylight_mae is None
     assert M.by_group(rows.where("pred > 1"), ["target"]).count() == 0
-    pairs = spark.createDataFrame([(0.0, 1.0, 1.000005), (0.0, 2.0, 1.0)], "truth double, old double, new double")
-    v = M.versions(pairs, [[]]).head()
-    assert (v.share_equal, v.share_better) == (0.5, 0.5)
+    pairs = spark.createDataFrame([(0.0, 1.0, 1.000005), (0.0, 2.0, 1.0), (0.0, 1.0, 0.999999), (0.0, 3.0, 4.0)], "truth double, old double, new double")
+    v = M.versions(pairs, [[]]).head()  # the third is equal and better, the first equal only
+    assert (v.share_equal, v.share_better) == (50, 50) and v.old_wape is None and v.old_bias == 1.75
+    v = M.versions(spark.createDataFrame([(10.0, 12.0, 9.0), (30.0, 28.0, 30.0)], "truth double, old double, new double"), [[]]).head()
+    assert (v.old_wape, v.new_wape, v.old_bias, v.new_bias) == (10, 2.5, 0, -0.5)
+
+
+def test_verdict_by_hand(spark):
+    """At least 0.5 % is new even within 1 kW; equality comes next."""
+    rows = [(100.0, 99.4), (100.0, 99.52), (100.0, 100.9), (1000.0, 1000.4), (100.0, 102.0), (1000.0, 990.0)]
+    frame = spark.createDataFrame([(i, o, n, 100 * (o - n) / o) for i, (o, n) in enumerate(rows)], "i int, old_mae double, new_mae double, improvement double")
+    assert [r.verdict for r in M.verdict(frame).orderBy("i").collect()] == ["new", "equal", "equal", "equal", "old", "new"]
+
+
+def test_extended_metrics_count_daylight_only(spark):
+    rows = [("x", DAY, 0.0, 5.0), ("x", DAY, 0.5, 9.0), ("x", DAY, 10.0, 12.0), ("x", DAY, 20.0, 19.0), ("x", DAY, 30.0, 30.0)]
+    r = M.extended(spark.createDataFrame(rows, "target string, day date, power double, pred double"), ["target"]).head()
+    assert round(r.over_rate, 9) == round(100 / 3, 9) and round(r.energy_mae, 9) == round(14.5 / 6, 9) and r.peak_mae == 0
+
+
+def test_envelope_goes_on_with_the_trend(spark):
+    """power = 100 + day on day 28: quantiles 112.6 and 126.6 of days 0-13 and 14-27, slope 1 a day, 7.5 days on."""
+    rows = series(spark, 29, lambda d, k: 100 + d, "pv")
+    got = {r.slot: r.envelope for r in P.clear_sky_envelope(rows, KEYS).where("day_no = 28").collect()}
+    slope = 14.0 / 14
+    assert abs(got[70] - (100 + 14 + 0.9 * 13 + slope * 7.5)) < 1e-9 and abs(got[70] - 133.2) < 1e-9
+
+
+def test_standardized_intervals_end_with_what_is_known(spark):
+    rows = series(spark, 9, lambda d, k: 10 * d + (1000 if k == 1 else 0), "pv").unionByName(series(spark, 9, lambda d, k: 10 * d + (1000 if k == 1 else 0), "load"))
+    pred = rows.withColumn("pred", F.lit(2.0))
+    got = {r.target: r.avg_power for r in I.standardized(pred, I.boundaries(rows, KEYS), KEYS).where("day_no = 8 and slot = 144").collect()}
+    assert got == {"pv": (2 + 1000 + 10 * 4) / 2, "load": (2 + 1020) / 2}  # days 1-7 on average; day 2
+
+
+def test_extra_interval(spark):
+    """The lead for midnight itself and the mean of the first endpoints of the days before."""
+    issues = spark.createDataFrame([("s", 8 * 144 + 108, DAY, 8, 18, [float(h + 1) for h in range(24)])], "series_id string, issue_at int, day date, day_no int, release_hour int, leads array<double>")
+    truth = spark.createDataFrame([("s", d * 144 + 1, float(d)) for d in range(12)], "series_id string, at int, power double")
+    assert [(r.step, r.pred) for r in R.extra_intervals(issues, truth).collect()] == [(37, (6 + 4) / 2)]
+
+
+def test_boosted_trees_learn_and_know_what_matters():
+    import numpy as np
+
+    from wattloom.operators.trees import Boosted
+
+    x = np.random.default_rng(1).normal(size=(600, 4))
+    y = np.where(x[:, 2] > 0.3, 5.0, -1.0) + np.where(x[:, 0] > 0, 0.5, 0.0)
+    m = Boosted(rounds=120, depth=3).fit(x[:400], y[:400])
+    assert np.abs(m.predict(x[400:]) - y[400:]).mean() < 0.25 and m.importance.argmax() == 2
+    assert np.array_equal(Boosted(rounds=9).fit(x, y).predict(x), Boosted(rounds=9).fit(x, y).predict(x))
+    assert Boosted(rounds=3).fit(x[:1], y[:1]).predict(x[:2]).tolist() == [y[0], y[0]]
+
+
+def test_boundary_trees_know_labels_up_to_two_days_before(spark):
+    power = lambda d, k: (d * 7 + k * 3) % 11
+    one = P.boundary_trees(series(spark, 22, power), KEYS, 16)
+    other = P.boundary_trees(series(spark, 22, lambda d, k: 1e9 if d >= 20 else power(d, k)), KEYS, 16)
+    a, b = ({r.day_no: r.pred for r in x.collect()} for x in (one, other))
+    assert sorted(a) == list(range(16, 22)) and all(a[d] == b[d] for d in range(16, 21))
+
+
+def test_dense_has_every_slot(spark):
+    from wattloom.sources.adapters import dense
+
+    rows = spark.createDataFrame([("a", DAY, 5, 2.5), ("b", DAY + dt.timedelta(2), 144, 1.0)], "series_id string, day date, slot int, power double")
+    out = dense(rows, ["series_id"])
+    assert out.count() == 2 * 3 * 144 and out.where("power <> 0").count() == 2
+    assert [(r.series_id, r.day_no, r.slot) for r in out.where("power = 1").collect()] == [("b", 2, 144)]
+    assert dense(rows.limit(0), ["series_id"]).count() == 0
+
+
+def test_published_shapley_values(spark):
+    """Costs that differ by the published marginal savings give the published values, and pairs their published redundancies (fixed values)."""
+    alone, pairs, all_three = {1: 208187.47926330753, 2: 501389.06127633527, 4: 398378.3689387962}, {3: 62617.86019024439, 5: 98898.79837417789, 6: 215779.3831662424}, 62583.35951823369
+    saved = {0: 0.0, **alone, 3: alone[2] + pairs[3], 5: alone[4] + pairs[5], 6: alone[4] + pairs[6]}
+    saved[7] = saved[6] + all_three
+    costs = spark.createDataFrame([(m, 12671791.1 - x) for m, x in saved.items()], "mask int, cost double")
+    got = {r.player: r.value for r in E.shapley(costs).collect()}
+    want = {1: 117176.38935458411, 2: 322217.4727571302, 4: 237347.24951155795}
+    assert all(abs(got[p] - want[p]) < 1e-3 for p in want)
+    redundant = {(r.p, r.q): r.redundancy for r in E.pair_effects(costs).collect()}
+    assert all(abs(redundant[k] - v) < 1e-3 for k, v in {(1, 2): 145569.61907306314, (1, 4): 109288.68088912964, (2, 4): 285609.6781100929}.items())
 
 
 def test_shapley_golden(spark):
@@ -98,7 +179,8 @@ def test_bootstrap_is_repeatable(spark):
     daily = spark.createDataFrame([(DAY + dt.timedelta(d), m, float(d + m)) for d in range(20) for m in range(8)], "day date, mask int, cost double")
     a = E.block_bootstrap(daily, 20, [7]).orderBy("rep").collect()
     assert a == E.block_bootstrap(daily.repartition(3), 20, [7]).orderBy("rep").collect()
-    assert all(abs(r.all_vs_none + 7) < 1e-9 for r in a)
+    assert all(abs(r.all_vs_none + 7) < 1e-9 and abs(r.add6_given_12_18 + 1) < 1e-9 for r in a)
+    assert all(abs(r.shapley_6 + 1) < 1e-9 and abs(r.shapley_12 + 2) < 1e-9 and abs(r.shapley_12_minus_18 - 2) < 1e-9 for r in a)
 
 
 def test_weights_are_a_simplex(spark):
@@ -143,7 +225,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count() > 0 and got.join(batch, ["series_id", "ts", "power"], "left_anti").count() == 0
 
 
-@pytest.mark.parametrize("key", ["metrics_basic", "interval_avg_actual", "rolling_median7", "weighted_profile", "select_method", "versions_rollup", "dispatch_totals", "shapley", "cost_distribution", "netload_quantile_margin"])
+@pytest.mark.parametrize("key", ["metrics_basic", "interval_avg_actual", "rolling_median7", "weighted_profile", "select_method", "versions_rollup", "dispatch_totals", "shapley", "cost_distribution", "netload_quantile_margin", "clear_sky_forecast", "version_verdict", "intraday_output", "standardized_intervals", "metrics_boundary", "bootstrap_ci", "metrics_interval", "boundary_features"])
 def test_against_sql(spark, key):
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem"):

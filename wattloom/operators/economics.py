@@ -94,18 +94,48 @@ def pair_effects(costs: DataFrame) -> DataFrame:
     return rows.select("p", "q", "single", "joint", "saving", "redundancy", F.when(F.col("redundancy") > 0, "redundant").otherwise("complementary").alias("kind"))
 
 
+def hashed_starts(spark: SparkSession, reps: int, lengths: list[int], days: int, seed: int = 11) -> DataFrame:
+    """(length, rep, start, take): for each replicate blocks of days that together take as many days as there are.
+
+    Starts come from the first 32 bits of an MD5, which other engines have too.
+    """
+    plan = spark.range(reps).withColumnRenamed("id", "rep").withColumn("length", F.explode(F.array(*[F.lit(b) for b in lengths if b <= days] or [F.lit(None).cast("int")]))).where("length is not null")
+    plan = plan.withColumn("b", F.explode(F.expr(f"sequence(0, int(ceil({days} / length)) - 1)")))
+    start = f"cast(conv(substring(md5(concat_ws('-', {seed}, length, rep, b)), 1, 8), 16, 10) as bigint) % ({days} - length + 1)"
+    return plan.selectExpr("length", "rep", f"cast({start} as int) as start", f"least(length, {days} - b * length) as take")
+
+
 def block_bootstrap(daily: DataFrame, reps: int, blocks: list[int], seed: int = 11) -> DataFrame:
-    """Cost of each strategy per replicate: blocks of days from hashed starts, the same days for all strategies."""
-    days = daily.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
-    wide = daily.join(days, "day").groupBy("i").pivot("mask", list(range(8))).agg(F.sum("cost"))
-    n = days.count()
+    """Six values per day of each replicate: blocks of days from hashed starts, the same days for all strategies.
+
+    Costs are added up in hundredths, so exactly. A block's sums are those of a window over the days (one
+    small row per day), so a replicate joins blocks and not days.
+    """
     spark: SparkSession = daily.sparkSession
-    plan = spark.range(reps).withColumnRenamed("id", "rep").withColumn("length", F.explode(F.array(*[F.lit(b) for b in blocks if b <= n])))
-    plan = plan.withColumn("b", F.explode(F.expr(f"sequence(0, int(ceil({n} / length)) - 1)"))).withColumn("start", F.expr(f"int(pmod(xxhash64({seed}, length, rep, b), {n} - length + 1))"))
-    plan = plan.withColumn("k", F.explode(F.expr("sequence(0, length - 1)"))).where(F.expr(f"b * length + k < {n}")).withColumn("i", F.expr("start + k"))
-    sums = plan.join(F.broadcast(wide), "i").groupBy("length", "rep").agg(*[F.sum(str(m)).alias(f"m{m}") for m in range(8)])
-    per = {"all_vs_none": "m0 - m7", "only6": "m0 - m1", "only12": "m0 - m2", "only18": "m0 - m4", "m12_vs_m6": "m1 - m2", "m12_vs_m18": "m4 - m2"}
-    return sums.select("length", "rep", *[F.expr(f"({e}) / {n}").alias(k) for k, e in per.items()])
+    cents = F.round(F.col("cost") * 100).cast("bigint")
+    wide = daily.groupBy("day").pivot("mask", list(range(8))).agg(F.sum(cents)).withColumn("start", F.row_number().over(Window.orderBy("day")) - 1)
+    n = wide.count()
+    takes = sorted({t for b in blocks if b <= n for t in (b, n % b or b)})
+    masks = [str(m) for m in range(8)]
+    ahead = lambda t: Window.orderBy("start").rowsBetween(0, t - 1)
+    sums = [wide.select(F.lit(t).alias("take"), "start", *[F.sum(m).over(ahead(t)).alias(m) for m in masks]) for t in takes]
+    if not sums:
+        sums = [wide.select(F.lit(0).alias("take"), "start", *masks).where("false")]
+    table = sums[0]
+    for more in sums[1:]:
+        table = table.unionByName(more)
+    drawn = hashed_starts(spark, reps, blocks, n, seed).join(F.broadcast(table), ["take", "start"])  # a row per day and length
+    totals = drawn.groupBy("length", "rep").agg(*[F.sum(m).alias(f"m{m}") for m in masks])
+    per = {"all_vs_none": "m0 - m7", "add6_given_12_18": "m6 - m7", **{f"shapley_{h}": _shapley_sum(p) for p, h in ((1, 6), (2, 12), (4, 18))}}
+    per["shapley_12_minus_18"] = f"({per['shapley_12']}) - ({per['shapley_18']})"
+    six = {k: 6 if "shapley" in k else 1 for k in per}
+    return totals.select("length", "rep", *[F.expr(f"({e}) / ({six[k]} * 100.0D * {n})").alias(k) for k, e in per.items()])
+
+
+def _shapley_sum(player: int) -> str:
+    """Six times the Shapley value of a player, from the costs m0 to m7."""
+    weights = {0: 2, 1: 1, 2: 2}
+    return " + ".join(f"{weights[s.bit_count()]} * (m{s} - m{s | player})" for s in range(8) if not s & player)
 
 
 def intervals_of(boot: DataFrame) -> DataFrame:

@@ -29,28 +29,46 @@ def tree_features(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def daily_total_features(totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Per day from (day_no, total): lags, means and deviations, trend."""
+    """The 14 inputs per day from (day, day_no, total): lags, means and deviations, trend, and the calendar."""
     w = Window.partitionBy(*keys).orderBy("day_no")
     out = {f"lag{n}": F.lag("total", n).over(w) for n in (1, 2, 3, 7, 14)}
     out |= {f"{name}{n}": f("total").over(w.rowsBetween(-n, -1)) for n in (7, 14) for name, f in (("mean", F.avg), ("std", F.stddev_pop))}
-    return totals.withColumns(out).withColumn("trend", (F.col("lag1") - F.col("lag3")) / 2)
+    return totals.withColumns(out).withColumn("trend", (F.col("lag1") - F.col("lag3")) / 2).withColumns(_of_day(F.col("day")))
+
+
+def _of_day(day) -> dict:
+    dates = calendar(day, F.lit(1))
+    return {k: dates[k] for k in ("year_sin", "year_cos", "week_sin", "week_cos")}
 
 
 def boundary_features(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per day, for the first endpoint of the next: its lags, the day's last slots, mean and deviation of the day and of 7 days."""
+    """The 21 inputs per day for the first endpoint of the next day, known at the day's start.
+
+    Lags, means and deviations of the first endpoint, the last five endpoints of the day before, mean and
+    deviation of that day and of 7 days, and the calendar of the next day.
+    """
     last = {f"back{k}": F.max(F.when(F.col("slot") == SLOTS - k, F.col("power"))) for k in range(5)}
-    days = rows.groupBy(*keys, "day_no").agg(
+    days = rows.groupBy(*keys, "day", "day_no").agg(
         F.max(F.when(F.col("slot") == 1, F.col("power"))).alias("first"), *[c.alias(n) for n, c in last.items()],
         F.sum("power").alias("sum"), F.sum(F.col("power") * F.col("power")).alias("squares"), F.count("power").alias("n"),
     )
     w = Window.partitionBy(*keys).orderBy("day_no")
-    week = w.rowsBetween(-7, -1)
-    n, s, q = (F.sum(c).over(week) for c in ("n", "sum", "squares"))
-    out = {f"lag{k}": F.lag("first", k).over(w) for k in (1, 2, 7, 14)} | {f"b{k}": F.lag(f"back{k}", 1).over(w) for k in range(5)}
-    out |= {"day_mean": F.lag(F.col("sum") / F.col("n"), 1).over(w), "week_mean": s / n, "week_std": F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))}
+    spread = lambda n, s, q: F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))
+    n, s, q = (F.sum(c).over(w.rowsBetween(-7, -1)) for c in ("n", "sum", "squares"))
+    n1, s1, q1 = (F.lag(c, 1).over(w) for c in ("n", "sum", "squares"))
+    out = {f"lag{k}": F.lag("first", k).over(w) for k in (1, 2, 7, 14)}
+    out |= {f"first_{name}{k}": f("first").over(w.rowsBetween(-k, -1)) for k in (7, 14) for name, f in (("mean", F.avg), ("std", F.stddev_pop))}
+    out |= {f"b{k}": F.lag(f"back{k}", 1).over(w) for k in range(5)}
+    out |= {"day_mean": s1 / n1, "day_std": spread(n1, s1, q1), "week_mean": s / n, "week_std": spread(n, s, q)} | _of_day(F.date_add("day", 1))
     return days.select(*keys, "day_no", *[c.alias(k) for k, c in out.items()])
 
 
+BOUNDARY_COLUMNS = [
+    "lag1", "lag2", "lag7", "lag14", "first_mean7", "first_std7", "first_mean14", "first_std14", "b4", "b3", "b2", "b1", "b0", "day_mean", "day_std", "week_mean", "week_std",
+    "week_sin", "week_cos", "year_sin", "year_cos",
+]
+
+
 def shares(rows: DataFrame, keys: list[str]) -> DataFrame:
     """share of the day's total in each slot; null on days without any."""
     total = F.sum("power").over(Window.partitionBy(*keys, "day_no"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -11,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import SLOTS, not_negative
-from .features import by_slot, daily_total_features, normalized_profile, smoothed, tree_features, weighted_profile
+from ..functions.columns import not_negative
+from .features import BOUNDARY_COLUMNS, boundary_features, by_slot, daily_total_features, normalized_profile, smoothed, tree_features, weighted_profile
+from .trees import Boosted
 
 
 def baseline(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,17 +36,18 @@ def quantile_of(sorted_values, q: float):
 
 
 def clear_sky_envelope(rows: DataFrame, keys: list[str], days: int = 42, q: float = 0.9) -> DataFrame:
-    """A smooth upper curve of the day: high quantiles of the older and newer half of the history, carried on by their slope."""
+    """A smooth upper curve of the day: high quantiles of the older and newer half of the history, carried on by their slope from the middle of the newer half."""
     rows = rows.withColumn("_past", F.collect_list("power").over(by_slot(keys).rowsBetween(-days, -1)))
     n = F.size("_past")
     split = F.greatest(F.lit(7), F.floor(n / 2).cast("int"))
-    old_n = F.when(n - split < 5, F.greatest(F.lit(5), F.floor(n / 2).cast("int"))).otherwise(n - split)
-    rows = rows.withColumns({"_old": F.array_sort(F.slice("_past", F.lit(1), F.least(old_n, n))), "_new": F.array_sort(F.slice("_past", F.greatest(n - split, F.lit(0)) + 1, split))})
+    old_n = F.least(n, F.when(n - split < 5, F.greatest(F.lit(5), F.floor(n / 2).cast("int"))).otherwise(n - split))
+    new_n = F.least(n, split)
+    rows = rows.withColumns({"_old": F.array_sort(F.slice("_past", F.lit(1), old_n)), "_new": F.array_sort(F.slice("_past", n - new_n + 1, new_n))})
     old, new = quantile_of(F.col("_old"), q), quantile_of(F.col("_new"), q)
-    span = F.greatest(F.lit(1.0), n / 2)
+    span = F.greatest(F.lit(1.0), (old_n + new_n) / 2)
     limit = F.greatest(F.lit(2.0), 0.02 * F.greatest(new, F.lit(1.0)))
     slope = F.greatest(-limit, F.least(limit, (new - old) / span))
-    rows = rows.withColumns({"_high": F.array_max("_past"), "_recent": new, "_ahead": F.when(n > 0, not_negative(new + slope))})
+    rows = rows.withColumns({"_high": F.array_max("_past"), "_recent": new, "_ahead": F.when(n > 0, not_negative(new + slope * (new_n + 1) / 2))})
     rows = smoothed(rows.withColumn("_ahead", F.coalesce("_ahead", F.lit(0.0))), keys, "_ahead", "_smooth")
     capped = F.least("_smooth", F.greatest(1.15 * F.col("_high"), F.col("_recent")))
     return rows.withColumn("envelope", F.when(F.col("_high") < 1, 0.0).otherwise(capped)).drop("_past", "_old", "_new", "_high", "_recent", "_ahead", "_smooth")
@@ -63,26 +64,31 @@ def clear_sky_forecast(rows: DataFrame, keys: list[str], days: int = 7, oldest:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def simplex_weights(gram: pd.Series, target: pd.Series) -> pd.Series:
-    """Non-negative least squares for four candidates from their sums of products, by all active sets; scaled to 1, or a quarter each."""
-
-    def solve(g, t) -> list[float]:
-        if g is None or t is None or any(x is None or not np.isfinite(x) for x in [*g, *t]):
-            return [0.25] * 4
-        a, b = np.zeros((4, 4)), np.array(t, float)
-        a[np.triu_indices(4)] = g
-        a = a + np.triu(a, 1).T
-        best, found = 0.0, np.zeros(4)
-        for k in range(1, 5):
-            for some in combinations(range(4), k):
-                s = list(some)
-                x = np.linalg.lstsq(a[np.ix_(s, s)], b[s], rcond=None)[0]
-                gain = float(2 * x @ b[s] - x @ a[np.ix_(s, s)] @ x)
-                if (x >= 0).all() and gain > best + 1e-12:
-                    best, found = gain, np.zeros(4)
-                    found[s] = x
-        return (found / found.sum()).tolist() if found.sum() > 1e-12 else [0.25] * 4
-
-    return pd.Series([solve(g, t) for g, t in zip(gram, target, strict=True)])
+    """Non-negative least squares for four candidates from their sums of products, by all active sets; scaled to 1, or a quarter each.
+
+    All rows of a batch are solved together, one active set after another.
+    """
+    a, b = np.full((len(gram), 4, 4), np.nan), np.full((len(gram), 4), np.nan)
+    at = np.triu_indices(4)
+    for i, (g, t) in enumerate(zip(gram, target, strict=True)):
+        if g is not None and t is not None:
+            a[i][at], b[i] = np.array(g, float), np.array(t, float)
+            a[i].T[at] = a[i][at]
+    fine = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+    best, found = np.zeros(len(a)), np.zeros((len(a), 4))
+    for k in range(1, 5):
+        for some in combinations(range(4), k):
+            s = list(some)
+            part, right = a[fine][:, s][:, :, s], b[fine][:, s]
+            x = (np.linalg.pinv(part, rcond=1e-13, hermitian=True) @ right[:, :, None])[:, :, 0]
+            gain = 2 * (x * right).sum(axis=1) - np.einsum("ni,nij,nj->n", x, part, x)
+            better = (x >= 0).all(axis=1) & (gain > best[fine] + 1e-12)
+            rows = np.flatnonzero(fine)[better]
+            best[rows] = gain[better]
+            found[rows] = 0.0
+            found[np.ix_(rows, s)] = x[better]
+    total = found.sum(axis=1, keepdims=True)
+    return pd.Series(list(np.where(total > 1e-12, found / np.maximum(total, 1e-300), 0.25)))
 
 
 def adaptive_weights(rows: DataFrame, keys: list[str], days: int = 28) -> DataFrame:
@@ -105,45 +111,100 @@ def adaptive_forecast(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("pred", not_negative(sum((F.col(f"c{i}") * F.col("weights")[i] for i in range(1, 4)), F.col("c0") * F.col("weights")[0])))
 
 
-def boosted_trees(depth: int = 5, rounds: int = 20, seed: int = 7):
-    from pyspark.ml.regression import GBTRegressor
+def _with_origins(rows: DataFrame, keys: list[str], label: str, first_day: int, every: int, known_before: int) -> DataFrame:
+    """Every row once per origin that it is asked at (_asks) or learned for: origins are first_day, first_day + every, ... up to the last day.
 
-    return GBTRegressor(featuresCol="features", labelCol="power", maxDepth=depth, maxIter=rounds, stepSize=0.05, subsamplingRate=0.85, minInstancesPerNode=5, seed=seed)
+    A row is learned for origins more than `known_before` days after it.
+    """
+    rows = rows.withColumn("_last", F.max("day_no").over(Window.partitionBy(*keys)))
+    no = lambda day: f"{first_day} + {every} * ({day} div {every})"
+    asks = rows.where(F.col("day_no") >= first_day).withColumns({"_origin": F.expr(no(f"(day_no - {first_day})")), "_asks": F.lit(True)})
+    start = f"greatest({first_day}, {no(f'(day_no + {known_before} - {first_day} + {every})')})"
+    learn = rows.where(F.col(label).isNotNull()).withColumn("_start", F.expr(start)).where("_start <= _last")
+    learn = learn.withColumns({"_origin": F.explode(F.expr(f"sequence(_start, _last, {every})")), "_asks": F.lit(False)}).drop("_start")
+    return asks.unionByName(learn).drop("_last").withColumn("_origin", F.col("_origin").cast("int"))
 
 
-def backtest(rows: DataFrame, columns: list[str], label: str, first_day: int, last_day: int, every: int, estimator: Callable, known_before: int = 0) -> DataFrame:
-    """Predictions for days first_day..last_day from models refitted every `every` days on the days before the origin.
+def backtest(rows: DataFrame, keys: list[str], columns: list[str], label: str, first_day: int, every: int = 1, known_before: int = 0, **trees) -> DataFrame:
+    """(keys, day_no, slot if there, pred) from boosted trees refitted every `every` days on the days before the origin.
 
-    Features do not depend on the origin, so they are computed once; the driver only goes through the origins.
+    A group is a series at an origin, with its history; groups are independent, so series and origins run
+    side by side. Rows with a null feature take no part.
     """
-    from pyspark.ml.feature import VectorAssembler
+    given = ["day_no", *[c for c in ("slot",) if c in rows.columns]]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *given]) + ", pred double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(given, kind="stable")
+        asks, learn = pdf[pdf["_asks"]], pdf[~pdf["_asks"]]
+        out = asks[[*keys, *given]].copy()
+        if not len(learn) or not len(out):
+            return out.iloc[:0].assign(pred=0.0)
+        model = Boosted(**trees).fit(learn[columns].to_numpy(float), learn[label].to_numpy(float))
+        return out.assign(pred=np.maximum(0.0, model.predict(asks[columns].to_numpy(float))))
+
+    ready = rows.dropna(subset=columns).select(*keys, *given, *columns, label)
+    return _with_origins(ready, keys, label, first_day, every, known_before).groupBy(*keys, "_origin").applyInPandas(run, schema)
+
+
+def importances(rows: DataFrame, keys: list[str], columns: list[str], label: str, first_day: int, every: int = 1, known_before: int = 0, **trees) -> DataFrame:
+    """(keys, origin, feature, weight): of the models of backtest(), each feature's share of what the splits gain."""
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day_no", kind="stable")
+        learn = pdf[~pdf["_asks"]]
+        if not len(learn) or len(learn) == len(pdf):
+            return pd.DataFrame({k: [] for k in [*keys, "origin", "feature", "weight"]})
+        model = Boosted(**trees).fit(learn[columns].to_numpy(float), learn[label].to_numpy(float))
+        return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"origin": pdf["_origin"].iloc[0], "feature": columns, "weight": model.importance})
 
-    ready = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(rows.withColumn("power", F.col(label)))
-    out = None
-    for origin in range(first_day, last_day + 1, every):
-        train = ready.where((F.col("day_no") < origin - known_before) & F.col("power").isNotNull())
-        ask = ready.where(F.col("day_no").between(origin, min(origin + every - 1, last_day)))
-        found = estimator().fit(train).transform(ask).withColumn("pred", not_negative(F.col("prediction"))).drop("features", "prediction")
-        out = found if out is None else out.unionByName(found)
-    return out
+    ready = rows.dropna(subset=columns).select(*keys, "day_no", *columns, label)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", origin int, feature string, weight double"
+    return _with_origins(ready, keys, label, first_day, every, known_before).groupBy(*keys, "_origin").applyInPandas(run, schema)
 
 
 TREE_COLUMNS = ["lag1", "lag2", "lag7", "lag14", "mean7", "std7", "mean14", "std14", "median7", "slot_share", "slot_sin", "slot_cos", "weekday_share", "weekend", "week_sin", "week_cos", "year_sin", "year_cos"]
+TOTAL_COLUMNS = ["lag1", "lag2", "lag3", "lag7", "lag14", "mean7", "std7", "mean14", "std14", "trend", "year_sin", "year_cos", "week_sin", "week_cos"]
 
 
-def tree_backtest(rows: DataFrame, keys: list[str], first_day: int, last_day: int, every: int = 7, estimator: Callable = boosted_trees) -> DataFrame:
-    return backtest(tree_features(rows, keys).where("day_no >= 14"), TREE_COLUMNS, "power", first_day, last_day, every, estimator)
+def tree_backtest(rows: DataFrame, keys: list[str], first_day: int, every: int = 1, **trees) -> DataFrame:
+    """rows with pred: boosted trees on the 18 inputs of each slot, for every day from first_day on."""
+    found = backtest(tree_features(rows, keys).where("day_no >= 14"), keys, TREE_COLUMNS, "power", first_day, every, **({"rounds": 120, "depth": 5} | trees))
+    return rows.join(found, [*keys, "day_no", "slot"])
 
 
-def energy_profile(rows: DataFrame, keys: list[str], first_day: int, last_day: int, every: int = 7) -> DataFrame:
+def energy_profile(rows: DataFrame, keys: list[str], first_day: int, every: int = 1, **trees) -> DataFrame:
     """Boosted trees on daily totals, spread over the weighted profile."""
     totals = rows.groupBy(*keys, "day", "day_no").agg(F.sum("power").alias("total"))
-    columns = ["lag1", "lag2", "lag3", "lag7", "lag14", "mean7", "std7", "mean14", "std14", "trend"]
     ready = daily_total_features(totals, keys).where("day_no >= 14")
-    days = backtest(ready, columns, "total", first_day, last_day, every, lambda: boosted_trees(3, 10)).select(*keys, "day_no", F.col("pred").alias("day_total"))
+    days = backtest(ready, keys, TOTAL_COLUMNS, "total", first_day, every, **({"rounds": 100, "depth": 3, "least": 1} | trees)).withColumnRenamed("pred", "day_total")
     return weighted_profile(rows, keys).join(days, [*keys, "day_no"]).withColumn("pred", F.col("profile") * F.col("day_total"))
 
 
+def boundary_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The 21 boundary features of each day from 14 on with `next`, the next day's first endpoint (null on the last day)."""
+    by_day = Window.partitionBy(*keys).orderBy("day_no")
+    label = rows.where("slot = 1").select(*keys, "day_no", F.lead("power").over(by_day).alias("next"))
+    return boundary_features(rows, keys).join(label, [*keys, "day_no"]).where("day_no >= 14")
+
+
+#: Trees of the boundary study: shallow, since there is one row per day.
+BOUNDARY_TREES = {"rounds": 120, "depth": 2, "least": 3, "sample": 0.9, "ridge": 8.0}
+
+
+def boundary_trees(rows: DataFrame, keys: list[str], first_day: int, every: int = 1) -> DataFrame:
+    """(keys, day_no, pred): the next day's first endpoint; the last label known at a day's start is that of two days before."""
+    return backtest(boundary_rows(rows, keys), keys, BOUNDARY_COLUMNS, "next", first_day, every, known_before=1, **BOUNDARY_TREES)
+
+
+def boundary_importances(rows: DataFrame, keys: list[str], first_day: int, every: int = 1) -> DataFrame:
+    """(feature, weight): mean over the models of all days."""
+    found = importances(boundary_rows(rows, keys), keys, BOUNDARY_COLUMNS, "next", first_day, every, known_before=1, **BOUNDARY_TREES)
+    return found.groupBy("feature").agg(F.avg("weight").alias("weight"))
+
+
 def seasonal_totals(totals: DataFrame, keys: list[str], first_day: int, every: int = 30) -> DataFrame:
     """One-day-ahead totals by least squares on the last day, the last week and their errors, refitted every `every` days; one series per group."""
     schema = ", ".join(f"{k} string" for k in keys) + ", day_no int, pred double"
@@ -175,5 +236,3 @@ def seasonal_profile(rows: DataFrame, keys: list[str], first_day: int, weekly: b
     found = seasonal_totals(totals, keys, first_day).withColumnRenamed("pred", "day_total")
     return normalized_profile(rows, keys, weekly).join(found, [*keys, "day_no"]).withColumn("pred", F.col("profile") * F.col("day_total"))
 
-
-__all__ = ["SLOTS", "adaptive_forecast", "backtest", "baseline", "clear_sky_forecast", "energy_profile", "seasonal_profile", "tree_backtest"]

@@ -40,3 +40,16 @@ def cross_day_ratio(rows: DataFrame, keys: list[str], window: int = 28) -> DataF
     days = days.withColumn("ratio", F.when(F.col("last") > 1e-8, F.lead("first").over(by_day) / F.col("last")))
     past = by_day.rowsBetween(-window - 1, -2)
     return days.select(*keys, "day_no", F.percentile("ratio", 0.5).over(past).alias("ratio"), F.count("ratio").over(past).alias("samples"))
+
+
+def standardized(rows: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """avg_power of predicted endpoints (pred) in the shifted frame.
+
+    The next day's first endpoint is what boundaries() knows of it at the day's start: for load the
+    week before, for solar output (target pv) the mean of the last 7 days.
+    """
+    w = Window.partitionBy(*keys, "day_no").orderBy("slot")
+    known = bounds.select(*keys, "day_no", F.when(F.col("target") == "pv", F.col("mean7")).otherwise(F.col("weekly")).alias("_next"))
+    rows = rows.join(known, [*keys, "day_no"])
+    right = F.when(F.col("slot") == SLOTS, F.col("_next")).otherwise(F.lead("pred").over(w))
+    return rows.withColumn("avg_power", (F.col("pred") + right) / 2).drop("_next")

@@ -46,3 +46,11 @@ def series_mismatch(a: DataFrame, b: DataFrame) -> DataFrame:
     """Days that only one of two tables has."""
     x, y = (t.select("series_id", "day").distinct() for t in (a, b))
     return x.join(y, ["series_id", "day"], "left_anti").withColumn("only_in", F.lit("first")).unionByName(y.join(x, ["series_id", "day"], "left_anti").withColumn("only_in", F.lit("second")))
+
+
+def against_profile(rows: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean of each slot over all days beside what a daily profile (slot, and a column per target) gives, and the largest difference."""
+    given = profile.selectExpr("slot", "stack(2, 'load', load, 'pv', pv) as (target, given)")
+    means = rows.groupBy(*keys, "slot").agg(F.avg("power").alias("mean")).join(F.broadcast(given), ["target", "slot"])  # 288 rows
+    means = means.withColumn("off", F.col("mean") - F.col("given"))
+    return means.withColumn("most_off", F.max(F.abs("off")).over(Window.partitionBy(*keys))).select(*keys, "slot", "mean", "given", "off", "most_off")

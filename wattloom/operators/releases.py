@@ -84,6 +84,15 @@ def intervals(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.selectExpr(*KEY, "day_no", "release_hour", "step", "power", "stack(3, 'A', a, 'B', b, 'C', c) as (method, pred)")
 
 
+def extra_intervals(issues: DataFrame, truth: DataFrame) -> DataFrame:
+    """(issue, step, pred) of the interval after midnight: the mean of the lead for midnight itself and of the first endpoints of the 7 days before the issue's (of those there are)."""
+    first = truth.where("at % 144 = 1").select("series_id", F.expr("int((at - 1) div 144)").alias("_day"), "power")
+    days = Window.partitionBy("series_id").orderBy("_day").rangeBetween(-7, -1)
+    mean = first.select("series_id", F.col("_day").alias("day_no"), F.avg("power").over(days).alias("_next")).where("_next is not null")
+    rows = issues.join(mean, ["series_id", "day_no"])
+    return rows.selectExpr(*KEY, "day_no", "release_hour", "(24 - release_hour) * 6 + 1 as step", "greatest(0.0D, (leads[23 - release_hour] + _next) / 2) as pred")
+
+
 def daily_errors(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY, "day_no", "release_hour", "method").agg(F.avg(F.abs(F.col("pred") - F.col("power"))).alias("mae"))
 

@@ -1,0 +1,68 @@
+"""Boosted regression trees for one series and origin, on binned features: the model inside the grouped jobs of forecasts.py."""
+
+from __future__ import annotations
+
+import numpy as np
+
+BINS = 64
+
+
+class Boosted:
+    """Squared error, trees grown level by level on at most BINS quantile bins of each feature.
+
+    Every round takes a seeded sample of the rows and, of each node, the split that lowers the error most
+    with at least `least` rows on both sides; leaves are shrunk by `ridge` and `rate`.
+    """
+
+    def __init__(self, rounds: int = 120, depth: int = 5, rate: float = 0.05, least: int = 5, sample: float = 0.85, ridge: float = 1.0, seed: int = 2026):
+        self.rounds, self.depth, self.rate, self.least, self.sample, self.ridge, self.seed = rounds, depth, rate, least, sample, ridge, seed
+
+    def _binned(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], axis=1)
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        self.cuts = [np.unique(np.quantile(x[:, j], np.arange(1, BINS) / BINS)) for j in range(x.shape[1])]
+        self.base, self.trees, self.importance = float(y.mean()), [], np.zeros(x.shape[1])
+        rng, binned = np.random.default_rng(self.seed), self._binned(x)
+        flat = binned + BINS * np.arange(x.shape[1])
+        pred = np.full(len(y), self.base)
+        for _ in range(self.rounds):
+            used = np.flatnonzero(rng.random(len(y)) < self.sample)
+            if not len(used):
+                used = np.arange(len(y))
+            pred += self.rate * self._grow(binned, flat, y - pred, used)
+        if (total := self.importance.sum()) > 0:
+            self.importance /= total
+        return self
+
+    def _grow(self, binned: np.ndarray, flat: np.ndarray, error: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Adds a tree; what it gives for all rows."""
+        features, tree, node = binned.shape[1], [], np.zeros(len(error), np.int64)
+        for level in range(self.depth):
+            nodes, width = 1 << level, features * BINS
+            at = (node[used, None] * width + flat[used]).ravel()
+            n = np.bincount(at, minlength=nodes * width).reshape(nodes, features, BINS).cumsum(axis=2)
+            s = np.bincount(at, weights=np.repeat(error[used], features), minlength=nodes * width).reshape(nodes, features, BINS).cumsum(axis=2)
+            all_n, all_s = n[:, :1, -1:], s[:, :1, -1:]
+            score = s**2 / (n + self.ridge) + (all_s - s) ** 2 / (all_n - n + self.ridge) - all_s**2 / (all_n + self.ridge)
+            score = np.where((n >= self.least) & (all_n - n >= self.least), score, 0.0).reshape(nodes, -1)
+            best = score.argmax(axis=1)
+            gain = score[np.arange(nodes), best]
+            feature, cut = best // BINS, np.where(gain > 1e-12, best % BINS, BINS)  # without a split all rows go left
+            np.add.at(self.importance, feature, np.maximum(gain, 0.0))
+            tree.append((feature, cut))
+            node = 2 * node + (binned[np.arange(len(node)), feature[node]] > cut[node])
+        n, s = (np.bincount(node[used], weights=w, minlength=1 << self.depth) for w in (None, error[used]))
+        leaves = s / (n + self.ridge)
+        self.trees.append((tree, leaves))
+        return leaves[node]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        binned, rows = self._binned(x), np.arange(len(x))
+        out = np.full(len(x), self.base)
+        for tree, leaves in self.trees:
+            node = np.zeros(len(x), np.int64)
+            for feature, cut in tree:
+                node = 2 * node + (binned[rows, feature[node]] > cut[node])
+            out += self.rate * leaves[node]
+        return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..operators import releases as R
 from ..operators import scenarios as S
 from ..sources import adapters as A
 from ..sources import files
-from .registry import BASE, BASIC, BIN, CAND, ISSUES, MIN_HISTORY, PLAN, SERIES, SITE, W, _candidates, _truth, add, basic_sql
+from .registry import BASE, BIN, CAND, EXTRA, ISSUES, MIN_HISTORY, PLAN, SERIES, SITE, STRATEGY, W, _candidates, _truth, add
 
 
 def _base(s: SparkSession, d: str) -> DataFrame:
@@ -28,53 +30,100 @@ add("read_endpoints_ts", lambda s, d: files.unpivot_power(files.pivot_power(A.en
     "SELECT series_id, strftime(CAST(day AS TIMESTAMP) + INTERVAL 10 MINUTE * slot, '%Y-%m-%d %H:%M') AS \"at\", power FROM ep", BIN, "series_id, at", "power")
 add("read_issues", lambda s, d: files.fill_issues(A.issues(s, d).select("series_id", F.col("issue_at").alias("row_no"), F.when(F.col("release_hour") == 0, F.col("day")).alias("day"), F.concat(F.col("release_hour").cast("string"), F.lit(":00")).alias("release"), "leads")).select("series_id", F.date_format("issue_ts", "yyyy-MM-dd HH:mm").alias("issue"), "day", "release_hour", F.aggregate("leads", F.lit(0.0), lambda a, x: a + x).alias("total")),
     "SELECT series_id, strftime(CAST(day AS TIMESTAMP) + INTERVAL 1 HOUR * release_hour, '%Y-%m-%d %H:%M') AS issue, day, release_hour, sum(pred) AS total FROM iss GROUP BY ALL", ISSUES, "series_id, issue, day, release_hour", "total")
-add("profile_join", lambda s, d: A.site(s, d).withColumn("price", A.price(F.col("slot"))).groupBy(*SITE, "day").agg(F.sum(F.col("price") * F.col("power") / 6).alias("value")),
-    "SELECT target, series_id, day, sum((0.4 + CASE WHEN slot BETWEEN 49 AND 126 THEN 0.3 ELSE 0.0 END + 0.001 * (slot % 7)) * power / 6) AS value FROM site GROUP BY ALL", BIN, "target, series_id, day", "value")
-add("interval_avg_profile", lambda s, d: I.interval_averages(A.site(s, d).groupBy(*SITE, "slot").agg(F.avg("power").alias("power")).withColumn("day_no", F.lit(0)), SITE).select(*SITE, "slot", "avg_power"),
-    "SELECT *, (coalesce(lag(power) OVER w, max(CASE WHEN slot = 144 THEN power END) OVER (PARTITION BY target)) + power) / 2 AS avg_power FROM (SELECT target, series_id, slot, avg(power) AS power FROM site GROUP BY ALL) WINDOW w AS (PARTITION BY target ORDER BY slot)", BIN, "target, series_id, slot", "avg_power")
-add("issue_truth_join", lambda s, d: R.linear(A.issues(s, d), _truth(s, d)).join(_truth(s, d), ["series_id", "at"]).select("series_id", "issue_at", "step", "power"), "SELECT l.series_id, l.issue_at, l.step, t.power FROM lin l JOIN truth t ON t.series_id = l.series_id AND t.at = l.at", ISSUES, "series_id, issue_at, step", "power")
-add("interp_knots", lambda s, d: R.linear_all(A.issues(s, d), _truth(s, d)).select("series_id", "issue_at", "step", "a"), "SELECT * FROM lin24", ISSUES, "series_id, issue_at, step", "a")
-add("intraday_intervals", lambda s, d: R.intervals(_candidates(s, d), _truth(s, d)).select("series_id", "issue_at", "step", "method", "pred"),
-    "SELECT series_id, issue_at, step, 'A' AS method, a AS pred FROM iv WHERE step > 0 UNION ALL SELECT series_id, issue_at, step, 'B', b FROM iv WHERE step > 0 UNION ALL SELECT series_id, issue_at, step, 'C', c FROM iv WHERE step > 0", CAND, "series_id, issue_at, step, method", "pred")
-add("standardized_intervals", lambda s, d: I.shifted_averages(_base(s, d).withColumn("power", F.col("pred")), SITE).where("avg_power is not null").select(*SITE, "day", "slot", "avg_power"),
-    "SELECT * FROM (SELECT *, (pred + lead(pred) OVER (PARTITION BY target, series_id ORDER BY day_no, slot)) / 2 AS avg_power FROM base) WHERE avg_power IS NOT NULL", BASE, "target, series_id, day, slot", "avg_power")
-BOUND = BASE + """,
-b1 AS (SELECT target, series_id, day_no, lead(power) OVER (PARTITION BY target ORDER BY day_no) AS power, lag(power, 6) OVER (PARTITION BY target ORDER BY day_no) AS weekly FROM site WHERE slot = 1),
-rt AS (SELECT *, quantile_cont(q, 0.5) OVER (PARTITION BY target, series_id ORDER BY day_no ROWS BETWEEN 29 PRECEDING AND 2 PRECEDING) AS ratio FROM (SELECT *, CASE WHEN b > 1e-8 THEN lead(a) OVER (PARTITION BY target, series_id ORDER BY day_no) / b END AS q FROM (SELECT target, series_id, day_no, max(CASE WHEN slot = 1 THEN power END) AS a, max(CASE WHEN slot = 144 THEN power END) AS b FROM site GROUP BY ALL))),
-bm AS (SELECT b1.target, b1.series_id, b1.day_no, b1.power, m.method, CASE m.method WHEN 'weekly' THEN b1.weekly ELSE rt.ratio * l.pred END AS pred FROM b1 JOIN rt ON rt.target = b1.target AND rt.day_no = b1.day_no JOIN base l ON l.target = b1.target AND l.day_no = b1.day_no AND l.slot = 144 CROSS JOIN (VALUES ('weekly'), ('ratio')) m(method))"""
+add("profile_join", lambda s, d: A.site(s, d).join(F.broadcast(A.price_profile(s)), "slot").groupBy(*SITE, "day").agg(F.sum(F.col("price") * F.col("power") / 6).alias("value")),
+    "SELECT target, series_id, day, sum(price * power / 6) AS value FROM site JOIN (SELECT CAST(s AS INTEGER) AS slot, 0.4 + CASE WHEN s BETWEEN 49 AND 126 THEN 0.3 ELSE 0.0 END + 0.001 * (s % 7) AS price FROM generate_series(1, 144) t(s)) USING (slot) GROUP BY ALL", BIN, "target, series_id, day", "value")
+
+
+def _daily_profile(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "profile")
+    files.write_daily_profile(A.daily_profile(s, d), path)
+    return files.read_daily_profile(s, path)
+
+
+add("read_daily_profile", _daily_profile, "SELECT slot, 0.4 + CASE WHEN slot BETWEEN 49 AND 126 THEN 0.3 ELSE 0.0 END + 0.001 * (slot % 7) AS price, max(power) FILTER (target = 'load') AS load, max(power) FILTER (target = 'pv') AS pv FROM site WHERE day_no = 0 GROUP BY slot", BIN, "slot", "price, load, pv")
+#: Names of the strategies by their bits.
+STRATEGIES = {0: "none", 1: "h06", 2: "h12", 3: "h06_h12", 4: "h18", 5: "h06_h18", 6: "h12_h18", 7: "all"}
+
+
+def _strategy_files(s: SparkSession, d: str) -> DataFrame:
+    folder = files.scratch(s, "strategies")
+    files.write_strategy_daily(A.strategies(s, d).withColumn("emergency", F.col("cost") / 1000), folder, STRATEGIES)
+    return files.read_strategy_daily(s, folder, {n: m for m, n in STRATEGIES.items()})
 
 
-def _boundary(s: SparkSession, d: str) -> DataFrame:
-    rows = A.site(s, d)
-    return S.boundary_methods(_base(s, d), I.boundaries(rows, SITE), I.cross_day_ratio(rows, SITE), SITE)
+add("read_strategy_daily", _strategy_files, "SELECT CASE mask " + " ".join(f"WHEN {m} THEN '{n}'" for m, n in STRATEGIES.items()) + " END AS strategy, mask, day, cost, cost / 1000 AS emergency FROM daily", STRATEGY, "strategy, mask, day", "cost, emergency")
 
 
-add("boundary_compare", _boundary, "SELECT * FROM bm WHERE power IS NOT NULL AND pred IS NOT NULL", BOUND, "target, series_id, day_no, method", "power, pred")
-add("metrics_boundary", lambda s, d: _boundary(s, d).groupBy("target", "method").agg(*M.basic()), basic_sql("target, method", "bm", "power IS NOT NULL AND pred IS NOT NULL"), BOUND, "target, method, n", BASIC)
+def _prediction_files(s: SparkSession, d: str) -> DataFrame:
+    """Of two models' predictions on disk, those of one and of the days from the tenth to the twentieth."""
+    path = files.scratch(s, "predictions")
+    rows = P.candidates(A.site(s, d), SITE).selectExpr("stack(2, 'yesterday', c0, 'week', c2) as (model, pred)", *SITE, "day", "slot", "power")
+    files.write_predictions(rows, path)
+    first = A.site(s, d).agg(F.min("day").alias("day")).head()["day"]
+    return files.read_predictions(s, path, "week", "load", str(first + timedelta(days=9)), str(first + timedelta(days=19))).select("model", "target", "series_id", "day", "slot", "power", "pred")
 
 
-def _importance(s: SparkSession, d: str) -> DataFrame:
-    """Mean weight of each boundary feature over models of several origins."""
-    from pyspark.ml.feature import VectorAssembler
+add("read_predictions", _prediction_files, f"SELECT 'week' AS model, * FROM (SELECT *, lag(power, 7) OVER ({W}) AS pred FROM site) WHERE target = 'load' AND day_no BETWEEN 9 AND 19", BIN, "model, target, series_id, day, slot", "power, pred")
+
+
+def _long_file(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "long")
+    files.write_long(_base(s, d).select(*SITE, "day", "slot", "power", "pred"), path)
+    return s.read.schema("target string, series_id string, day date, slot int, power double, pred double").csv(path, header=True)
+
+
+def _wide_file(s: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(s, "wide")
+    files.write_wide(A.endpoints(s, d).select("series_id", "day", "slot", "power"), path)
+    return s.read.schema(files.WIDE).csv(path, header=True).toDF("series_id", "day", *[f"s{k}" for k in range(1, 145)])
+
+
+add("write_long", _long_file, "SELECT * FROM base", BASE, "target, series_id, day, slot", "power, pred")
+add("write_wide", _wide_file, "SELECT series_id, day, " + ", ".join(f"max(power) FILTER (slot = {k}) AS s{k}" for k in range(1, 145)) + " FROM ep GROUP BY ALL", BIN, "series_id, day", ", ".join(f"s{k}" for k in range(1, 145)))
+add("interval_avg_profile", lambda s, d: I.interval_averages(A.site(s, d).groupBy(*SITE, "slot").agg(F.avg("power").alias("power")).withColumn("day_no", F.lit(0)), SITE).select(*SITE, "slot", "avg_power"),
+    "SELECT *, (coalesce(lag(power) OVER w, max(CASE WHEN slot = 144 THEN power END) OVER (PARTITION BY target)) + power) / 2 AS avg_power FROM (SELECT target, series_id, slot, avg(power) AS power FROM site GROUP BY ALL) WINDOW w AS (PARTITION BY target ORDER BY slot)", BIN, "target, series_id, slot", "avg_power")
+add("issue_truth_join", lambda s, d: R.linear(A.issues(s, d), _truth(s, d)).join(_truth(s, d), ["series_id", "at"]).select("series_id", "issue_at", "step", "power"), "SELECT l.series_id, l.issue_at, l.step, t.power FROM lin l JOIN truth t ON t.series_id = l.series_id AND t.at = l.at", ISSUES, "series_id, issue_at, step", "power")
+add("interp_knots", lambda s, d: R.linear_all(A.issues(s, d), _truth(s, d)).select("series_id", "issue_at", "step", "a"), "SELECT * FROM lin24", ISSUES, "series_id, issue_at, step", "a")
+add("intraday_intervals", lambda s, d: R.intervals(_candidates(s, d), _truth(s, d)).select("series_id", "issue_at", "step", "method", "pred").unionByName(R.extra_intervals(A.issues(s, d), _truth(s, d)).select("series_id", "issue_at", "step", F.lit("extra").alias("method"), "pred")),
+    f"SELECT series_id, issue_at, step, 'A' AS method, a AS pred FROM iv WHERE step > 0 UNION ALL SELECT series_id, issue_at, step, 'B', b FROM iv WHERE step > 0 UNION ALL SELECT series_id, issue_at, step, 'C', c FROM iv WHERE step > 0 UNION ALL SELECT series_id, issue_at, step, 'extra', pred FROM ({EXTRA})", CAND, "series_id, issue_at, step, method", "pred")
+add("standardized_intervals", lambda s, d: I.standardized(_base(s, d), I.boundaries(A.site(s, d), SITE), SITE).where("avg_power is not null").select(*SITE, "day", "slot", "avg_power"),
+    "SELECT * FROM (SELECT b.*, (b.pred + CASE WHEN b.slot = 144 THEN CASE b.target WHEN 'pv' THEN n.mean7 ELSE n.weekly END ELSE lead(b.pred) OVER (PARTITION BY b.target, b.series_id, b.day_no ORDER BY b.slot) END) / 2 AS avg_power FROM base b JOIN (SELECT target, day_no, lag(power, 6) OVER w AS weekly, avg(power) OVER (PARTITION BY target ORDER BY day_no ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mean7 FROM site WHERE slot = 1 WINDOW w AS (PARTITION BY target ORDER BY day_no)) n ON n.target = b.target AND n.day_no = b.day_no) WHERE avg_power IS NOT NULL", BASE, "target, series_id, day, slot", "avg_power")
+BOUND = BASE + f""",
+b1 AS (SELECT target, series_id, day_no, lead(power) OVER (PARTITION BY target ORDER BY day_no) AS power, lag(power, 6) OVER (PARTITION BY target ORDER BY day_no) AS weekly FROM site WHERE slot = 1 AND target = 'load'),
+rt AS (SELECT *, quantile_cont(q, 0.5) OVER (PARTITION BY target, series_id ORDER BY day_no ROWS BETWEEN 29 PRECEDING AND 2 PRECEDING) AS ratio FROM (SELECT *, CASE WHEN b > 1e-8 THEN lead(a) OVER (PARTITION BY target, series_id ORDER BY day_no) / b END AS q FROM (SELECT target, series_id, day_no, max(CASE WHEN slot = 1 THEN power END) AS a, max(CASE WHEN slot = 144 THEN power END) AS b FROM site GROUP BY ALL))),
+mo AS (SELECT target, series_id, day_no, power, unnest(['day1', 'day2', 'day7', 'mean7']) AS base, unnest([lag(power, 1) OVER w, lag(power, 2) OVER w, lag(power, 7) OVER w, avg(power) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)]) AS pred FROM site WHERE target = 'load' AND slot = 144 WINDOW w AS ({W})),
+bp AS (SELECT o.target, o.series_id, o.day_no, o.base, m.method, o.pred AS last, o.power AS at_end, b1.power AS after, CASE m.method WHEN 'weekly' THEN b1.weekly ELSE rt.ratio * o.pred END AS p FROM mo o JOIN b1 ON b1.day_no = o.day_no JOIN rt ON rt.target = o.target AND rt.day_no = o.day_no CROSS JOIN (VALUES ('weekly'), ('ratio')) m(method) WHERE o.day_no >= {MIN_HISTORY}),
+bm AS (SELECT target, series_id, day_no, base, method, 'endpoint' AS object, p AS pred, after AS power FROM bp UNION ALL SELECT target, series_id, day_no, base, method, 'interval', (last + p) / 2, (at_end + after) / 2 FROM bp)"""
+
 
-    columns = ["lag1", "lag2", "lag7", "b0", "b1", "b2", "b3", "b4", "day_mean", "week_mean", "week_std"]
+def _boundary(s: SparkSession, d: str, trees: bool) -> DataFrame:
+    """Load only: the four lag models as base models, and with trees the boosted ones as well."""
     rows = A.site(s, d).where("target = 'load'")
-    by_day = Window.partitionBy(*SITE).orderBy("day_no")
-    label = rows.where("slot = 1").select(*SITE, "day_no", F.lead("power").over(by_day).alias("power"))
-    ready = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(X.boundary_features(rows, SITE).join(label, [*SITE, "day_no"]).where("power is not null"))
-    out = None
-    for origin in (20, 24, 28):
-        model = P.boosted_trees(3, 10).fit(ready.where(F.col("day_no") <= origin - 2))
-        found = s.createDataFrame([(origin, c, float(x)) for c, x in zip(columns, model.featureImportances.toArray(), strict=True)], "origin int, feature string, weight double")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("feature").agg(F.avg("weight").alias("weight"))
-
-
-add("mean_importance", _importance)
+    base = P.candidates(rows, SITE).where("slot = 144").selectExpr(*SITE, "day_no", "slot", "stack(4, 'day1', c0, 'day2', c1, 'day7', c2, 'mean7', c3) as (base, pred)")
+    if trees:
+        base = base.unionByName(P.tree_backtest(rows, SITE, MIN_HISTORY).select(*SITE, "day_no", "slot", F.lit("trees").alias("base"), "pred"))
+    found = P.boundary_trees(rows, SITE, MIN_HISTORY + 1) if trees else None
+    return S.boundary_methods(base, rows, I.boundaries(rows, SITE), I.cross_day_ratio(rows, SITE), SITE, found).where(F.col("day_no") >= MIN_HISTORY)
+
+
+BM = "SELECT * FROM bm WHERE power IS NOT NULL AND pred IS NOT NULL"
+ERRORS = """SELECT base, method, object, count(*) AS n, avg(abs(pred - power)) AS mae, sqrt(avg((pred - power) * (pred - power))) AS rmse, 100 * sum(abs(pred - power)) / nullif(sum(abs(power)), 0) AS wape, avg(pred - power) AS bias, round(100 * avg(abs(pred - power) / greatest(abs(power), 1e-8)), 1) AS mape,
+  1 - sum((pred - power) * (pred - power)) / nullif(sum(power * power) - sum(power) * sum(power) / count(power), 0) AS r2 FROM bm WHERE power IS NOT NULL AND pred IS NOT NULL GROUP BY ALL"""
+OF = ["base", "method", "object"]
+add("model_x_boundary", lambda s, d: _boundary(s, d, False), BM, BOUND, "target, series_id, day_no, base, method, object", "power, pred")
+# A relative error against a true 0 is huge, so that column is rounded to tenths before the common rounding.
+add("metrics_boundary", lambda s, d: M.boundary(OF, _boundary(s, d, False)).withColumn("mape", F.round("mape", 1)), ERRORS, BOUND, "base, method, object, n", "mae, rmse, wape, bias, mape, r2")
+# With boosted trees among the base models and the ways: no SQL.
+add("boundary_compare", lambda s, d: _boundary(s, d, True))
+add("metrics_boundary_trees", lambda s, d: M.boundary(OF, _boundary(s, d, True)))
+add("mean_importance", lambda s, d: P.boundary_importances(A.site(s, d).where("target = 'load'"), SITE, MIN_HISTORY + 1))
 add("paired_residual_scenarios", lambda s, d: S.residual_scenarios(_base(s, d), SITE).where(F.col("day_no") >= MIN_HISTORY).select(*SITE, "day", "slot", "scenario", "value"),
     f"SELECT b.target, b.series_id, b.day, b.slot, CAST(g.k AS INTEGER) AS scenario, greatest(0, b.pred + p.power - p.pred) AS value FROM base b CROSS JOIN generate_series(1, 8) g(k) JOIN base p ON p.target = b.target AND p.slot = b.slot AND p.day_no = b.day_no - g.k WHERE b.pred IS NOT NULL AND p.pred IS NOT NULL AND b.day_no >= {MIN_HISTORY}", BASE, "target, series_id, day, slot, scenario", "value")
-add("log_ratio_price_scenarios", lambda s, d: S.ratio_scenarios(_base(s, d).where("target = 'load'"), SITE).where(F.col("day_no") >= MIN_HISTORY).select(*SITE, "day", "slot", "scenario", "value"),
-    f"SELECT b.target, b.series_id, b.day, b.slot, CAST(g.k AS INTEGER) AS scenario, b.pred * exp(ln(p.power / p.pred)) AS value FROM base b CROSS JOIN generate_series(1, 8) g(k) JOIN base p ON p.target = b.target AND p.slot = b.slot AND p.day_no = b.day_no - g.k AND p.pred > 0 AND p.power > 0 WHERE b.target = 'load' AND b.pred > 0 AND b.day_no >= {MIN_HISTORY}", BASE, "target, series_id, day, slot, scenario", "value")
+PRICE = BIN + f""",
+price AS (SELECT 'price' AS target, series_id, day, day_no, slot, (0.4 + CASE WHEN slot BETWEEN 49 AND 126 THEN 0.3 ELSE 0.0 END + 0.001 * (slot % 7)) * (1 + power / 1000) AS power FROM site WHERE target = 'load'),
+base AS (SELECT *, lag(power, 7) OVER ({W}) AS pred FROM price)"""
+add("log_ratio_price_scenarios", lambda s, d: S.ratio_scenarios(P.baseline(A.prices(s, d), SITE), SITE).where(F.col("day_no") >= MIN_HISTORY).select(*SITE, "day", "slot", "scenario", "value"),
+    f"SELECT b.target, b.series_id, b.day, b.slot, CAST(g.k AS INTEGER) AS scenario, b.pred * exp(ln(p.power / p.pred)) AS value FROM base b CROSS JOIN generate_series(1, 8) g(k) JOIN base p ON p.slot = b.slot AND p.day_no = b.day_no - g.k AND p.pred > 0 AND p.power > 0 WHERE b.pred > 0 AND b.day_no >= {MIN_HISTORY}", PRICE, "target, series_id, day, slot, scenario", "value")
 add("netload_quantile_margin", lambda s, d: S.quantile_margin(_base(s, d), SITE).where(F.col("day_no") >= MIN_HISTORY).select(*SITE, "day", "slot", "margin", "covered"),
     f"SELECT *, pred + margin AS covered FROM (SELECT *, quantile_cont(power - pred, 0.9) OVER ({W} RANGE BETWEEN 28 PRECEDING AND 1 PRECEDING) AS margin FROM base) WHERE day_no >= {MIN_HISTORY}", BASE, "target, series_id, day, slot", "margin, covered")
 ORDERED = PLAN + ", ord AS (SELECT *, coalesce(lag(greatest(load - pv, 0)) OVER (PARTITION BY series_id, slot ORDER BY day_no), 0) AS ordered, coalesce(avg(greatest(load - pv, 0)) OVER (PARTITION BY series_id, slot ORDER BY day_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS adjusted, greatest(load - pv, 0) AS used FROM plan)"
@@ -87,7 +136,7 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 
 
 add("adjusted_order_settlement", lambda s, d: E.settlement(_orders(s, d), SERIES), "SELECT series_id, day_no, sum(price * ordered + 1.5 * price * greatest(adjusted - ordered, 0) - 0.5 * price * greatest(ordered - adjusted, 0) + 5 * price * greatest(used - adjusted, 0)) AS cash, sum(greatest(used - adjusted, 0)) AS emergency FROM ord GROUP BY ALL", ORDERED, "series_id, day_no", "cash, emergency")
-add("check_roundtrip", lambda s, d: Q.check_roundtrip(files.unpivot_power(files.pivot_power(A.endpoints(s, d))), A.endpoints(s, d), ["series_id", "day", "slot"], "power"), "SELECT count(*) AS n, CAST(0 AS BIGINT) AS missing, 0.0 AS off FROM ep", BIN, "n, missing", "off")
+add("check_roundtrip", lambda s, d: Q.check_roundtrip(files.unpivot_power(files.pivot_power(A.endpoints(s, d))), A.endpoints(s, d), ["series_id", "day", "slot"], "power"), "SELECT count(*) AS n, count(*) FILTER (power IS NULL) AS missing, max(abs(power - power)) AS off FROM ep", BIN, "n, missing", "off")
 add("many_series_baseline", lambda s, d: M.by_group(P.baseline(A.user_endpoints(s, d).withColumn("target", F.lit("load")), SITE), ["series_id"]).select("series_id", "n", "mae", "rmse", "bias"))
 add("period_dim", lambda s, d: A.endpoints(s, d).groupBy("slot").agg(F.sum(F.col("power").cast("decimal(18,2)")).cast("double").alias("power")).withColumns({"from_minute": (F.col("slot") - 1) * 10, "to_minute": F.col("slot") * 10, "hours": F.lit(1 / 6)}),
     "SELECT slot, sum(CAST(power AS DECIMAL(18,2))) AS power, (slot - 1) * 10 AS from_minute, slot * 10 AS to_minute, 1 / 6.0 AS hours FROM ep GROUP BY slot", BIN, "slot, from_minute, to_minute", "power, hours")

@@ -28,12 +28,21 @@ def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense(rows: DataFrame, keys: list[str], value: str = "power") -> DataFrame:
-    """(keys, day, day_no, slot, value) with every slot of every day between the first and the last of all; rows has at most one row of each."""
-    days = rows.agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    days = days.where("first is not null").select("first", F.explode(F.sequence("first", "last")).alias("day")).select("day", F.datediff("day", "first").alias("day_no"))
-    slots = days.select("day", "day_no", F.explode(F.sequence(F.lit(1), F.lit(SLOTS))).alias("slot"))
-    spine = rows.select(*keys).distinct().join(F.broadcast(slots))  # a calendar: its size is the number of days
-    return spine.join(rows, [*keys, "day", "slot"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    """(keys, day, day_no, slot, value) with every slot of every day between the first and the last of all; rows has at most one row of each.
+
+    A series' own rows are gathered as a map first, and every slot is unfolded from it: one shuffle by series,
+    no calendar to join. A series has at most as many rows as there are slots.
+    """
+    span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).head()  # one row
+    if span["first"] is None:
+        return rows.select(*keys, "day", F.lit(0).alias("day_no"), "slot", value)
+    first = F.lit(span["first"])
+    at = F.datediff("day", first) * SLOTS + F.col("slot")
+    series = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col(value)))).alias("_held"))
+    days = (span["last"] - span["first"]).days + 1
+    out = series.select(*keys, "_held", F.explode(F.sequence(F.lit(1), F.lit(days * SLOTS))).alias("_at"))
+    day_no = ((F.col("_at") - 1) / SLOTS).cast("int")
+    return out.select(*keys, F.date_add(first, day_no).alias("day"), day_no.alias("day_no"), ((F.col("_at") - 1) % SLOTS + 1).alias("slot"), F.coalesce(F.try_element_at("_held", "_at"), F.lit(0.0)).alias(value))
 
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +84,24 @@ def price(slot: Column) -> Column:
     return F.lit(0.4) + F.when(slot.between(49, 126), 0.3).otherwise(0.0) + 0.001 * (slot % 7)
 
 
+def price_profile(spark: SparkSession) -> DataFrame:
+    """(slot, price) of a day: 144 rows."""
+    slots = spark.range(1, SLOTS + 1).select(F.col("id").cast("int").alias("slot"))
+    return slots.withColumn("price", price(F.col("slot")))
+
+
+def daily_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(slot, price, load, pv) of the site's first day: the profile that a day is planned with where nothing else is known."""
+    rows = site(spark, sf_dir).where("day_no = 0").groupBy("slot").agg(*[F.max(F.when(F.col("target") == t, F.col("power"))).alias(t) for t in ("load", "pv")])
+    return rows.join(F.broadcast(price_profile(spark)), "slot").select("slot", "price", "load", "pv")
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, series_id, day, day_no, slot, power): a price series per slot, the profile raised by a thousandth per kW of load."""
+    load = site(spark, sf_dir).where("target = 'load'").join(F.broadcast(price_profile(spark)), "slot")
+    return load.select(F.lit("price").alias("target"), "series_id", "day", "day_no", "slot", (F.col("price") * (1 + F.col("power") / 1000)).alias("power"))
+
+
 def planning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, day, day_no, slot, price, load, pv) with load and pv in kWh of the slot."""
     wide = site(spark, sf_dir).groupBy("series_id", "day", "day_no", "slot").pivot("target", ["load", "pv"]).agg(F.first("power"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import SLOTS, STEP, minute_of_label
+from ..functions.columns import SLOTS, STEP, label_of_minute, minute_of_label
 
 LABELS = [f"{k * STEP // 60:02d}:{k * STEP % 60:02d}" for k in range(1, SLOTS + 1)]
 WIDE = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("day", T.DateType())] + [T.StructField(x, T.DoubleType()) for x in LABELS])
 STRATEGY = "window_date date, cash_cost_yuan double, emergency_kwh double"
+PROFILE = "time string, price double, load double, pv double"
 
 
 def unpivot_power(wide: DataFrame, keys: tuple = ("series_id", "day")) -> DataFrame:
@@ -38,10 +41,12 @@ def fill_issues(rows: DataFrame) -> DataFrame:
 
 
 def read_strategy_daily(spark: SparkSession, folder: str, masks: dict[str, int]) -> DataFrame:
-    """(strategy, mask, day, cost, emergency) from one CSV file per strategy, named after it."""
-    rows = spark.read.schema(STRATEGY).csv(f"{folder}/*.csv", header=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
+    """(strategy, mask, day, cost, emergency) from a CSV file per strategy, named after it, or a folder strategy=name of such files."""
+    rows = spark.read.schema(STRATEGY).option("recursiveFileLookup", "true").csv(folder, header=True)
+    path = F.col("_metadata.file_path")
+    name = F.when(path.contains("strategy="), F.regexp_extract(path, r"strategy=([^/]+)/", 1)).otherwise(F.regexp_extract(path, r"([^/]+)\.csv$", 1))
     mask = F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])
+    rows = rows.where(mask[name].isNotNull())  # files of other names are no strategies
     return rows.select(name.alias("strategy"), mask[name].alias("mask"), F.col("window_date").alias("day"), F.col("cash_cost_yuan").alias("cost"), F.col("emergency_kwh").alias("emergency"))
 
 
@@ -53,3 +58,44 @@ def write_predictions(rows: DataFrame, path: str) -> None:
 def read_predictions(spark: SparkSession, path: str, model: str, target: str, first: str, last: str) -> DataFrame:
     rows = spark.read.parquet(path).where((F.col("model") == model) & (F.col("target") == target))
     return rows.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
+def write_daily_profile(rows: DataFrame, path: str) -> None:
+    """(slot, price, load, pv) under the labels of the slots."""
+    rows.select(label_of_minute(F.col("slot") * STEP).alias("time"), "price", "load", "pv").coalesce(1).write.csv(path, header=True)
+
+
+def read_daily_profile(spark: SparkSession, path: str) -> DataFrame:
+    """(slot, price, load, pv) from a CSV file with a row per endpoint."""
+    rows = spark.read.schema(PROFILE).csv(path, header=True)
+    return rows.select((minute_of_label(F.col("time")) / STEP).cast("int").alias("slot"), "price", "load", "pv")
+
+
+def write_strategy_daily(rows: DataFrame, folder: str, names: dict[int, str]) -> None:
+    """A CSV file per strategy from (mask, day, cost, emergency)."""
+    for mask, name in names.items():
+        out = rows.where(F.col("mask") == mask).select(F.col("day").alias("window_date"), F.col("cost").alias("cash_cost_yuan"), F.col("emergency").alias("emergency_kwh"))
+        out.coalesce(1).write.csv(f"{folder}/strategy={name}", header=True)
+
+
+def write_long(rows: DataFrame, path: str) -> None:
+    """A long table as CSV with a header, a file per task."""
+    rows.write.csv(path, header=True)
+
+
+def write_wide(rows: DataFrame, path: str) -> None:
+    """One column per endpoint, as read_power_wide() reads it."""
+    pivot_power(rows).write.csv(path, header=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows, computed once: written as Parquet into a shared folder and read from there."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
