@@ -32,11 +32,49 @@ def test_suffix_tree_counts_and_probabilities(docs, rows):
     n, v = sum(c.values()), len(c)
     want = sorted(((i if i is not None else -1, out(i), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)) for i, t in tokens))
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
     trained = [r for r in got if not r.held_out]
     assert sum(r.score for r in trained) > sum(r.base_score for r in trained)
 
 
+def brute_scores(texts, depth, least, divergence, discount=0.75):
+    """log10 probabilities by a tree that is kept in a dictionary, word by word; texts: (doc_id, words)."""
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    after = {}
+    for i, t in texts:
+        for k in range(len(t) if not out(i) else 0):
+            for n in range(min(k, depth) + 1):
+                after.setdefault(tuple(t[k - n : k]), Counter())[t[k]] += 1
+    root = after.get((), Counter())
+    total = sum(root.values())
+    stays = {}
+
+    def chance(word, context):
+        if not context:
+            return (root[word] + 1) / (total + len(root) + 1)
+        p = chance(word, context[1:])
+        c = after.get(context, Counter())
+        n = sum(c.values())
+        if context not in stays:
+            logs = sum(m * round(math.log(chance(w, context[1:])) * 4096) / 4096 for w, m in c.items())
+            stays[context] = n >= least and (sum(m * math.log(m) for m in c.values()) - logs) / n - math.log(n) >= divergence
+        return max(c[word] - discount, 0) / n + discount * len(c) / n * p if stays[context] else p
+
+    return sorted((i if i is not None else -1, round(sum(math.log10(chance(t[k], tuple(t[max(0, k - depth) : k]))) for k in range(len(t))), 6)) for i, t in texts), sum(stays.values())
+
+
+@pytest.mark.parametrize("depth,least,divergence", [(1, 1, 0.0), (2, 2, 0.05), (3, 3, 0.4)])
+def test_suffix_tree_scores(spark, docs, rows, monkeypatch, depth, least, divergence):
+    rng = random.Random(depth)
+    more = [(1000 + i, " ".join(rng.choice(["the", "a", "of", *"bcdefgh"]) for _ in range(rng.randrange(60))), "en", "s", 1) for i in range(120)]
+    frame = docs.unionByName(spark.createDataFrame(more, DOCS))
+    want, kept = brute_scores([(r[0], WORD.findall((r[1] or "").translate(ASCII)) + ["\n"]) for r in rows + more], depth, least, divergence)
+    assert kept > 50
+    for hot in (suffix_tree.HOT, 0.02):  # the second: frequent contexts are dealt to several buckets
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
+        got = suffix_tree.score(frame, depth=depth, least=least, divergence=divergence, chunk=5000)
+        assert sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 6)) for r in got.collect()) == want
+
+
 def test_suffix_tree_does_not_depend_on_chunks(docs, none):
     a = sorted((r.doc_id or -1, round(r.score, 6)) for r in suffix_tree.score(docs, chunk=1000).collect())
     assert a == sorted((r.doc_id or -1, round(r.score, 6)) for r in suffix_tree.score(docs.coalesce(1), chunk=10**7).collect())
@@ -50,7 +88,7 @@ def test_suffix_tree_prefers_what_it_has_seen(spark):
     ask = [i for i in range(100000, 100400) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
     texts = ["a a", "a b", "a c", "a", "a zzz"]
     frame = spark.createDataFrame(base + list(zip(ask, texts, strict=True)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in suffix_tree.score(frame, least=0.01, divergence=0.0).collect()}
+    got = {r.doc_id: r.score for r in suffix_tree.score(frame, least=1, divergence=0.0).collect()}
     one = {t: 10 ** got[i] for i, t in zip(ask, texts, strict=True)}
     first = one["a"]  # 'a', then the end; the others: 'a', a word, then the end
     assert first > 0 and one["a b"] > one["a zzz"]
@@ -86,16 +124,18 @@ def test_pack_is_tight(seed):
     assert where.max() + 1 <= 1.03 * bound + 1
 
 
-def test_tokens_are_exact():
+def test_tokens_are_exact(monkeypatch):
     from tokenizers import Tokenizer
 
     rng = random.Random(2)
-    texts = ["", " ", "a  b", "a\n\nb", " lead", "tail \n", "Hello, world. It's 12,5 o'clock.", "x*, y", "é́ ö", "Σας ΟΔΟΣ", "<|endoftext|> in", "a b", "tab\tbed", "end.", "a_. b", "\0x", "1. 2, 3."]
+    texts = ["", " ", "a  b", "a\n\nb", " lead", "tail \n", "Hello, world. It's 12,5 o'clock.", "x*, y", "é́ ö", "Σας ΟΔΟΣ", "<|endoftext|> in", "a b", "tab\tbed", "end.", "a_. b", "\0x", "1. 2, 3.", "x" * 300 + " y", "a\u3000b c", "a\u2028b", "é\x85b", "a\x1cb c"]
     texts += ["".join(rng.choice("abcé .,\n'1*#_") for _ in range(80)) for _ in range(300)] + [words(rng, 50) + ", " + words(rng, 9) + ".\n" + words(rng, 3) for _ in range(50)]
     for name, keeps in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
         t = Tokenizer.from_file(public_tokenizers.path(name))
         want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
-        assert [x.tolist() for x in tokenizing.encoder(public_tokenizers.path(name), keeps)(texts)] == want
+        for group in (1 << 21, 200):  # in groups of any size
+            monkeypatch.setattr(tokenizing, "GROUP", group)
+            assert [x.tolist() for x in tokenizing.encoder(public_tokenizers.path(name), keeps)(texts)] == want
 
 
 # --- 3 line dedup
@@ -110,19 +150,28 @@ def near(a, b):
     return a[k + 1 :] == (b[k + 1 :] if len(a) == len(b) else b[k:])
 
 
-def brute_lines(rows, least=20):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_lines(rows, near=near):
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
     places = {}
     for doc, text in rows:
         for k, line in enumerate((text or "").split("\n") if text is not None else []):
-            if len(norm(line)) >= least:
+            if norm(line):
                 places.setdefault(norm(line), []).append((doc, k))
     firsts = {x: min(p) for x, p in places.items()}
     keep = {firsts[x] for x in firsts if not any(firsts[y] < firsts[x] and near(x, y) for y in firsts if y != x)}
     out = []
     for doc, text in rows:
         lines = [] if text is None else text.split("\n")
-        left = [x for k, x in enumerate(lines) if len(norm(x)) < least or (doc, k) in keep]
+        left = [x for k, x in enumerate(lines) if not norm(x) or (doc, k) in keep]
         out.append((doc, None if text is None else "\n".join(left), len(lines), len(lines) - len(left)))
     return sorted(out, key=repr)
 
@@ -147,6 +196,18 @@ def test_line_dedup(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_takes_short_lines_and_other_bounds(spark, monkeypatch):
+    """Lines of one to a few characters take part like any other, and the bound is a parameter."""
+    rng = random.Random(6)
+    rows = [(i, "\n".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 7, 9, 12, 13]))) for _ in range(4))) for i in range(40)]
+    rows += [(100 + i, x[1].replace("a", "hb")) for i, x in enumerate(rows[:20])] + [(200, "same 15 letters\n\n \t"), (201, "same 15 letters"), (202, "Same 15  letters\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    for bound, apart in ((1, near), (2, lambda a, b: edits(a, b) <= 2), (3, lambda a, b: edits(a, b) <= 3)):
+        got = line_dedup.dedup_lines(frame, bound=bound).collect()
+        assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=repr) == brute_lines(rows, apart), bound
+
+
 def test_line_dedup_odd_rows(docs, rows):
     got = line_dedup.dedup_lines(docs)
     assert got.count() == len(rows)
@@ -350,10 +411,31 @@ def test_token_files(spark, docs, distinct_rows, none, tmp_path):
         want.append((r[0], at, len(ids), ids.tobytes()))
         at += len(ids)
     assert got == want
-    assert token_files.round_trip(docs, path).count() == docs.count()
     assert token_files.round_trip(none, path).count() == 0
 
 
+def test_token_files_are_cut_by_bytes_and_read_by_document(spark, docs, rows, tmp_path, monkeypatch):
+    """Point reads through the index, with null and repeated ids in shards of a few hundred bytes."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_files, "RANGE", 5000)
+    token_files.write_token_files(docs, str(tmp_path / "t"), path, samples=40, dictionary_size=2048, shard_bytes=600)
+    shards = spark.read.parquet(str(tmp_path / "t/shards"))
+    assert shards.count() > 12 and shards.where("docs > 1 and length(image) > 3000").count() == 0
+    t = Tokenizer.from_file(path)
+    want = sorted(((r[0], np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in rows), key=repr)
+    whole = token_files.read_token_files(spark, str(tmp_path / "t")).collect()
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in whole), key=repr) == want
+    at = 0
+    for r in sorted(whole, key=lambda r: r.start):
+        assert r.start == at and len(r.ids) == 4 * r.n_tokens
+        at += r.n_tokens
+    some = [7, 9, 62, 64, 66, 12345]
+    got = token_files.read_documents(spark, str(tmp_path / "t"), some).collect()
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in got), key=repr) == [x for x in want if x[0] in some]
+
+
 # --- 9 toxicity
 def test_toxicity(spark, none):
     rng = random.Random(7)

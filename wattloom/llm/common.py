@@ -56,3 +56,26 @@ def word_count(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
+
+
+def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: int = 1000) -> DataFrame:
+    """big (a written table) joined to small, which has one row per key, so that no task gets all rows of a frequent key.
+
+    Frequent keys have at least `hot` and at least a thousandth of all rows of big, so there are at most
+    1000 of them: their rows of small are broadcast, and the rows of big stay where they are.
+    """
+    counts = big.where(F.col(key).isNotNull()).groupBy(key).count()
+    often = [r[0] for r in counts.where(F.col("count") >= max(hot, big.count() / 1000)).select(key).collect()]
+    if not often:
+        return big.join(small, key, how)
+    some = F.coalesce(F.col(key).isin(often), F.lit(False))
+    return big.where(~some).join(small.where(~some), key, how).unionByName(big.where(some).join(F.broadcast(small.where(some)), key, how))
+
+
+def sampled(rows: DataFrame, size: int, seen: Column) -> DataFrame:
+    """About `size` different rows, those whose hash `seen` (a long) is low enough; of rows with the same hash one. No row leaves its task but the chosen ones."""
+    n = rows.count()
+    if n <= size:
+        return rows
+    limit = -(2**63) + 2**64 * size // n
+    return rows.withColumn("_seen", seen).where(F.col("_seen") < limit).dropDuplicates(["_seen"]).drop("_seen")

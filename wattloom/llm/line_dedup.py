@@ -2,20 +2,20 @@
 
 Lines are compared trimmed, lower-cased and with runs of white space as one space. A line is
 removed if an earlier line of the corpus (by doc_id, then place in the text) is the same or within
-one edit (insertion, deletion or substitution of a character). Lines under `min_chars` characters,
-blank ones among them, are neither removed nor compared: one edit is most of such a line.
+`bound` edits (insertion, deletion or substitution of a character). Blank lines stay and are not
+compared; all others are, whatever their length.
 
 1. Exact copies: every distinct line is represented by its earliest place. Lines are known by two
    64-bit hashes, so no text is shuffled here, and copies are merged before the shuffle.
-2. Which lines can have a neighbour at all: of two lines within one edit, the shorter having n
-   characters, either the first n div 2 or the last n - n div 2 are the same. Lines that share such
-   a half with another distinct line go on.
-3. Deletion neighbourhood: each of those emits itself and all its variants with one character left
-   out, as hashed keys. A key is made per window of `window` characters, of all before the window,
-   the variant of the window and all behind it; so long lines cost little more than short ones.
-   Two lines that differ by a substitution share a variant with the same place left out; a line
-   and another with one more character share the former itself. So per key and place it is enough
-   to know the earliest line, and no pairs are made within a key.
+2. Which lines can have a neighbour at all: cut the shorter of two lines within `bound` edits into
+   bound + 1 pieces, and one of them stands in the other, moved by at most `bound` characters (by pieces
+   that end a line, for a bound of 1, by none). Lines that share such a piece with another distinct line go on.
+3. Deletion neighbourhood: each of those emits itself and all its variants with up to `bound` characters
+   left out, as hashed keys. Lines with equal variants and equal places left out are all as near as their
+   earliest is, so that one stands for them and no pairs are made within such a group.
+   For a bound of 1, a key is made per window of `window` characters, of all before the window, the
+   variant of the window and all behind it; so long lines cost little more than short ones. For more,
+   variants of whole lines are made; their number grows as the length to the power of the bound.
 4. Those pairs (a line and an earlier one) are verified with levenshtein(), and the lines that
    remain are kept where they came first.
 
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import NO_ID, write_table
 
 GAPS = r"[\x20\x09-\x0D]+"
-#: So many lines (48 bytes each) that share a half with another may be broadcast; more are joined by a shuffle.
+#: So many lines (48 bytes each) that share a piece with another may be broadcast; more are joined by a shuffle.
 SMALL = 200_000
+#: A piece that a thousandth of all lines and at least so many have is looked up by broadcast (there are at most 1000 times the pieces of a line).
+HOT = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -53,20 +55,30 @@ def _place(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_hash"), "text")
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
+def _occurrences(docs: DataFrame) -> DataFrame:
     """One row per line that takes part: id1, id2 (its hashes), at (its place), line."""
-    rows = _place(docs).select("_id", "_hash", F.posexplode(F.transform(_lines(F.col("text")), _normal)).alias("_no", "line"))
-    rows = rows.where(F.length("line") >= min_chars)
-    return rows.select(F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"), F.struct("_id", "_hash", "_no").alias("at"), "line")
+    rows = _place(docs).select("_id", "_hash", F.posexplode(F.transform(_lines(F.col("text")), _normal)).alias("_no", "line")).where("line <> ''")
+    return rows.select(*_names(), F.struct("_id", "_hash", "_no").alias("at"), "line")
 
 
-def _halves() -> Column:
-    """Keys of the first and last half, as the line has n characters and as a longer line looks at those with n - 1."""
+def _names() -> list[Column]:
+    return [F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2")]
+
+
+def _pieces(bound: int) -> Column:
+    """Keys of the pieces of a line as the shorter of two, and of what may match them as the longer.
+
+    A key tells the length of the shorter line, so pieces of lines of other lengths do not meet.
+    """
     keys = []
-    for less in (0, 1):
+    for less in range(bound + 1):
         n = f"(length(line) - {less})"
-        keys += [f"xxhash64({n}, 0, substring(line, 1, {n} div 2))", f"xxhash64({n}, 1, right(line, {n} - {n} div 2))"]
-    return F.expr(f"array({', '.join(keys)})")
+        for j in range(bound + 1):
+            start, end = f"({n} * {j} div {bound + 1})", f"({n} * {j + 1} div {bound + 1})"
+            moves = [0] if j == 0 and bound == 1 else [less] if bound == 1 else range(-bound, bound + 1) if less or bound > 1 else [0]
+            for m in moves:
+                keys.append(f"if({start} + {m} >= 0, xxhash64({n}, {j}, substring(line, {start} + {m} + 1, {end} - {start})), null)")
+    return F.filter(F.array_distinct(F.expr(f"array({', '.join(keys)})")), lambda x: x.isNotNull())
 
 
 def _variants(window: int) -> Column:
@@ -82,22 +94,17 @@ def _variants(window: int) -> Column:
     return F.expr(f"concat({whole}, {less})")
 
 
-def kept_lines(docs: DataFrame, min_chars: int = 20, window: int = 64) -> DataFrame:
-    """(_id, _hash, keep): per document the places of the comparable lines that stay."""
-    occurrences = _occurrences(docs, min_chars)
-    halves = [f"_h{i}" for i in range(4)]
-    found = occurrences.withColumn("_halves", _halves()).select("id1", "id2", "at", *[F.col("_halves")[i].alias(h) for i, h in enumerate(halves)])
-    firsts = write_table(found.groupBy("id1", "id2").agg(F.min("at").alias("at"), *[F.first(h).alias(h) for h in halves]), "lines")
+def _whole_variants(bound: int) -> Column:
+    """(key, gaps) of a line and its variants with up to `bound` characters left out; gaps: their places."""
+    steps = ["array(named_struct('text', line, 'at', 0, 'gaps', ''))"]
+    for _ in range(bound):
+        steps.append(f"""flatten(transform({steps[-1]}, v -> transform(filter(sequence(0, length(v.text)), i -> i >= v.at and i < length(v.text)), i -> named_struct(
+            'text', concat(substring(v.text, 1, i), substring(v.text, i + 2)), 'at', i, 'gaps', concat(v.gaps, ' ', string(i))))))""")
+    return F.transform(F.expr(f"concat({', '.join(steps)})"), lambda v: F.struct(F.xxhash64(v["text"]).alias("key"), v["gaps"].alias("gaps")))
 
-    keys = firsts.select("id1", "id2", F.explode(F.array_distinct(F.array(*halves))).alias("half"))
-    shared = keys.groupBy("half").agg(F.min("id1").alias("_a"), F.max("id1").alias("_b")).where("_a <> _b").select("half")
-    near = keys.join(shared, "half", "left_semi").select("id1", "id2").distinct()
-    near = write_table(near.join(firsts.select("id1", "id2", "at"), ["id1", "id2"]).withColumnRenamed("at", "_first"), "lines-near")
-    if near.count() <= SMALL:
-        near = F.broadcast(near)
-    texts = occurrences.join(near, ["id1", "id2"]).where(F.col("at") == F.col("_first"))
-    texts = write_table(texts.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("line").alias("line")), "line-texts")
 
+def _partners_of_one(texts: DataFrame, window: int) -> DataFrame:
+    """(id1, id2, other1, other2): lines and earlier ones that a variant with one character left out joins."""
     variants = texts.withColumn("n", F.length("line")).select("at", "id1", "id2", F.explode(_variants(window)).alias("v")).select("at", "id1", "id2", "v.*")
     me, by_key = F.struct("at", "id1", "id2"), Window.partitionBy("key")
     own = variants.withColumn("_line", me).withColumns({
@@ -106,20 +113,55 @@ def kept_lines(docs: DataFrame, min_chars: int = 20, window: int = 64) -> DataFr
         "_less": F.min(F.when(F.col("gap").isNotNull(), F.col("_line"))).over(by_key),
     })
     partners = F.filter(F.array(F.when(F.col("gap").isNotNull(), F.col("_same")), F.when(F.col("gap").isNotNull(), F.col("_whole")), F.when(F.col("gap").isNull(), F.col("_less"))), lambda p: p.isNotNull() & (p < F.col("_line")))
-    pairs = own.select("id1", "id2", F.explode(partners).alias("_other")).select("id1", "id2", F.col("_other.id1").alias("other1"), F.col("_other.id2").alias("other2")).distinct()
+    return own.select("id1", "id2", F.explode(partners).alias("_other")).select("id1", "id2", F.col("_other.id1").alias("other1"), F.col("_other.id2").alias("other2")).distinct()
+
+
+def _partners(texts: DataFrame, bound: int) -> DataFrame:
+    """The same for any bound: a key has at most as many groups as a line has sets of places to leave out."""
+    variants = texts.select(F.struct("at", "id1", "id2").alias("_line"), F.explode(_whole_variants(bound)).alias("v")).select("_line", "v.*")
+    firsts = variants.groupBy("key", "gaps").agg(F.min("_line").alias("_first")).drop("gaps").distinct()
+    met = variants.select("_line", "key").distinct().join(firsts, "key").where("_first < _line")
+    return met.select("_line.id1", "_line.id2", F.col("_first.id1").alias("other1"), F.col("_first.id2").alias("other2")).distinct()
+
+
+def _with_neighbours(firsts: DataFrame) -> DataFrame:
+    """(id1, id2) of the lines that share a piece with another line."""
+    keys = firsts.select("id1", "id2", F.explode("pieces").alias("piece"))
+    shared = keys.groupBy("piece").agg(F.min("id1").alias("_a"), F.max("id1").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("piece", "_n")
+    shared = write_table(shared, "shared-pieces")
+    often = [r.piece for r in shared.where(F.col("_n") >= max(HOT, firsts.count() / 1000)).select("piece").collect()]
+    some = F.col("piece").isin(often) if often else F.lit(False)
+    rest = keys.where(~some).join(shared.where(~some).select("piece"), "piece", "left_semi").select("id1", "id2")
+    return rest.unionByName(keys.where(some).select("id1", "id2")).distinct()
+
+
+def kept_lines(docs: DataFrame, bound: int = 1, window: int = 64) -> DataFrame:
+    """(_id, _hash, keep): per document the places of the lines that stay, blank ones apart."""
+    found = _occurrences(docs).withColumn("pieces", _pieces(bound))
+    firsts = write_table(found.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("pieces").alias("pieces")), "lines")
+    near = write_table(_with_neighbours(firsts).join(firsts.select("id1", "id2", "at"), ["id1", "id2"]), "lines-near")
+    places = near.groupBy("at._id", "at._hash").agg(F.collect_list("at._no").alias("_nos"))
+    if near.count() <= SMALL:
+        places = F.broadcast(places)
+    rows = _place(docs).join(places, ["_id", "_hash"]).withColumn("_all", _lines(F.col("text")))
+    rows = rows.select("_id", "_hash", F.explode("_nos").alias("_no"), "_all").withColumn("line", _normal(F.expr("_all[_no]")))
+    texts = rows.select(*_names(), F.struct("_id", "_hash", "_no").alias("at"), "line")
+    texts = write_table(texts.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("line").alias("line")), "line-texts")
+    pairs = _partners_of_one(texts, window) if bound == 1 else _partners(texts, bound)
     one, other = texts.select("id1", "id2", "line"), texts.select(F.col("id1").alias("other1"), F.col("id2").alias("other2"), F.col("line").alias("_line"))
-    checked = pairs.join(one, ["id1", "id2"]).join(other, ["other1", "other2"]).where(F.levenshtein("line", "_line", 1) >= 0)
+    checked = pairs.join(one, ["id1", "id2"]).join(other, ["other1", "other2"]).where(F.levenshtein("line", "_line", bound) >= 0)
     stay = firsts.select("id1", "id2", "at").join(checked.select("id1", "id2").distinct(), ["id1", "id2"], "left_anti")
-    return stay.groupBy("at._id", "at._hash").agg(F.collect_set("at._no").alias("keep"))
+    return stay.groupBy("at._id", "at._hash").agg(F.collect_list("at._no").alias("keep"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, window: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, bound: int = 1, window: int = 64) -> DataFrame:
     """docs with the text that is left, and n_lines and n_removed of each document (in place of columns of these names)."""
-    keep = write_table(kept_lines(docs.select("doc_id", "text"), min_chars, window).toDF("_dl_id", "_dl_hash", "_dl_keep"), "kept-lines")
+    keep = write_table(kept_lines(docs.select("doc_id", "text"), bound, window).toDF("_dl_id", "_dl_hash", "_dl_keep"), "kept-lines")
     rows = docs.withColumns({"_dl_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_dl_hash": F.xxhash64("text")}).join(keep, ["_dl_id", "_dl_hash"], "left")
     kept = F.coalesce("_dl_keep", F.array().cast("array<int>"))
     rows = rows.withColumns({"_dl_lines": _lines(F.col("text")), "_dl_keep": kept})
-    rows = rows.withColumn("_dl_left", F.filter("_dl_lines", lambda x, i: F.array_contains(F.col("_dl_keep"), i) | (F.length(_normal(x)) < min_chars)))
+    blank = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) == ""
+    rows = rows.withColumn("_dl_left", F.filter("_dl_lines", lambda x, i: F.array_contains(F.col("_dl_keep"), i) | blank(x)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_dl_lines"))
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size("_dl_left"))
     own = {"text": F.array_join("_dl_left", "\n").alias("text")}

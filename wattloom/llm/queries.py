@@ -65,7 +65,7 @@ WITH l AS (
 ), n AS (
   SELECT *, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM x
 ), f AS (
-  SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM n WHERE length(line) >= 20 GROUP BY line
+  SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM n WHERE line <> '' GROUP BY line
 ), k AS (
   SELECT line, n, first, n AS m, 0 AS e, substr(line, 1, n // 2) AS half FROM f
   UNION ALL SELECT line, n, first, n, 1, right(line, n - n // 2) FROM f
@@ -75,7 +75,7 @@ WITH l AS (
   SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.e = b.e AND a.half = b.half AND b.first < a.first AND abs(a.n - b.n) <= 1
   WHERE levenshtein(a.line, b.line) <= 1
 ), d AS (
-  SELECT n.doc_id, n.r, n.no, n.raw, length(n.line) < 20 OR (f.first = (n.doc_id, n.no) AND near.line IS NULL) AS keep
+  SELECT n.doc_id, n.r, n.no, n.raw, n.line = '' OR (f.first = (n.doc_id, n.no) AND near.line IS NULL) AS keep
   FROM n LEFT JOIN f ON f.line = n.line LEFT JOIN near ON near.line = n.line
 )
 SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (NOT keep) AS INTEGER) AS n_removed,
