@@ -38,8 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
         encode = encoder(tokenizer, keeps_space)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(x or "" for x in batch.column(1).to_pylist()), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     cut = ids[at : at + capacity]

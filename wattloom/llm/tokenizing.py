@@ -4,31 +4,40 @@ Both tokenizers split a text into words before anything else, and no rule of the
 a space or line break that stands between two other characters, nor joins a letter or digit with
 the comma or full stop that ends its word. So a text in which no two white-space characters meet
 is cut at those places, and each piece (with the space before it, where the tokenizer keeps that)
-is encoded once per worker and then comes from a dictionary of bounded size. Any other text, and
-any that may hold a special token's string, is encoded as a whole. The ids are the same either way.
+is encoded once per worker and then comes from a dictionary of bounded size. New pieces of many texts (GROUP
+characters, or one longer text) are encoded together. Any other text, and any that may hold a
+special token's string, is encoded as a whole. The ids are the same either way.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker remembers: at most twice as many.
-REMEMBER = 500_000
-_OTHER_GAP = re.compile(r"[^\S \n]|\0")
+#: Pieces that a worker remembers: at most twice as many, of LONGEST characters at most.
+REMEMBER, LONGEST = 150_000, 64
+#: Characters of texts whose new pieces are encoded together.
+GROUP = 1 << 21
+#: White space other than space and line break, and what stands between pieces here.
+_ODD = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _AFTER_SIGN = re.compile(r"[.,](?<![^\W_][.,])(?=\s|\Z)")
 
 
 def _as_a_whole(text: str) -> bool:
-    return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or "<|" in text or bool(_OTHER_GAP.search(text) or _AFTER_SIGN.search(text))
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or "<|" in text:
+        return True
+    return any(c in text for c in (_ODD if text.isascii() else _ODD + _ODD_WIDE)) or bool(_AFTER_SIGN.search(text))
 
 
 @cache
 def encoder(path: str, keeps_space: bool):
-    """A function from a list of texts to a list of id arrays (numpy int32)."""
+    """A function from texts to their id arrays (numpy int32), one after another."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -41,48 +50,57 @@ def encoder(path: str, keeps_space: bool):
     for token, i in tokenizer.get_vocab().items():
         edge[i] = token.startswith("\u0120") if keeps_space else token.endswith("</w>")
 
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
     def learn(pieces: set[str]) -> None:
-        words, others = [], []
-        for piece in pieces:
-            if (ids := older.get(piece)) is not None:
-                known[piece] = ids
-            elif piece[1:].isalpha() and piece[0] == " " if keeps_space else piece.isalpha():
-                words.append(piece)
-            else:
-                others.append(piece)
-        if words:  # as one text, which is cheaper than one by one; every word has one edge
-            ids = np.asarray(tokenizer.encode(("" if keeps_space else " ").join(words), add_special_tokens=False).ids, np.int32)
-            at = np.flatnonzero(edge[ids])
-            ends = (np.append(at[1:], len(ids)) if keeps_space else at + 1) * 4
-            if len(at) == len(words):
-                data, begin = ids.tobytes(), 0
-                for word, end in zip(words, ends.tolist(), strict=True):
-                    known[word] = data[begin:end]
-                    begin = end
+        known.update((p, older[p]) for p in pieces & older.keys())
+        pieces = pieces.difference(older)
+        words = [p for p in pieces if p[1:].isalpha() and p[0] == " "] if keeps_space else [p for p in pieces if p.isalpha()]
+        others = list(pieces.difference(words))
+        for at in range(0, len(words), 20_000):  # as one text, which is cheaper than one by one; every word has one edge
+            some = words[at : at + 20_000]
+            ids = ids_of(("" if keeps_space else " ").join(some))
+            edges = np.flatnonzero(edge[ids])
+            if len(edges) == len(some):
+                ends = (np.append(edges[1:], len(ids)) if keeps_space else edges + 1) * 4
+                data, ends = ids.tobytes(), ends.tolist()
+                known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
             else:
-                others += words
-        for piece, found in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else [], strict=True):
-            known[piece] = np.asarray(found.ids, np.int32).tobytes()
+                others += some
+        if others:
+            found = tokenizer.encode_batch_fast(others, add_special_tokens=False)
+            known.update(zip(others, [np.array(x.ids, np.int32).tobytes() for x in found], strict=True))
 
     def cut(text: str) -> list[str]:
         text = text.replace(" ", gap).replace("\n", "\0\n\0" if keeps_space else "\0")
         return (text + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0").rstrip("\0").split("\0")
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
+    def together(texts: list[str]) -> Iterator[np.ndarray]:
         nonlocal known, older
-        out: list = []
-        for text in texts:
-            if not text:
-                out.append(np.zeros(0, np.int32))
-            elif _as_a_whole(text):
-                out.append(np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
+        pieces = [None if not t or _as_a_whole(t) else cut(t) for t in texts]
+        if len(known) > REMEMBER:
+            known, older = {}, known
+        if new := set(chain.from_iterable(p for p in pieces if p)).difference(known):
+            learn(new)
+        for text, own in zip(texts, pieces, strict=True):
+            if own:
+                yield np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32)
             else:
-                pieces = cut(text)
-                if len(known) > REMEMBER:
-                    known, older = {}, known
-                if new := set(pieces).difference(known):
-                    learn(new)
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32))
-        return out
+                yield ids_of(text) if text else np.zeros(0, np.int32)
+        for p in new:
+            if len(p) > LONGEST:
+                known.pop(p, None)
+
+    def encode(texts: Iterable[str]) -> Iterator[np.ndarray]:
+        group, held = [], 0
+        for text in texts:
+            group.append(text)
+            held += len(text)
+            if held >= GROUP:
+                yield from together(group)
+                group, held = [], 0
+        if group:
+            yield from together(group)
 
     return encode
