@@ -1,16 +1,25 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of up to two words. Candidates are those with at least `least` of all
-training tokens, so each length has at most 1 / least of them (the proven bound under which they
-are given to all tasks). A candidate stays if its next-symbol distribution diverges from that of
-its parent (the longest retained shorter suffix) by at least `divergence` nats per occurrence.
-The root is smoothed by adding one; P(w|s) = max(c(s,w) - d, 0) / C(s) + d T(s) / C(s) P(w|parent),
-T(s) being the number of different successors. A token is scored in the longest retained state
-that is a suffix of what stands before it in its text. The end of a text is a symbol of its own.
-
-Counts are of all training texts. They are exchanged as arrays: each chunk of documents sends
-its distinct words, with the states they were seen in, to buckets by the word's hash; a bucket
-adds up what all chunks sent, and answers each with the totals in the order it asked.
+States are contexts of up to `depth` words. A context is retained if it occurs at least `least` times in
+the training part (a fixed number, so the tree grows with the corpus) and the distribution of the
+symbols behind it diverges from what its parent (the longest retained shorter suffix) predicts for
+them by at least `divergence` nats per occurrence. The root is smoothed by adding one;
+P(w|s) = max(c(s,w) - d, 0) / C(s) + d T(s) / C(s) P(w|parent), T(s) being the number of different
+successors. A token is scored in the longest retained state that is a suffix of what stands before
+it in its text. The end of a text is a symbol of its own.
+
+Counts are of all training texts, and no task holds the tree. Documents are packed into chunks of
+tokens once. Level by level, a chunk sends its distinct contexts, each with its different successors,
+to buckets by the context's hash; a bucket adds up what all chunks sent, decides which contexts stay,
+and answers each chunk in the order it asked. What is known of the level before says how often a
+context occurs, so contexts under `least` are never sent. Contexts with at least a thousandth of
+all tokens (so there are at most 1000 of a length) are dealt to several buckets by their successors; the
+sums of those parts, a bounded number of rows, are put together on the driver.
+
+A context goes by 48 bits of its hash beside the bucket's, a successor by 32.
+
+A chunk sends a row to each bucket: with chunks of 6 MB and half as many buckets, a row holds over a
+kilobyte up to some TB of text; beyond, give larger chunks.
 
 Nulls: a null text is an empty one (just the end), a null doc_id belongs to the training part.
 Repeated rows count as often as they come. An empty table gives an empty result. Very long texts
@@ -27,237 +36,293 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import by_key, mix64, pack_chunks, rows_of, unpack, unzip_bytes, zip_bytes
-from .common import LOWER, UPPER, partitions, write_table
+from .chunks import by_key, mix64, rows_of, unzip_bytes, zip_bytes
+from .common import LOWER, NO_ID, UPPER, partitions, write_table
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 END = b"\n"  # no word holds white space
-STATE_BITS = 20
+#: Logarithms are added up as whole numbers of these parts, so sums do not depend on their order.
+PARTS = 4096
+#: A context with this share of all tokens is dealt to several buckets.
+HOT = 1e-3
+
+CHUNK = "chunk long, ids binary, null binary, sizes binary, words binary, hashes binary"
+REPLY = "chunk long, level int, bucket long, kinds binary, counts binary, hot long, total long, gain double, logs long, different long"
+ASK = "bucket long, chunk long, contexts binary, hot binary, sizes binary, logs binary, next binary, counts binary"
 
 
 def held_out(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
     return np.array([not n and zlib.crc32(str(i).encode()) % 7 == 2 for i, n in zip(ids.tolist(), null.tolist(), strict=True)], bool)
 
 
-class Tokens:
-    """The tokens of a chunk: word (number in the chunk's own vocabulary, whose hashes are `hashes`), doc, train."""
+def _zip(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, compressed byte by byte: all lowest bytes, then the next, as many as the largest needs."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + zip_bytes(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
-    def __init__(self, row: dict):
+
+def _unzip(data: bytes) -> np.ndarray:
+    width = data[0]
+    found = np.frombuffer(unzip_bytes(data[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((found.shape[1], 8), np.uint8)
+    out[:, :width] = found.T
+    return out.view("<u8")[:, 0].astype(np.int64)
+
+
+def pack_tokens(docs: DataFrame, size: int) -> DataFrame:
+    """Chunks of about `size` bytes of text (at least one document), written: ids, tokens per document, token numbers and the hashes of the words that they number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        self.ids, self.null, lengths, texts = unpack(row)
-        numbers = defaultdict(count().__next__)
-        words, sizes, at = [], [], 0
-        texts = texts.translate(_FOLD)
-        for n in lengths.tolist():
-            found = _WORDS.findall(texts, at, at + n)
-            found.append(END)
-            words.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-            sizes.append(len(found))
-            at += n
-        self.word = np.concatenate(words).astype(np.int64)
-        self.sizes = np.array(sizes)
-        self.out = held_out(self.ids, self.null)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.train = ~self.out[self.doc]
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-        n = len(self.word)
-        self.has1, self.has2 = np.zeros(n, bool), np.zeros(n, bool)
-        self.has1[1:] = self.doc[1:] == self.doc[:-1]
-        self.has2[2:] = self.doc[2:] == self.doc[:-2]
+        part, no, held = TaskContext.get().partitionId(), 0, 0
+        ids, sizes, words, numbers = [], [], [], defaultdict(count().__next__)
+
+        def out() -> pa.RecordBatch:
+            hashes, all_words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers)), np.concatenate(words)
+            order = np.argsort(-np.bincount(all_words), kind="stable")  # frequent words get small numbers
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            known = np.array([NO_ID if d is None else d for d in ids], np.int64)
+            cells = [(part << 32) + no, known.tobytes(), np.array([d is None for d in ids], np.uint8).tobytes(), np.array(sizes, np.int64).tobytes(), _zip(place[all_words]), hashes[order].tobytes()]
+            return _batch(CHUNK, [[c] for c in cells])
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _WORDS.findall((text or b"").translate(_FOLD))
+                found.append(END)
+                ids.append(doc)
+                sizes.append(len(found))
+                words.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                held += len(text or b"") + 1
+                if held >= size:
+                    yield out()
+                    no, held = no + 1, 0
+                    ids, sizes, words, numbers = [], [], [], defaultdict(count().__next__)
+        if ids:
+            yield out()
+
+    return write_table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, CHUNK), "token-chunks")
+
+
+def _batch(schema: str, cells: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cells, fields, strict=True)], [n for n, _ in fields])
 
-    def pair(self, at: np.ndarray) -> np.ndarray:
-        """The key of the two words before each of the places `at`."""
-        return _pair_key(self.hashes[self.word[at - 2]], self.hashes[self.word[at - 1]])
 
+class Tokens:
+    """The tokens of a chunk: word (place of its hash in `hashes`; by_hash: their order), doc, train, and the level that its probabilities have reached."""
 
-def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(mix64(a) * np.uint64(3) + b)
+    def __init__(self, row: dict):
+        self.ids, self.null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["null"], np.uint8) > 0
+        self.sizes, self.hashes = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["hashes"], np.uint64)
+        self.word = _unzip(row["words"])
+        self.by_hash = np.argsort(self.hashes)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.out = held_out(self.ids, self.null)
+        self.train = ~self.out[self.doc]
+        self.key = np.zeros(len(self.word), np.uint64)  # of the context of the level before each token
+
+    def asked(self, level: int, seen: np.ndarray, least: int) -> np.ndarray:
+        """The tokens with a context of `level` words that occurs `least` times; seen: how often each token comes in its context of the level before."""
+        self.key[1:] = mix64(self.key[:-1] * np.uint64(3) + self.hashes[self.word[:-1]])
+        self.key[:1] = 0
+        ok = np.zeros(len(self.word), bool)
+        ok[level:] = (self.doc[level:] == self.doc[:-level]) & (seen[level - 1 : -1] >= least)
+        return np.flatnonzero(ok)
+
+
+class Level:
+    """The contexts of a level in a chunk, in the order of their hashes, and their different successors."""
+
+    def __init__(self, t: Tokens, at: np.ndarray, total: np.ndarray, many: float):
+        """at: the tokens that have one; total: how often each one's context occurs; many: from where it is dealt to several buckets."""
+        key, parts = t.key[at], np.maximum(1, np.ceil(total / many)).astype(np.uint64)
+        hot = np.flatnonzero(parts > 1)
+        key = key.copy()
+        key[hot] = mix64(key[hot] + np.uint64(1) + mix64(t.hashes[t.word[at[hot]]]) % parts[hot])
+        order = np.lexsort((t.word[at], key))
+        key, word = key[order], t.word[at[order]]
+        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        first = new | np.append(True, word[1:] != word[:-1]) if len(key) else new
+        self.pair, self.context = np.empty(len(at), np.int64), np.empty(len(at), np.int64)  # of each token
+        self.pair[order], self.context[order] = np.cumsum(first) - 1, np.cumsum(new) - 1
+        self.names, self.origin = key[new], np.where(parts[order[new]] > 1, t.key[at[order[new]]], np.uint64(0))
+        self.next = t.hashes[word[first]]
+        self.sizes = np.bincount((np.cumsum(new) - 1)[first], minlength=len(self.names))
+        self.n = np.bincount(self.pair, weights=t.train[at], minlength=len(self.next)).astype(np.int64)
+
+    def rows(self, buckets: int, chunk: int, logs: np.ndarray) -> pa.RecordBatch:
+        of = ((self.names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        ends = np.append(0, np.cumsum(self.sizes))
+        out: list[list] = [[] for _ in range(8)]
+        for k, a, b in _runs(of):
+            p, q = int(ends[a]), int(ends[b])
+            hot = self.origin[a:b]
+            cells = (k, chunk, _zip(self.names[a:b] >> np.uint64(16)), _zip(hot) if hot.any() else b"", _zip(self.sizes[a:b]), _zip(-logs[a:b]), (self.next[p:q] >> np.uint64(32)).astype(np.uint32).tobytes(), _zip(self.n[p:q]))
+            for cell, x in zip(out, cells, strict=True):
+                cell.append(x)
+        return _batch(ASK, out)
+
+
+def _words_asked(t: Tokens, buckets: int, chunk: int) -> pa.RecordBatch:
+    """The words of a chunk as successors of the empty context."""
+    n, hashes = np.bincount(t.word[t.train], minlength=len(t.hashes))[t.by_hash], t.hashes[t.by_hash]
+    out: list[list] = [[] for _ in range(8)]
+    for k, a, b in _runs(((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)):
+        for cell, x in zip(out, (k, chunk, hashes[a:b].tobytes(), b"", b"", b"", b"", _zip(n[a:b])), strict=True):
+            cell.append(x)
+    return _batch(ASK, out)
+
+
+def _reply(**cells) -> pa.RecordBatch:
+    n = len(next(iter(cells.values())))
+    return _batch(REPLY, [cells.get(f.split()[0], [None] * n) for f in REPLY.split(", ")])
+
+
+def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, rows in by_key(batches, "bucket"):
+        names, back = np.unique(np.concatenate([np.frombuffer(r["contexts"], np.uint64) for r in rows]), return_inverse=True)
+        counts = [_unzip(r["counts"]) for r in rows]
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, back, np.concatenate(counts))
+        yield _reply(level=[0], total=[int(sums.sum())], different=[int((sums > 0).sum())])
+        told = np.split(sums[back], np.cumsum([len(c) for c in counts])[:-1])
+        yield _reply(chunk=[r["chunk"] for r in rows], level=[0] * len(rows), bucket=[bucket] * len(rows), counts=[_zip(x) for x in told])
+
+
+def _adder(level: int, divergence: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_key(batches, "bucket"):
+            own = [_unzip(r["contexts"]) for r in rows]
+            sizes = [_unzip(r["sizes"]) for r in rows]
+            names, back = np.unique(np.concatenate(own), return_inverse=True)
+            logs, hot = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint64)
+            np.subtract.at(logs, back, np.concatenate([_unzip(r["logs"]) for r in rows]))
+            hot[back] = np.concatenate([_unzip(r["hot"]).view(np.uint64) if r["hot"] else np.zeros(len(o), np.uint64) for r, o in zip(rows, own, strict=True)])
+            of = np.repeat(back, np.concatenate(sizes))
+            pairs, pair = np.unique(of.astype(np.uint64) << np.uint64(32) | np.concatenate([np.frombuffer(r["next"], np.uint32) for r in rows]), return_inverse=True)
+            counts = [_unzip(r["counts"]) for r in rows]
+            sums = np.zeros(len(pairs), np.int64)
+            np.add.at(sums, pair, np.concatenate(counts))
+            context, some = (pairs >> np.uint64(32)).astype(np.int64), sums > 0
+            total = np.zeros(len(names), np.int64)
+            np.add.at(total, context, sums)
+            gain = np.bincount(context[some], weights=sums[some] * np.log(sums[some]), minlength=len(names))
+            kinds = np.bincount(context[some], minlength=len(names))
+            stays = _diverges(total, gain, logs, divergence)
+            for i in np.flatnonzero(hot).tolist():
+                yield _reply(level=[level], hot=[int(hot[i].view(np.int64))], total=[int(total[i])], gain=[float(gain[i])], logs=[int(logs[i])], different=[int(kinds[i])])
+            told = np.where(stays & (hot == 0), kinds, 0)[back]
+            ends, pair_ends = np.cumsum([len(o) for o in own])[:-1], np.cumsum([len(c) for c in counts])[:-1]
+            yield _reply(
+                chunk=[r["chunk"] for r in rows], level=[level] * len(rows), bucket=[bucket] * len(rows), kinds=[_zip(x) for x in np.split(told, ends)], counts=[_zip(x) for x in np.split(sums[pair], pair_ends)]
+            )
+
+    return run
+
+
+def _diverges(total, gain, logs, divergence: float):
+    """Whether contexts stay; gain: the sum of n log n of their successors, logs: that of the logarithms that the parent gives them."""
+    n = np.maximum(total, 1)
+    return (total > 0) & ((gain - logs / PARTS) / n - np.log(n) >= divergence)
 
 
-def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The place of each x in the sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, at, -1)
+def _runs(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of each run of equal values."""
+    if not len(x):
+        return []
+    edges = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return list(zip(x[edges].tolist(), edges.tolist(), np.append(edges[1:], len(x)).tolist(), strict=True))
 
 
-def _candidates(chunks: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(words, pairs, last word of each pair, training tokens): all contexts that may have `least` of them, at most 2 / least of each kind.
+def _sums(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.add.at(out, at, x)
+    return out
 
-    A context reports from the chunks where it has at least least / 2 of the tokens; what it has
-    elsewhere is under half of `least`, so what it reports is at least the other half.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            t = Tokens(row)
-            n = int(t.train.sum())
-            rows = [(0, 0, 0, n)]
-            c = np.bincount(t.word[t.train], minlength=len(t.hashes))
-            for w in np.flatnonzero(c >= max(1, least / 2 * n)):
-                rows.append((1, int(t.hashes[w].view(np.int64)), 0, int(c[w])))
-            # a context is followed by something; the pair that ends at i is a context of i + 1
-            often = c >= max(1, least / 2 * n)
-            ok = t.has1.copy()
-            ok[1:] &= often[t.word[1:]] & often[t.word[:-1]]
-            at = np.flatnonzero(ok & t.train & (t.hashes[t.word] != np.uint64(_end_hash())))
-            keys, first, m = np.unique(t.word[at - 1] << 32 | t.word[at], return_index=True, return_counts=True)
-            for k in np.flatnonzero(m >= max(1, least / 2 * n)):
-                a, b = t.hashes[t.word[at[first[k]] - 1]], t.hashes[t.word[at[first[k]]]]
-                rows.append((2, int(_pair_key(np.array([a]), np.array([b])).view(np.int64)[0]), int(b.view(np.int64)), int(m[k])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["kind", "key", "last", "n"])
-
-    found = write_table(chunks.mapInArrow(run, "kind long, key long, last long, n long").groupBy("kind", "key", "last").agg(F.sum("n").alias("n")), "contexts")
-    total = found.where("kind = 0").select(F.sum("n")).head()[0] or 0
-    rows = found.where((F.col("kind") > 0) & (F.col("n") >= least * total / 2)).collect()  # at most 4 / least
-    of = lambda kind: sorted((r["key"] & (2**64 - 1), r["last"] & (2**64 - 1)) for r in rows if r["kind"] == kind)
-    words = np.array([k for k, _ in of(1)], np.uint64)
-    words = words[words != np.uint64(_end_hash())]
-    return words, np.array([k for k, _ in of(2)], np.uint64), np.array([b for _, b in of(2)], np.uint64), int(total)
-
-
-def _end_hash() -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(END)
-
-
-def _states(t: Tokens, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The one-word and the two-word state before each token (numbers from 1 on), 0 where there is none."""
-    of_word = _find(words, t.hashes) + 1
-    one = np.zeros(len(t.word), np.int64)
-    at = np.flatnonzero(t.has1)
-    one[at] = of_word[t.word[at - 1]]
-    two = np.zeros(len(t.word), np.int64)
-    at = np.flatnonzero(t.has2 & (one > 0))
-    at = at[of_word[t.word[at - 2]] > 0]
-    found = _find(pairs, t.pair(at))
-    two[at] = np.where(found >= 0, found + 1 + len(words), 0)
-    return one, two
-
-
-def _asked(t: Tokens, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The entries of a chunk in the order they are sent: place of the word among the sorted hashes, state, training count; and of each token its entry at the root and in both states."""
-    order = np.argsort(t.hashes)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    one, two = _states(t, words, pairs)
-    w = place[t.word] << STATE_BITS
-    keys = np.concatenate([w, (w | one)[one > 0], (w | two)[two > 0]])
-    train = np.concatenate([t.train, t.train[one > 0], t.train[two > 0]])
-    entries, back = np.unique(keys, return_inverse=True)
-    n = np.bincount(back, weights=train, minlength=len(entries)).astype(np.int64)
-    at = [back[: len(w)], np.full(len(w), -1), np.full(len(w), -1)]
-    at[1][one > 0] = back[len(w) : len(w) + int((one > 0).sum())]
-    at[2][two > 0] = back[len(w) + int((one > 0).sum()) :]
-    return t.hashes[order], entries >> STATE_BITS, entries & ((1 << STATE_BITS) - 1), n, at
-
-
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """In ascending order of the hash, so a bucket's entries are one run."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def score(docs: DataFrame, least: float = 1e-5, divergence: float = 0.05, discount: float = 0.75, chunk: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = 2, least: int = 2, divergence: float = 0.05, discount: float = 0.75, chunk: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    chunks = pack_chunks(docs, chunk)
-    words, pairs, lasts, total = _candidates(chunks, least)
-    parent = np.concatenate([np.zeros(len(words) + 1, np.int64), _find(words, lasts) + 1])  # of each state; 0: the root
-    buckets = max(64, partitions(docs.sparkSession), chunks.count() // 4)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    chunks = pack_tokens(docs, chunk)
+    n_chunks = chunks.count()
+    tasks = max(n_chunks, partitions(spark))
+    buckets = max(16, partitions(spark), n_chunks // 2)
+    exchange = lambda asked: asked.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "chunk")
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            hashes, word, state, n, _ = _asked(Tokens(row), words, pairs)
-            of = _bucket_of(hashes[word], buckets)
-            for k, a, b in _runs(of):
-                lo, hi = int(word[a]), int(word[b - 1]) + 1
-                per = np.bincount(word[a:b] - lo, minlength=hi - lo)
-                data = zip_bytes(hashes[lo:hi].tobytes()) , zip_bytes(per.astype(np.uint32).tobytes() + state[a:b].astype(np.uint32).tobytes() + n[a:b].astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([row["chunk"]], pa.int64()), pa.array([hi - lo], pa.int64()), pa.array([data[0]], pa.binary()), pa.array([data[1]], pa.binary())], ["bucket", "chunk", "words", "hashes", "entries"])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in by_key(batches, "bucket"):
-            hashes, states, counts, sizes = [], [], [], []
-            for r in rows:
-                data = np.frombuffer(unzip_bytes(r["entries"]), np.uint32)
-                m = (len(data) - r["words"]) // 2
-                hashes.append(np.repeat(np.frombuffer(unzip_bytes(r["hashes"]), np.uint64), data[: r["words"]]))
-                states.append(data[r["words"] : r["words"] + m])
-                counts.append(data[r["words"] + m :])
-                sizes.append(m)
-            names, word = np.unique(np.concatenate(hashes), return_inverse=True)
-            key, back = np.unique(word.astype(np.int64) << STATE_BITS | np.concatenate(states).astype(np.int64), return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-            state = key & ((1 << STATE_BITS) - 1)
-            # what the divergence and the smoothing of each state need, of this bucket's words
-            up = _find(key, (key >> STATE_BITS) << STATE_BITS | parent[state])
-            seen = sums > 0
-            gain = np.zeros(len(key))
-            gain[seen] = sums[seen] * (np.log(sums[seen]) - np.log(np.maximum(sums[up[seen]], 1)))
-            size = len(parent)
-            told = [np.bincount(state, weights=x, minlength=size) for x in (gain, sums, seen)]
-            some = np.flatnonzero(told[1])
-            yield _answer(len(some), state=some, gain=told[0][some], total=told[1][some], kinds=told[2][some])
-            totals = np.split(sums[back], np.cumsum(sizes)[:-1])
-            yield _answer(len(rows), chunk=[r["chunk"] for r in rows], bucket=[bucket] * len(rows), totals=[zip_bytes(x.astype(np.uint32).tobytes()) for x in totals])
-
-    asked = chunks.mapInArrow(ask, "bucket long, chunk long, words long, hashes binary, entries binary")
-    asked = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
-    answers = write_table(asked.mapInArrow(add_up, "state long, gain double, total double, kinds double, chunk long, bucket long, totals binary"), "answers")
-    stats = answers.where("state is not null").groupBy("state").agg(F.sum("gain"), F.sum("total"), F.sum("kinds")).collect()  # a row per state
-    gain, held, kinds = np.zeros(len(parent)), np.zeros(len(parent)), np.zeros(len(parent))
-    for r in stats:
-        gain[r[0]], held[r[0]], kinds[r[0]] = r[1], r[2], r[3]
-    apart = np.zeros(len(parent))
-    some = held > 0
-    apart[some] = gain[some] / held[some] - np.log(held[some] / np.maximum(held[parent[some]], 1))
-    stays = some & (held >= least * total) & (apart >= divergence)
-    vocabulary = kinds[0]
-    back_off = np.where(some, discount * kinds / np.maximum(held, 1), 0.0)
+            yield _words_asked(Tokens(row), buckets, row["chunk"])
+
+    replies = write_table(exchange(chunks.mapInArrow(ask_words, ASK)).mapInArrow(_add_words, REPLY), "replies-0")
+    totals = replies.where("chunk is null").agg(F.sum("total"), F.sum("different")).head()
+    total, vocabulary = int(totals[0] or 0), int(totals[1] or 0)
+    hot: list[dict[int, int]] = [{}]  # of each level: how many successors the hot contexts that stay have
+
+    def reached(rows: list[dict], told: list[dict]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of a chunk after the levels that have been answered: with the counts at the root, in the last level, and probabilities."""
+        t = Tokens(next(r for r in rows if r["ids"] is not None))
+        got = sorted((r for r in rows if r["ids"] is None), key=lambda r: (r["level"], r["bucket"]))
+        answer = lambda level, c: np.concatenate([_unzip(r[c]) for r in got if r["level"] == level] or [np.zeros(0, np.int64)])
+        of_words = np.zeros(len(t.hashes), np.int64)
+        of_words[t.by_hash] = answer(0, "counts")
+        root = of_words[t.word]
+        p, seen = (root + 1.0) / (total + vocabulary + 1.0), root
+        for level in range(1, len(told)):
+            at = t.asked(level, seen, least)
+            c = seen[at - 1]
+            here = Level(t, at, c, many)
+            kinds = answer(level, "kinds")
+            for i in np.flatnonzero(here.origin).tolist():
+                kinds[i] = told[level].get(int(here.origin[i]), 0)
+            n, kinds = answer(level, "counts")[here.pair], kinds[here.context]
+            stay = kinds > 0
+            q = p.copy()
+            some, held = at[stay], c[stay].astype(np.float64)
+            q[some] = np.maximum(n[stay] - discount, 0) / held + discount * kinds[stay] / held * p[some]
+            p, seen = q, np.zeros(len(t.word), np.int64)
+            seen[at] = n
+        return t, root, seen, p
+
+    many = max(HOT * total, 1.0)
+    if total < 1 / HOT:
+        many = float("inf")
+    for level in range(1, depth + 1):
+
+        def ask(batches: Iterator[pa.RecordBatch], level: int = level, told: list = list(hot)) -> Iterator[pa.RecordBatch]:
+            for k, rows in by_key(batches, "chunk"):
+                t, _, seen, p = reached(rows, told)
+                at = t.asked(level, seen, least)
+                here = Level(t, at, seen[at - 1], many)
+                logs = np.rint(np.log(p[at]) * PARTS).astype(np.int64) * t.train[at]
+                yield here.rows(buckets, k, _sums(logs, here.context, len(here.names)))
+
+        asked = _with_replies(chunks, replies, tasks).mapInArrow(ask, ASK)
+        new = write_table(exchange(asked).mapInArrow(_adder(level, divergence), REPLY), f"replies-{level}")
+        sums = new.where("hot is not null").groupBy("hot").agg(*[F.sum(c) for c in ("total", "gain", "logs", "different")]).collect()  # at most 1000 rows
+        hot.append({r[0] & (2**64 - 1): r[4] for r in sums if _diverges(np.array(r[1]), r[2], r[3], divergence)})
+        replies = replies.unionByName(new)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, "chunk"):
-            row = next(r for r in rows if r["ids"] is not None)
-            t = Tokens(row)
-            _, _, state, _, at = _asked(t, words, pairs)
-            got = sorted((r for r in rows if r["ids"] is None), key=lambda r: r["bucket"])
-            sums = np.concatenate([np.frombuffer(unzip_bytes(r["totals"]), np.uint32) for r in got]).astype(np.float64)
-            c = sums[at[0]]
-            root = (c + 1) / (total + vocabulary + 1)
-            p = root
-            for level in (1, 2):
-                here = np.flatnonzero(at[level] >= 0)
-                s = state[at[level][here]]
-                here, s = here[stays[s]], s[stays[s]]
-                p = p.copy()
-                p[here] = np.maximum(sums[at[level][here]] - discount, 0) / held[s] + back_off[s] * p[here]
+            t, root, _, p = reached(rows, hot)
             starts = np.cumsum(t.sizes) - t.sizes
             add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has a token, its end
-            cells = [pa.array(t.ids, mask=t.null), pa.array(t.out), pa.array(t.sizes.astype(np.int64)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(t.ids), total)), pa.array(add(np.log10(root))), pa.array(add(np.log10(p)))]
+            base = np.log10((root + 1.0) / (total + vocabulary + 1.0))
+            cells = [pa.array(t.ids, mask=t.null), pa.array(t.out), pa.array(t.sizes), pa.array(add((root > 0).astype(np.int64))), pa.array(np.full(len(t.ids), total)), pa.array(add(base)), pa.array(add(np.log10(p)))]
             yield pa.RecordBatch.from_arrays(cells, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    replies = answers.where("chunk is not null").select("chunk", "bucket", "totals")
-    both = chunks.unionByName(replies, allowMissingColumns=True)
-    both = both.repartition(max(partitions(docs.sparkSession), 2), "chunk").sortWithinPartitions("chunk")
-    return both.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
+    return _with_replies(chunks, replies, tasks).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-_ANSWER = {"state": pa.int64(), "gain": pa.float64(), "total": pa.float64(), "kinds": pa.float64(), "chunk": pa.int64(), "bucket": pa.int64(), "totals": pa.binary()}
 
-
-def _answer(n: int, **cells) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cells[c], kind) if c in cells else pa.nulls(n, kind) for c, kind in _ANSWER.items()], list(_ANSWER))
-
-
-def _runs(x: np.ndarray) -> list[tuple[int, int, int]]:
-    """(value, from, to) of each run of equal values."""
-    if not len(x):
-        return []
-    edges = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-    return list(zip(x[edges].tolist(), edges.tolist(), np.append(edges[1:], len(x)).tolist(), strict=True))
+def _with_replies(chunks: DataFrame, replies: DataFrame, tasks: int) -> DataFrame:
+    told = replies.where("chunk is not null").select("chunk", "level", "bucket", "kinds", "counts")
+    return chunks.unionByName(told, allowMissingColumns=True).repartition(tasks, "chunk").sortWithinPartitions("chunk")
