@@ -68,13 +68,25 @@ def test_near_copies_are_whole(spark, near_rows, monkeypatch):
     frame = spark.createDataFrame(near_rows, "doc_id long, text string").repartition(3)
     want, between = brute_components(near_rows)
     assert between > 30
-    got = near_copies.near_duplicates(frame)
+    got = near_copies.near_duplicates(frame).select("doc_id", "component_id")
     assert sorted(map(tuple, got.collect()), key=repr) == want
     monkeypatch.setattr(near_copies, "SMALL", 4)
-    again = near_copies.near_duplicates(frame.coalesce(1))
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    again = near_copies.near_duplicates(frame.coalesce(1)).select("doc_id", "component_id")
     assert sorted(map(tuple, again.collect()), key=repr) == want
 
 
+def test_unrelated_texts_without_an_id_or_with_one_id_stay(spark):
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(50)) for _ in range(5)]
+    rows = list(zip([None, None, 5, 5, 6], texts, ["a", "b", "c", "d", "e"], strict=True)) + [(6, texts[4], "e"), (7, texts[0], "f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, group string")
+    for found in (near_copies.near_duplicates(frame), simhash.near_duplicates(frame, shingle=5)):
+        out = simhash.first_of_each(frame, found)
+        assert out.columns == frame.columns
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted([(None, texts[1], "b"), *rows[2:5], (7, texts[0], "f")], key=repr)
+
+
 def test_pipeline_drops_copies_at_four_fifths(spark):
     """Pairs with a Jaccard similarity of 0.8 to 0.9, which fingerprints within 4 bits mostly miss."""
     import corpus_pipeline

@@ -3,7 +3,8 @@
 Fingerprints have 64 bits, set where over half the 64-bit hashes of a text's word shingles have
 them. Two fingerprints link if they differ in at most `bits` bits.
 
-Equal fingerprints are merged first. The 64 bits are put into `parts` groups so that correlated
+Equal fingerprints are merged first. The 64 bits are put into `parts` groups (as many as their number
+makes cheapest) so that correlated
 bits meet (what correlates between groups makes candidates for nothing). By the general pigeonhole
 principle, thresholds t of the groups that sum to bits - parts + 1 (-1: skip the group) miss no
 link: some group differs by at most its t. Each fingerprint gets its own thresholds, by dynamic
@@ -25,13 +26,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, partitions, write_table
+from .common import LOWER, NO_ID, UPPER, join_unique, partitions, write_table
 from .components import connected_components
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -52,6 +54,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return bits_of_hashes(hashes)
+
+
+def bits_of_hashes(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -60,14 +67,14 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, tie, fp): tie is the hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x or b"", shingle) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(x or b"", shingle) for x in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "tie", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def _bit_matrix(fps: DataFrame) -> np.ndarray:
@@ -161,11 +168,24 @@ def _spanning(filed: np.ndarray, probing: np.ndarray, bits: int) -> list[tuple[i
     return [(int(values[x]), int(values[y])) for x, y in links]
 
 
-def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int = 3) -> DataFrame:
+def cheapest_parts(n: int, bits: int) -> int:
+    """How many groups make the fewest probes and candidates per fingerprint, were all values as frequent."""
+
+    def cost(parts: int) -> float:
+        low, more = divmod(bits - parts + 1, parts)  # thresholds as even as can be
+        size = 64 // parts
+        probes = lambda t: sum(comb(size, r) for r in range(t + 1)) if t >= 0 else 0
+        return (more * probes(low + 1) + (parts - more) * probes(low)) * (4 + n / 2.0**size)
+
+    return min(range(min(2, bits + 1), bits + 2), key=cost)
+
+
+def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int | None = None) -> DataFrame:
     """Links (a, b) between the distinct fingerprints fps (fp long), enough to connect what is connected."""
     spark = fps.sparkSession
     together = _bit_matrix(fps)
     n = int(together[64, 64])
+    parts = parts or cheapest_parts(n, bits)
     groups = bit_groups(together, parts)
     project = [f"({' | '.join(f'(shiftrightunsigned(fp, {b}) & 1L) << {k}' for k, b in enumerate(g))})" for g in groups]
     values = fps.selectExpr(f"posexplode(array({', '.join(project)})) as (part, value)")
@@ -203,8 +223,7 @@ def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int = 3) -> DataFram
                             share = np.maximum(1, -(-share // BLOCK))
                             out.append((near, (part_fp[who] % share.astype(np.uint64)).astype(np.int64), who, np.ones(len(who), bool)))
                     value, salt, who, probes = (np.concatenate(x) for x in zip(*out, strict=True))
-                    key = (value * parts + p) * 4096 + salt
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(probes), pa.array(part_fp[who].view(np.int64))], ["key", "probes", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(salt * parts + p), pa.array(probes), pa.array(part_fp[who].view(np.int64))], ["key", "salt", "probes", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by key; a key may go on in the next batch."""
@@ -217,8 +236,8 @@ def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int = 3) -> DataFram
                 rows = rest
             if not rows:
                 continue
-            key, probes, fp = rows
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, salt, probes, fp = rows
+            edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
             ends = np.append(edge[1:], len(key))
             if batch is not None:
                 rest = [x[edge[-1] :] for x in rows]
@@ -234,8 +253,8 @@ def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int = 3) -> DataFram
                 found = np.array(links, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64))], ["a", "b"])
 
-    rows = fps.select("fp").mapInArrow(file_and_probe, "key long, probes boolean, fp long")
-    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    rows = fps.select("fp").mapInArrow(file_and_probe, "key long, salt long, probes boolean, fp long")
+    rows = rows.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt")
     return rows.mapInArrow(meet, "a long, b long")
 
 
@@ -244,28 +263,45 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, parts: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id: the smallest doc_id that links reach."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, parts: int | None = None) -> DataFrame:
+    """(doc_id, tie, fp, group, component_id) of every row; component_id: the smallest doc_id that links reach; tie: the hash of the text; group: the component's own number."""
     found = write_table(fingerprints(docs, shingle), "fingerprints")
-    classes = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = write_table(found.select("fp").distinct(), "classes")
     links = write_table(link_fingerprints(classes, bits, parts).distinct(), "fp-links")
-    names = connected_components(links)
-    classes = classes.join(names.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = write_table(classes.select("fp", "component").join(smallest, "component").select("fp", "component_id"), "components")
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return named_groups(found.select("doc_id", "tie", F.col("fp").alias("kind")), connected_components(links)).withColumnRenamed("kind", "fp")
+
+
+def named_groups(found: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, tie, kind, group, component_id) from rows (doc_id, tie, kind) of a written table and the components (node, component) of the kinds that have links."""
+    kinds = found.groupBy("kind").agg(F.min("doc_id").alias("_first"))
+    kinds = kinds.join(names.withColumnRenamed("node", "kind"), "kind", "left").withColumn("group", F.coalesce("component", "kind"))
+    kinds = write_table(kinds.select("kind", "group", "_first"), "kinds")
+    smallest = kinds.groupBy("group").agg(F.min("_first").alias("component_id"))
+    kinds = write_table(join_unique(kinds.select("kind", "group"), smallest, "group").select("kind", "group", "component_id"), "components")
+    return join_unique(found, kinds, "kind").select("doc_id", "tie", "kind", "group", "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id; of rows that repeat this doc_id, one."""
+    """docs without near copies by fingerprints."""
     return first_of_each(docs, near_duplicates(docs.select("doc_id", "text"), **how))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that lead their components in found (doc_id, component_id); of rows that repeat such a doc_id, one."""
-    keep = write_table(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"])).drop(keep["doc_id"])
-    if not keep.where("_rows > 1").isEmpty():
-        again = out.where("_rows > 1").dropDuplicates(["doc_id"])
-        out = out.where("_rows = 1").unionByName(again)
-    return out.drop("_rows")
+    """The rows of docs that lead their groups in found (doc_id, tie, group): the smallest doc_id (null last), of texts that share it the smallest hash; of equal rows one.
+
+    A document is known by its id and its text's hash, so texts that share an id, or have none, are kept apart.
+    What is dropped is what is joined, so where few rows are no text is shuffled.
+    """
+    place = F.coalesce("doc_id", F.lit(NO_ID))
+    known = write_table(found.groupBy("group", "doc_id", "tie").agg(F.count(F.lit(1)).alias("rows")), "known")
+    leads = known.groupBy("group").agg(F.min(F.struct(place.alias("_place"), "tie")).alias("_lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    gone = join_unique(known, leads, "group").where(F.struct(place.alias("_place"), "tie") != F.col("_lead"))
+    gone = write_table(gone.select(F.col("doc_id").alias("_sh_id"), F.col("tie").alias("_sh_tie")), "gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_sh_id")) & (F.xxhash64(docs["text"]) == F.col("_sh_tie"))
+    out = docs.join(gone, same, "left_anti")
+    again = known.where("rows > 1").select(F.col("doc_id").alias("_sh_id"), F.col("tie").alias("_sh_tie"))
+    if again.isEmpty():
+        return out
+    whole = F.struct(*[out[c] for c in out.columns])
+    one = out.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("_sh_id"), F.xxhash64("text").alias("_sh_tie")).agg(F.min_by(whole, F.xxhash64(*[out[c] for c in out.columns])).alias("_sh_row"))
+    return out.join(again, same, "left_anti").unionByName(one.select("_sh_row.*"))
