@@ -291,6 +291,27 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 90 and {r.query_id for r in got} == set(range(0, 900, 100))
     few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")
     assert ann.search(few).count() == 3
+
+
+def test_neighbours_of_repeated_queries_and_odd_lengths(spark):
+    """A query that is there twice asks once; different vectors under one id ask one by one; other lengths are compared among themselves."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 6)).astype(np.float32)
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    short = [(i, [float(v) for v in rng.normal(size=3)]) for i in (500, 501, 502, 503, 600)]
+    other = (0, [float(v) for v in x[5] + 1])
+    frame = spark.createDataFrame([*rows, rows[0], rows[0], rows[9], other, *short, short[0]], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(frame, recall=1.0).collect()
+    ask = lambda q: sorted((math.dist(q, v), i) for i, v in [*rows, rows[9]] if i != 0)[:10]
+    want = [(0, k + 1, i, d) for q in (rows[0][1], other[1]) for k, (d, i) in enumerate(ask(q))]
+    for q, v in (short[0], short[4]):
+        near = sorted((math.dist(v, w), i) for i, w in [*short, short[0]] if i != q)
+        want += [(q, k + 1, i, d) for k, (d, i) in enumerate(near)]
+    shown = lambda rows: sorted((q, k, i, round(d, 9)) for q, k, i, d in rows)
+    assert shown((r.query_id, r.rank, r.vec_id, r.score) for r in got) == shown(want)
+
+
+def test_neighbours_of_nothing(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -333,6 +354,15 @@ def test_mixed_documents(docs):
     assert sum(len(WORD.findall(r.text or "")) for r in out.collect()) == taken
 
 
+def test_mixed_documents_keep_columns_of_any_name(docs):
+    names = ["_size", "_order", "_times", "_no", "_at", "_shard", "_text", "_row", "_words", "_spans"]
+    odd = docs.withColumns({c: F.concat_ws("-", F.lit(c), "doc_id") for c in names})
+    out = mixing.mixed_documents(odd, block_words=8)
+    assert out.columns == odd.columns
+    assert sorted(map(tuple, out.select(docs.columns).collect()), key=repr) == sorted(map(tuple, mixing.mixed_documents(docs, block_words=8).collect()), key=repr)
+    assert all(r[c] == (f"{c}-{r.doc_id}" if r.doc_id is not None else c) for r in out.collect() for c in names)
+
+
 def test_sainte_lague(spark):
     rng = random.Random(8)
     for _ in range(5):
@@ -360,6 +390,37 @@ def test_simhash(spark, docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_components(spark, rows):
+    """component_id of real texts against all pairs, with changed copies among them, and null and repeated ids."""
+    rng = random.Random(21)
+    long = [words(rng, 900) for _ in range(6)]
+    more = [(200 + 10 * i + k, t if k == 0 else t + " " + words(rng, k)) for i, t in enumerate(long) for k in range(4)]
+    own = [(r[0], r[1]) for r in rows] + more
+    fps = [brute_fingerprint(t) for _, t in own]
+    root = list(range(len(own)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    linked = 0
+    for i in range(len(own)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                linked += fps[i] != fps[j]
+                root[find(i)] = find(j)
+    assert linked > 3
+    groups = {}
+    for i in range(len(own)):
+        groups.setdefault(find(i), []).append(own[i][0])
+    want = [(own[i][0], min((x for x in groups[find(i)] if x is not None), default=None)) for i in range(len(own))]
+    for parts in (None, 3):
+        got = simhash.near_duplicates(spark.createDataFrame(own, "doc_id long, text string").repartition(3), parts=parts)
+        assert sorted(map(tuple, got.select("doc_id", "component_id").collect()), key=repr) == sorted(want, key=repr)
+    assert [simhash.cheapest_parts(n, 4) for n in (10**5, 10**7, 10**11)] == [4, 3, 2]
+
+
 @pytest.mark.parametrize("bits,parts", [(4, 3), (4, 2), (3, 3), (6, 4)])
 def test_links_are_whole(spark, bits, parts):
     rng = random.Random(bits * 10 + parts)
@@ -451,17 +512,31 @@ def test_toxicity(spark, none):
             labels.append((i, int(toxic)))
     labels += [(None, 1), (5, None), (99999, 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic_x", F.lit(1))
-    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    known = spark.createDataFrame([(*x, int(x[0] is None or x[0] % 3 > 0)) for x in labels], "doc_id long, toxic int, quality int")
     got = {r.doc_id: r for r in toxicity.scored(frame, known).collect()}
     rest = [i for i in range(400) if i % 10 >= 8]
     assert not any(got[i].toxic for i in rest)
     assert sum(got[i].toxic for i in range(0, 400, 5)) >= 78
-    assert all(0 <= r.severity <= 3 for r in got.values()) and got[33].severity < toxicity.REJECT
+    assert all(0 <= r.severity <= 2 for r in got.values()) and got[33].severity < toxicity.REJECT
     assert toxicity.scored(none, known).count() == 0
     clean = toxicity.scored(frame, known.where("toxic = 0"))
     assert clean.where("severity > 0").count() == 0
 
 
+def test_severity_is_the_sum_of_the_chances(spark):
+    """Against the formula, word by word, with weights and thresholds as given; grades come from the labels."""
+    model = toxicity.Model({toxicity.word_features("awful")[0]: 2.0, toxicity.word_features("awful")[1]: 0.5, toxicity.word_features("kind")[0]: -3.0}, [1.0, 2.5])
+    for text, x in (("Awful, awful thing", 2.5), ("kind words", -3.0), ("awfully kind", 0.5 - 3.0), ("", 0.0), (None, 0.0)):
+        assert abs(model.severity(text) - sum(1 / (1 + math.exp(t - x)) for t in (1.0, 2.5))) < 1e-12
+    docs = spark.createDataFrame([(i, "vile " * (i % 4 == 0) + f"w{i}") for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) as toxic", "int(doc_id % 8 > 0) as quality", "'x' as severity")
+    model = toxicity.fit(docs, labels)
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1] and model.severity("vile") > 1 > toxicity.REJECT > model.severity("w1")
+    assert len(toxicity.fit(docs, labels.drop("quality")).thresholds) == 1
+    out = toxicity.scored(docs.withColumns({"toxic": F.lit("mine"), "severity": F.lit("mine")}), labels)
+    assert dict(out.dtypes)["toxic"] == "boolean" and out.columns == ["doc_id", "text", "toxic", "severity"]
+
+
 def test_ordered_grades():
     rng = np.random.default_rng(1)
     x = [(np.array([0, 1]), np.array([a, 1.0])) for a in rng.normal(size=800)]
@@ -471,6 +546,30 @@ def test_ordered_grades():
 
 
 # --- 10 syncmers
+def brute_likeness(a, b, k=15, s=5):
+    """Anchors found k-mer by k-mer and matched in order by dynamic programming over the n-th occurrences."""
+    mine = lambda x: int(syncmers._hashes(np.array([ord(c) + 1 for c in x], np.uint64), len(x))[0])
+
+    def anchors(text):
+        out, seen = [], Counter()
+        for i in range(len(text) - k + 1):
+            inner = [mine(text[j : j + s]) for j in range(i, i + k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                seen[text[i : i + k]] += 1
+                out.append((text[i : i + k], seen[text[i : i + k]]))
+        return out or [(text, 0)]
+
+    if not a or not b:
+        return float(a == b)
+    x, y = anchors(a), anchors(b)
+    where = {m: j for j, m in enumerate(y)}
+    tails = []
+    for j in (where[m] for m in x if m in where):
+        at = next((i for i, t in enumerate(tails) if t >= j), len(tails))
+        tails[at : at + 1] = [j]
+    return len(tails) / (len(x) + len(y) - len(tails))
+
+
 def test_syncmers(spark, distinct_rows, docs, none):
     frame = spark.createDataFrame(distinct_rows, DOCS).repartition(5)
     got = sorted(syncmers.compare_edited(frame).collect(), key=lambda r: r.doc_id)
@@ -481,8 +580,13 @@ def test_syncmers(spark, distinct_rows, docs, none):
         edited = text[: len(text) - cut] + following[:cut]
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (own[0], len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert r.edited_fingerprint == syncmers.fingerprint(syncmers.sketch(edited))
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 and (edited != text or r.near_edited == 1)
-    assert syncmers.compare_edited(docs).count() == docs.count()
+        assert abs(r.near_next - brute_likeness(text, following)) < 1e-12 and abs(r.near_edited - brute_likeness(text, edited)) < 1e-12
+    odd = docs.unionByName(spark.createDataFrame([(None, f"no id {i} " + "abc " * i, "en", "s", 1) for i in range(40)] + [(7, f"same id {i} " + "xyz " * i, "en", "s", 1) for i in range(40)], DOCS))
+    for per in (4000, 5):  # the second: the documents without an id, and those with id 7, have several ranges
+        pairs = syncmers.successors(odd, lambda a, b: {"doc_id": a[0], "own": a[1], "next_id": b[0], "next": b[1]}, "doc_id long, own string, next_id long, next string", per=per).collect()
+        texts = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h")).collect()
+        ordered = [(r.doc_id, r.text) for r in sorted(texts, key=lambda r: (2**63 if r.doc_id is None else r.doc_id, r.h))]
+        assert sorted(map(tuple, pairs), key=repr) == sorted(((*a, *b) for a, b in zip(ordered, [*ordered[1:], ordered[0]], strict=True)), key=repr)
     assert syncmers.compare_edited(none).count() == 0
     one = syncmers.compare_edited(frame.where("doc_id = 3")).head()
     assert one.near_next == 1
@@ -517,3 +621,35 @@ def test_pipeline(spark):
             assert out.join(seen, ["doc_id", "text"], "left_anti").count() == 0
         seen = out
     assert seen.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def odd_documents(rows):
+    return [(*r, f"u{i}", i) for i, r in enumerate(rows)], DOCS + ", _size string, rows long"
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "simhash_dedup", "mixing", "packing"])
+def test_every_stage_with_odd_rows(spark, rows, tmp_path, name):
+    """Nulls in any column, empty and long texts, ties, repeated rows, columns with clashing names, and no rows."""
+    import corpus_pipeline
+
+    data, schema = odd_documents([*rows, rows[3], rows[3], (None, None, None, None, None), (None, "another without an id " + rows[8][1], None, "src0", None)])
+    spark.createDataFrame([(1, 0, 0), (3, 1, 1), (68, 1, 1), (None, 1, None), (5, None, 0)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame = spark.createDataFrame(data, schema).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, frame, str(tmp_path))
+    got = out.collect()
+    if name == "packing":
+        assert {r.doc_id for r in got} == {r[0] for r in data} and len({(r.doc_id, r.piece, r.ids_crc32, r.sequence_id, r.offset) for r in got}) == len(got)
+    else:
+        assert out.columns == frame.columns
+        marks = Counter(r["_size"] for r in got)
+        assert set(marks) <= {r[5] for r in data} and all(r.rows == int(r["_size"][1:]) for r in got)
+        if name == "mixing":
+            assert max(marks.values()) <= 3
+        else:
+            assert max(marks.values()) == 1
+        if name == "line_dedup":
+            assert sum(r.text is None for r in got) == sum(r[1] is None for r in data)
+        if name == "simhash_dedup":  # documents that differ stay, whatever their ids
+            assert sum((r.text or "").startswith(("no id here", "another without")) for r in got) == 2 and sum(r.text == rows[3][1] for r in got) == 1
+    assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0

@@ -1,8 +1,8 @@
 """Nearest neighbours by an inverted multi-index.
 
-The two halves of the vectors are quantised separately with `cells` centroids each (k-means on a
-bounded sample of `sample` vectors, those with the smallest seeded hashes); every vector is filed
-under its pair of centroids. A query goes through the pairs by the sum of its squared distances to
+The two halves of the vectors are quantised separately with as many centroids as the number of vectors
+calls for (`cells`: a seventh of its root, 16 to 1024; k-means on about `sample` vectors, a seeded sample, at
+least 16 per centroid); every vector is filed under its pair of centroids. A query goes through the pairs by the sum of its squared distances to
 the two centroids, lowest first, with a heap that holds only the frontier, until the pairs it has
 taken hold enough vectors, which are reranked by the exact distance.
 
@@ -13,14 +13,17 @@ A pair with more than `block` vectors (many copies of one vector, say) is dealt
 Each task compares the queries of a pair with the vectors of a block and passes on the best `k` of
 each query, so what is shuffled does not grow with a pair's size.
 
-Vectors that are null, zero, of another length than most, or hold a null or a non-finite component
-take no part. A null vec_id takes no part. Repeated rows are candidates each; a query is never its
-own candidate. An empty table gives an empty result. Only vec_id and embedding are read.
+Vectors that are null, zero, or hold a null or a non-finite component take no part, nor does a null
+vec_id. Vectors of another length than most are compared exactly with all of their own length, without the
+index. Rows that repeat are candidates each, but ask once; different vectors under one vec_id ask one by
+one, and a query is never compared with a row of its own vec_id. An empty table gives an empty result.
+Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import sampled, write_table
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -36,9 +39,17 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(F.coalesce(x, F.lit(0.0))) & (F.abs(F.coalesce(x, F.lit(0.0))) < float("inf")))
-    rows = rows.where(fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
-    dims = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).select("dim")
-    return rows.join(F.broadcast(dims), "dim", "left_semi").select("vec_id", "v")  # one row
+    return rows.where(fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+
+
+def _odd_lengths(rows: DataFrame, every: int, k: int) -> DataFrame:
+    """(query_id, ask, vec_id, score): exact, for vectors (vec_id, v, dim) of lengths that few have; in blocks of rows, the best k of each block."""
+    asks = rows.where(F.col("vec_id") % every == 0).select("dim", F.col("vec_id").alias("query_id"), F.col("v").alias("_q")).dropDuplicates(["query_id", "_q"])
+    blocks = rows.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(64)).alias("block"), "vec_id", "v")
+    apart = F.sqrt(F.aggregate(F.zip_with("_q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    met = blocks.join(asks, "dim").where("vec_id <> query_id").select("query_id", F.xxhash64("_q").alias("ask"), "block", "vec_id", apart.alias("score"))
+    best = F.row_number().over(Window.partitionBy("query_id", "ask", "block").orderBy("score", "vec_id"))
+    return met.withColumn("_rank", best).where(F.col("_rank") <= k).select("query_id", "ask", "vec_id", "score")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -82,7 +93,7 @@ def nearest_pairs(first: np.ndarray, second: np.ndarray, held: np.ndarray, enoug
 
 
 def _best(queries: np.ndarray, names: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vec_id, distance) of the k nearest of each query, exact, ties to the smaller vec_id."""
+    """(place of the query, vec_id, distance) of the k nearest of each query, exact, ties to the smaller vec_id."""
     out: list[tuple] = []
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
@@ -99,19 +110,25 @@ def _best(queries: np.ndarray, names: np.ndarray, ids: np.ndarray, x: np.ndarray
             some = np.flatnonzero(~own[q])
         d = np.sqrt(((x[some] - queries[q]) ** 2).sum(1))
         best = np.lexsort((ids[some], d))[:k]
-        out.append((np.full(len(best), names[q]), ids[some][best], d[best]))
+        out.append((np.full(len(best), q), ids[some][best], d[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def search(rows: DataFrame, every: int = 100, k: int = 10, cells: int = 32, sample: int = 8192, trial: int = 96, recall: float = 0.97, block: int = 2048) -> DataFrame:
+def _marks(x: np.ndarray) -> np.ndarray:
+    """A number of each vector, to tell vectors under one vec_id apart."""
+    return np.array([zlib.crc32(np.ascontiguousarray(v).tobytes()) for v in x], np.int64)
+
+
+def search(rows: DataFrame, every: int = 100, k: int = 10, cells: int | None = None, sample: int = 8192, trial: int = 96, recall: float = 0.97, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
     spark = rows.sparkSession
-    x = write_table(valid_vectors(rows), "vectors")
-    seen = F.xxhash64(F.lit(11), "vec_id")
-    some = x.orderBy(seen, "vec_id").limit(sample).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not some:
-        return spark.createDataFrame([], schema)
+    all_ = write_table(valid_vectors(rows), "vectors")
+    dims = all_.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    if not dims:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    x = all_.where(F.col("dim") == dims[0]["dim"]).select("vec_id", "v")
+    cells = cells or int(min(1024, max(16, dims[0]["count"] ** 0.5 / 7)))
+    some = sampled(x, max(sample, 16 * cells), F.xxhash64(F.lit(11), "vec_id")).collect()
     learn = np.array([r.v for r in some])
     half = max(1, learn.shape[1] // 2)
     codes = [k_means(learn[:, :half], cells), k_means(learn[:, half:], cells) if half < learn.shape[1] else np.zeros((1, 0))]
@@ -131,8 +148,8 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, cells: int = 32, samp
         held[r["pair"]] = r["count"]
     blocks = np.maximum(1, -(-held // block))
 
-    asked = filed.where(F.col("vec_id") % every == 0)
-    tried = asked.orderBy(F.xxhash64(F.lit(13), "vec_id"), "vec_id").limit(trial).select("vec_id", "v").collect()
+    asked = write_table(filed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), "asked")
+    tried = sorted(sampled(asked.select("vec_id", "v"), trial, F.xxhash64(F.lit(13), "vec_id")).collect(), key=lambda r: (r.vec_id, r.v))
     enough = _enough(filed, tried, halves, held, width, k, recall)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +175,20 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, cells: int = 32, samp
     def meet(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
         ids, v = table["vec_id"].to_numpy(), _matrix(table["v"].combine_chunks())
-        found = [_best(v[asks][i : i + 64], ids[asks][i : i + 64], ids[~asks], v[~asks], k) for i in range(0, int(asks.sum()), 64)] if len(ids) else []
-        q, n, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(q), "vec_id": pa.array(n), "score": pa.array(d)})
+        names, q, cand, y = ids[asks], v[asks], ids[~asks], v[~asks]
+        found = []
+        for i in range(0, len(names), 64):
+            which, n, d = _best(q[i : i + 64], names[i : i + 64], cand, y, k)
+            found.append((names[i + which], _marks(q[i : i + 64])[which], n, d))
+        cells = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "ask", "vec_id", "score"), map(pa.array, cells), strict=True)))
 
     both = asked.select("pair", "vec_id", "v").mapInArrow(probe, kinds).unionByName(filed.mapInArrow(place, kinds))
-    met = both.groupBy("pair", "block").applyInArrow(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    met = both.groupBy("pair", "block").applyInArrow(meet, "query_id long, ask long, vec_id long, score double")
+    odd = all_.where(F.col("dim") != dims[0]["dim"])
+    if not odd.isEmpty():
+        met = met.unionByName(_odd_lengths(odd, every, k))
+    rank = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -184,8 +208,8 @@ def _enough(filed: DataFrame, tried: list, halves, held: np.ndarray, width: int,
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("rank") <= k).collect()
     total, needs = int(held.sum()), []
     a, b = halves(q)
-    for i, name in enumerate(names.tolist()):
+    for i in range(len(names)):
         order = nearest_pairs(a[i], b[i], held, total + 1)
         upto = dict(zip(order, np.cumsum(held[order]).tolist(), strict=True))
-        needs += [upto[r["pair"]] for r in near if r["query"] == name]
+        needs += [upto[r["pair"]] for r in near if r["query"] == i]
     return int(np.quantile(needs, recall, method="higher")) if needs else 1

@@ -9,7 +9,8 @@ So a document is taken whole, but for the two at the ends of that run.
 
 Nulls: a null text has no words, a null source is a source of its own, after all others, a null
 doc_id is an id like any other. Repeated rows are separate documents. An empty table gives an
-empty result. Only doc_id, text and source are read.
+empty result. Only doc_id, text and source are read; other columns of docs may have any names. Tables of
+sources and of shards are small, so their windows are over one partition.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Documents that no block touches go. A text taken in part keeps its layout between the words it
     keeps; n_chars, if there, is set anew.
     """
-    rows = sized(docs, how.get("seed", 17))
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))  # so no name of docs meets one of these
+    rows = sized(rows, how.get("seed", 17))
     slim = write_table(rows.select("source", "_size", "_order"), "mix-slim")
     out = apply_mix(rows, *plan_mix(slim, **how))
     part = F.expr("aggregate(_spans, 0L, (t, s) -> t + s.b - s.a)")
@@ -139,4 +141,4 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     some = F.when((part > 0) & (part < F.col("_size")), F.array(cut)).when(part > 0, F.array("text")).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("_text", F.explode(F.concat(F.array_repeat("text", F.col("_times").cast("int")), some)))
     kept = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*[kept.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return out.select(*[kept.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

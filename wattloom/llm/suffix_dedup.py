@@ -30,6 +30,7 @@ Only doc_id and text are read; texts are processed whole, as UTF-8 bytes.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_key, mix64, pack_chunks, rows_of, unpack, unzip_bytes, zip_bytes
-from .common import partitions, write_table
+from .common import join_unique, partitions, write_table
 
 SEGMENT = 1 << 16
 PAD = 0xFF  # no byte of UTF-8
@@ -111,9 +112,14 @@ class Chunk:
 
 def _contexts(a: np.ndarray, places: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, k: int) -> np.ndarray:
     """Per place: `width` bytes from there on and the width - k bytes before it backwards, PAD outside the document."""
-    at = places[:, None] + np.concatenate([np.arange(width), -1 - np.arange(width - k)])[None, :]
-    inside = (at >= start[:, None]) & (at < end[:, None])
-    return np.where(inside, a[np.clip(at, 0, max(len(a) - 1, 0))], PAD).astype(np.uint8)
+    step = np.concatenate([np.arange(width), -1 - np.arange(width - k)])
+    out = np.empty((len(places), len(step)), np.uint8)
+    for lo in range(0, len(places), SEGMENT):
+        some = slice(lo, lo + SEGMENT)
+        at = places[some, None] + step[None, :]
+        inside = (at >= start[some, None]) & (at < end[some, None])
+        out[some] = np.where(inside, a[np.clip(at, 0, max(len(a) - 1, 0))], PAD)
+    return out
 
 
 def _sorted_rows(x: np.ndarray) -> np.ndarray:
@@ -386,7 +392,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk: int = 4 << 20) -> Da
     if open_cores:
         shared = gone.where("string is not null").select("chunk", "string", "doc", "place", "o")
         least = shared.groupBy("string").agg(F.min("doc").alias("least"))
-        more = shared.join(least, "string").where("doc > least").groupBy("chunk", "place").agg(F.bit_or(F.expr("shiftleft(1L, int(o))")).alias("mask"))
+        more = join_unique(shared, least, "string").where("doc > least").groupBy("chunk", "place").agg(F.bit_or(F.expr("shiftleft(1L, int(o))")).alias("mask"))
         decided = decided.unionByName(more.mapInArrow(_as_rows, "chunk long, places binary, masks binary"))
     both = chunks.unionByName(decided, allowMissingColumns=True).repartition(max(n_chunks, partitions(spark)), "chunk").sortWithinPartitions("chunk")
     return both.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -430,6 +436,6 @@ def _limits(chunks: DataFrame, n_chunks: int, ranges: int, width: int, k: int, m
 
     found = sorted(bytes(r.suffix) for r in chunks.mapInArrow(some, "suffix binary").collect())
     picked = [found[i * len(found) // ranges] for i in range(1, ranges)] if found else []
-    cores = [s[:k] for s in picked]
+    cores = Counter(s[:k] for s in picked)
     size = 2 * width - k
-    return sorted({s if cores.count(s[:k]) > 1 else s[:k] + bytes(size - k) for s in picked})
+    return sorted({s if cores[s[:k]] > 1 else s[:k] + bytes(size - k) for s in picked})

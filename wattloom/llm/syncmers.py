@@ -129,30 +129,46 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def successors(docs: DataFrame, then: Callable, schema: str) -> DataFrame:
-    """then(doc, next) for every document; each is (doc_id, text), the next one that of the following document."""
+def _range_of(limits: np.ndarray, parts: np.ndarray, place: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The number of a document's range; a range of one doc_id that has very many documents is parted by their texts' hashes."""
+    at = np.searchsorted(limits, place, side="left")
+    first = np.append(0, np.cumsum(parts))
+    n = np.append(parts, 1)[at]
+    share = ((tie >> 32) + (1 << 31)) * n >> 32
+    return first[at] + np.where(n > 1, np.minimum(share, n - 1), 0)
+
+
+def successors(docs: DataFrame, then: Callable, schema: str, per: int = 4000) -> DataFrame:
+    """then(doc, next) for every document; each is (doc_id, text), the next one that of the following document. Ranges have about `per` documents."""
     spark = docs.sparkSession
-    n = 2 * partitions(spark)
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_place"))
-    limits = slim.agg(F.percentile_approx("_place", [k / n for k in range(1, n)], 100 * n)).head()[0] or []
-    limits = np.unique(np.array(limits, np.int64))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_place")
+    slim = docs.select(place)
+    n = max(2 * partitions(spark), docs.count() // per)
+    cuts = np.array(slim.agg(F.percentile_approx("_place", [k / n for k in range(1, n)], 100 * n)).head()[0] or [], np.int64)
+    limits, again = np.unique(np.append(cuts, [NO_ID]), return_counts=True)
+    # A doc_id at several quantiles has as many ranges, after one for what comes before it.
+    hot = limits[again > 2]
+    limits = np.unique(np.concatenate([limits, hot - 1]))
+    parts = np.ones(len(limits), np.int64)
+    parts[np.searchsorted(limits, hot)] = again[again > 2]
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.searchsorted(limits, place, side="left"))], ["place", "range"])
+            at = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_range_of(limits, parts, *at))], ["place", "tie", "range"])
 
-    found = slim.mapInArrow(ranges, "place long, range long").groupBy("range").agg(F.min("place").alias("first")).orderBy("range").collect()  # a row per range
-    used, first = [r["range"] for r in found], [r["first"] for r in found]
-    before = {f: used[i - 1] for i, f in enumerate(first)}  # of the first of all: the last range
+    keys = docs.select(place, F.xxhash64("text").alias("tie"))
+    found = keys.mapInArrow(ranges, "place long, tie long, range long").groupBy("range").agg(F.min(F.struct("place", "tie")).alias("first")).orderBy("range").collect()  # a row per range
+    number = {r["range"]: i for i, r in enumerate(found)}
+    before = {tuple(r["first"]): i - 1 if i else len(found) - 1 for i, r in enumerate(found)}  # of the first of all: the last range
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = [(i, r, 0) for i, r in enumerate(np.searchsorted(limits, place, side="left").tolist())]
-            rows += [(i, before[p], 1) for i, p in enumerate(place.tolist()) if p in before]
+            place, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            rows = [(i, number[r], 0) for i, r in enumerate(_range_of(limits, parts, place, tie).tolist())]
+            rows += [(i, before[p], 1) for i, p in enumerate(zip(place.tolist(), tie.tolist(), strict=True)) if p in before]
             take = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)] + [c.take(take) for c in batch.columns], ["range", "after", "place", "tie", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())] + [c.take(take) for c in batch.columns], ["range", "after", "place", "tie", "doc_id", "text"])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, done, size = None, [], 0
@@ -173,9 +189,9 @@ def successors(docs: DataFrame, then: Callable, schema: str) -> DataFrame:
         if done:
             yield out()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("place"), F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(deal, "range long, after long, place long, tie long, doc_id long, text string")
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "after", "place", "tie")
+    rows = docs.select(place, F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = rows.mapInArrow(deal, "range int, after long, place long, tie long, doc_id long, text string")
+    rows = rows.repartitionById(max(len(found), 1), "range").sortWithinPartitions("range", "after", "place", "tie")
     return rows.mapInArrow(follow, schema)
 
 

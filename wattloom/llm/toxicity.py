@@ -5,13 +5,13 @@ characters, hashed. P(grade > j) = sigmoid(w x - t_j): one weight per feature fo
 thresholds t_0 < t_1 < ..., fitted by gradient steps. severity() is the expected grade,
 the sum of these probabilities.
 
-Labels only say whether a document is toxic. Its grade is 0 if not; toxic ones are graded 1 to 3 by
-the number of their different words that have such a feature, split where the toxic labelled documents fall into three equal parts. A table that has grades can be
-fitted as it is (`grade`). The model is fitted on at most `fit_rows` labelled documents (a documented
-bound: those with the smallest seeded hashes). It uses the features of `least_toxic` toxic ones or
+Labels say whether a document is toxic and whether it is good. Its grade is 0 if it is not toxic, 1 if it is
+toxic and otherwise good (or nothing is said of that), 2 if it is toxic and bad: grades come from the labels
+alone. A table that has grades can be fitted as it is (`grade`). The model is fitted on at most `fit_rows`
+labels of documents that are there (a documented bound: those with the smallest seeded hashes). It uses the features of `least_toxic` toxic ones or
 more whose log-odds between toxic and
-clean documents, by counts over those, are `least_odds` or more and as surely (`least_sure` standard
-errors) above 0: words that toxic documents have at least 20 times as often.
+clean documents, by counts over those, are `least_odds` or more, or `least_odds` below 0 or less, and as
+surely (`least_sure` standard errors) not 0: words that toxic documents have 20 times as often, or as rarely.
 
 Nulls: a null text has no words; labels that are null, or whose document is missing, take no part. Of
 several labels of a document each counts. Without toxic labels the severity is 0. Texts are
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from .common import write_table
 
-GRADES = 3
 #: Expected severity from which a document is rejected: about a quarter of a chance that it is toxic at all.
 REJECT = 0.25
 _WORDS = re.compile(r"\w+")
@@ -65,7 +64,7 @@ class Model:
 
     def of_word(self, word: str) -> float:
         if (got := self._known.get(word)) is None:
-            if len(self._known) > 400_000:
+            if len(self._known) > 150_000:
                 self._known.clear()
             got = self._known[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
         return got
@@ -118,9 +117,11 @@ def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, rounds:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 2000, least_sure: float = 3.5, least_odds: float = 3.0, least_toxic: int = 5, grade: str | None = None) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic, and `grade` if given)."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.col(grade) if grade else F.lit(None)).cast("int").alias("grade"))
-    known = known.where("doc_id is not null and toxic is not null").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(fit_rows)
+    """A model from docs (doc_id, text) and labels (doc_id, toxic, quality if there, and `grade` if given)."""
+    bad = F.col("quality").cast("int") <= 0 if "quality" in labels.columns else F.lit(False)
+    by_label = F.when(F.col("toxic") > 0, F.when(F.coalesce(bad, F.lit(False)), 2).otherwise(1)).otherwise(0)
+    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.coalesce(F.col(grade).cast("int") if grade else F.lit(None), by_label).cast("int").alias("grade"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id", "toxic", "grade").limit(fit_rows)
     rows = write_table(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", "grade").repartition(16), "labelled")
     totals = rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).head()
     n_toxic, n_clean = totals[0], max(totals[1], 1)
@@ -131,36 +132,34 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
         m = clean.get(f, 0)
         odds = math.log(((n + 0.5) / (n_toxic + 1)) / ((m + 0.5) / (n_clean + 1)))
         found.append((-abs(odds) / math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)), f, odds))
-    picked = [{"feature": f, "odds": odds} for sure, f, odds in sorted(found)[:features] if -sure >= least_sure and odds >= least_odds]
-    place = {r["feature"]: k for k, r in enumerate(picked)}
+    picked = [f for sure, f, odds in sorted(found)[:features] if -sure >= least_sure and abs(odds) >= least_odds]
+    place = {f: k for k, f in enumerate(picked)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, toxic, given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[list] = [[], [], []]
+            for text, given in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n: dict[int, float] = {}
-                words, hits = different_words(text), 0
-                for w in words:
-                    own = word_features(w)
-                    hits += any(f in place for f in own)
-                    for f in own:
+                for w in different_words(text):
+                    for f in word_features(w):
                         if f in place:
                             n[place[f]] = n.get(place[f], 0.0) + 1.0
-                for cell, x in zip(out, (list(n), list(n.values()), toxic, given, float(hits)), strict=True):
+                for cell, x in zip(out, (list(n), list(n.values()), given), strict=True):
                     cell.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.float64())], ["features", "values", "toxic", "grade", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int32())], ["features", "values", "grade"])
 
     if not picked:
         return Model({}, [])
-    got = rows.mapInArrow(encode, "features array<int>, values array<double>, toxic int, grade int, hits double").collect()  # at most fit_rows rows, a few features each
-    got.sort(key=lambda r: (r["toxic"], r["hits"], r["features"], r["values"]))
-    cuts = np.quantile([r["hits"] for r in got if r["toxic"] > 0], [k / GRADES for k in range(1, GRADES)])
-    y = np.array([r["grade"] if r["grade"] is not None else 1 + int((r["hits"] > cuts).sum()) if r["toxic"] > 0 else 0 for r in got])
+    got = rows.mapInArrow(encode, "features array<int>, values array<double>, grade int").collect()  # at most fit_rows rows, a few features each
+    got.sort(key=lambda r: (r["grade"], r["features"], r["values"]))
+    y = np.array([r["grade"] for r in got])
     used = np.unique(y[y > 0])  # grades without rows would have no threshold
+    if not len(used):
+        return Model({}, [])
     y = np.searchsorted(used, y, side="right")
     w, t = _fit([(np.array(r["features"], np.int64), np.array(r["values"])) for r in got], y, len(picked))
     steps = np.diff(np.append(0, used))
-    return Model({r["feature"]: float(x) for r, x in zip(picked, w, strict=True) if x}, np.repeat(t, steps).tolist())
+    return Model({f: float(x) for f, x in zip(picked, w, strict=True) if x}, np.repeat(t, steps).tolist())
 
 
 def severity(model: Model, text: Column) -> Column:
@@ -174,6 +173,6 @@ def severity(model: Model, text: Column) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, reject: float = REJECT, **how) -> DataFrame:
-    """docs with severity, and toxic: whether that is `reject` or more."""
+    """docs with severity, and toxic: whether that is `reject` or more (in place of columns of these names)."""
     model = fit(docs, labels, **how)
     return docs.withColumn("severity", severity(model, F.col("text"))).withColumn("toxic", F.col("severity") >= reject)
