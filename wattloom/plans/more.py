@@ -143,6 +143,7 @@ add("period_dim", lambda s, d: A.endpoints(s, d).groupBy("slot").agg(F.sum(F.col
 add("endpoint_label", lambda s, d: A.endpoints(s, d).groupBy(C.label_of_minute(F.col("slot") * 10).alias("label")).agg(F.max("power").alias("most")),
     "SELECT lpad(CAST(slot * 10 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(slot * 10 % 60 AS VARCHAR), 2, '0') AS label, max(power) AS most FROM ep GROUP BY slot", BIN, "label", "most")
 add("to_energy", lambda s, d: A.site(s, d).select(*SITE, "day", "slot", (F.col("power") / 6).alias("energy")), "SELECT target, series_id, day, slot, power / 6 AS energy FROM site", BIN, "target, series_id, day, slot", "energy")
+add("clip_nonneg", lambda s, d: A.site(s, d).select(*SITE, "day", "slot", C.not_negative(F.col("power") - 20).alias("clipped")), "SELECT target, series_id, day, slot, greatest(0, power - 20) AS clipped FROM site", BIN, "target, series_id, day, slot", "clipped")
 add("clip_range", lambda s, d: A.site(s, d).select(*SITE, "day", "slot", F.least(F.lit(100.0), C.not_negative(F.col("power") - 20)).alias("clipped")), "SELECT target, series_id, day, slot, least(100, greatest(0, power - 20)) AS clipped FROM site", BIN, "target, series_id, day, slot", "clipped")
 add("daylight_flag", lambda s, d: A.site(s, d).groupBy(*SITE, "day").agg(F.count_if(C.daylight(F.col("power"))).alias("slots")), "SELECT target, series_id, day, count(*) FILTER (power > 1) AS slots FROM site GROUP BY ALL", BIN, "target, series_id, day, slots")
 
