@@ -58,14 +58,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: int = 1000) -> DataFrame:
-    """big (a written table) joined to small, which has one row per key, so that no task gets all rows of a frequent key.
+def frequent(rows: DataFrame, key: str, hot: int = 1000) -> list:
+    """The keys that at least `hot` and at least a thousandth of all rows of a written table have: 1000 at most."""
+    n = rows.count()
+    if n < hot:
+        return []
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    return [r[0] for r in counts.where(F.col("count") >= max(hot, n / 1000)).select(key).collect()]
+
+
+def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: int = 1000, often: list | None = None) -> DataFrame:
+    """big (a written table, unless `often` is given) joined to small, which has one row per key, so that no task gets all rows of a frequent key.
 
-    Frequent keys have at least `hot` and at least a thousandth of all rows of big, so there are at most
-    1000 of them: their rows of small are broadcast, and the rows of big stay where they are.
+    The rows of small with a frequent key (1000 at most) are broadcast, and such rows of big stay where they are.
     """
-    counts = big.where(F.col(key).isNotNull()).groupBy(key).count()
-    often = [r[0] for r in counts.where(F.col("count") >= max(hot, big.count() / 1000)).select(key).collect()]
+    often = frequent(big, key, hot) if often is None else often
     if not often:
         return big.join(small, key, how)
     some = F.coalesce(F.col(key).isin(often), F.lit(False))

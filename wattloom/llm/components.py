@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, write_table
+from .common import frequent, join_unique, write_table
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -21,8 +21,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = write_table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     if labels.isEmpty():
         return labels.withColumnRenamed("label", "component")
+    often = frequent(both, "a")
     while True:
-        near = join_unique(both, labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_near"))
+        near = join_unique(both, labels.withColumnRenamed("node", "a"), "a", often=often).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_near"))
         step = write_table(labels.join(near, "node").select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("_new")), "steps")
         jump = labels.select(F.col("node").alias("_new"), F.col("label").alias("_far"))
         step = write_table(join_unique(step, jump, "_new").select("node", F.col("_far").alias("label"), (F.col("_far") < F.col("_old")).alias("_moved")), "labels")

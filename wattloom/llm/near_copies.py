@@ -11,7 +11,7 @@ shingle) have a Jaccard similarity of `least` or more. Equal sets are merged fir
    one of their first n - ceil(least n) + 1. Sets of different components that share such a shingle are
    compared by their sizes and by parities of as many bits as they have shingles (of 256 to 1024 bits, then of
    all), which differ in at most as many bits as the sets in shingles; what passes is compared exactly.
-   Of each group only what connects it is compared at first. If some of that fails, all pairs of the
+   Of each group only what connects it (a star around one of them, as far as that goes) is compared at first. If some of that fails, all pairs of the
    groups concerned that are still in different components are.
 
 Groups over BLOCK are dealt to several tasks; the components found there are joined by one set of each,
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import mix64
-from .common import LOWER, UPPER, join_unique, partitions, write_table
+from .common import LOWER, UPPER, frequent, join_unique, partitions, write_table
 from .components import connected_components
 from .simhash import bits_of_hashes, link_fingerprints, named_groups
 
@@ -183,39 +183,39 @@ def _candidates(rows: DataFrame, least: float, forest: bool) -> DataFrame:
                 ok[at] = np.bitwise_count(folded[where[i[at]]] ^ folded[where[j[at]]]).sum(axis=1) <= apart * (n[i[at]] + n[j[at]]) + 1e-9
             return ok
 
-        left = np.flatnonzero(group[1:] == group[:-1]) if len(n) else np.zeros(0, np.int64)
-        good = alike(left, left + 1)
-        yield sid[np.stack([left[good], left[good] + 1], axis=1)]
-        chained = np.zeros(len(n), bool)
-        if forest:
-            chained[left[good] + 1] = True
-        run = np.cumsum(~chained)  # sets that neighbours connect
-        open_ = np.bincount(group, weights=~chained) > 1  # groups of several runs
-        few = np.flatnonzero((size[group] <= SMALL) & open_[group])
-        for d in range(2, SMALL):
+        label = np.arange(len(n))
+        if forest:  # a star around the first of each group, as far as that goes
+            first = edge[group]
+            rest = np.flatnonzero(label != first)
+            rest = rest[alike(first[rest], rest)]
+            label[rest] = first[rest]
+            yield sid[np.stack([first[rest], rest], axis=1)]
+        open_ = np.maximum.reduceat(label, edge) > edge  # groups of several parts
+        few = np.flatnonzero((size <= SMALL)[group] & open_[group])
+        for d in range(1, SMALL):
             few = few[few + d < len(n)]
             few = few[group[few] == group[few + d]]
             if not len(few):
                 break
-            at = few[run[few] != run[few + d]]
+            at = few[label[few] != label[few + d]]
             at = at[alike(at, at + d)]
             yield sid[np.stack([at, at + d], axis=1)]
         for g in np.flatnonzero((size > SMALL) & open_).tolist():
             lo, m = int(edge[g]), int(size[g])
-            label = run[lo : lo + m].copy()
-            for d in range(2, m):
+            own = label[lo : lo + m].copy()
+            for d in range(1, m):
                 at = np.arange(m - d)
-                at = at[label[at] != label[at + d]]
+                at = at[own[at] != own[at + d]]
                 at = at[alike(lo + at, lo + at + d)]
                 if forest:
                     tree = []
                     for i in at.tolist():
-                        if label[i] != label[i + d]:
+                        if own[i] != own[i + d]:
                             tree.append(i)
-                            label[label == label[i]] = label[i + d]
+                            own[own == own[i]] = own[i + d]
                     at = np.array(tree, np.int64)
                 yield sid[lo + np.stack([at, at + d], axis=1)]
-                if forest and (label == label[0]).all():
+                if forest and (own == own[0]).all():
                     break
 
     rows = rows.select(KEYED).repartition(partitions(rows.sparkSession), "key", "salt").sortWithinPartitions(*KEYED[:4])
@@ -274,12 +274,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, lea
     held = write_table(texts.mapInArrow(sets, "sid long, found binary"), "compared-sets")
     if held.count() > named.count():  # rows that repeat
         held = write_table(held.dropDuplicates(["sid"]), "compared-sets")
-    both = pairs.join(held.select(F.col("sid").alias("a"), F.col("found").alias("x")), "a").join(held.select(F.col("sid").alias("b"), F.col("found").alias("y")), "b")
+    often = {c: frequent(pairs, c) for c in "ab"}
+    both = join_unique(pairs, held.select(F.col("sid").alias("a"), F.col("found").alias("x")), "a", often=often["a"])
+    both = join_unique(both, held.select(F.col("sid").alias("b"), F.col("found").alias("y")), "b", often=often["b"])
     return write_table(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "set-links")
 
 
 def _neighbours(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that stand side by side in the order of the fingerprints and have the same."""
+    """Pairs (a, b) of sets with the same fingerprint: of each task's part of the order of fingerprints, the first of each with its others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -288,8 +290,11 @@ def _neighbours(classes: DataFrame) -> DataFrame:
             if last is not None:
                 fp, sid = np.append(last[0], fp), np.append(last[1], sid)
             if len(fp):
-                same, last = np.flatnonzero(fp[1:] == fp[:-1]), (fp[-1], sid[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[same], sid[same + 1])), pa.array(np.maximum(sid[same], sid[same + 1]))], ["a", "b"])
+                edge = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+                first = np.repeat(edge, np.diff(np.append(edge, len(fp))))
+                rest, last = np.flatnonzero(first != np.arange(len(fp))), (fp[edge[-1]], sid[edge[-1]])
+                a, b = sid[first[rest]], sid[rest]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     n = partitions(classes.sparkSession)
     return classes.select("fp", "sid").repartitionByRange(n, "fp", "sid").sortWithinPartitions("fp", "sid").mapInArrow(run, "a long, b long")
