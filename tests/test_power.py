@@ -188,6 +188,30 @@ def test_weights_are_a_simplex(spark):
     assert all(abs(sum(r.weights) - 1) < 1e-9 and min(r.weights) >= 0 for r in rows)
 
 
+def test_weights_are_optimal(spark):
+    """The conditions of non-negative least squares: no candidate could lower the error, and those in use are stationary."""
+    import numpy as np
+
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(60):
+        x = rng.normal(1, 1, size=(30, 4))
+        y = x @ rng.choice([0, 0.3, -0.4, 1.0], 4) + rng.normal(0, 0.3, 30)
+        rows.append(((x.T @ x)[np.triu_indices(4)].tolist(), (x.T @ y).tolist()))
+    rows += [(None, [1.0] * 4), ([float("nan")] * 10, [1.0] * 4), ([1.0] * 10, [-1.0] * 4)]
+    got = spark.createDataFrame(rows, "gram array<double>, product array<double>").coalesce(1).withColumn("w", P.simplex_weights("gram", "product")).collect()
+    assert [r.w for r in got[60:]] == [[0.25] * 4] * 3
+    for r in got[:60]:
+        a, b, w = np.zeros((4, 4)), np.array(r["product"]), np.array(r.w)
+        a[np.triu_indices(4)] = r.gram
+        a = a + np.triu(a, 1).T
+        best = w * max(0.0, w @ b / (w @ a @ w))
+        if not best.any():
+            assert (b <= 1e-9).all()
+            continue
+        slope = a @ best - b
+        assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all() and (slope >= -1e-6).all() and abs(slope[w > 0]).max() < 1e-6
+
+
 def test_partition_invariance(spark):
     rows = series(spark, 12, lambda d, k: (d * 31 + k * 17) % 101)
     run = lambda r: sorted(map(tuple, X.weighted_profile(r, KEYS).select("day_no", "slot", F.round("profile", 12)).collect()))

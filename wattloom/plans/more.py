@@ -137,7 +137,12 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 
 add("adjusted_order_settlement", lambda s, d: E.settlement(_orders(s, d), SERIES), "SELECT series_id, day_no, sum(price * ordered + 1.5 * price * greatest(adjusted - ordered, 0) - 0.5 * price * greatest(ordered - adjusted, 0) + 5 * price * greatest(used - adjusted, 0)) AS cash, sum(greatest(used - adjusted, 0)) AS emergency FROM ord GROUP BY ALL", ORDERED, "series_id, day_no", "cash, emergency")
 add("check_roundtrip", lambda s, d: Q.check_roundtrip(files.unpivot_power(files.pivot_power(A.endpoints(s, d))), A.endpoints(s, d), ["series_id", "day", "slot"], "power"), "SELECT count(*) AS n, count(*) FILTER (power IS NULL) AS missing, max(abs(power - power)) AS off FROM ep", BIN, "n, missing", "off")
-add("many_series_baseline", lambda s, d: M.by_group(P.baseline(A.user_endpoints(s, d).withColumn("target", F.lit("load")), SITE), ["series_id"]).select("series_id", "n", "mae", "rmse", "bias"))
+USERS = BIN + """,
+ub AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS day, CAST(floor((hour(ts) * 60 + minute(ts)) / 10) AS INTEGER) + 1 AS slot, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY ALL),
+up AS (SELECT k.series_id, p.day_no, p.slot, coalesce(CAST(u.v AS DOUBLE), 0) AS power FROM (SELECT DISTINCT series_id FROM ub) k CROSS JOIN spine p LEFT JOIN ub u ON u.series_id = k.series_id AND u.day = p.day AND u.slot = p.slot),
+us AS (SELECT *, lag(power, 7) OVER (PARTITION BY series_id, slot ORDER BY day_no) AS pred FROM up)"""
+add("many_series_baseline", lambda s, d: M.by_group(P.baseline(A.user_endpoints(s, d).withColumn("target", F.lit("load")), SITE), ["series_id"]).select("series_id", "n", "mae", "rmse", "bias"),
+    "SELECT series_id, count(pred) AS n, avg(abs(pred - power)) AS mae, sqrt(avg((pred - power) * (pred - power))) AS rmse, avg(pred - power) AS bias FROM us WHERE pred IS NOT NULL GROUP BY series_id", USERS, "series_id, n", "mae, rmse, bias")
 add("period_dim", lambda s, d: A.endpoints(s, d).groupBy("slot").agg(F.sum(F.col("power").cast("decimal(18,2)")).cast("double").alias("power")).withColumns({"from_minute": (F.col("slot") - 1) * 10, "to_minute": F.col("slot") * 10, "hours": F.lit(1 / 6)}),
     "SELECT slot, sum(CAST(power AS DECIMAL(18,2))) AS power, (slot - 1) * 10 AS from_minute, slot * 10 AS to_minute, 1 / 6.0 AS hours FROM ep GROUP BY slot", BIN, "slot, from_minute, to_minute", "power, hours")
 add("endpoint_label", lambda s, d: A.endpoints(s, d).groupBy(C.label_of_minute(F.col("slot") * 10).alias("label")).agg(F.max("power").alias("most")),
