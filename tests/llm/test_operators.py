@@ -632,7 +632,7 @@ def test_every_stage_with_odd_rows(spark, rows, tmp_path, name):
     """Nulls in any column, empty and long texts, ties, repeated rows, columns with clashing names, and no rows."""
     import corpus_pipeline
 
-    data, schema = odd_documents([*rows, rows[3], rows[3], (None, None, None, None, None), (None, "another without an id " + rows[8][1], None, "src0", None)])
+    data, schema = odd_documents([*rows, rows[3], rows[3], (None, None, None, None, None), (None, "another without an id " + " ".join(reversed(rows[8][1].split())), None, "src0", None)])
     spark.createDataFrame([(1, 0, 0), (3, 1, 1), (68, 1, 1), (None, 1, None), (5, None, 0)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     frame = spark.createDataFrame(data, schema).repartition(3)
     stage = dict(corpus_pipeline.STAGES)[name]
