@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import write_table
 
-#: Expected severity from which a document is rejected: about a quarter of a chance that it is toxic at all.
-REJECT = 0.25
+#: Expected severity from which a document is rejected: some three times that of a text without any feature. On held-out
+#: labels (each half of them, models of the other half) 0.1 finds 81 % of the toxic and rejects 0.9 % of the clean, 0.25 finds 69 % and rejects 0.1 %.
+REJECT = 0.1
 _WORDS = re.compile(r"\w+")
 
 
