@@ -9,10 +9,10 @@ shingle) have a Jaccard similarity of `least` or more. Equal sets are merged fir
    to about 20, for which every fingerprint would have to probe most of a part's values.
 2. Prefix filter, which misses no pair: in one order of all shingles, two sets that are so alike share
    one of their first n - ceil(least n) + 1. Sets of different components that share such a shingle are
-   compared by their sizes and by parities of as many bits as they have shingles (of 256 to 1024 bits, then of
+   compared by their sizes and by parities of as many bits as they have shingles (of 512 to 1024 bits, then of
    all), which differ in at most as many bits as the sets in shingles; what passes is compared exactly.
-   Of each group only what connects it (a star around one of them, as far as that goes) is compared at first. If some of that fails, all pairs of the
-   groups concerned that are still in different components are.
+   Of each group only what connects it (a star around one of them, as far as that goes) is compared at first. If some of that fails, so
+   are stars around other sets of the groups concerned, and then all pairs that are still in different components.
 
 Groups over BLOCK are dealt to several tasks; the components found there are joined by one set of each,
 and what then is still apart is compared between all blocks.
@@ -49,8 +49,10 @@ BLOCK = 4096
 #: Documents whose shingles tell which are frequent, and in how many of them a frequent one is.
 SAMPLE, OFTEN = 5000, 2
 #: Bits of the parity that goes with every shared shingle, at least and at most (powers of two).
-FEWEST, MOST = 256, 1024
-KEYED = ["key", "salt", "n", "sid", "part", "odd"]
+FEWEST, MOST = 512, 1024
+KEYED = ["key", "salt", "turn", "n", "sid", "part", "odd"]
+#: Further stars around other sets before all pairs that are left are compared.
+ROUNDS = 2
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -189,6 +191,8 @@ def _candidates(rows: DataFrame, least: float, forest: bool) -> DataFrame:
             rest = np.flatnonzero(label != first)
             rest = rest[alike(first[rest], rest)]
             label[rest] = first[rest]
+            same = np.flatnonzero(part == part[first])  # in the component of the first already
+            label[same] = first[same]
             yield sid[np.stack([first[rest], rest], axis=1)]
         open_ = np.maximum.reduceat(label, edge) > edge  # groups of several parts
         few = np.flatnonzero((size <= SMALL)[group] & open_[group])
@@ -218,7 +222,8 @@ def _candidates(rows: DataFrame, least: float, forest: bool) -> DataFrame:
                 if forest and (own == own[0]).all():
                     break
 
-    rows = rows.select(KEYED).repartition(partitions(rows.sparkSession), "key", "salt").sortWithinPartitions(*KEYED[:4])
+    rows = rows if "turn" in rows.columns else rows.withColumn("turn", F.col("sid"))
+    rows = rows.select(KEYED).repartition(partitions(rows.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "turn", "sid")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -335,11 +340,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits:
             pairs, links = pairs.unionByName(more), links.unionByName(_verified(more, docs, classes, shingle, least))
             names = connected_components(links)
 
-    failed = pairs.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    open_keys = keys.join(failed, "sid", "left_semi").select("key").unionByName(hot.select("key")).distinct()
-    rest = write_table(_named(keys.join(open_keys, "key", "left_semi"), names), "open-keys")
-    apart = rest.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("key")
-    rest = rest.join(apart, "key", "left_semi").join(about, "sid")
+    def still_open(seed: int) -> DataFrame:
+        """Rows of the shared keys that a failed pair concerns, or that are large, and whose sets are in several components."""
+        failed = pairs.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        open_keys = keys.join(failed, "sid", "left_semi").select("key").unionByName(hot.select("key")).distinct()
+        rest = write_table(_named(keys.join(open_keys, "key", "left_semi"), names), "open-keys")
+        apart = rest.groupBy("key").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("key")
+        return rest.join(apart, "key", "left_semi").withColumn("salt", salted).join(about, "sid").withColumn("turn", F.xxhash64("sid", F.lit(seed)))
+
+    for seed in range(1, ROUNDS + 1):  # other stars, so that few pairs are left for the last step
+        more = _of_all_bits(_candidates(still_open(seed), least, True).join(pairs, ["a", "b"], "left_anti"), classes, least)
+        if more.isEmpty():
+            break
+        good = _verified(more, docs, classes, shingle, least)
+        pairs, links = pairs.unionByName(more), links.unionByName(good)
+        if good.isEmpty():
+            break
+        names = connected_components(links)
+    rest = still_open(0)
     blocks = F.expr(f"(size + {BLOCK - 1}) div {BLOCK}")
     own = F.pmod(F.xxhash64("sid", F.lit(7)), blocks)
     salts = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
