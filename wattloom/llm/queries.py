@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, packing, simhash, suffix_dedup, suffix_tree, syncmers, token_files, toxicity
+from . import ann, conversation_repair, line_dedup, mixing, packing, quality_rules, simhash, source_divergence, suffix_dedup, suffix_tree, syncmers, token_files, toxicity
 from .common import table
 
 
@@ -56,6 +56,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "severity", "toxic")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.audits(conversation_repair.damaged(rows), rows)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 #: The same from the definition: every two lines that share a half, compared with levenshtein().
 OP3_SQL = r"""
 WITH l AS (
@@ -83,7 +97,40 @@ SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (NOT k
 FROM d GROUP BY doc_id, r
 """
 
+#: The same term by term: every group with every kept term of its language.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS words FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(words) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT g.lang, g.source, k.term, coalesce(x.n, 0) AS n, k.n AS lang_n
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+), w AS (
+  SELECT lang, source, term, n, 1 + CAST((CAST(1000000000 AS HUGEINT) * (n + 2)) // (sum(n) OVER s + 2 * count(*) OVER s) AS BIGINT) AS p,
+    1 + CAST((CAST(1000000000 AS HUGEINT) * (lang_n + 2)) // (sum(lang_n) OVER s + 2 * count(*) OVER s) AS BIGINT) AS q
+  FROM c WINDOW s AS (PARTITION BY lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM w a JOIN w b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), out AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM w WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM out
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_source_divergence": op13_source_divergence,
     "op9_toxicity": op9_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op1_suffix_tree": op1_suffix_tree,
@@ -97,4 +144,5 @@ QUERIES = {
 }
 ORACLE = {
     "op3_line_dedup": OP3_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
