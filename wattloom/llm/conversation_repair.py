@@ -248,7 +248,7 @@ def _cells(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _segments(marked: DataFrame) -> DataFrame:
+def _segments(marked: DataFrame, most_rows: int, most_chars: int) -> DataFrame:
     """SEGMENT rows with conv_id: of each segment its edits (kind 0), and its messages that may stay (kind 1)."""
     kind = dict(marked.dtypes)["conv_id"]
     names = ["conv_id", *[c.split()[0] for c in SEGMENT.split(", ")]]
@@ -298,7 +298,7 @@ def _segments(marked: DataFrame) -> DataFrame:
                         chars += len(text)
                     held.append((role[:1], fault in ("blank", "duplicate"), fault == "truncated"))
                     counts["rows"] += 1
-                    if len(held) >= ROWS or chars >= CHARS:
+                    if len(held) >= most_rows or chars >= most_chars:
                         cut()
                 if len(ready) >= 256:
                     yield _batch(ready, schema, names)
@@ -373,7 +373,7 @@ SUMMARY = "gaps long, blank long, duplicate long, truncated long, illegal long,
 MESSAGE = "place long, role string, text string"
 
 
-def _walked(rows: DataFrame, of: DataFrame | None, messages: bool) -> DataFrame:
+def _walked(rows: DataFrame, of: DataFrame | None, messages: bool, most_rows: int, most_chars: int) -> DataFrame:
     kind, schema = dict(rows.dtypes)["conv_id"], MESSAGE if messages else SUMMARY
     names = ["conv_id", *[c.split()[0] for c in schema.split(", ")]]
 
@@ -405,20 +405,20 @@ def _walked(rows: DataFrame, of: DataFrame | None, messages: bool) -> DataFrame:
             ended()
             yield _batch(ready, fields, names)
 
-    segments = _segments(_marked(rows, rows.select("conv_id") if of is None else of))
+    segments = _segments(_marked(rows, rows.select("conv_id") if of is None else of), most_rows, most_chars)
     whole = segments.repartition("conv_id").sortWithinPartitions("conv_id", "kind", "part", "no")
     return whole.mapInArrow(run, f"conv_id {kind}, {schema}")
 
 
-def audits(rows: DataFrame, of: DataFrame | None = None) -> DataFrame:
+def audits(rows: DataFrame, of: DataFrame | None = None, most_rows: int = ROWS, most_chars: int = CHARS) -> DataFrame:
     """A row per conversation of `rows` (conv_id, turn, role, text) and of `of` (conv_id): SUMMARY.
 
     gaps: turns missing between the first and the last. blank, duplicate, truncated: rows by their first fault. illegal: neighbours whose
     initials are not su, ua or au. repaired_sha256: of the repaired role:text, joined by newlines.
     """
-    return _walked(rows, of, messages=False)
+    return _walked(rows, of, False, most_rows, most_chars)
 
 
-def repaired(rows: DataFrame) -> DataFrame:
+def repaired(rows: DataFrame, most_rows: int = ROWS, most_chars: int = CHARS) -> DataFrame:
     """(conv_id, place, role, text): the repaired messages, places from 0."""
-    return _walked(rows, None, messages=True)
+    return _walked(rows, None, True, most_rows, most_chars)
