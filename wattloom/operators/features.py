@@ -16,6 +16,11 @@ def lags(rows: DataFrame, keys: list[str], days: tuple = (1, 2, 7, 14)) -> DataF
     return rows.withColumns({f"lag{n}": F.lag("power", n).over(by_slot(keys)) for n in days})
 
 
+def sparse_lags(rows: DataFrame, keys: list[str], days: tuple = (1, 2, 7, 14)) -> DataFrame:
+    """The same for series with gaps: what the slot had exactly so many days before, null where nothing was measured; no grid is made."""
+    return rows.withColumns({f"lag{n}": F.max("power").over(by_slot(keys).rangeBetween(-n, -n)) for n in days})
+
+
 def rolling(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Means and population deviations of the last 7 and 14 days, and the median of 7."""
     w = by_slot(keys)
@@ -81,15 +86,13 @@ def _normalised(rows: DataFrame, keys: list[str], share) -> DataFrame:
     return rows.withColumn("_raw", share).withColumn("profile", F.when(whole > 1e-8, F.col("_raw") / whole).otherwise(F.lit(1.0 / SLOTS))).drop("_raw")
 
 
-def normalized_profile(rows: DataFrame, keys: list[str], weekly: bool) -> DataFrame:
-    """The mean share of a slot, of the last four same weekdays or of the last 7 days."""
+def normalized_profile(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean share of a slot. Load: of the last four same weekdays, of the last 7 days where there is none yet. Solar output (target pv): of the last 7 days."""
     rows, w = shares(rows, keys), by_slot(keys)
-    if weekly:
-        past = F.filter(F.array(*[F.lag("share", n).over(w) for n in (7, 14, 21, 28)]), lambda x: x.isNotNull())
-        mean = F.when(F.size(past) > 0, F.aggregate(past, F.lit(0.0), lambda a, x: a + x) / F.size(past))
-    else:
-        mean = F.avg("share").over(w.rowsBetween(-7, -1))
-    return _normalised(rows, keys, mean)
+    past = F.filter(F.array(*[F.lag("share", n).over(w) for n in (7, 14, 21, 28)]), lambda x: x.isNotNull())
+    weekly = F.when(F.size(past) > 0, F.aggregate(past, F.lit(0.0), lambda a, x: a + x) / F.size(past))
+    daily = F.avg("share").over(w.rowsBetween(-7, -1))
+    return _normalised(rows, keys, F.when((F.col("target") == "pv") | F.lag("slot", 7).over(w).isNull(), daily).otherwise(weekly))
 
 
 def weighted_profile(rows: DataFrame, keys: list[str], oldest: float = 0.65, days: int = 7) -> DataFrame:

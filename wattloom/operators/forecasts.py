@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import not_negative
+from .backtests import Factory, Origins, backtest, boosted, importances
 from .features import BOUNDARY_COLUMNS, boundary_features, by_slot, daily_total_features, normalized_profile, smoothed, tree_features, weighted_profile
-from .trees import Boosted
 
 
 def baseline(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,75 +111,21 @@ def adaptive_forecast(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("pred", not_negative(sum((F.col(f"c{i}") * F.col("weights")[i] for i in range(1, 4)), F.col("c0") * F.col("weights")[0])))
 
 
-def _with_origins(rows: DataFrame, keys: list[str], label: str, first_day: int, every: int, known_before: int) -> DataFrame:
-    """Every row once per origin that it is asked at (_asks) or learned for: origins are first_day, first_day + every, ... up to the last day.
-
-    A row is learned for origins more than `known_before` days after it.
-    """
-    rows = rows.withColumn("_last", F.max("day_no").over(Window.partitionBy(*keys)))
-    no = lambda day: f"{first_day} + {every} * ({day} div {every})"
-    asks = rows.where(F.col("day_no") >= first_day).withColumns({"_origin": F.expr(no(f"(day_no - {first_day})")), "_asks": F.lit(True)})
-    start = f"greatest({first_day}, {no(f'(day_no + {known_before} - {first_day} + {every})')})"
-    learn = rows.where(F.col(label).isNotNull()).withColumn("_start", F.expr(start)).where("_start <= _last")
-    learn = learn.withColumns({"_origin": F.explode(F.expr(f"sequence(_start, _last, {every})")), "_asks": F.lit(False)}).drop("_start")
-    return asks.unionByName(learn).drop("_last").withColumn("_origin", F.col("_origin").cast("int"))
-
-
-def backtest(rows: DataFrame, keys: list[str], columns: list[str], label: str, first_day: int, every: int = 1, known_before: int = 0, **trees) -> DataFrame:
-    """(keys, day_no, slot if there, pred) from boosted trees refitted every `every` days on the days before the origin.
-
-    A group is a series at an origin, with its history; groups are independent, so series and origins run
-    side by side. Rows with a null feature take no part.
-    """
-    given = ["day_no", *[c for c in ("slot",) if c in rows.columns]]
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *given]) + ", pred double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(given, kind="stable")
-        asks, learn = pdf[pdf["_asks"]], pdf[~pdf["_asks"]]
-        out = asks[[*keys, *given]].copy()
-        if not len(learn) or not len(out):
-            return out.iloc[:0].assign(pred=0.0)
-        model = Boosted(**trees).fit(learn[columns].to_numpy(float), learn[label].to_numpy(float))
-        return out.assign(pred=np.maximum(0.0, model.predict(asks[columns].to_numpy(float))))
-
-    ready = rows.dropna(subset=columns).select(*keys, *given, *columns, label)
-    return _with_origins(ready, keys, label, first_day, every, known_before).groupBy(*keys, "_origin").applyInPandas(run, schema)
-
-
-def importances(rows: DataFrame, keys: list[str], columns: list[str], label: str, first_day: int, every: int = 1, known_before: int = 0, **trees) -> DataFrame:
-    """(keys, origin, feature, weight): of the models of backtest(), each feature's share of what the splits gain."""
-    kinds = dict(rows.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day_no", kind="stable")
-        learn = pdf[~pdf["_asks"]]
-        if not len(learn) or len(learn) == len(pdf):
-            return pd.DataFrame({k: [] for k in [*keys, "origin", "feature", "weight"]})
-        model = Boosted(**trees).fit(learn[columns].to_numpy(float), learn[label].to_numpy(float))
-        return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"origin": pdf["_origin"].iloc[0], "feature": columns, "weight": model.importance})
-
-    ready = rows.dropna(subset=columns).select(*keys, "day_no", *columns, label)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", origin int, feature string, weight double"
-    return _with_origins(ready, keys, label, first_day, every, known_before).groupBy(*keys, "_origin").applyInPandas(run, schema)
-
-
 TREE_COLUMNS = ["lag1", "lag2", "lag7", "lag14", "mean7", "std7", "mean14", "std14", "median7", "slot_share", "slot_sin", "slot_cos", "weekday_share", "weekend", "week_sin", "week_cos", "year_sin", "year_cos"]
 TOTAL_COLUMNS = ["lag1", "lag2", "lag3", "lag7", "lag14", "mean7", "std7", "mean14", "std14", "trend", "year_sin", "year_cos", "week_sin", "week_cos"]
 
 
-def tree_backtest(rows: DataFrame, keys: list[str], first_day: int, every: int = 1, **trees) -> DataFrame:
-    """rows with pred: boosted trees on the 18 inputs of each slot, for every day from first_day on."""
-    found = backtest(tree_features(rows, keys).where("day_no >= 14"), keys, TREE_COLUMNS, "power", first_day, every, **({"rounds": 120, "depth": 5} | trees))
-    return rows.join(found, [*keys, "day_no", "slot"])
+def tree_backtest(rows: DataFrame, keys: list[str], first_day: int, every: int = 1, factory: Factory | None = None, at_once: int = 8) -> DataFrame:
+    """rows with pred: a model per target on the 18 inputs of each slot (boosted trees by default), refitted every `every` days, for every day from first_day on."""
+    origins = Origins(tree_features(rows, keys).where("day_no >= 14"), [*keys, "day_no", "slot"], TREE_COLUMNS, "power", first_day, every)
+    return rows.join(backtest(origins, factory or boosted(), at_once), [*keys, "day_no", "slot"])
 
 
-def energy_profile(rows: DataFrame, keys: list[str], first_day: int, every: int = 1, **trees) -> DataFrame:
-    """Boosted trees on daily totals, spread over the weighted profile."""
+def energy_profile(rows: DataFrame, keys: list[str], first_day: int, every: int = 1, factory: Factory | None = None, at_once: int = 8) -> DataFrame:
+    """Daily totals by a model on their 14 inputs, spread over the weighted profile."""
     totals = rows.groupBy(*keys, "day", "day_no").agg(F.sum("power").alias("total"))
-    ready = daily_total_features(totals, keys).where("day_no >= 14")
-    days = backtest(ready, keys, TOTAL_COLUMNS, "total", first_day, every, **({"rounds": 100, "depth": 3, "least": 1} | trees)).withColumnRenamed("pred", "day_total")
+    origins = Origins(daily_total_features(totals, keys).where("day_no >= 14"), [*keys, "day_no"], TOTAL_COLUMNS, "total", first_day, every)
+    days = backtest(origins, factory or boosted(rounds=100, depth=3, least=4, rows=0.9, columns=0.9), at_once).withColumnRenamed("pred", "day_total")
     return weighted_profile(rows, keys).join(days, [*keys, "day_no"]).withColumn("pred", F.col("profile") * F.col("day_total"))
 
 
@@ -190,19 +136,24 @@ def boundary_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return boundary_features(rows, keys).join(label, [*keys, "day_no"]).where("day_no >= 14")
 
 
-#: Trees of the boundary study: shallow, since there is one row per day.
-BOUNDARY_TREES = {"rounds": 120, "depth": 2, "least": 3, "sample": 0.9, "ridge": 8.0}
+def boundary_origins(rows: DataFrame, keys: list[str], first_day: int, every: int = 1) -> Origins:
+    """The last label known at a day's start is that of two days before."""
+    return Origins(boundary_rows(rows, keys), [*keys, "day_no"], BOUNDARY_COLUMNS, "next", first_day, every, known_before=1)
+
+
+def boundary_factory(rounds: int = 100) -> Factory:
+    """Trees of the boundary study: shallow, since there is one row per series and day."""
+    return boosted(rounds=rounds, depth=2, least=3, rows=0.9, columns=0.9)
 
 
-def boundary_trees(rows: DataFrame, keys: list[str], first_day: int, every: int = 1) -> DataFrame:
-    """(keys, day_no, pred): the next day's first endpoint; the last label known at a day's start is that of two days before."""
-    return backtest(boundary_rows(rows, keys), keys, BOUNDARY_COLUMNS, "next", first_day, every, known_before=1, **BOUNDARY_TREES)
+def boundary_trees(rows: DataFrame, keys: list[str], first_day: int, every: int = 1, factory: Factory | None = None, at_once: int = 8) -> DataFrame:
+    """(keys, day_no, pred): the next day's first endpoint."""
+    return backtest(boundary_origins(rows, keys, first_day, every), factory or boundary_factory(), at_once)
 
 
-def boundary_importances(rows: DataFrame, keys: list[str], first_day: int, every: int = 1) -> DataFrame:
-    """(feature, weight): mean over the models of all days."""
-    found = importances(boundary_rows(rows, keys), keys, BOUNDARY_COLUMNS, "next", first_day, every, known_before=1, **BOUNDARY_TREES)
-    return found.groupBy("feature").agg(F.avg("weight").alias("weight"))
+def boundary_importances(rows: DataFrame, keys: list[str], first_day: int, every: int = 1, factory: Factory | None = None, at_once: int = 8) -> DataFrame:
+    """(feature, weight): mean over the models of all origins."""
+    return importances(boundary_origins(rows, keys, first_day, every), BOUNDARY_COLUMNS, factory or boundary_factory(), at_once)
 
 
 def seasonal_totals(totals: DataFrame, keys: list[str], first_day: int, every: int = 30) -> DataFrame:
@@ -230,9 +181,9 @@ def seasonal_totals(totals: DataFrame, keys: list[str], first_day: int, every: i
     return totals.select(*keys, "day_no", "total").groupBy(*keys).applyInPandas(run, schema)
 
 
-def seasonal_profile(rows: DataFrame, keys: list[str], first_day: int, weekly: bool) -> DataFrame:
+def seasonal_profile(rows: DataFrame, keys: list[str], first_day: int) -> DataFrame:
     """Seasonal totals spread over the normalised profile."""
     totals = rows.groupBy(*keys, "day_no").agg(F.sum("power").alias("total"))
     found = seasonal_totals(totals, keys, first_day).withColumnRenamed("pred", "day_total")
-    return normalized_profile(rows, keys, weekly).join(found, [*keys, "day_no"]).withColumn("pred", F.col("profile") * F.col("day_total"))
+    return normalized_profile(rows, keys).join(found, [*keys, "day_no"]).withColumn("pred", F.col("profile") * F.col("day_total"))
 

@@ -67,6 +67,12 @@ def versions(rows: DataFrame, groups: list[list[str]]) -> DataFrame:
     return out.withColumn("improvement", gain)
 
 
+def undefined(table: DataFrame) -> DataFrame:
+    """Rows of versions() for which a percentage has no value, with fault: "improvement" (the old error is 0, the new one is not) or "wape" (all truth is 0, an error is not)."""
+    fault = F.when(F.col("improvement").isNull(), "improvement").when(F.col("old_wape").isNull() | F.col("new_wape").isNull(), "wape")
+    return table.withColumn("fault", fault).where("fault is not null")
+
+
 def verdict(table: DataFrame) -> DataFrame:
     """Which version is better: the new one from 0.5 % on; else both are equal within 0.5 % or 1 kW; else the old one."""
     close = (F.abs(F.col("improvement")) < 0.5) | (F.abs(F.col("old_mae") - F.col("new_mae")) < 1)

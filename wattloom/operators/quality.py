@@ -33,9 +33,19 @@ def check_release(issues: DataFrame) -> DataFrame:
     return issues.groupBy("series_id", "day").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("release_hour").isin(0, 6, 12, 18)).alias("odd")).withColumn("ok", (F.col("n") == 4) & (F.col("odd") == 0))
 
 
-def check_roundtrip(written: DataFrame, computed: DataFrame, key: list[str], value: str) -> DataFrame:
-    both = written.select(*key, F.col(value).alias("_w")).join(computed.select(*key, F.col(value).alias("_c")), key, "full")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_w").isNull() | F.col("_c").isNull()).alias("missing"), F.max(F.abs(F.col("_w") - F.col("_c"))).alias("off"))
+def check_roundtrip(computed: DataFrame, path: str, part: str, key: list[str], value: str, tolerance: float = 1e-9) -> DataFrame:
+    """What was written against what was computed, per partition (directories part=... under path).
+
+    n: computed rows; missing: of these, not found again; extra: found only; changed: further apart than the tolerance, or a null on one side; off: the largest difference.
+    A partition that is gone counts with all its rows.
+    """
+    kept = computed.select(*dict.fromkeys([part, *key]), F.col(value).alias("_computed"), F.lit(True).alias("_here"))
+    found = computed.sparkSession.read.schema(computed.select(*dict.fromkeys([part, *key]), value).schema).parquet(path)
+    both = found.select(*dict.fromkeys([part, *key]), F.col(value).alias("_found"), F.lit(True).alias("_there")).join(kept, list(dict.fromkeys([part, *key])), "full")
+    off = F.abs(F.col("_found") - F.col("_computed"))
+    here, there = F.col("_here").isNotNull(), F.col("_there").isNotNull()
+    other = (off > tolerance) | (F.col("_found").isNull() != F.col("_computed").isNull())
+    return both.groupBy(part).agg(F.count_if(here).alias("n"), F.count_if(here & ~there).alias("missing"), F.count_if(there & ~here).alias("extra"), F.count_if(here & there & other).alias("changed"), F.max(off).alias("off"))
 
 
 def pair_completeness(daily: DataFrame, kinds: int = 8) -> DataFrame:

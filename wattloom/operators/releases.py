@@ -6,7 +6,7 @@ day's midnight. Truth is (series_id, at, power).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import not_negative
@@ -22,12 +22,24 @@ def explode_leads(issues: DataFrame) -> DataFrame:
     return issues.select(*KEY, "day_no", "release_hour", F.posexplode("leads").alias("_i", "pred")).selectExpr(*KEY, "day_no", "release_hour", "_i + 1 as lead_h", "issue_at + (_i + 1) * 6 as at", "pred")
 
 
-def hourly_pairs(issues: DataFrame, truth: DataFrame) -> DataFrame:
-    """An issue and the one six hours before for the same hours, with the truth; joined before the leads are unfolded."""
+def observed_pairs(issues: DataFrame, truth: DataFrame) -> DataFrame:
+    """The pairs of hourly_pairs() and those that cannot be made: fault is null, "issue" without one six hours before, or "truth" without a measured value."""
     old = issues.select("series_id", (F.col("issue_at") + 36).alias("issue_at"), F.col("leads").alias("old_leads"))
-    both = issues.join(old, KEY).withColumn("lead_h", F.explode(F.expr("sequence(1, least(24 - release_hour, 18))")))
-    both = both.selectExpr(*KEY, "day", "release_hour", "lead_h", "issue_at + lead_h * 6 as at", "leads[lead_h - 1] as new", "old_leads[lead_h + 5] as old")
-    return both.join(truth.withColumnRenamed("power", "truth"), ["series_id", "at"])
+    both = issues.join(old, KEY, "left").withColumn("lead_h", F.explode(F.expr("sequence(1, least(24 - release_hour, 18))")))
+    both = both.selectExpr(*KEY, "day", "release_hour", "lead_h", "issue_at + lead_h * 6 as at", "leads[lead_h - 1] as new", "old_leads[lead_h + 5] as old", "old_leads is null as _alone")
+    both = both.join(truth.withColumnRenamed("power", "truth"), ["series_id", "at"], "left")
+    return both.withColumn("fault", F.when(F.col("_alone"), "issue").when(F.col("truth").isNull(), "truth")).drop("_alone")
+
+
+def counted(pairs: DataFrame, observation: Observation) -> DataFrame:
+    """Whole pairs of observed_pairs(); what is left out is counted on the way, as missing_issue and missing_truth of the observation."""
+    faults = [F.count_if(F.coalesce(F.col("fault") == f, F.lit(False))).alias(f"missing_{f}") for f in ("issue", "truth")]
+    return pairs.observe(observation, F.count(F.lit(1)).alias("asked"), *faults).where("fault is null").drop("fault")
+
+
+def hourly_pairs(issues: DataFrame, truth: DataFrame) -> DataFrame:
+    """An issue and the one six hours before for the same hours, with the truth; joined before the leads are unfolded. Pairs without one of these are left out: see observed_pairs()."""
+    return observed_pairs(issues, truth).where("fault is null").drop("fault")
 
 
 def knots(issues: DataFrame, truth: DataFrame) -> DataFrame:
@@ -109,6 +121,22 @@ def choose(rolling: DataFrame, least: int = 7) -> DataFrame:
     return best.withColumn("chosen", F.when(F.col("history") < least, "A").otherwise(F.col("best"))).drop("best")
 
 
-def latest_issue(issues: DataFrame) -> DataFrame:
-    """For each target hour the newest value issued before it."""
-    return explode_leads(issues).groupBy("series_id", "at").agg(F.max_by("pred", "issue_at").alias("pred"), F.max("issue_at").alias("issue_at"))
+def latest_issue(issues: DataFrame, truth: DataFrame, starts: DataFrame) -> DataFrame:
+    """(series_id, at, issue_at, pred) for every ten-minute interval that starts at `at` (starts: series_id, at).
+
+    It takes the newest issue at or before its start, whenever that was, and the mean of its two ends on the lines through what was measured at
+    the issue and the hourly values; null before the first issue and beyond the last value. Issues and starts are put in one
+    order and each start takes over the last issue above it: no join of times.
+    """
+    now = truth.select("series_id", F.col("at").alias("issue_at"), F.col("power").alias("now"))
+    known = issues.join(now, KEY).select("series_id", F.col("issue_at").alias("at"), F.lit(0).alias("_order"), F.struct("issue_at", F.concat(F.array("now"), "leads").alias("knots")).alias("_issue"))
+    asked = starts.select("series_id", "at", F.lit(1).alias("_order"), F.lit(None).cast(known.schema["_issue"].dataType).alias("_issue"))
+    above = Window.partitionBy("series_id").orderBy("at", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = known.unionByName(asked).withColumn("_issue", F.last("_issue", ignorenulls=True).over(above)).where("_order = 1")
+    rows = rows.select("series_id", "at", "_issue.*").withColumn("_step", F.col("at") - F.col("issue_at"))
+    line = lambda k: f"(get(knots, {_right(k)} - 1) + (get(knots, {_right(k)}) - get(knots, {_right(k)} - 1)) * ({k} - 6 * ({_right(k)} - 1)) / 6)"
+    return rows.selectExpr("series_id", "at", "issue_at", f"({line('_step')} + {line('(_step + 1)')}) / 2 as pred")
+
+
+def _right(step: str) -> str:
+    return f"greatest(1, int(ceil({step} / 6)))"

@@ -30,14 +30,14 @@ def quantile_margin(rows: DataFrame, keys: list[str], q: float = 0.9, days: int
 
 
 def boundary_methods(base: DataFrame, rows: DataFrame, weekly: DataFrame, ratio: DataFrame, keys: list[str], trees: DataFrame | None = None) -> DataFrame:
-    """(keys, day_no, base, method, object, pred, power) of every base model and way to forecast the next day's first endpoint.
+    """(keys, day, day_no, base, method, object, pred, power) of every base model and way to forecast the next day's first endpoint.
 
     base: (keys, day_no, slot, base, pred). Ways: the week before, the usual ratio to the base model's last
     endpoint and, if given, trees (keys, day_no, pred). Objects: that endpoint, and the mean of it and the
     day's last one. The last day has no next and is left out.
     """
     by_day = Window.partitionBy(*keys).orderBy("day_no")
-    first = rows.where("slot = 1").select(*keys, "day_no", F.lead("power").over(by_day).alias("_next"))
+    first = rows.where("slot = 1").select(*keys, "day", "day_no", F.lead("power").over(by_day).alias("_next"))
     last = rows.where(F.col("slot") == SLOTS).select(*keys, "day_no", F.col("power").alias("_end"))
     models = base.where(F.col("slot") == SLOTS).select(*keys, "day_no", "base", F.col("pred").alias("_last"))
     known = first.join(last, [*keys, "day_no"]).join(weekly.select(*keys, "day_no", "weekly"), [*keys, "day_no"]).join(ratio.select(*keys, "day_no", "ratio"), [*keys, "day_no"])
@@ -46,5 +46,5 @@ def boundary_methods(base: DataFrame, rows: DataFrame, weekly: DataFrame, ratio:
     else:
         known = known.join(trees.select(*keys, "day_no", F.col("pred").alias("trees")), [*keys, "day_no"])
     both = models.join(known, [*keys, "day_no"]).selectExpr("*", "stack(3, 'weekly', weekly, 'ratio', ratio * _last, 'trees', trees) as (method, _pred)")
-    both = both.selectExpr(*keys, "day_no", "base", "method", "stack(2, 'endpoint', _pred, _next, 'interval', (_last + _pred) / 2, (_end + _next) / 2) as (object, pred, power)")
+    both = both.selectExpr(*keys, "day", "day_no", "base", "method", "stack(2, 'endpoint', _pred, _next, 'interval', (_last + _pred) / 2, (_end + _next) / 2) as (object, pred, power)")
     return both.where("power is not null and pred is not null")

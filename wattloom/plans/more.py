@@ -18,18 +18,13 @@ from ..operators import releases as R
 from ..operators import scenarios as S
 from ..sources import adapters as A
 from ..sources import files
-from .registry import BASE, BIN, CAND, EXTRA, ISSUES, MIN_HISTORY, PLAN, SERIES, SITE, STRATEGY, W, _candidates, _truth, add
+from .registry import BASE, BIN, CAND, EXTRA, ISSUES, MIN_HISTORY, PLAN, REFIT, SERIES, SITE, W, _candidates, _truth, add
 
 
 def _base(s: SparkSession, d: str) -> DataFrame:
     return P.baseline(A.site(s, d), SITE)
 
 
-add("read_power_wide", lambda s, d: files.unpivot_power(files.pivot_power(A.endpoints(s, d))).select("series_id", "day", "slot", "power"), "SELECT * FROM ep", BIN, "series_id, day, slot", "power")
-add("read_endpoints_ts", lambda s, d: files.unpivot_power(files.pivot_power(A.endpoints(s, d))).select("series_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "power"),
-    "SELECT series_id, strftime(CAST(day AS TIMESTAMP) + INTERVAL 10 MINUTE * slot, '%Y-%m-%d %H:%M') AS \"at\", power FROM ep", BIN, "series_id, at", "power")
-add("read_issues", lambda s, d: files.fill_issues(A.issues(s, d).select("series_id", F.col("issue_at").alias("row_no"), F.when(F.col("release_hour") == 0, F.col("day")).alias("day"), F.concat(F.col("release_hour").cast("string"), F.lit(":00")).alias("release"), "leads")).select("series_id", F.date_format("issue_ts", "yyyy-MM-dd HH:mm").alias("issue"), "day", "release_hour", F.aggregate("leads", F.lit(0.0), lambda a, x: a + x).alias("total")),
-    "SELECT series_id, strftime(CAST(day AS TIMESTAMP) + INTERVAL 1 HOUR * release_hour, '%Y-%m-%d %H:%M') AS issue, day, release_hour, sum(pred) AS total FROM iss GROUP BY ALL", ISSUES, "series_id, issue, day, release_hour", "total")
 add("profile_join", lambda s, d: A.site(s, d).join(F.broadcast(A.price_profile(s)), "slot").groupBy(*SITE, "day").agg(F.sum(F.col("price") * F.col("power") / 6).alias("value")),
     "SELECT target, series_id, day, sum(price * power / 6) AS value FROM site JOIN (SELECT CAST(s AS INTEGER) AS slot, 0.4 + CASE WHEN s BETWEEN 49 AND 126 THEN 0.3 ELSE 0.0 END + 0.001 * (s % 7) AS price FROM generate_series(1, 144) t(s)) USING (slot) GROUP BY ALL", BIN, "target, series_id, day", "value")
 
@@ -41,19 +36,6 @@ def _daily_profile(s: SparkSession, d: str) -> DataFrame:
 
 
 add("read_daily_profile", _daily_profile, "SELECT slot, 0.4 + CASE WHEN slot BETWEEN 49 AND 126 THEN 0.3 ELSE 0.0 END + 0.001 * (slot % 7) AS price, max(power) FILTER (target = 'load') AS load, max(power) FILTER (target = 'pv') AS pv FROM site WHERE day_no = 0 GROUP BY slot", BIN, "slot", "price, load, pv")
-#: Names of the strategies by their bits.
-STRATEGIES = {0: "none", 1: "h06", 2: "h12", 3: "h06_h12", 4: "h18", 5: "h06_h18", 6: "h12_h18", 7: "all"}
-
-
-def _strategy_files(s: SparkSession, d: str) -> DataFrame:
-    folder = files.scratch(s, "strategies")
-    files.write_strategy_daily(A.strategies(s, d).withColumn("emergency", F.col("cost") / 1000), folder, STRATEGIES)
-    return files.read_strategy_daily(s, folder, {n: m for m, n in STRATEGIES.items()})
-
-
-add("read_strategy_daily", _strategy_files, "SELECT CASE mask " + " ".join(f"WHEN {m} THEN '{n}'" for m, n in STRATEGIES.items()) + " END AS strategy, mask, day, cost, cost / 1000 AS emergency FROM daily", STRATEGY, "strategy, mask, day", "cost, emergency")
-
-
 def _prediction_files(s: SparkSession, d: str) -> DataFrame:
     """Of two models' predictions on disk, those of one and of the days from the tenth to the twentieth."""
     path = files.scratch(s, "predictions")
@@ -75,7 +57,7 @@ def _long_file(s: SparkSession, d: str) -> DataFrame:
 def _wide_file(s: SparkSession, d: str) -> DataFrame:
     path = files.scratch(s, "wide")
     files.write_wide(A.endpoints(s, d).select("series_id", "day", "slot", "power"), path)
-    return s.read.schema(files.WIDE).csv(path, header=True).toDF("series_id", "day", *[f"s{k}" for k in range(1, 145)])
+    return files.power_wide(s, path)[0].toDF("series_id", "day", *[f"s{k}" for k in range(1, 145)])
 
 
 add("write_long", _long_file, "SELECT * FROM base", BASE, "target, series_id, day, slot", "power, pred")
@@ -97,12 +79,13 @@ bm AS (SELECT target, series_id, day_no, base, method, 'endpoint' AS object, p A
 
 
 def _boundary(s: SparkSession, d: str, trees: bool) -> DataFrame:
-    """Load only: the four lag models as base models, and with trees the boosted ones as well."""
+    """Load only: the four lag models as base models, and with trees the boosted and the seasonal one as well."""
     rows = A.site(s, d).where("target = 'load'")
     base = P.candidates(rows, SITE).where("slot = 144").selectExpr(*SITE, "day_no", "slot", "stack(4, 'day1', c0, 'day2', c1, 'day7', c2, 'mean7', c3) as (base, pred)")
     if trees:
-        base = base.unionByName(P.tree_backtest(rows, SITE, MIN_HISTORY).select(*SITE, "day_no", "slot", F.lit("trees").alias("base"), "pred"))
-    found = P.boundary_trees(rows, SITE, MIN_HISTORY + 1) if trees else None
+        for name, model in (("trees", P.tree_backtest(rows, SITE, MIN_HISTORY, REFIT)), ("seasonal", P.seasonal_profile(rows, SITE, MIN_HISTORY))):
+            base = base.unionByName(model.where("slot = 144").select(*SITE, "day_no", "slot", F.lit(name).alias("base"), "pred"))
+    found = P.boundary_trees(rows, SITE, MIN_HISTORY + 1, REFIT) if trees else None
     return S.boundary_methods(base, rows, I.boundaries(rows, SITE), I.cross_day_ratio(rows, SITE), SITE, found).where(F.col("day_no") >= MIN_HISTORY)
 
 
@@ -110,13 +93,15 @@ BM = "SELECT * FROM bm WHERE power IS NOT NULL AND pred IS NOT NULL"
 ERRORS = """SELECT base, method, object, count(*) AS n, avg(abs(pred - power)) AS mae, sqrt(avg((pred - power) * (pred - power))) AS rmse, 100 * sum(abs(pred - power)) / nullif(sum(abs(power)), 0) AS wape, avg(pred - power) AS bias, round(100 * avg(abs(pred - power) / greatest(abs(power), 1e-8)), 1) AS mape,
   1 - sum((pred - power) * (pred - power)) / nullif(sum(power * power) - sum(power) * sum(power) / count(power), 0) AS r2 FROM bm WHERE power IS NOT NULL AND pred IS NOT NULL GROUP BY ALL"""
 OF = ["base", "method", "object"]
-add("model_x_boundary", lambda s, d: _boundary(s, d, False), BM, BOUND, "target, series_id, day_no, base, method, object", "power, pred")
+add("model_x_boundary", lambda s, d: _boundary(s, d, False).drop("day"), BM, BOUND, "target, series_id, day_no, base, method, object", "power, pred")
 # A relative error against a true 0 is huge, so that column is rounded to tenths before the common rounding.
 add("metrics_boundary", lambda s, d: M.boundary(OF, _boundary(s, d, False)).withColumn("mape", F.round("mape", 1)), ERRORS, BOUND, "base, method, object, n", "mae, rmse, wape, bias, mape, r2")
-# With boosted trees among the base models and the ways: no SQL.
-add("boundary_compare", lambda s, d: _boundary(s, d, True))
+BY_MONTH = ERRORS.replace("SELECT base", "SELECT month, base").replace("FROM bm", "FROM (SELECT b.*, CAST(month(d.day) AS INTEGER) AS month FROM bm b JOIN (SELECT DISTINCT day, day_no FROM spine) d USING (day_no))")
+add("metrics_boundary_monthly", lambda s, d: M.boundary([*OF, "month"], _boundary(s, d, False).withColumn("month", F.month("day"))).withColumn("mape", F.round("mape", 1)), BY_MONTH, BOUND, "base, method, object, month, n", "mae, rmse, wape, bias, mape, r2")
+# With boosted trees and the seasonal model among the base models, and trees among the ways: no SQL.
+add("boundary_compare", lambda s, d: _boundary(s, d, True).drop("day"))
 add("metrics_boundary_trees", lambda s, d: M.boundary(OF, _boundary(s, d, True)))
-add("mean_importance", lambda s, d: P.boundary_importances(A.site(s, d).where("target = 'load'"), SITE, MIN_HISTORY + 1))
+add("mean_importance", lambda s, d: P.boundary_importances(A.site(s, d).where("target = 'load'"), SITE, MIN_HISTORY + 1, REFIT))
 add("paired_residual_scenarios", lambda s, d: S.residual_scenarios(_base(s, d), SITE).where(F.col("day_no") >= MIN_HISTORY).select(*SITE, "day", "slot", "scenario", "value"),
     f"SELECT b.target, b.series_id, b.day, b.slot, CAST(g.k AS INTEGER) AS scenario, greatest(0, b.pred + p.power - p.pred) AS value FROM base b CROSS JOIN generate_series(1, 8) g(k) JOIN base p ON p.target = b.target AND p.slot = b.slot AND p.day_no = b.day_no - g.k WHERE b.pred IS NOT NULL AND p.pred IS NOT NULL AND b.day_no >= {MIN_HISTORY}", BASE, "target, series_id, day, slot, scenario", "value")
 PRICE = BIN + f""",
@@ -136,7 +121,6 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 
 
 add("adjusted_order_settlement", lambda s, d: E.settlement(_orders(s, d), SERIES), "SELECT series_id, day_no, sum(price * ordered + 1.5 * price * greatest(adjusted - ordered, 0) - 0.5 * price * greatest(ordered - adjusted, 0) + 5 * price * greatest(used - adjusted, 0)) AS cash, sum(greatest(used - adjusted, 0)) AS emergency FROM ord GROUP BY ALL", ORDERED, "series_id, day_no", "cash, emergency")
-add("check_roundtrip", lambda s, d: Q.check_roundtrip(files.unpivot_power(files.pivot_power(A.endpoints(s, d))), A.endpoints(s, d), ["series_id", "day", "slot"], "power"), "SELECT count(*) AS n, count(*) FILTER (power IS NULL) AS missing, max(abs(power - power)) AS off FROM ep", BIN, "n, missing", "off")
 USERS = BIN + """,
 ub AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS day, CAST(floor((hour(ts) * 60 + minute(ts)) / 10) AS INTEGER) + 1 AS slot, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY ALL),
 up AS (SELECT k.series_id, p.day_no, p.slot, coalesce(CAST(u.v AS DOUBLE), 0) AS power FROM (SELECT DISTINCT series_id FROM ub) k CROSS JOIN spine p LEFT JOIN ub u ON u.series_id = k.series_id AND u.day = p.day AND u.slot = p.slot),

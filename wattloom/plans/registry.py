@@ -119,6 +119,9 @@ add("cross_day_ratio", lambda s, d: I.cross_day_ratio(A.site(s, d), SITE),
 ROLL = ", ".join(f"{f}(power) OVER ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS {name}{n}" for n in (7, 14) for name, f in (("mean", "avg"), ("std", "stddev_pop"))) + f", quantile_cont(power, 0.5) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS median7"
 LAGS = ", ".join(f"lag(power, {n}) OVER ({W}) AS lag{n}" for n in (1, 2, 7, 14))
 add("lag_day_lookup", lambda s, d: X.lags(A.site(s, d), SITE).drop("day_no", "power"), f"SELECT *, {LAGS} FROM site", plain="target, series_id, day, slot", rounded="lag1, lag2, lag7, lag14")
+add("lag_day_sparse", lambda s, d: X.sparse_lags(A.measured(s, d), SITE).select(*SITE, "day", "slot", "lag1", "lag2", "lag7", "lag14"),
+    "SELECT m.*, " + ", ".join(f"p{n}.power AS lag{n}" for n in (1, 2, 7, 14)) + " FROM gappy m " + " ".join(f"LEFT JOIN gappy p{n} ON p{n}.target = m.target AND p{n}.slot = m.slot AND p{n}.day = m.day - {n}" for n in (1, 2, 7, 14)),
+    BIN + ", gappy AS (SELECT target, 'site' AS series_id, day, slot, CAST(sum(v) AS DOUBLE) AS power FROM sol GROUP BY ALL)", "target, series_id, day, slot", "lag1, lag2, lag7, lag14")
 for name in ("mean7", "std7", "mean14", "std14", "median7"):
     add(f"rolling_{name}", lambda s, d, name=name: X.rolling(A.site(s, d), SITE).select(*SITE, "day", "slot", name), f"SELECT *, {ROLL} FROM site", plain="target, series_id, day, slot", rounded=name)
 add("daily_total_features", lambda s, d: X.daily_total_features(A.daily_totals(s, d), SERIES),
@@ -131,8 +134,8 @@ SHAPE = f"""SELECT *, quantile_cont(residual, 0.5) OVER ({W} RANGE BETWEEN 28 PR
 add("shape_residual_median", lambda s, d: X.shape_residual_median(A.site(s, d), SITE).select(*SITE, "day", "slot", "shape"), SHAPE, plain="target, series_id, day, slot", rounded="shape")
 PROFILE = """SELECT *, CASE WHEN sum(raw) OVER (PARTITION BY target, series_id, day_no) > 1e-8 THEN raw / sum(raw) OVER (PARTITION BY target, series_id, day_no) ELSE 1.0 / 144 END AS profile FROM ({raw})"""
 SHARE = "(SELECT *, CASE WHEN sum(power) OVER (PARTITION BY target, series_id, day_no) > 1e-8 THEN power / sum(power) OVER (PARTITION BY target, series_id, day_no) END AS share FROM site)"
-WEEKLY = f"SELECT *, list_avg(list_filter([lag(share, 7) OVER w, lag(share, 14) OVER w, lag(share, 21) OVER w, lag(share, 28) OVER w], lambda x: x IS NOT NULL)) AS raw FROM {SHARE} WINDOW w AS ({W})"
-add("normalized_profile", lambda s, d: X.normalized_profile(A.site(s, d), SITE, weekly=True).select(*SITE, "day", "slot", (1000 * F.col("profile")).alias("profile")), f"SELECT *, 1000 * p0.profile AS profile1000 FROM ({PROFILE.format(raw=WEEKLY)}) p0".replace("*, 1000 * p0.profile AS profile1000", "* REPLACE (1000 * profile AS profile)"), plain="target, series_id, day, slot", rounded="profile")
+BY_TARGET = f"SELECT *, CASE WHEN target = 'pv' OR lag(slot, 7) OVER w IS NULL THEN avg(share) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) ELSE list_avg(list_filter([lag(share, 7) OVER w, lag(share, 14) OVER w, lag(share, 21) OVER w, lag(share, 28) OVER w], lambda x: x IS NOT NULL)) END AS raw FROM {SHARE} WINDOW w AS ({W})"
+add("normalized_profile", lambda s, d: X.normalized_profile(A.site(s, d), SITE).select(*SITE, "day", "slot", (1000 * F.col("profile")).alias("profile")), f"SELECT *, 1000 * p0.profile AS profile1000 FROM ({PROFILE.format(raw=BY_TARGET)}) p0".replace("*, 1000 * p0.profile AS profile1000", "* REPLACE (1000 * profile AS profile)"), plain="target, series_id, day, slot", rounded="profile")
 PAST = f"SELECT *, list(share) FILTER (share IS NOT NULL) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS past FROM {SHARE}"
 WEIGHTED = f"SELECT *, list_sum(list_transform(past, lambda x, i: x * CASE WHEN len(past) > 1 THEN pow(0.65, (len(past) - i) / (len(past) - 1.0)) ELSE 0.65 END)) / list_sum(list_transform(past, lambda x, i: CASE WHEN len(past) > 1 THEN pow(0.65, (len(past) - i) / (len(past) - 1.0)) ELSE 0.65 END + 0 * x)) AS raw FROM ({PAST})"
 add("weighted_profile", lambda s, d: X.weighted_profile(A.site(s, d), SITE).select(*SITE, "day", "slot", (1000 * F.col("profile")).alias("profile")), f"SELECT * REPLACE (1000 * profile AS profile) FROM ({PROFILE.format(raw=WEIGHTED)})", plain="target, series_id, day, slot", rounded="profile")
@@ -162,21 +165,32 @@ add("clear_sky_forecast", lambda s, d: P.clear_sky_forecast(A.site(s, d).where("
     f"SELECT *, least(envelope * mean, 1.1 * envelope) AS pred FROM (SELECT *, ({RATIOS}) / {sum(0.55 ** (k / 6) for k in range(7))} AS mean FROM (SELECT *, CASE WHEN envelope > 1 THEN least(1.25, greatest(0, power / envelope)) ELSE 0 END AS ratio FROM sky) WINDOW w AS ({W})) WHERE day_no >= {MIN_HISTORY}", SKY, "target, series_id, day, slot", "power, pred")
 add("adaptive_weights", lambda s, d: P.adaptive_weights(A.site(s, d).where("target = 'pv'"), SITE).where(F.col("day_no") >= MIN_HISTORY))
 add("adaptive_forecast", lambda s, d: P.adaptive_forecast(A.site(s, d).where("target = 'pv'"), SITE).where(F.col("day_no") >= MIN_HISTORY).select(*SITE, "day", "slot", "power", "pred"))
-add("seasonal_total_profile", lambda s, d: P.seasonal_profile(A.site(s, d), SITE, MIN_HISTORY, weekly=False).select(*SITE, "day", "slot", "power", "pred"))
-add("tree_backtest", lambda s, d: P.tree_backtest(A.site(s, d), SITE, MIN_HISTORY).select(*SITE, "day", "slot", "power", "pred"))
-add("energy_profile", lambda s, d: P.energy_profile(A.site(s, d), SITE, MIN_HISTORY).select(*SITE, "day", "slot", "power", "pred"))
-add("metrics_basic", lambda s, d: M.by_group(P.baseline(A.site(s, d), SITE).where(F.col("day_no") >= MIN_HISTORY), ["target"]), basic_sql("target", where=f"pred IS NOT NULL AND day_no >= {MIN_HISTORY}"), BASE, "target, n", BASIC)
-add("metrics_monthly", lambda s, d: M.by_group(P.baseline(A.site(s, d), SITE).withColumn("month", F.month("day")), ["target", "month"]), basic_sql("target, month", "(SELECT *, CAST(month(day) AS INTEGER) AS month FROM base)"), BASE, "target, month, n", BASIC)
-def extended_sql(table: str) -> str:
-    return f"""SELECT b.*, x.r2, x.over_rate, y.energy_mape, y.energy_mae, y.peak_mae FROM ({basic_sql('target', table)}) b JOIN (SELECT target, 1 - sum((pred - power) * (pred - power)) / nullif(sum(power * power) - sum(power) * sum(power) / count(power), 0) AS r2, 100 * avg(CASE WHEN pred > power THEN 1.0 ELSE 0.0 END) FILTER (power > 1) AS over_rate FROM {table} WHERE pred IS NOT NULL GROUP BY target) x USING (target)
-  JOIN (SELECT target, 100 * avg(abs(sp - sa) / 6 / greatest(sa / 6, 1e-8)) AS energy_mape, avg(abs(sp - sa) / 6) AS energy_mae, avg(abs(mp - ma)) AS peak_mae FROM (SELECT target, day, sum(power) AS sa, sum(pred) AS sp, max(power) AS ma, max(pred) AS mp FROM {table} WHERE pred IS NOT NULL GROUP BY ALL) GROUP BY target) y USING (target)"""
+add("seasonal_total_profile", lambda s, d: P.seasonal_profile(A.site(s, d), SITE, MIN_HISTORY).select(*SITE, "day", "slot", "power", "pred"))
+#: Days between two fits of the registered tree models: 100 or 120 rounds of boosting are as many rounds of Spark jobs.
+REFIT = 5
+add("tree_backtest", lambda s, d: P.tree_backtest(A.site(s, d), SITE, MIN_HISTORY, REFIT).select(*SITE, "day", "slot", "power", "pred"))
+add("energy_profile", lambda s, d: P.energy_profile(A.site(s, d), SITE, MIN_HISTORY, REFIT).select(*SITE, "day", "slot", "power", "pred"))
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    """The baseline from the first day on that all tables of accuracy start with, with its month."""
+    return P.baseline(A.site(s, d), SITE).where(F.col("day_no") >= MIN_HISTORY).withColumn("month", F.month("day"))
+
+
+SCORED = BASE + f", scored AS (SELECT *, CAST(month(day) AS INTEGER) AS month FROM base WHERE day_no >= {MIN_HISTORY})"
+add("metrics_basic", lambda s, d: M.by_group(_scored(s, d), ["target"]), basic_sql("target", "scored"), SCORED, "target, n", BASIC)
+add("metrics_monthly", lambda s, d: M.by_group(_scored(s, d), ["target", "month"]), basic_sql("target, month", "scored"), SCORED, "target, month, n", BASIC)
+
+
+def extended_sql(table: str, group: str = "target") -> str:
+    return f"""SELECT b.*, x.r2, x.over_rate, y.energy_mape, y.energy_mae, y.peak_mae FROM ({basic_sql(group, table)}) b JOIN (SELECT {group}, 1 - sum((pred - power) * (pred - power)) / nullif(sum(power * power) - sum(power) * sum(power) / count(power), 0) AS r2, 100 * avg(CASE WHEN pred > power THEN 1.0 ELSE 0.0 END) FILTER (power > 1) AS over_rate FROM {table} WHERE pred IS NOT NULL GROUP BY {group}) x USING ({group})
+  JOIN (SELECT {group}, 100 * avg(abs(sp - sa) / 6 / greatest(sa / 6, 1e-8)) AS energy_mape, avg(abs(sp - sa) / 6) AS energy_mae, avg(abs(mp - ma)) AS peak_mae FROM (SELECT {group}, day, sum(power) AS sa, sum(pred) AS sp, max(power) AS ma, max(pred) AS mp FROM {table} WHERE pred IS NOT NULL GROUP BY ALL) GROUP BY {group}) y USING ({group})"""
 
 
 EXTENDED = BASIC + ", r2, over_rate, energy_mape, energy_mae, peak_mae"
-add("metrics_extended", lambda s, d: M.extended(P.baseline(A.site(s, d), SITE), ["target"]), extended_sql("base"), BASE, "target, n", EXTENDED)
+add("metrics_extended", lambda s, d: M.extended(_scored(s, d), ["target"]), extended_sql("scored"), SCORED, "target, n", EXTENDED)
+add("metrics_extended_monthly", lambda s, d: M.extended(_scored(s, d), ["target", "month"]), extended_sql("scored", "target, month"), SCORED, "target, month, n", EXTENDED)
 IV = BASE + f""",
 act AS ({AVG}),
-iv AS (SELECT b.target, b.day, (lag(b.power) OVER (PARTITION BY b.target ORDER BY b.day_no, b.slot)) AS before, b.slot, a.avg_power AS power, ((CASE WHEN b.slot = 1 THEN lag(b.power) OVER (PARTITION BY b.target ORDER BY b.day_no, b.slot) ELSE lag(b.pred) OVER (PARTITION BY b.target ORDER BY b.day_no, b.slot) END) + b.pred) / 2 AS pred FROM base b JOIN act a ON a.target = b.target AND a.day_no = b.day_no AND a.slot = b.slot)"""
+iv AS (SELECT b.target, b.day, b.day_no, (lag(b.power) OVER (PARTITION BY b.target ORDER BY b.day_no, b.slot)) AS before, b.slot, a.avg_power AS power, ((CASE WHEN b.slot = 1 THEN lag(b.power) OVER (PARTITION BY b.target ORDER BY b.day_no, b.slot) ELSE lag(b.pred) OVER (PARTITION BY b.target ORDER BY b.day_no, b.slot) END) + b.pred) / 2 AS pred FROM base b JOIN act a ON a.target = b.target AND a.day_no = b.day_no AND a.slot = b.slot)"""
 
 
 def _interval_forecast(s: SparkSession, d: str) -> DataFrame:
@@ -184,11 +198,11 @@ def _interval_forecast(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy(*SITE).orderBy("day_no", "slot")
     rows = I.interval_averages(P.baseline(A.site(s, d), SITE), SITE)
     left = F.when(F.col("slot") == 1, F.lag("power").over(w)).otherwise(F.lag("pred").over(w))
-    return rows.select("target", "day", "slot", F.col("avg_power").alias("power"), ((left + F.col("pred")) / 2).alias("pred"))
+    return rows.select("target", "day", "day_no", "slot", F.col("avg_power").alias("power"), ((left + F.col("pred")) / 2).alias("pred"))
 
 
-add("interval_from_forecast", _interval_forecast, "SELECT target, day, slot, power, pred FROM iv", IV, "target, day, slot", "power, pred")
-add("metrics_interval", lambda s, d: M.extended(_interval_forecast(s, d), ["target"]), extended_sql("iv"), IV, "target, n", EXTENDED)
+add("interval_from_forecast", lambda s, d: _interval_forecast(s, d).drop("day_no"), "SELECT target, day, slot, power, pred FROM iv", IV, "target, day, slot", "power, pred")
+add("metrics_interval", lambda s, d: M.extended(_interval_forecast(s, d).where(F.col("day_no") >= MIN_HISTORY), ["target"]), extended_sql(f"(SELECT * FROM iv WHERE day_no >= {MIN_HISTORY})"), IV, "target, n", EXTENDED)
 add("rank_models", lambda s, d: M.ranked(M.by_group(P.candidates(A.site(s, d), SITE).selectExpr(*SITE, "power", "stack(4, 'c0', c0, 'c1', c1, 'c2', c2, 'c3', c3) as (model, pred)"), ["target", "model"]), ["target"], ["wape", "model"]).select("target", "model", "n", "wape", "rank"),
     f"SELECT target, model, n, wape, CAST(row_number() OVER (PARTITION BY target ORDER BY wape, model) AS INTEGER) AS rank FROM ({basic_sql('target, model', f'(SELECT target, power, unnest([{chr(39)}c0{chr(39)}, {chr(39)}c1{chr(39)}, {chr(39)}c2{chr(39)}, {chr(39)}c3{chr(39)}]) AS model, unnest([lag(power, 1) OVER w, lag(power, 2) OVER w, lag(power, 7) OVER w, avg(power) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)]) AS pred FROM site WINDOW w AS ({W}))')})",
     plain="target, model, n, rank", rounded="wape")
@@ -228,6 +242,9 @@ VCOLS = "old_mae, new_mae, old_rmse, new_rmse, old_bias, new_bias, old_wape, new
 add("explode_leads", lambda s, d: R.explode_leads(A.issues(s, d)).select("series_id", "issue_at", "release_hour", "lead_h", "at", "pred"), "SELECT * FROM iss", ISSUES, "series_id, issue_at, release_hour, lead_h, at", "pred")
 add("version_pairs_hourly", lambda s, d: R.hourly_pairs(A.issues(s, d), _truth(s, d)), HOURLY, ISSUES, "series_id, issue_at, day, release_hour, lead_h, at", "new, old, truth")
 add("metrics_versions", lambda s, d: M.versions(R.hourly_pairs(A.issues(s, d), _truth(s, d)), [["release_hour"]]), VERSIONS.format(g="release_hour", b="release_hour", t=HOURLY), ISSUES, "release_hour, n", VCOLS)
+MONTHS = "(SELECT *, CAST(month(day) AS INTEGER) AS month FROM ({t}))"
+add("metrics_versions_monthly", lambda s, d: M.versions(R.hourly_pairs(A.issues(s, d), _truth(s, d)).withColumn("month", F.month("day")), [["month", "release_hour"]]), VERSIONS.format(g="month, release_hour", b="month, release_hour", t=MONTHS.format(t=HOURLY)), ISSUES, "month, release_hour, n", VCOLS)
+add("versions_rollup_monthly", lambda s, d: M.versions(R.interval_pairs(A.issues(s, d), _truth(s, d)).withColumn("month", F.month("day")), [["month", "release_hour"]]), VERSIONS.format(g="month, release_hour", b="month, release_hour", t=MONTHS.format(t=INTERVAL)), ISSUES, "month, release_hour, n", VCOLS)
 add("versions_rollup", lambda s, d: M.versions(R.interval_pairs(A.issues(s, d), _truth(s, d)), [[], ["release_hour"], ["release_hour", "lead_h"]]), VERSIONS.format(g="release_hour, lead_h", b="GROUPING SETS ((), (release_hour), (release_hour, lead_h))", t=INTERVAL), ISSUES, "release_hour, lead_h, n", VCOLS)
 add("version_pairs_interval", lambda s, d: R.interval_pairs(A.issues(s, d), _truth(s, d)).select("series_id", "issue_at", "at", "new", "old", "truth"), INTERVAL, ISSUES, "series_id, issue_at, at", "new, old, truth")
 add("version_verdict", lambda s, d: M.verdict(M.versions(R.interval_pairs(A.issues(s, d), _truth(s, d)), [["release_hour"]])).select("release_hour", "n", "improvement", "verdict"),
@@ -267,7 +284,17 @@ def _intraday(s: SparkSession, d: str) -> DataFrame:
 
 add("intraday_output", _intraday,
     f"SELECT i.series_id, i.issue_at, i.step, p.chosen AS method, CASE p.chosen WHEN 'A' THEN i.a WHEN 'B' THEN i.b ELSE i.c END AS pred FROM iv i JOIN pick p ON p.series_id = i.series_id AND p.issue_at = i.issue_at WHERE i.step > 0 UNION ALL SELECT e.series_id, e.issue_at, e.step, p.chosen, e.pred FROM ({EXTRA}) e JOIN pick p ON p.series_id = e.series_id AND p.issue_at = e.issue_at", CAND, "series_id, issue_at, step, method", "pred")
-add("latest_issue_asof", lambda s, d: R.latest_issue(A.issues(s, d)), 'SELECT series_id, "at", max_by(pred, issue_at) AS pred, max(issue_at) AS issue_at FROM iss GROUP BY ALL', ISSUES, "series_id, at, issue_at", "pred")
+def _some_issues(s: SparkSession, d: str) -> DataFrame:
+    """Every third day misses its release at 12, so issues come at uneven times."""
+    return A.issues(s, d).where("not (day_no % 3 = 1 and release_hour = 12)")
+
+
+SOME_KNOTS = ISSUES + """,
+uneven AS (SELECT series_id, issue_at, list(x ORDER BY k) AS knots FROM kn WHERE NOT (day_no % 3 = 1 AND release_hour = 12) GROUP BY ALL),
+newest AS (SELECT t.series_id, CAST(t."at" - 1 AS INTEGER) AS "at", i.issue_at, i.knots, CAST(t."at" - 1 - i.issue_at AS INTEGER) AS step FROM truth t ASOF LEFT JOIN uneven i ON i.series_id = t.series_id AND t."at" - 1 >= i.issue_at)"""
+LINE = "(knots[greatest(1, CAST(ceil({k} / 6.0) AS INTEGER))] + (knots[greatest(1, CAST(ceil({k} / 6.0) AS INTEGER)) + 1] - knots[greatest(1, CAST(ceil({k} / 6.0) AS INTEGER))]) * ({k} - 6 * (greatest(1, CAST(ceil({k} / 6.0) AS INTEGER)) - 1)) / 6.0)"
+add("latest_issue_asof", lambda s, d: R.latest_issue(_some_issues(s, d), _truth(s, d), _truth(s, d).select("series_id", (F.col("at") - 1).alias("at"))),
+    f'SELECT series_id, "at", issue_at, ({LINE.format(k="step")} + {LINE.format(k="(step + 1)")}) / 2 AS pred FROM newest', SOME_KNOTS, "series_id, at, issue_at", "pred")
 
 # --- ledger and value
 LED = "(SELECT *, s1 - 0.9 * c AS s0 FROM led)"

@@ -5,7 +5,7 @@ All are dense: every series has every day and slot, with 0 where nothing was mea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SLOTS, STEP
@@ -27,42 +27,51 @@ def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), (F.floor(minute / STEP) + 1).cast("int").alias("slot"), "value")
 
 
-def dense(rows: DataFrame, keys: list[str], value: str = "power") -> DataFrame:
-    """(keys, day, day_no, slot, value) with every slot of every day between the first and the last of all; rows has at most one row of each.
+def span(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
+    """First and last day of the events, as subqueries: no job of their own, and one for all that read the same table."""
+    days = _table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"))
+    return days.agg(F.min("day")).scalar(), days.agg(F.max("day")).scalar()
 
-    A series' own rows are gathered as a map first, and every slot is unfolded from it: one shuffle by series,
-    no calendar to join. A series has at most as many rows as there are slots.
+
+def dense(rows: DataFrame, keys: list[str], first: Column, last: Column, value: str = "power") -> DataFrame:
+    """(keys, day, day_no, slot, value) with every slot of every day from first to last; rows has at most one row of each.
+
+    Every row is unfolded up to the next of its series (the first also from the start), so the work grows with the slots and no task holds a series.
     """
-    span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).head()  # one row
-    if span["first"] is None:
-        return rows.select(*keys, "day", F.lit(0).alias("day_no"), "slot", value)
-    first = F.lit(span["first"])
-    at = F.datediff("day", first) * SLOTS + F.col("slot")
-    series = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col(value)))).alias("_held"))
-    days = (span["last"] - span["first"]).days + 1
-    out = series.select(*keys, "_held", F.explode(F.sequence(F.lit(1), F.lit(days * SLOTS))).alias("_at"))
-    day_no = ((F.col("_at") - 1) / SLOTS).cast("int")
-    return out.select(*keys, F.date_add(first, day_no).alias("day"), day_no.alias("day_no"), ((F.col("_at") - 1) % SLOTS + 1).alias("slot"), F.coalesce(F.try_element_at("_held", "_at"), F.lit(0.0)).alias(value))
+    by, at = Window.partitionBy(*keys).orderBy("_at"), F.datediff("day", first) * SLOTS + F.col("slot")
+    end = (F.datediff(last, first) + 1) * SLOTS
+    rows = rows.select(*keys, at.cast("int").alias("_at"), F.col(value).alias("_value"))
+    begins = F.when(F.lag("_at").over(by).isNull(), F.lit(1)).otherwise(F.col("_at"))
+    ends = F.coalesce(F.lead("_at").over(by) - 1, end)
+    out = rows.withColumns({"_begins": begins, "_ends": ends}).select(*keys, "_at", "_value", F.explode(F.sequence("_begins", "_ends")).alias("_slot"))
+    day_no = ((F.col("_slot") - 1) / SLOTS).cast("int")
+    return out.select(*keys, F.date_add(first, day_no).alias("day"), day_no.alias("day_no"), ((F.col("_slot") - 1) % SLOTS + 1).alias("slot"), F.when(F.col("_slot") == F.col("_at"), F.col("_value")).otherwise(0.0).alias(value))
 
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, day, day_no, slot, power): a series per event type."""
     rows = _binned(spark, sf_dir).groupBy(F.col("event_type").alias("series_id"), "day", "slot").agg(_money("value").alias("power"))
-    return dense(rows, ["series_id"])
+    return dense(rows, ["series_id"], *span(spark, sf_dir))
 
 
 def user_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a series per user: many series."""
     rows = _binned(spark, sf_dir).groupBy(F.col("user_id").cast("string").alias("series_id"), "day", "slot").agg(_money("value").alias("power"))
-    return dense(rows, ["series_id"])
+    return dense(rows, ["series_id"], *span(spark, sf_dir))
 
 
-def site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(target, series_id, day, day_no, slot, power): load and solar output (pv) of one site."""
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, series_id, day, day_no, slot, power): load and solar output (pv) of one site where there is any: with gaps."""
     rows = _binned(spark, sf_dir)
     solar = F.col("event_type").isin(*SOLAR_TYPES) & F.col("slot").between(SUN_FROM, SUN_TO)
     rows = rows.withColumn("target", F.explode(F.when(solar, F.array(F.lit("load"), F.lit("pv"))).otherwise(F.array(F.lit("load")))))
-    return dense(rows.groupBy("target", F.lit("site").alias("series_id"), "day", "slot").agg(_money("value").alias("power")), ["target", "series_id"])
+    rows = rows.groupBy("target", F.lit("site").alias("series_id"), "day", "slot").agg(_money("value").alias("power"))
+    return rows.select("target", "series_id", "day", F.datediff("day", span(spark, sf_dir)[0]).alias("day_no"), "slot", "power")
+
+
+def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every slot."""
+    return dense(measured(spark, sf_dir), ["target", "series_id"], *span(spark, sf_dir))
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import SLOTS, STEP, label_of_minute, minute_of_label
+from .strict import PLACE, filled_down, read_strict
 
 LABELS = [f"{k * STEP // 60:02d}:{k * STEP % 60:02d}" for k in range(1, SLOTS + 1)]
-WIDE = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("day", T.DateType())] + [T.StructField(x, T.DoubleType()) for x in LABELS])
-STRATEGY = "window_date date, cash_cost_yuan double, emergency_kwh double"
-PROFILE = "time string, price double, load double, pv double"
+WIDE = {"series_id": "string", "day": "date"} | dict.fromkeys(LABELS, "double")
+STRATEGY = {"window_date": "date", "cash_cost_yuan": "double", "emergency_kwh": "double"}
+PROFILE = {"time": "string", "price": "double", "load": "double", "pv": "double"}
+LEADS = [f"h{k}" for k in range(1, 25)]
+ISSUES = {"date": "date", "release": "string"} | dict.fromkeys(LEADS, "double")
 
 
 def unpivot_power(wide: DataFrame, keys: tuple = ("series_id", "day")) -> DataFrame:
@@ -24,7 +26,13 @@ def unpivot_power(wide: DataFrame, keys: tuple = ("series_id", "day")) -> DataFr
 
 
 def read_power_wide(spark: SparkSession, path: str) -> DataFrame:
-    return unpivot_power(spark.read.schema(WIDE).csv(path, header=True))
+    return unpivot_power(power_wide(spark, path)[0])
+
+
+def power_wide(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A sheet of a row per series and day, and what of its files does not fit: other headers, empty cells, no numbers, power below 0."""
+    rows, rejected = read_strict(spark, path, WIDE, not_negative=LABELS)
+    return rows.drop(*PLACE), rejected
 
 
 def pivot_power(rows: DataFrame, keys: tuple = ("series_id", "day")) -> DataFrame:
@@ -33,21 +41,52 @@ def pivot_power(rows: DataFrame, keys: tuple = ("series_id", "day")) -> DataFram
     return wide.toDF(*keys, *LABELS)
 
 
-def fill_issues(rows: DataFrame) -> DataFrame:
-    """(series_id, issue_ts, day, release_hour, leads) from rows (series_id, row_no, day or null, release "H:MM", leads): an empty date is the one above."""
-    above = Window.partitionBy("series_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"day": F.last("day", ignorenulls=True).over(above), "release_hour": F.split("release", ":")[0].cast("int")})
-    return rows.select("series_id", (F.col("day").cast("timestamp") + F.make_dt_interval(hours=F.col("release_hour"))).alias("issue_ts"), "day", "release_hour", "leads")
+def read_issues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(series_id, issue_ts, day, release_hour, leads) of the files under path/series_id=.../, and what of them does not fit.
+
+    A row has a release "H:MM" and 24 values; an empty date is the one above it in the file.
+    """
+    rows, rejected = read_strict(spark, path, ISSUES, required=["release", *LEADS], not_negative=LEADS)
+    rows = filled_down(rows, "date").withColumn("release_hour", F.split("release", ":")[0].try_cast("int"))
+    odd = F.when(F.col("date").isNull(), "date: empty").when(F.col("release_hour").isNull() | ~F.col("release_hour").isin(0, 6, 12, 18), "release: unknown")
+    rows = rows.withColumn("_odd", odd)
+    rejected = rejected.unionByName(rows.where("_odd is not null").select("_file", F.col("_odd").alias("reason"), F.concat_ws(",", F.col("date").cast("string"), "release").alias("row")))
+    at = (F.col("date").cast("timestamp") + F.make_dt_interval(hours=F.col("release_hour"))).alias("issue_ts")
+    series = F.regexp_extract("_file", r"series_id=([^/]+)/", 1).alias("series_id")
+    return rows.where("_odd is null").select(series, at, F.col("date").alias("day"), "release_hour", F.array(*LEADS).alias("leads")), rejected
+
+
+def write_issues(rows: DataFrame, path: str) -> None:
+    """(series_id, day, release_hour, issue_at, leads) as read_issues() reads it: a file per series in the order of issues, the date only where it changes."""
+    first = F.row_number().over(Window.partitionBy("series_id", "day").orderBy("issue_at")) == 1
+    cells = rows.select("series_id", "issue_at", F.when(first, F.col("day")).alias("date"), F.format_string("%d:00", "release_hour").alias("release"), *[F.col("leads")[k].alias(c) for k, c in enumerate(LEADS)])
+    cells.repartition("series_id").sortWithinPartitions("series_id", "issue_at").drop("issue_at").write.partitionBy("series_id").csv(path, header=True)
 
 
 def read_strategy_daily(spark: SparkSession, folder: str, masks: dict[str, int]) -> DataFrame:
-    """(strategy, mask, day, cost, emergency) from a CSV file per strategy, named after it, or a folder strategy=name of such files."""
-    rows = spark.read.schema(STRATEGY).option("recursiveFileLookup", "true").csv(folder, header=True)
-    path = F.col("_metadata.file_path")
-    name = F.when(path.contains("strategy="), F.regexp_extract(path, r"strategy=([^/]+)/", 1)).otherwise(F.regexp_extract(path, r"([^/]+)\.csv$", 1))
+    return strategy_daily(spark, folder, masks)[0]
+
+
+def strategy_daily(spark: SparkSession, folder: str, masks: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(strategy, mask, day, cost, emergency) from a CSV file per strategy, named after it, or a folder strategy=name of such files, and (strategy, reason, n): what of them does not fit.
+
+    Besides rejected rows and headers: files of other names ("unknown"), strategies without any row ("missing"), and strategies with fewer days than another ("dates", n of them).
+    """
+    rows, rejected = read_strict(spark, folder, STRATEGY)
+    path = F.col("_file")
+    name = F.when(path.contains("strategy="), F.regexp_extract(path, r"strategy=([^/]+)/", 1)).otherwise(F.regexp_extract(path, r"([^/]+)\.csv$", 1)).alias("strategy")
     mask = F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])
-    rows = rows.where(mask[name].isNotNull())  # files of other names are no strategies
-    return rows.select(name.alias("strategy"), mask[name].alias("mask"), F.col("window_date").alias("day"), F.col("cash_cost_yuan").alias("cost"), F.col("emergency_kwh").alias("emergency"))
+    rows = rows.select("*", name)
+    known = rows.where(mask[F.col("strategy")].isNotNull())
+    out = known.select("strategy", mask[F.col("strategy")].alias("mask"), F.col("window_date").alias("day"), F.col("cash_cost_yuan").alias("cost"), F.col("emergency_kwh").alias("emergency"))
+    days = out.groupBy("strategy").agg(F.countDistinct("day").alias("days"))
+    asked = spark.createDataFrame([(x,) for x in masks], "strategy string")  # as many as there are names
+    most = days.agg(F.max("days").alias("most"))
+    uneven = days.join(F.broadcast(most)).where("days < most").select("strategy", F.lit("dates").alias("reason"), (F.col("most") - F.col("days")).alias("n"))
+    faults = rejected.select(name, "reason").groupBy("strategy", "reason").agg(F.count(F.lit(1)).alias("n"))
+    unknown = rows.where(mask[F.col("strategy")].isNull()).groupBy("strategy").agg(F.count(F.lit(1)).alias("n")).select("strategy", F.lit("unknown").alias("reason"), "n")
+    missing = asked.join(days, "strategy", "left_anti").select("strategy", F.lit("missing").alias("reason"), F.lit(0).cast("long").alias("n"))
+    return out, faults.unionByName(unknown).unionByName(missing).unionByName(uneven)
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
@@ -67,7 +106,7 @@ def write_daily_profile(rows: DataFrame, path: str) -> None:
 
 def read_daily_profile(spark: SparkSession, path: str) -> DataFrame:
     """(slot, price, load, pv) from a CSV file with a row per endpoint."""
-    rows = spark.read.schema(PROFILE).csv(path, header=True)
+    rows = read_strict(spark, path, PROFILE, not_negative=["price", "load", "pv"])[0]
     return rows.select((minute_of_label(F.col("time")) / STEP).cast("int").alias("slot"), "price", "load", "pv")
 
 
@@ -75,7 +114,12 @@ def write_strategy_daily(rows: DataFrame, folder: str, names: dict[int, str]) ->
     """A CSV file per strategy from (mask, day, cost, emergency)."""
     for mask, name in names.items():
         out = rows.where(F.col("mask") == mask).select(F.col("day").alias("window_date"), F.col("cost").alias("cash_cost_yuan"), F.col("emergency").alias("emergency_kwh"))
-        out.coalesce(1).write.csv(f"{folder}/strategy={name}", header=True)
+        write_csv(out, f"{folder}/strategy={name}")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A single CSV file, for what is small (a strategy has a row per day)."""
+    rows.coalesce(1).write.csv(path, header=True)
 
 
 def write_long(rows: DataFrame, path: str) -> None:
@@ -89,8 +133,15 @@ def write_wide(rows: DataFrame, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset.
+
+    A cluster whose executors would each write to their own disk is refused.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if root.startswith("file:") and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -99,3 +150,12 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def bucketed(rows: DataFrame, name: str, key: str, order: list[str], buckets: int | None = None) -> DataFrame:
+    """The same as a table bucketed by key and sorted in it: windows, aggregates and joins by the key need no exchange any more."""
+    spark = rows.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    rows.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).option("path", scratch(spark, name)).saveAsTable(table)
+    return spark.table(table)
