@@ -154,14 +154,20 @@ def kept_lines(docs: DataFrame, bound: int = 1, window: int = 64) -> DataFrame:
     return stay.groupBy("at._id", "at._hash").agg(F.collect_list("at._no").alias("keep"))
 
 
+def _flags(places: str) -> Column:
+    """For an array of places, one with true at each and false before and between them: looked up by place, so long texts take time in proportion."""
+    ordered = F.sort_array(F.array_distinct(F.coalesce(places, F.array().cast("array<int>"))))
+    gaps = F.zip_with(ordered, F.concat(F.array(F.lit(-1)), ordered), lambda here, before: F.when(here.isNotNull(), F.concat(F.array_repeat(F.lit(False), here - before - 1), F.array(F.lit(True)))).otherwise(F.array().cast("array<boolean>")))
+    return F.flatten(gaps)
+
+
 def dedup_lines(docs: DataFrame, bound: int = 1, window: int = 64) -> DataFrame:
     """docs with the text that is left, and n_lines and n_removed of each document (in place of columns of these names)."""
     keep = write_table(kept_lines(docs.select("doc_id", "text"), bound, window).toDF("_dl_id", "_dl_hash", "_dl_keep"), "kept-lines")
     rows = docs.withColumns({"_dl_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_dl_hash": F.xxhash64("text")}).join(keep, ["_dl_id", "_dl_hash"], "left")
-    kept = F.coalesce("_dl_keep", F.array().cast("array<int>"))
-    rows = rows.withColumns({"_dl_lines": _lines(F.col("text")), "_dl_keep": kept})
+    rows = rows.withColumns({"_dl_lines": _lines(F.col("text")), "_dl_keep": _flags("_dl_keep")})
     blank = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) == ""
-    rows = rows.withColumn("_dl_left", F.filter("_dl_lines", lambda x, i: F.array_contains(F.col("_dl_keep"), i) | blank(x)))
+    rows = rows.withColumn("_dl_left", F.filter("_dl_lines", lambda x, i: F.coalesce(F.get("_dl_keep", i), F.lit(False)) | blank(x)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_dl_lines"))
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size("_dl_left"))
     own = {"text": F.array_join("_dl_left", "\n").alias("text")}

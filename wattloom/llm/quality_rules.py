@@ -168,10 +168,11 @@ def cutoffs(values: DataFrame, labels: DataFrame, limit: float = 0.02, confidenc
     delta, each = (1 - confidence) / max(1, strata * len(RULES)), limit / len(RULES)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf["lang"].iloc[0], rule, *found) for rule, part in pdf.groupby("rule") if (found := choose(part, each, delta, steps, enough))]
+        found = choose(pdf, each, delta, steps, enough)
+        rows = [(pdf["lang"].iloc[0], pdf["rule"].iloc[0], *found)] if found else []
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CUTOFFS.split(", ")])
 
-    return counts.groupBy("lang").applyInPandas(run, CUTOFFS)
+    return counts.groupBy("lang", "rule").applyInPandas(run, CUTOFFS)
 
 
 def judge(docs: DataFrame, labels: DataFrame, **chosen) -> DataFrame:

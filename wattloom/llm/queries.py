@@ -70,7 +70,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergences(table(spark, sf_dir, "documents"))
 
 
-#: The same from the definition: every two lines that share a half, compared with levenshtein().
+#: The same from the definition: every two lines that share a half, compared by code points (levenshtein() counts bytes, of which a code point has four at most).
 OP3_SQL = r"""
 WITH l AS (
   SELECT doc_id, row_number() OVER () AS r, text FROM documents
@@ -87,7 +87,10 @@ WITH l AS (
   UNION ALL SELECT line, n, first, n - 1, 1, right(line, n - 1 - (n - 1) // 2) FROM f
 ), near AS (
   SELECT DISTINCT a.line FROM k a JOIN k b ON a.m = b.m AND a.e = b.e AND a.half = b.half AND b.first < a.first AND abs(a.n - b.n) <= 1
-  WHERE levenshtein(a.line, b.line) <= 1
+  WHERE levenshtein(a.line, b.line) <= 4 AND (
+    a.n = b.n AND len(list_filter(generate_series(1, a.n), lambda i: substr(a.line, i, 1) <> substr(b.line, i, 1))) <= 1
+    OR a.n = b.n + 1 AND len(list_filter(generate_series(1, a.n), lambda i: substr(a.line, 1, i - 1) || substr(a.line, i + 1) = b.line)) > 0
+    OR b.n = a.n + 1 AND len(list_filter(generate_series(1, b.n), lambda i: substr(b.line, 1, i - 1) || substr(b.line, i + 1) = a.line)) > 0)
 ), d AS (
   SELECT n.doc_id, n.r, n.no, n.raw, n.line = '' OR (f.first = (n.doc_id, n.no) AND near.line IS NULL) AS keep
   FROM n LEFT JOIN f ON f.line = n.line LEFT JOIN near ON near.line = n.line

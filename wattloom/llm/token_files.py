@@ -145,6 +145,10 @@ def _reader(spark: SparkSession, path: str):
     return opened
 
 
+#: Ranges of ids that the scan of the shards is asked for.
+RANGES = 64
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids before it), n_tokens, ids (little-endian unsigned 32-bit)."""
     shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
@@ -169,9 +173,11 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
     """(doc_id, ids) of the documents named: only shards that may hold one are read, and of these only its frames decompressed."""
     opened, wanted = _reader(spark, path), np.unique(np.array(doc_ids, np.int64))
     shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
+    cuts = np.sort(np.argsort(np.diff(wanted))[-(RANGES - 1) :]) + 1  # the widest gaps: so many ranges at most, however many ids
     may = F.lit(False)
-    for x in wanted.tolist():
-        may = may | ((F.col("first") <= x) & (F.col("last") >= x))
+    for some in np.split(wanted, cuts):
+        if len(some):
+            may = may | ((F.col("first") <= int(some[-1])) & (F.col("last") >= int(some[0])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
