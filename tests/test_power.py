@@ -15,6 +15,7 @@ from wattloom.operators import intervals as I
 from wattloom.operators import metrics as M
 from wattloom.operators import quality as Q
 from wattloom.operators import releases as R
+from wattloom.operators.backtests import boosted
 from wattloom.plans import registry
 from wattloom.sources import files
 from wattloom.streaming.endpoints import stream_endpoints
@@ -53,7 +54,7 @@ def test_equal_days(spark):
 def test_forecasts_see_nothing_of_their_day(spark, job):
     jobs = {
         "baseline": lambda r: P.baseline(r, KEYS), "clear_sky": lambda r: P.clear_sky_forecast(r, KEYS), "adaptive": lambda r: P.adaptive_forecast(r, KEYS),
-        "trees": lambda r: P.tree_backtest(r, KEYS, 18, rounds=5), "energy": lambda r: P.energy_profile(r, KEYS, 18, rounds=5),
+        "trees": lambda r: P.tree_backtest(r, KEYS, 18, factory=boosted(rounds=3)), "energy": lambda r: P.energy_profile(r, KEYS, 18, factory=boosted(rounds=3, least=1)),
     }
     power = lambda d, k: (d * 7 + k * 3) % 11 + (5 if k > 40 else 0)
     one = series(spark, 19, power, "pv")
@@ -123,23 +124,10 @@ def test_extra_interval(spark):
     assert [(r.step, r.pred) for r in R.extra_intervals(issues, truth).collect()] == [(37, (6 + 4) / 2)]
 
 
-def test_boosted_trees_learn_and_know_what_matters():
-    import numpy as np
-
-    from wattloom.operators.trees import Boosted
-
-    x = np.random.default_rng(1).normal(size=(600, 4))
-    y = np.where(x[:, 2] > 0.3, 5.0, -1.0) + np.where(x[:, 0] > 0, 0.5, 0.0)
-    m = Boosted(rounds=120, depth=3).fit(x[:400], y[:400])
-    assert np.abs(m.predict(x[400:]) - y[400:]).mean() < 0.25 and m.importance.argmax() == 2
-    assert np.array_equal(Boosted(rounds=9).fit(x, y).predict(x), Boosted(rounds=9).fit(x, y).predict(x))
-    assert Boosted(rounds=3).fit(x[:1], y[:1]).predict(x[:2]).tolist() == [y[0], y[0]]
-
-
 def test_boundary_trees_know_labels_up_to_two_days_before(spark):
     power = lambda d, k: (d * 7 + k * 3) % 11
-    one = P.boundary_trees(series(spark, 22, power), KEYS, 16)
-    other = P.boundary_trees(series(spark, 22, lambda d, k: 1e9 if d >= 20 else power(d, k)), KEYS, 16)
+    one = P.boundary_trees(series(spark, 22, power), KEYS, 16, factory=boosted(rounds=3, depth=2, least=1))
+    other = P.boundary_trees(series(spark, 22, lambda d, k: 1e9 if d >= 20 else power(d, k)), KEYS, 16, factory=boosted(rounds=3, depth=2, least=1))
     a, b = ({r.day_no: r.pred for r in x.collect()} for x in (one, other))
     assert sorted(a) == list(range(16, 22)) and all(a[d] == b[d] for d in range(16, 21))
 
@@ -147,11 +135,13 @@ def test_boundary_trees_know_labels_up_to_two_days_before(spark):
 def test_dense_has_every_slot(spark):
     from wattloom.sources.adapters import dense
 
-    rows = spark.createDataFrame([("a", DAY, 5, 2.5), ("b", DAY + dt.timedelta(2), 144, 1.0)], "series_id string, day date, slot int, power double")
-    out = dense(rows, ["series_id"])
-    assert out.count() == 2 * 3 * 144 and out.where("power <> 0").count() == 2
-    assert [(r.series_id, r.day_no, r.slot) for r in out.where("power = 1").collect()] == [("b", 2, 144)]
-    assert dense(rows.limit(0), ["series_id"]).count() == 0
+    span = F.lit(DAY), F.lit(DAY + dt.timedelta(2))
+    rows = spark.createDataFrame([("a", DAY, 5, 2.5), ("a", DAY, 6, 0.5), ("b", DAY + dt.timedelta(2), 144, 1.0), ("c", DAY, 1, 3.0)], "series_id string, day date, slot int, power double")
+    out = dense(rows, ["series_id"], *span)
+    assert out.count() == 3 * 3 * 144 and out.select("series_id", "day_no", "slot").distinct().count() == 3 * 3 * 144
+    assert sorted((r.series_id, r.day_no, r.slot, r.power) for r in out.where("power <> 0").collect()) == [("a", 0, 5, 2.5), ("a", 0, 6, 0.5), ("b", 2, 144, 1.0), ("c", 0, 1, 3.0)]
+    assert out.where("day <> date_add(date'2024-01-01', day_no)").count() == 0
+    assert dense(rows.limit(0), ["series_id"], *span).count() == 0
 
 
 def test_published_shapley_values(spark):
@@ -226,11 +216,13 @@ def test_checks(spark):
 
 def test_files(spark, tmp_path):
     rows = series(spark, 2, lambda d, k: k).drop("target", "day_no")
-    wide = files.pivot_power(rows)
-    wide.coalesce(1).write.csv(str(tmp_path / "wide"), header=True)
-    assert Q.check_roundtrip(files.read_power_wide(spark, str(tmp_path / "wide")), rows, ["series_id", "day", "slot"], "power").head().off == 0
+    files.write_wide(rows, str(tmp_path / "wide"))
+    got = files.read_power_wide(spark, str(tmp_path / "wide"))
+    assert sorted(map(tuple, got.select("series_id", "day", "slot", "power").collect())) == sorted(map(tuple, rows.select("series_id", "day", "slot", "power").collect()))
     for name in ("none", "all"):
         (tmp_path / f"{name}.csv").write_text("window_date,cash_cost_yuan,emergency_kwh\n2025-02-01,3.5,0\n")
+    for x in (tmp_path / "wide").iterdir():
+        x.unlink()
     got = files.read_strategy_daily(spark, str(tmp_path), {"none": 0, "all": 7})
     assert sorted((r.strategy, r.mask, r.cost) for r in got.collect()) == [("all", 7, 3.5), ("none", 0, 3.5)]
     files.write_predictions(rows.selectExpr("'m' as model", "'load' as target", "*"), str(tmp_path / "p"))
@@ -249,7 +241,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count() > 0 and got.join(batch, ["series_id", "ts", "power"], "left_anti").count() == 0
 
 
-@pytest.mark.parametrize("key", ["metrics_basic", "interval_avg_actual", "rolling_median7", "weighted_profile", "select_method", "versions_rollup", "dispatch_totals", "shapley", "cost_distribution", "netload_quantile_margin", "clear_sky_forecast", "version_verdict", "intraday_output", "standardized_intervals", "metrics_boundary", "bootstrap_ci", "metrics_interval", "boundary_features"])
+@pytest.mark.parametrize("key", ["metrics_basic", "interval_avg_actual", "rolling_median7", "weighted_profile", "select_method", "versions_rollup", "dispatch_totals", "shapley", "cost_distribution", "netload_quantile_margin", "clear_sky_forecast", "version_verdict", "intraday_output", "standardized_intervals", "metrics_boundary", "bootstrap_ci", "metrics_interval", "boundary_features", "read_power_wide", "check_power_files", "check_strategy_files", "read_issues", "check_issues", "check_version_pairs", "check_roundtrip", "many_series_day_ahead", "latest_issue_asof", "lag_day_sparse", "normalized_profile", "metrics_boundary_monthly", "metrics_versions_monthly"])
 def test_against_sql(spark, key):
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem"):
