@@ -546,22 +546,39 @@ def test_ordered_grades():
 
 
 # --- 10 syncmers
-def brute_likeness(a, b, k=15, s=5):
-    """Anchors found k-mer by k-mer and matched in order by dynamic programming over the n-th occurrences."""
-    mine = lambda x: int(syncmers._hashes(np.array([ord(c) + 1 for c in x], np.uint64), len(x))[0])
-
-    def anchors(text):
-        out, seen = [], Counter()
-        for i in range(len(text) - k + 1):
-            inner = [mine(text[j : j + s]) for j in range(i, i + k - s + 1)]
-            if min(inner) in (inner[0], inner[-1]):
-                seen[text[i : i + k]] += 1
-                out.append((text[i : i + k], seen[text[i : i + k]]))
+def brute_hash(x):
+    """The hash of a substring, in whole numbers modulo 2^64."""
+    h, top = 0, 2**64
+    for c in x:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % top
+    h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 % top
+    return h ^ h >> 29
+
+
+def brute_anchors(text, k=15, s=5):
+    """Closed syncmers k-mer by k-mer."""
+    found = []
+    for i in range(len(text) - k + 1):
+        inner = [brute_hash(text[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append(text[i : i + k])
+    return found
+
+
+def brute_likeness(a, b):
+    """Anchors matched in order by dynamic programming over the n-th occurrences."""
+
+    def numbered(text):
+        seen = Counter()
+        out = []
+        for x in brute_anchors(text):
+            seen[x] += 1
+            out.append((x, seen[x]))
         return out or [(text, 0)]
 
     if not a or not b:
         return float(a == b)
-    x, y = anchors(a), anchors(b)
+    x, y = numbered(a), numbered(b)
     where = {m: j for j, m in enumerate(y)}
     tails = []
     for j in (where[m] for m in x if m in where):
@@ -570,6 +587,14 @@ def brute_likeness(a, b, k=15, s=5):
     return len(tails) / (len(x) + len(y) - len(tails))
 
 
+def brute_print(text):
+    """All anchors' hashes in order; a text without any has one of its own."""
+    found = brute_anchors(text)
+    if text and not found:
+        return hashlib.blake2b(text.encode(), digest_size=4).hexdigest()
+    return "".join(f"{brute_hash(x) >> 32:08x}" for x in found)
+
+
 def test_syncmers(spark, distinct_rows, docs, none):
     frame = spark.createDataFrame(distinct_rows, DOCS).repartition(5)
     got = sorted(syncmers.compare_edited(frame).collect(), key=lambda r: r.doc_id)
@@ -579,7 +604,8 @@ def test_syncmers(spark, distinct_rows, docs, none):
         cut = len(text) // 4
         edited = text[: len(text) - cut] + following[:cut]
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (own[0], len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.edited_fingerprint == syncmers.fingerprint(syncmers.sketch(edited))
+        assert (r.fingerprint, r.edited_fingerprint) == (brute_print(text), brute_print(edited))
+        assert r.near_edited == syncmers.likeness(syncmers.marks_of(r.fingerprint), syncmers.marks_of(r.edited_fingerprint))
         assert abs(r.near_next - brute_likeness(text, following)) < 1e-12 and abs(r.near_edited - brute_likeness(text, edited)) < 1e-12
     odd = docs.unionByName(spark.createDataFrame([(None, f"no id {i} " + "abc " * i, "en", "s", 1) for i in range(40)] + [(7, f"same id {i} " + "xyz " * i, "en", "s", 1) for i in range(40)], DOCS))
     for per in (4000, 5):  # the second: the documents without an id, and those with id 7, have several ranges

@@ -2,11 +2,10 @@
 
 A k-mer (of `k` code points) is an anchor if the smallest of its inner substrings of `s` code points
 stands at its first or last place. Whether it is one depends on the k-mer alone, so an edit
-elsewhere never moves an anchor. anchors() gives them with their positions; fingerprint() is the
-`size` smallest of their distinct hashes, as hexadecimal digits: a compact column that nothing is
-compared by. likeness() compares two documents by all their anchors: the n-th anchor of a hash in
-one meets the n-th in the other, the most of these that stand in the same order in both are what
-the texts have in common, and that is given as a share of all anchors of both. A text without
+elsewhere never moves an anchor. anchors() gives them with their positions; a fingerprint is the hashes
+of all of them (32 bits each) in the order of their positions, as hexadecimal digits, whatever the length of the text. likeness() compares
+two fingerprints: the n-th anchor of a hash in one meets the n-th in the other, the most of these that stand in the same order in both
+are what the texts have in common, and that is given as a share of all anchors of both. A text without
 anchors (shorter than k, say) has one hash, of the whole text; an empty one has none, is like
 another empty one (1) and unlike any other (0).
 
@@ -77,30 +76,26 @@ def anchors(text: str, k: int = 15, s: int = 5) -> tuple[np.ndarray, np.ndarray]
 
 
 def marks(text: str, k: int = 15, s: int = 5) -> np.ndarray:
-    """The hashes of all anchors in the order of their positions."""
+    """The hashes of all anchors in the order of their positions, as 32-bit numbers."""
     if not text:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     found = anchors(text, k, s)[1]
     if not len(found):
-        return np.array([int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") << 32], np.uint64)
-    return found
-
-
-def smallest(found: np.ndarray, size: int = 128) -> np.ndarray:
-    """The smallest distinct hashes of marks(), as 32-bit numbers in ascending order."""
-    return np.unique((found >> np.uint64(32)).astype(np.uint32))[:size]
-
-
-def sketch(text: str, k: int = 15, s: int = 5, size: int = 128) -> np.ndarray:
-    return smallest(marks(text, k, s), size)
+        return np.array([int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big")], np.uint32)
+    return (found >> np.uint64(32)).astype(np.uint32)
 
 
 def fingerprint(found: np.ndarray) -> str:
     return found.astype(">u4").tobytes().hex()
 
 
+def marks_of(fingerprint: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
+
+
 def _numbered(found: np.ndarray) -> np.ndarray:
     """The hashes made distinct: each with the number of times that it came before."""
+    found = found.astype(np.uint64)
     order = np.argsort(found, kind="stable")
     ranked = found[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
@@ -203,7 +198,7 @@ def _arrow(schema: str) -> pa.Schema:
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_edited(docs: DataFrame, k: int = 15, s: int = 5, size: int = 128) -> DataFrame:
+def compare_edited(docs: DataFrame, k: int = 15, s: int = 5) -> DataFrame:
     """Fingerprint of each text and of its edited form: its last quarter replaced by the beginning of the next text."""
     memory: list = [None, None]
 
@@ -219,20 +214,20 @@ def compare_edited(docs: DataFrame, k: int = 15, s: int = 5, size: int = 128) ->
         new = own if edited == text else marks(edited, k, s)
         following = marked(after[1])
         return {
-            "doc_id": doc[0], "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": fingerprint(smallest(own, size)),
-            "edited_fingerprint": fingerprint(smallest(new, size)), "near_edited": likeness(own, new), "near_next": likeness(own, following),
+            "doc_id": doc[0], "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": fingerprint(own),
+            "edited_fingerprint": fingerprint(new), "near_edited": likeness(own, new), "near_next": likeness(own, following),
         }
 
     return successors(docs, then, COMPARED)
 
 
-def fingerprints(docs: DataFrame, k: int = 15, s: int = 5, size: int = 128) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 15, s: int = 5) -> DataFrame:
     """(doc_id, n_anchors, fingerprint) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(anchors(x, k, s)[0]) for x in texts], pa.int64()), pa.array([fingerprint(sketch(x, k, s, size)) for x in texts])], ["doc_id", "n_anchors", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(anchors(x, k, s)[0]) for x in texts], pa.int64()), pa.array([fingerprint(marks(x, k, s)) for x in texts])], ["doc_id", "n_anchors", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_anchors long, fingerprint string")
 
