@@ -679,3 +679,17 @@ def test_every_stage_with_odd_rows(spark, rows, tmp_path, name):
         if name == "simhash_dedup":  # documents that differ stay, whatever their ids
             assert sum((r.text or "").startswith(("no id here", "another without")) for r in got) == 2 and sum(r.text == rows[3][1] for r in got) == 1
     assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
+
+
+def test_limits_of_ranges_from_few_samples(spark):
+    """Fewer samples than ranges: each limit comes once, and only anchors with several different limits are left uncut."""
+    from wattloom.llm.chunks import pack_chunks
+
+    rng = random.Random(12)
+    frame = spark.createDataFrame([(i, words(rng, 200)) for i in range(60)], "doc_id long, text string").repartition(4)
+    chunks = pack_chunks(frame, 2000)
+    n, width, k = chunks.count(), 50, 25
+    for most in (100_000, 5):
+        limits = suffix_dedup._limits(chunks, n, 64, width, k, most=most)
+        assert limits == sorted(set(limits)) and all(len(x) == 2 * width - k for x in limits)
+        assert sum(x[k:] != bytes(width) for x in limits) <= 2

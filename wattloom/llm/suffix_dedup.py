@@ -435,7 +435,7 @@ def _limits(chunks: DataFrame, n_chunks: int, ranges: int, width: int, k: int, m
                 yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in x], pa.binary())], ["suffix"])
 
     found = sorted(bytes(r.suffix) for r in chunks.mapInArrow(some, "suffix binary").collect())
-    picked = [found[i * len(found) // ranges] for i in range(1, ranges)] if found else []
+    picked = {found[i * len(found) // ranges] for i in range(1, ranges)} if found else set()  # fewer than ranges from fewer suffixes
     cores = Counter(s[:k] for s in picked)
     size = 2 * width - k
     return sorted({s if cores[s[:k]] > 1 else s[:k] + bytes(size - k) for s in picked})
