@@ -11,7 +11,8 @@ alone. A table that has grades can be fitted as it is (`grade`). The model is fi
 labels of documents that are there (a documented bound: those with the smallest seeded hashes). It uses the features of `least_toxic` toxic ones or
 more whose log-odds between toxic and
 clean documents, by counts over those, are `least_odds` or more, or `least_odds` below 0 or less, and as
-surely (`least_sure` standard errors) not 0: words that toxic documents have 20 times as often, or as rarely.
+surely (`least_sure` standard errors) not 0: words that toxic documents have 20 times as often, or as rarely. All such features are used.
+Where quality says nothing about toxicity, the second grade is told from the first by chance alone, and severity orders documents as the probability of grade 1 does.
 
 Nulls: a null text has no words; labels that are null, or whose document is missing, take no part. Of
 several labels of a document each counts. Without toxic labels the severity is 0. Texts are
@@ -117,7 +118,7 @@ def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, rounds:
     return p[:n], p[n] + np.append(0, np.cumsum(np.exp(p[n + 1 :])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 2000, least_sure: float = 3.5, least_odds: float = 3.0, least_toxic: int = 5, grade: str | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, least_sure: float = 3.5, least_odds: float = 3.0, least_toxic: int = 5, grade: str | None = None) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic, quality if there, and `grade` if given)."""
     bad = F.col("quality").cast("int") <= 0 if "quality" in labels.columns else F.lit(False)
     by_label = F.when(F.col("toxic") > 0, F.when(F.coalesce(bad, F.lit(False)), 2).otherwise(1)).otherwise(0)
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: in
         m = clean.get(f, 0)
         odds = math.log(((n + 0.5) / (n_toxic + 1)) / ((m + 0.5) / (n_clean + 1)))
         found.append((-abs(odds) / math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)), f, odds))
-    picked = [f for sure, f, odds in sorted(found)[:features] if -sure >= least_sure and abs(odds) >= least_odds]
+    picked = [f for sure, f, odds in sorted(found) if -sure >= least_sure and abs(odds) >= least_odds]
     place = {f: k for k, f in enumerate(picked)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
