@@ -18,7 +18,7 @@ from ..operators import releases as R
 from ..operators import scenarios as S
 from ..sources import adapters as A
 from ..sources import files
-from .registry import BASE, BIN, CAND, EXTRA, ISSUES, MIN_HISTORY, PLAN, REFIT, SERIES, SITE, W, _candidates, _truth, add
+from .registry import BASE, BIN, CAND, EXTRA, ISSUES, MIN_HISTORY, PLAN, REFIT, SERIES, SITE, W, _intervals, _truth, add
 
 
 def _base(s: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ add("interval_avg_profile", lambda s, d: I.interval_averages(A.site(s, d).groupB
     "SELECT *, (coalesce(lag(power) OVER w, max(CASE WHEN slot = 144 THEN power END) OVER (PARTITION BY target)) + power) / 2 AS avg_power FROM (SELECT target, series_id, slot, avg(power) AS power FROM site GROUP BY ALL) WINDOW w AS (PARTITION BY target ORDER BY slot)", BIN, "target, series_id, slot", "avg_power")
 add("issue_truth_join", lambda s, d: R.linear(A.issues(s, d), _truth(s, d)).join(_truth(s, d), ["series_id", "at"]).select("series_id", "issue_at", "step", "power"), "SELECT l.series_id, l.issue_at, l.step, t.power FROM lin l JOIN truth t ON t.series_id = l.series_id AND t.at = l.at", ISSUES, "series_id, issue_at, step", "power")
 add("interp_knots", lambda s, d: R.linear_all(A.issues(s, d), _truth(s, d)).select("series_id", "issue_at", "step", "a"), "SELECT * FROM lin24", ISSUES, "series_id, issue_at, step", "a")
-add("intraday_intervals", lambda s, d: R.intervals(_candidates(s, d), _truth(s, d)).select("series_id", "issue_at", "step", "method", "pred").unionByName(R.extra_intervals(A.issues(s, d), _truth(s, d)).select("series_id", "issue_at", "step", F.lit("extra").alias("method"), "pred")),
+add("intraday_intervals", lambda s, d: _intervals(s, d).select("series_id", "issue_at", "step", "method", "pred").unionByName(R.extra_intervals(A.issues(s, d), _truth(s, d)).select("series_id", "issue_at", "step", F.lit("extra").alias("method"), "pred")),
     f"SELECT series_id, issue_at, step, 'A' AS method, a AS pred FROM iv WHERE step > 0 UNION ALL SELECT series_id, issue_at, step, 'B', b FROM iv WHERE step > 0 UNION ALL SELECT series_id, issue_at, step, 'C', c FROM iv WHERE step > 0 UNION ALL SELECT series_id, issue_at, step, 'extra', pred FROM ({EXTRA})", CAND, "series_id, issue_at, step, method", "pred")
 add("standardized_intervals", lambda s, d: I.standardized(_base(s, d), I.boundaries(A.site(s, d), SITE), SITE).where("avg_power is not null").select(*SITE, "day", "slot", "avg_power"),
     "SELECT * FROM (SELECT b.*, (b.pred + CASE WHEN b.slot = 144 THEN CASE b.target WHEN 'pv' THEN n.mean7 ELSE n.weekly END ELSE lead(b.pred) OVER (PARTITION BY b.target, b.series_id, b.day_no ORDER BY b.slot) END) / 2 AS avg_power FROM base b JOIN (SELECT target, day_no, lag(power, 6) OVER w AS weekly, avg(power) OVER (PARTITION BY target ORDER BY day_no ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mean7 FROM site WHERE slot = 1 WINDOW w AS (PARTITION BY target ORDER BY day_no)) n ON n.target = b.target AND n.day_no = b.day_no) WHERE avg_power IS NOT NULL", BASE, "target, series_id, day, slot", "avg_power")

@@ -219,13 +219,23 @@ def _truth(s: SparkSession, d: str) -> DataFrame:
     return R.truth_at(A.site(s, d).where("target = 'pv'"))
 
 
-def _candidates(s: SparkSession, d: str) -> DataFrame:
-    shape = X.shape_residual_median(A.site(s, d).where("target = 'pv'"), SERIES)
-    return R.all_candidates(A.issues(s, d), _truth(s, d), shape)
+def _pv(s: SparkSession, d: str) -> DataFrame:
+    """The site's output, written once for issues, truth and shapes."""
+    return files.written(A.site(s, d).where("target = 'pv'"), "pv")
+
+
+def _candidates(s: SparkSession, d: str, pv: DataFrame | None = None) -> DataFrame:
+    pv = pv or _pv(s, d)
+    return R.all_candidates(A.issues(s, d, pv), R.truth_at(pv), X.shape_residual_median(pv, SERIES))
+
+
+def _intervals(s: SparkSession, d: str, pv: DataFrame | None = None) -> DataFrame:
+    pv = pv or _pv(s, d)
+    return R.intervals(_candidates(s, d, pv), R.truth_at(pv))
 
 
 def _errors(s: SparkSession, d: str) -> DataFrame:
-    return R.daily_errors(R.intervals(_candidates(s, d), _truth(s, d)))
+    return R.daily_errors(_intervals(s, d))
 
 
 HOURLY = """SELECT n.series_id, n.issue_at, n.day, n.release_hour, n.lead_h, n.at AS "at", n.pred AS new, o.pred AS old, t.power AS truth FROM iss n JOIN iss o ON o.series_id = n.series_id AND o.issue_at = n.issue_at - 36 AND o.at = n.at JOIN truth t ON t.series_id = n.series_id AND t.at = n.at WHERE n.lead_h <= least(24 - n.release_hour, 18)"""
@@ -274,8 +284,9 @@ EXTRA = """SELECT i.series_id, i.issue_at, CAST((24 - i.release_hour) * 6 + 1 AS
 
 def _intraday(s: SparkSession, d: str) -> DataFrame:
     """The intervals of the chosen candidate, and the one after midnight; intervals are written once for errors and output."""
-    issues, truth = A.issues(s, d), _truth(s, d)
-    rows = files.written(R.intervals(_candidates(s, d), truth), "intervals")
+    pv = _pv(s, d)
+    issues, truth = A.issues(s, d, pv), R.truth_at(pv)
+    rows = files.written(_intervals(s, d, pv), "intervals")
     chosen = R.choose(R.rolling_choice(R.daily_errors(rows))).select("series_id", "issue_at", F.col("chosen").alias("method"))
     inside = rows.select("series_id", "issue_at", "method", "step", "pred").join(chosen, ["series_id", "issue_at", "method"])
     extra = R.extra_intervals(issues, truth).select("series_id", "issue_at", "step", "pred").join(chosen, ["series_id", "issue_at"])

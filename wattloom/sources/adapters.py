@@ -74,19 +74,19 @@ def site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(measured(spark, sf_dir), ["target", "series_id"], *span(spark, sf_dir))
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, issue_no, day, day_no, release_hour, leads): 24 hourly values per release, known at its time.
+def issues(spark: SparkSession, sf_dir: str, pv: DataFrame | None = None) -> DataFrame:
+    """(series_id, issue_at, day, day_no, release_hour, leads): 24 hourly values per release from the third day on, known at its time.
 
-    Half the output a day before the target and half that at the time of issue.
+    Half the output a day before the target and half that at the time of issue: the hours of the last day, as a window over hourly rows sees them.
+    pv: the site's output, where it has been computed already.
     """
-    pv = site(spark, sf_dir).where("target = 'pv'").selectExpr("series_id", "day_no * 144 + slot as at", "power")
-    days = site(spark, sf_dir).where("target = 'pv' and slot = 1").select("series_id", "day", "day_no").where("day_no >= 2")
-    r = days.withColumn("release_hour", F.explode(F.array(*[F.lit(h) for h in (0, 6, 12, 18)]))).withColumn("issue_at", F.expr("day_no * 144 + release_hour * 6"))
-    now = r.join(pv.withColumnRenamed("at", "issue_at").withColumnRenamed("power", "now"), ["series_id", "issue_at"])
-    each = now.withColumn("lead_h", F.explode(F.sequence(F.lit(1), F.lit(24)))).withColumn("at", F.expr("issue_at + lead_h * 6 - 144"))
-    each = each.join(pv, ["series_id", "at"]).withColumn("pred", F.expr("0.5 * power + 0.5 * now"))
-    grouped = each.groupBy("series_id", "issue_at", "day", "day_no", "release_hour").agg(F.sort_array(F.collect_list(F.struct("lead_h", "pred"))).alias("p"))
-    return grouped.withColumn("leads", F.transform("p", lambda x: x["pred"])).drop("p")
+    first, last = span(spark, sf_dir)
+    hourly = (pv or site(spark, sf_dir).where("target = 'pv'")).where("slot % 6 = 0").selectExpr("series_id", "day_no * 144 + slot as issue_at", "power")
+    past = Window.partitionBy("series_id").orderBy("issue_at").rowsBetween(-23, 0)
+    rows = hourly.withColumn("_past", F.collect_list("power").over(past)).where("issue_at % 36 = 0 and issue_at >= 288")
+    day_no = F.expr("int(issue_at div 144)")
+    rows = rows.withColumns({"day_no": day_no, "day": F.date_add(first, day_no)}).where(F.col("day") <= last)
+    return rows.select("series_id", "issue_at", "day", "day_no", F.expr("int(issue_at % 144 div 6)").alias("release_hour"), F.transform("_past", lambda x: 0.5 * x + 0.5 * F.col("power")).alias("leads"))
 
 
 def price(slot: Column) -> Column:
