@@ -16,7 +16,7 @@ context occurs, so contexts under `least` are never sent. Contexts with at least
 all tokens (so there are at most 1000 of a length) are dealt to several buckets by their successors; the
 sums of those parts, a bounded number of rows, are put together on the driver.
 
-A context goes by 48 bits of its hash beside the bucket's, a successor by 32.
+A context goes by the upper 48 bits of its hash (its bucket follows from these), a successor by 32.
 
 A chunk sends a row to each bucket: with chunks of 6 MB and half as many buckets, a row holds over a
 kilobyte up to some TB of text; beyond, give larger chunks.
