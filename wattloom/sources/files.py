@@ -132,8 +132,11 @@ def write_wide(rows: DataFrame, path: str) -> None:
     pivot_power(rows).write.csv(path, header=True)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset.
+_marked: set[str] = set()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's own folder where driver and executors share one: under spark.checkpoint.dir, or the warehouse where that is unset. It goes when the driver's JVM ends.
 
     A cluster whose executors would each write to their own disk is refused.
     """
@@ -142,7 +145,19 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         if root.startswith("file:") and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _marked.add(own)
+    return own
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
