@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -16,31 +16,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows without an id count as after all others.
 NO_ID = 2**63 - 1
 
-_own: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the cluster sets it.
-
-    Where it is unset, a local session (tests) gets a temporary folder and any other the warehouse.
-    """
-    said = spark.conf.get("spark.checkpoint.dir", None)
-    if said:
-        return said.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    app = spark.sparkContext.applicationId
-    return _own.setdefault(app, tempfile.mkdtemp(prefix="spark-wattloom-"))
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,7 +16,6 @@ just the end id. An empty table gives no shard. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, partitions, sampled, shared_dir, write_table
+from .common import NO_ID, partitions, sampled, scratch, write_table
 from .tokenizing import encoder
 
 MAGIC = b"WLTOK1\n\0"
@@ -192,7 +191,7 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
 
 def round_trip(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
     """Write docs into the shared folder and read them from there."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(docs.sparkSession, "tokens")
     write_token_files(docs, path, tokenizer, **how)
     return read_token_files(docs.sparkSession, path)
 
