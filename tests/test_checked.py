@@ -15,7 +15,7 @@ from wattloom.operators import metrics as M
 from wattloom.operators import quality as Q
 from wattloom.operators import releases as R
 from wattloom.operators.backtests import Origins, backtest, boosted, forest
-from wattloom.plans.checked import day_ahead
+from wattloom.plans.checked import day_ahead, intraday
 from wattloom.sources import files
 from wattloom.sources.strict import filled_down, read_strict
 
@@ -155,6 +155,27 @@ def test_one_partitioning_for_many_series(spark):
     assert abs(got["b", "baseline"].mae - alone) < 1e-9
 
 
+def test_no_shuffle_within_the_intraday_workload(spark):
+    """Once rows are bucketed; choices of a series are those that it has alone."""
+    names = "abc"
+    rows = None
+    for i, name in enumerate(names):
+        one = series(spark, 12, lambda d, k, i=i: (d * (7 + i) + k * 3) % 23 + 10 * (k > 40), "pv", name)
+        rows = one if rows is None else rows.unionByName(one)
+    issues = lambda held: held.where("slot % 36 = 0 and day_no between 2 and 10").selectExpr("series_id", "day_no * 144 + slot as issue_at", "day", "int((day_no * 144 + slot) div 144) as day_no", "int(slot % 144 div 6) as release_hour", "transform(sequence(1, 24), h -> power + h) as leads")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = intraday(rows, issues, buckets=3)
+        assert exchanges(found) == 0
+        got = sorted(map(tuple, found.collect()))
+        alone = sorted(map(tuple, intraday(rows.where("series_id = 'b'"), issues, buckets=1).collect()))
+        assert len(got) == 3 * len(alone) > 90 and [r for r in got if r[0] == "b"] == alone
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+
+
 def test_origins_read_their_days_without_copies(spark):
     """Training rows of an origin are a filter of the table: no exchange, no more rows than there are; forecasts are those of copies made by a join."""
     rows = series(spark, 20, lambda d, k: (d * 7 + k * 3) % 11 + (5 if k > 40 else 0)).unionByName(series(spark, 20, lambda d, k: (d * 5 + k) % 7, name="t"))

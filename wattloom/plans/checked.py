@@ -5,9 +5,12 @@ Readers write the given tables' rows to the shared folder first and read them fr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import features as X
 from ..operators import forecasts as P
 from ..operators import intervals as I
 from ..operators import metrics as M
@@ -16,7 +19,7 @@ from ..operators import releases as R
 from ..sources import adapters as A
 from ..sources import files
 from .more import USERS
-from .registry import BIN, ISSUES, SITE, STRATEGY, _truth, add
+from .registry import BIN, CAND, ISSUES, SERIES, SITE, STRATEGY, _truth, add
 
 # --- power sheets
 
@@ -193,3 +196,25 @@ um AS (SELECT *, lag(power, 1) OVER w AS c0, avg(power) OVER (PARTITION BY serie
 add("many_series_day_ahead", _user_models,
     f"SELECT series_id, 'baseline' AS model, {_off('pred')} FROM um GROUP BY series_id UNION ALL SELECT series_id, 'yesterday', {_off('c0')} FROM um GROUP BY series_id UNION ALL SELECT series_id, 'mean7', {_off('c3')} FROM um GROUP BY series_id UNION ALL SELECT series_id, 'interval', {_off('ip', 'avg_power')} FROM um WHERE ip IS NOT NULL GROUP BY series_id",
     USER_MODELS, "series_id, model, n", "mae, rmse, bias")
+
+
+def intraday(rows: DataFrame, issues: Callable[[DataFrame], DataFrame], buckets: int | None = None) -> DataFrame:
+    """The chosen method of every issue of many series, with the history behind it: rebuilt releases, their errors, and the rolling choice.
+
+    rows (series_id, day, day_no, slot, power) are written bucketed by series once. All joins are of rows of a series at a time of it, so with co-partitioning by a
+    part of the keys allowed, none of the joins, windows and groupings shuffles.
+    """
+    rows.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    held = files.bucketed(rows, "intraday", "series_id", ["day_no", "slot"], buckets)
+    truth = R.truth_at(held)
+    candidates = R.all_candidates(issues(held), truth, X.shape_residual_median(held, SERIES))
+    return R.choose(R.rolling_choice(R.daily_errors(R.intervals(candidates, truth))))
+
+
+def _user_choices(s: SparkSession, d: str) -> DataFrame:
+    return intraday(A.user_endpoints(s, d), lambda rows: A.issues(s, d, rows)).drop("day_no")
+
+
+USER_SITE = BIN[: BIN.index("sol AS")] + """ub AS (SELECT CAST(user_id AS VARCHAR) AS series_id, CAST(ts AS DATE) AS day, CAST(floor((hour(ts) * 60 + minute(ts)) / 10) AS INTEGER) + 1 AS slot, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY ALL),
+site AS (SELECT 'pv' AS target, k.series_id, p.day, p.day_no, p.slot, coalesce(CAST(u.v AS DOUBLE), 0) AS power FROM (SELECT DISTINCT series_id FROM ub) k CROSS JOIN spine p LEFT JOIN ub u ON u.series_id = k.series_id AND u.day = p.day AND u.slot = p.slot)"""
+add("many_series_intraday", _user_choices, "SELECT * FROM pick", CAND.replace(BIN, USER_SITE), "series_id, issue_at, release_hour, history, chosen", "prior_a, prior_b, prior_c")

@@ -41,7 +41,7 @@ ISSUES = BIN + """,
 truth AS (SELECT series_id, day_no * 144 + slot AS at, power FROM site WHERE target = 'pv'),
 iss AS (SELECT n.series_id, n.at AS issue_at, d.day, d.day_no, v.r AS release_hour, CAST(g.h AS INTEGER) AS lead_h, CAST(n.at + g.h * 6 AS INTEGER) AS at, 0.5 * p.power + 0.5 * n.power AS pred, n.power AS now
   FROM (SELECT DISTINCT day, day_no FROM spine WHERE day_no >= 2) d CROSS JOIN (VALUES (0), (6), (12), (18)) v(r) CROSS JOIN generate_series(1, 24) g(h)
-  JOIN truth n ON n.at = d.day_no * 144 + v.r * 6 JOIN truth p ON p.at = n.at + g.h * 6 - 144),
+  JOIN truth n ON n.at = d.day_no * 144 + v.r * 6 JOIN truth p ON p.series_id = n.series_id AND p.at = n.at + g.h * 6 - 144),
 kn AS (SELECT DISTINCT series_id, issue_at, day, day_no, release_hour, 0 AS k, now AS x FROM iss UNION ALL SELECT series_id, issue_at, day, day_no, release_hour, lead_h, pred FROM iss),
 lin24 AS (SELECT l.series_id, l.issue_at, l.day, l.day_no, l.release_hour, CAST(s.step AS INTEGER) AS step, CAST(l.issue_at + s.step AS INTEGER) AS at, greatest(0, l.x + (r.x - l.x) * (s.step - 6 * l.k) / 6) AS a
   FROM generate_series(0, 144) s(step) JOIN kn l ON l.k = greatest(1, CAST(ceil(s.step / 6.0) AS INTEGER)) - 1 JOIN kn r ON r.series_id = l.series_id AND r.issue_at = l.issue_at AND r.k = l.k + 1),
@@ -130,7 +130,7 @@ add("daily_total_features", lambda s, d: X.daily_total_features(A.daily_totals(s
 add("slot_smooth", lambda s, d: X.smoothed(A.site(s, d), SITE, "power", "smooth").select(*SITE, "day", "slot", "smooth"), f"SELECT *, (lag(power, 2, 0) OVER w + 2 * lag(power, 1, 0) OVER w + 3 * power + 2 * lead(power, 1, 0) OVER w + lead(power, 2, 0) OVER w) / 9 AS smooth FROM site WINDOW w AS ({DAYW})", plain="target, series_id, day, slot", rounded="smooth")
 SHAPE = f"""SELECT *, quantile_cont(residual, 0.5) OVER ({W} RANGE BETWEEN 28 PRECEDING AND 1 PRECEDING) AS shape FROM (
   SELECT c.*, CASE WHEN c.slot % 6 > 0 THEN c.power - (l.power + (r.power - l.power) * (c.slot % 6) / 6) END AS residual FROM site c
-  LEFT JOIN site l ON l.target = c.target AND l.day_no * 144 + l.slot = c.day_no * 144 + c.slot - c.slot % 6 LEFT JOIN site r ON r.target = c.target AND r.day_no * 144 + r.slot = c.day_no * 144 + c.slot - c.slot % 6 + 6)"""
+  LEFT JOIN site l ON l.target = c.target AND l.series_id = c.series_id AND l.day_no * 144 + l.slot = c.day_no * 144 + c.slot - c.slot % 6 LEFT JOIN site r ON r.target = c.target AND r.series_id = c.series_id AND r.day_no * 144 + r.slot = c.day_no * 144 + c.slot - c.slot % 6 + 6)"""
 add("shape_residual_median", lambda s, d: X.shape_residual_median(A.site(s, d), SITE).select(*SITE, "day", "slot", "shape"), SHAPE, plain="target, series_id, day, slot", rounded="shape")
 PROFILE = """SELECT *, CASE WHEN sum(raw) OVER (PARTITION BY target, series_id, day_no) > 1e-8 THEN raw / sum(raw) OVER (PARTITION BY target, series_id, day_no) ELSE 1.0 / 144 END AS profile FROM ({raw})"""
 SHARE = "(SELECT *, CASE WHEN sum(power) OVER (PARTITION BY target, series_id, day_no) > 1e-8 THEN power / sum(power) OVER (PARTITION BY target, series_id, day_no) END AS share FROM site)"
@@ -263,7 +263,7 @@ add("cand_linear", lambda s, d: R.linear(A.issues(s, d), _truth(s, d)).select("s
 CAND = ISSUES + f""",
 sh AS ({SHAPE}),
 bias AS (SELECT i.series_id, i.issue_at, CASE WHEN count(off) >= 6 THEN quantile_cont(off, 0.5) ELSE 0 END AS bias FROM (SELECT n.series_id, n.issue_at, CASE WHEN t.power > 1 OR o.a > 1 THEN t.power - o.a END AS off FROM (SELECT DISTINCT series_id, issue_at FROM iss) n JOIN lin24 o ON o.series_id = n.series_id AND o.issue_at = n.issue_at - 36 AND o.at BETWEEN n.issue_at - 18 AND n.issue_at JOIN truth t ON t.series_id = n.series_id AND t.at = o.at) i GROUP BY ALL),
-cand AS (SELECT l.*, t.power, greatest(0, l.a + coalesce(s.shape, 0)) AS b, CASE WHEN l.a > 1 THEN greatest(0, l.a + coalesce(x.bias, 0) * exp(-l.step / 18.0)) ELSE l.a END AS c FROM lin l JOIN truth t ON t.series_id = l.series_id AND t.at = l.at LEFT JOIN sh s ON s.target = 'pv' AND s.day_no * 144 + s.slot = l.at LEFT JOIN bias x ON x.series_id = l.series_id AND x.issue_at = l.issue_at),
+cand AS (SELECT l.*, t.power, greatest(0, l.a + coalesce(s.shape, 0)) AS b, CASE WHEN l.a > 1 THEN greatest(0, l.a + coalesce(x.bias, 0) * exp(-l.step / 18.0)) ELSE l.a END AS c FROM lin l JOIN truth t ON t.series_id = l.series_id AND t.at = l.at LEFT JOIN sh s ON s.target = 'pv' AND s.series_id = l.series_id AND s.day_no * 144 + s.slot = l.at LEFT JOIN bias x ON x.series_id = l.series_id AND x.issue_at = l.issue_at),
 iv AS (SELECT series_id, issue_at, day_no, release_hour, step, (lag(power) OVER w + power) / 2 AS power, (lag(a) OVER w + a) / 2 AS a, (lag(b) OVER w + b) / 2 AS b, (lag(c) OVER w + c) / 2 AS c FROM cand WINDOW w AS (PARTITION BY series_id, issue_at ORDER BY step)),
 err AS (SELECT series_id, issue_at, day_no, release_hour, 'A' AS method, avg(abs(a - power)) AS mae FROM iv WHERE step > 0 GROUP BY ALL
   UNION ALL SELECT series_id, issue_at, day_no, release_hour, 'B', avg(abs(b - power)) FROM iv WHERE step > 0 GROUP BY ALL
