@@ -48,6 +48,12 @@ def check_roundtrip(computed: DataFrame, path: str, part: str, key: list[str], v
     return both.groupBy(part).agg(F.count_if(here).alias("n"), F.count_if(here & ~there).alias("missing"), F.count_if(there & ~here).alias("extra"), F.count_if(here & there & other).alias("changed"), F.max(off).alias("off"))
 
 
+def check_weights(rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Per row: whether no weight is below 0, and whether they sum to 1."""
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumns({"fine": F.forall("weights", lambda x: x >= 0), "whole": F.abs(total - 1) < tolerance}).drop("weights")
+
+
 def pair_completeness(daily: DataFrame, kinds: int = 8) -> DataFrame:
     return daily.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mask").alias("strategies")).where((F.col("n") != kinds) | (F.col("strategies") != kinds))
 

@@ -360,5 +360,11 @@ add("check_release", lambda s, d: Q.check_release(A.issues(s, d)), "SELECT serie
 add("pair_completeness", lambda s, d: Q.pair_completeness(A._table(s, d, "orders").select(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 8).alias("mask")).distinct()), "SELECT day, count(*) AS n, count(DISTINCT mask) AS strategies FROM raw GROUP BY day HAVING count(*) <> 8", STRATEGY, "day, n, strategies")
 add("series_date_mismatch", lambda s, d: Q.series_mismatch(A._binned(s, d).where("event_type = 'view'").select(F.lit("x").alias("series_id"), F.struct("day", "slot").alias("day")), A._binned(s, d).where("event_type = 'click'").select(F.lit("x").alias("series_id"), F.struct("day", "slot").alias("day"))).select("day.day", "day.slot", "only_in"),
     "SELECT day, slot, 'first' AS only_in FROM (SELECT DISTINCT day, slot FROM bin WHERE event_type = 'view') a ANTI JOIN (SELECT DISTINCT day, slot FROM bin WHERE event_type = 'click') b USING (day, slot) UNION ALL SELECT day, slot, 'second' FROM (SELECT DISTINCT day, slot FROM bin WHERE event_type = 'click') a ANTI JOIN (SELECT DISTINCT day, slot FROM bin WHERE event_type = 'view') b USING (day, slot)", plain="day, slot, only_in")
-add("check_weights", lambda s, d: P.adaptive_weights(A.site(s, d).where("target = 'pv'"), SITE).select("day_no", F.forall("weights", lambda x: x >= 0).alias("fine"), (F.abs(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("whole")),
-    "SELECT DISTINCT day_no, true AS fine, true AS whole FROM site WHERE target = 'pv' AND day_no >= 7", plain="day_no, fine, whole")
+def _weights_with_faults(s: SparkSession, d: str) -> DataFrame:
+    """The weights of each day; on every fifth a tenth too large, on every other seventh one of them below 0."""
+    rows = P.adaptive_weights(A.site(s, d).where("target = 'pv'"), SITE).select("day_no", "weights")
+    planted = F.when(F.col("day_no") % 5 == 0, F.transform("weights", lambda x: 1.1 * x)).when(F.col("day_no") % 7 == 0, F.array(*[F.lit(x) for x in (-0.5, 0.5, 0.5, 0.5)]))
+    return Q.check_weights(rows.withColumn("weights", F.coalesce(planted, "weights")))
+
+
+add("check_weights", _weights_with_faults, "SELECT DISTINCT day_no, day_no % 7 <> 0 OR day_no % 5 = 0 AS fine, day_no % 5 <> 0 AS whole FROM site WHERE target = 'pv' AND day_no >= 7", plain="day_no, fine, whole")
