@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, conversation_repair, line_dedup, mixing, packing, quality_rules, simhash, source_divergence, suffix_dedup, suffix_tree, syncmers, token_files, toxicity
+from . import sql as long_sql
 from .common import table
 
 
@@ -147,5 +148,7 @@ QUERIES = {
 }
 ORACLE = {
     "op3_line_dedup": OP3_SQL,
+    "op11_conversation_repair": long_sql.CONVERSATIONS,
+    "op12_quality_rules": long_sql.QUALITY,
     "op13_source_divergence": OP13_SQL,
 }
