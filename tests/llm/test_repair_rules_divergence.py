@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wattloom.llm import conversation_repair as R
 from wattloom.llm import quality_rules as Q
 from wattloom.llm import source_divergence as D
+from wattloom.llm import sql
 from wattloom.llm.queries import OP13_SQL
 
 LEGAL = re.compile(r"(s?(ua)+)?\Z")
@@ -164,6 +165,21 @@ def test_conversations_against_brute_force(spark, talks, most_rows, most_chars):
     assert all(hashlib.sha256("\n".join(made.get(k, [])).encode()).hexdigest() == r.repaired_sha256 for k, r in plain.items())
 
 
+def shown(con, sql, names):
+    found = con.execute(sql)
+    at = [[c[0] for c in found.description].index(n) for n in names]
+    return sorted((tuple(r[k] for k in at) for r in found.fetchall()), key=repr)
+
+
+def test_conversations_against_sql(spark, talks, tmp_path):
+    given = spark.createDataFrame([(*r, "extra") for r in talks], TALK)
+    given.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}).to_parquet(tmp_path / "c.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c.parquet'")
+    found = R.audits(R.damaged(given), given)
+    assert sorted(map(tuple, found.collect()), key=repr) == shown(con, sql.CONVERSATIONS, found.columns)
+
+
 def test_no_conversations(spark):
     none = spark.createDataFrame([], TALK)
     assert R.audits(none).count() == 0 and R.repaired(none).count() == 0
@@ -231,7 +247,7 @@ def test_cutoffs_against_fractions():
     assert 5 < found < 40
 
 
-def test_verdicts_of_strata(spark):
+def test_verdicts_of_strata(spark, tmp_path):
     """Symbols mark low quality in one language, nothing does in the other, and the third has too few labels."""
     rng = random.Random(9)
     docs, labels = [], []
@@ -248,6 +264,13 @@ def test_verdicts_of_strata(spark):
     assert len(got) == len(docs) and not any(got[i].kept for i in (9000, 9001, 9002)) and got[9000].base_failed
     for i, text, lang, _ in docs[:-3]:
         assert got[i].kept == (not (lang == "x" and "#" in text)), (i, got[i])
+    con = duckdb.connect()
+    for name, rows in (("documents", frame), ("labels", marks)):
+        rows.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / f"{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    asked = sorted((tuple(r[c] for c in columns) for r in Q.judge(frame.drop("kept"), marks).collect()), key=repr)
+    assert asked == shown(con, sql.QUALITY, columns)
     alone = Q.judge(frame, marks.where("false")).collect()
     assert sum(not r.kept for r in alone) == 3
     assert Q.judge(frame.where("false"), marks).count() == 0

@@ -147,6 +147,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
 }
 ORACLE = {
+    "op4_suffix_dedup": long_sql.REPEATS,
     "op3_line_dedup": OP3_SQL,
     "op11_conversation_repair": long_sql.CONVERSATIONS,
     "op12_quality_rules": long_sql.QUALITY,

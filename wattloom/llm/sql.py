@@ -1,4 +1,4 @@
-"""SQL of the queries whose definitions are too long to stand beside them: conversation repair and quality rules, from their definitions."""
+"""SQL of the queries whose definitions are too long to stand beside them: repeated strings, conversation repair and quality rules, from their definitions."""
 
 from __future__ import annotations
 
@@ -113,3 +113,25 @@ WITH d AS (
 SELECT v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed, NOT v.base_failed AND NOT coalesce(bool_or(CASE cut.rule WHEN 'symbols' THEN symbols WHEN 'word_length' THEN word_length WHEN 'dup_lines' THEN dup_lines ELSE repeats END >= cut.c), false) AS kept
 FROM v LEFT JOIN cut ON cut.lang = v.lang GROUP BY v.r, v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed
 """
+
+#: Every string of 50 bytes (as hexadecimal digits) with the smallest doc_id that has it.
+REPEATS = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), block AS (
+  SELECT r, doc_id, b, substr(h, 2 * b + 1, 2 * (512 + 49)) AS part FROM (SELECT *, unnest(range(0, length(h) // 2, 512)) AS b FROM d)
+), w AS (
+  SELECT r, doc_id, b + k AS i, substr(part, 2 * k + 1, 100) AS key FROM (SELECT *, unnest(range(0, least(512, length(part) // 2 - 49))) AS k FROM block WHERE length(part) > 98)
+), hit AS (
+  SELECT w.r, w.i FROM w JOIN (SELECT key, min(doc_id) AS least FROM w GROUP BY key HAVING max(doc_id) > min(doc_id)) f ON f.key = w.key WHERE w.doc_id > f.least
+), run AS (
+  SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(CASE WHEN i <= last + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS no FROM (SELECT *, lag(i) OVER (PARTITION BY r ORDER BY i) AS last FROM hit)) GROUP BY r, no
+), kept AS (
+  SELECT d.r, run.a AS place, substr(d.h, 2 * coalesce(lag(run.b) OVER (PARTITION BY d.r ORDER BY run.a), 0) + 1, 2 * (run.a - coalesce(lag(run.b) OVER (PARTITION BY d.r ORDER BY run.a), 0))) AS part FROM d JOIN run ON run.r = d.r
+  UNION ALL SELECT d.r, length(d.h), substr(d.h, 2 * coalesce(e.b, 0) + 1) FROM d LEFT JOIN (SELECT r, max(b) AS b FROM run GROUP BY r) e ON e.r = d.r
+), joined AS (
+  SELECT r, string_agg(part, '' ORDER BY place) AS h FROM kept GROUP BY r
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(s.removed, 0) AS n_removed, coalesce(s.n, 0) AS n_spans, sha256(unhex(j.h)) AS kept_sha256
+FROM d JOIN joined j ON j.r = d.r LEFT JOIN (SELECT r, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS n FROM run GROUP BY r) s ON s.r = d.r
+"""
