@@ -693,3 +693,22 @@ def test_limits_of_ranges_from_few_samples(spark):
         limits = suffix_dedup._limits(chunks, n, 64, width, k, most=most)
         assert limits == sorted(set(limits)) and all(len(x) == 2 * width - k for x in limits)
         assert sum(x[k:] != bytes(width) for x in limits) <= 2
+
+
+def test_lines_of_a_very_long_text(spark):
+    """Some 60,000 lines of one document, a third of them copies; the time grows with the lines, not with their square."""
+    rng = random.Random(31)
+    lines = [f"line {rng.randrange(10**9)} of many {i}" if i % 3 else f"copy {i // 3 % 500} of a line" for i in range(60_000)]
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, lines[1] + "\nnew")], "doc_id long, text string")).orderBy("doc_id").collect()
+    left, first = got[0].text.split("\n"), dict.fromkeys(lines)
+    assert got[0].n_lines == 60_000 and got[1].text == "new"
+    assert [x for x in left if x.startswith("line")] == [x for x in first if x.startswith("line")]
+    assert "copy 0 of a line" in left and len(left) == len(set(left)) == got[0].n_lines - got[0].n_removed
+
+
+def test_ten_thousand_documents_are_asked_for(spark, tmp_path):
+    frame = spark.createDataFrame([(3 * i, f"text number {i} of some") for i in range(300)], "doc_id long, text string")
+    token_files.write_token_files(frame, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), samples=20, dictionary_size=1024, shard_docs=9)
+    for asked in (list(range(10_000)), [0, 3, 897, 4, -5], []):
+        got = sorted(r.doc_id for r in token_files.read_documents(spark, str(tmp_path / "t"), asked).collect())
+        assert got == sorted(x for x in set(asked) if x % 3 == 0 and 0 <= x < 900)
