@@ -13,7 +13,6 @@ from ..operators import features as X
 from ..operators import forecasts as P
 from ..operators import intervals as I
 from ..operators import metrics as M
-from ..operators import quality as Q
 from ..operators import releases as R
 from ..operators import scenarios as S
 from ..sources import adapters as A

@@ -81,8 +81,8 @@ def strategy_daily(spark: SparkSession, folder: str, masks: dict[str, int]) -> t
     out = known.select("strategy", mask[F.col("strategy")].alias("mask"), F.col("window_date").alias("day"), F.col("cash_cost_yuan").alias("cost"), F.col("emergency_kwh").alias("emergency"))
     days = out.groupBy("strategy").agg(F.countDistinct("day").alias("days"))
     asked = spark.createDataFrame([(x,) for x in masks], "strategy string")  # as many as there are names
-    most = days.agg(F.max("days").alias("most"))
-    uneven = days.join(F.broadcast(most)).where("days < most").select("strategy", F.lit("dates").alias("reason"), (F.col("most") - F.col("days")).alias("n"))
+    less = days.agg(F.max("days")).scalar() - F.col("days")
+    uneven = days.where(less > 0).select("strategy", F.lit("dates").alias("reason"), less.alias("n"))
     faults = rejected.select(name, "reason").groupBy("strategy", "reason").agg(F.count(F.lit(1)).alias("n"))
     unknown = rows.where(mask[F.col("strategy")].isNull()).groupBy("strategy").agg(F.count(F.lit(1)).alias("n")).select("strategy", F.lit("unknown").alias("reason"), "n")
     missing = asked.join(days, "strategy", "left_anti").select("strategy", F.lit("missing").alias("reason"), F.lit(0).cast("long").alias("n"))
