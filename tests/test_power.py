@@ -254,6 +254,15 @@ def test_against_sql(spark, key):
     assert a == b
 
 
+@pytest.mark.parametrize("key", ["metrics_monthly"])
+def test_accuracy_of_every_forecast(spark, key):
+    """All slots that have a forecast count: load from the eighth day on, solar output from the first (its forecast is then 0), but for the first interval of all."""
+    test_against_sql(spark, key)
+    days = spark.read.parquet(f"{SF}/events.parquet").selectExpr("datediff(max(to_date(ts)), min(to_date(ts))) + 1 as n").head().n
+    got = {r.target: r.n for r in __spark_entry__.queries()[key](spark, SF).groupBy("target").agg(F.sum("n").alias("n")).collect()}
+    assert got == {"load": (days - 7) * 144, "pv": days * 144 - (key == "metrics_interval")}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 2
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
