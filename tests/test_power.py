@@ -254,7 +254,7 @@ def test_against_sql(spark, key):
     assert a == b
 
 
-@pytest.mark.parametrize("key", ["metrics_monthly", "metrics_extended"])
+@pytest.mark.parametrize("key", ["metrics_monthly", "metrics_extended", "metrics_interval"])
 def test_accuracy_of_every_forecast(spark, key):
     """All slots that have a forecast count: load from the eighth day on, solar output from the first (its forecast is then 0), but for the first interval of all."""
     test_against_sql(spark, key)
