@@ -155,6 +155,16 @@ def test_one_partitioning_for_many_series(spark):
     assert abs(got["b", "baseline"].mae - alone) < 1e-9
 
 
+def test_day_ahead_needs_no_empty_slots(spark):
+    """Rows with power alone give what all rows give, for a series with power on few days, too; nine days, of which the last has none."""
+    dense = series(spark, 9, lambda d, k: (d * 31 + k * 17) % 11 if (d + k) % 4 == 0 and d < 8 else 0, name="a").unionByName(series(spark, 9, lambda d, k: 5 if (d, k) in ((0, 144), (2, 1)) else 0, name="b"))
+    shown = lambda found: sorted((r.series_id, r.model, r.n, round(r.mae, 9), round(r.rmse, 9), round(r.bias, 9)) for r in found.collect())
+    got = shown(day_ahead(dense.where("power > 0"), KEYS, buckets=2, days=F.lit(9)))
+    assert len(got) == 8 and got == shown(day_ahead(dense, KEYS, buckets=2))
+    base = P.candidates(P.baseline(dense, KEYS), KEYS).selectExpr("series_id", "power", "stack(3, 'baseline', pred, 'yesterday', c0, 'mean7', c3) as (model, pred)")
+    assert [r for r in got if r[1] != "interval"] == shown(M.by_group(base, ["series_id", "model"]))
+
+
 def test_no_shuffle_within_the_intraday_workload(spark):
     """Once rows are bucketed; choices of a series are those that it has alone."""
     names = "abc"

@@ -54,10 +54,24 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(rows, ["series_id"], *span(spark, sf_dir))
 
 
+def _user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _binned(spark, sf_dir).groupBy(F.col("user_id").cast("string").alias("series_id"), "day", "slot").agg(_money("value").alias("power"))
+
+
 def user_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a series per user: many series."""
-    rows = _binned(spark, sf_dir).groupBy(F.col("user_id").cast("string").alias("series_id"), "day", "slot").agg(_money("value").alias("power"))
-    return dense(rows, ["series_id"], *span(spark, sf_dir))
+    return dense(_user_rows(spark, sf_dir), ["series_id"], *span(spark, sf_dir))
+
+
+def user_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, day_no, slot, power) of the users where there is any: a slot without a row has 0."""
+    return _user_rows(spark, sf_dir).select("series_id", F.datediff("day", span(spark, sf_dir)[0]).alias("day_no"), "slot", "power")
+
+
+def days(spark: SparkSession, sf_dir: str) -> Column:
+    """The number of days from the first to the last of the events."""
+    first, last = span(spark, sf_dir)
+    return F.datediff(last, first) + 1
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
