@@ -421,6 +421,31 @@ def test_simhash_components(spark, rows):
     assert [simhash.cheapest_parts(n, 4) for n in (10**5, 10**7, 10**11)] == [4, 3, 2]
 
 
+def test_rows_of_fingerprints_grow_with_them(spark, monkeypatch):
+    """Five times the fingerprints make five times the rows that meet in tasks, also where many share frequent values."""
+    rng = random.Random(8)
+    made, kind = [], type(spark.range(0))
+    repartition = kind.repartition
+
+    def counted(self, *by):
+        if "key" in by:
+            made.append(self.count())
+        return repartition(self, *by)
+
+    def rows_made(n, bits):
+        fps = rng.sample(range(2**bits), n)
+        frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+        made.clear()
+        with monkeypatch.context() as m:
+            m.setattr(kind, "repartition", counted)
+            simhash.link_fingerprints(frame)
+        return made[0]
+
+    assert rows_made(100_000, 62) == 5 * rows_made(20_000, 62)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    assert rows_made(20_000, 32) <= 6 * rows_made(4000, 32)  # of 64 bits half are the same in all
+
+
 @pytest.mark.parametrize("bits,parts", [(4, 3), (4, 2), (3, 3), (6, 4)])
 def test_links_are_whole(spark, bits, parts):
     rng = random.Random(bits * 10 + parts)

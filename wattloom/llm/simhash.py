@@ -3,9 +3,9 @@
 Fingerprints have 64 bits, set where over half the 64-bit hashes of a text's word shingles have
 them. Two fingerprints link if they differ in at most `bits` bits.
 
-Equal fingerprints are merged first. The 64 bits are put into `parts` groups (as many as their number
-makes cheapest) so that correlated
-bits meet (what correlates between groups makes candidates for nothing). By the general pigeonhole
+Equal fingerprints are merged first. The 64 bits are put into `parts` groups (as many as bits may
+differ, whatever the number of fingerprints, so that a fingerprint gives as many rows in a large table as in
+a small one) so that correlated bits meet (what correlates between groups makes candidates for nothing). By the general pigeonhole
 principle, thresholds t of the groups that sum to bits - parts + 1 (-1: skip the group) miss no
 link: some group differs by at most its t. Each fingerprint gets its own thresholds, by dynamic
 programming over the estimated candidates: a group in which its value is a frequent one is
@@ -14,7 +14,8 @@ under their value; each probes the values within its threshold. Filed and probin
 one task per value, where XOR and popcount verify them in blocks. Only a spanning forest of the
 links found there goes on, so a group of very many near copies gives no more rows than it has
 fingerprints. Frequent values (known from counts of all fingerprints; there can be only few) are
-dealt to several tasks, probing rows by salt.
+dealt to several tasks, probing rows by salt. These are at
+most SALTS for each value, so the copies of filed rows grow with the fingerprints, not with the square of a value's.
 
 Nulls: a null text counts as empty (fingerprint 0); a null doc_id stays null and never is a
 component's id unless all of the component lack one. Repeated rows stay rows. Long texts are
@@ -38,8 +39,10 @@ from .components import connected_components
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Filed rows of a value that one task compares with one salt of probing rows.
+#: Filed rows of a value that one task compares with one salt of probing rows, at least.
 BLOCK = 4096
+#: Salts of a value, at most.
+SALTS = 64
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -180,12 +183,13 @@ def cheapest_parts(n: int, bits: int) -> int:
     return min(range(min(2, bits + 1), bits + 2), key=cost)
 
 
-def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int | None = None) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints fps (fp long), enough to connect what is connected."""
+def filed_and_probing(fps: DataFrame, bits: int = 4, parts: int | None = None) -> DataFrame:
+    """(key, salt, probes, fp): the rows that the distinct fingerprints fps (fp long) are filed under and those that probe."""
     spark = fps.sparkSession
     together = _bit_matrix(fps)
     n = int(together[64, 64])
-    parts = parts or cheapest_parts(n, bits)
+    parts = parts or max(min(2, bits + 1), bits)  # not cheapest_parts(n, bits): the rows of a fingerprint would grow with n
+    block = max(BLOCK, -(-n // SALTS))
     groups = bit_groups(together, parts)
     project = [f"({' | '.join(f'(shiftrightunsigned(fp, {b}) & 1L) << {k}' for k, b in enumerate(g))})" for g in groups]
     values = fps.selectExpr(f"posexplode(array({', '.join(project)})) as (part, value)")
@@ -210,7 +214,7 @@ def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int | None = None) -
                         cost[:, p, t + 1] = held[p] + len(flips[p, t]) * (4 + n / 2.0 ** len(groups[p]))
                 chosen = allot(cost, bits - parts + 1)
                 for p in range(parts):
-                    salts = np.maximum(1, -(-held[p].astype(np.int64) // BLOCK))
+                    salts = np.maximum(1, -(-held[p].astype(np.int64) // block))
                     who = np.repeat(np.arange(len(part_fp)), salts)
                     salt = np.arange(len(who)) - np.repeat(np.cumsum(salts) - salts, salts)
                     out = [(own[p][who], salt, who, np.zeros(len(who), bool))]
@@ -220,11 +224,17 @@ def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int | None = None) -
                             near = (own[p][rows][:, None] ^ flips[p, t][None, :]).ravel()
                             who = np.repeat(rows, len(flips[p, t]))
                             share = np.array([often.get((p, v), 0) for v in near.tolist()]) if often else np.zeros(len(near), np.int64)
-                            share = np.maximum(1, -(-share // BLOCK))
+                            share = np.maximum(1, -(-share // block))
                             out.append((near, (part_fp[who] % share.astype(np.uint64)).astype(np.int64), who, np.ones(len(who), bool)))
                     value, salt, who, probes = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(salt * parts + p), pa.array(probes), pa.array(part_fp[who].view(np.int64))], ["key", "salt", "probes", "fp"])
 
+    return fps.select("fp").mapInArrow(file_and_probe, "key long, salt long, probes boolean, fp long")
+
+
+def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints fps (fp long), enough to connect what is connected."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by key; a key may go on in the next batch."""
         rest = None
@@ -253,8 +263,7 @@ def link_fingerprints(fps: DataFrame, bits: int = 4, parts: int | None = None) -
                 found = np.array(links, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64))], ["a", "b"])
 
-    rows = fps.select("fp").mapInArrow(file_and_probe, "key long, salt long, probes boolean, fp long")
-    rows = rows.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt")
+    rows = filed_and_probing(fps, bits, parts).repartition(partitions(fps.sparkSession), "key", "salt").sortWithinPartitions("key", "salt")
     return rows.mapInArrow(meet, "a long, b long")
 
 
