@@ -94,6 +94,13 @@ def test_suffix_tree_prefers_what_it_has_seen(spark):
     assert first > 0 and one["a b"] > one["a zzz"]
 
 
+def test_suffix_tree_exchanges_no_chunks(spark, docs):
+    """What is exchanged at a level are questions and answers; the chunks (ids, words, hashes) stay in their buckets."""
+    plan = suffix_tree.score(docs, chunk=4000)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Bucketed: true" in plan
+    assert "hashes" not in plan.split("Exchange", 1)[1]
+
+
 # --- 2 packing
 def test_packing(docs, rows, none):
     path = public_tokenizers.path("word_bpe_49k.json")

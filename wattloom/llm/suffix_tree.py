@@ -18,6 +18,9 @@ sums of those parts, a bounded number of rows, are put together on the driver.
 
 A context goes by the upper 48 bits of its hash (its bucket follows from these), a successor by 32.
 
+Chunks lie in a table bucketed by their number, so a level exchanges what chunks ask and what they are
+told and never the chunks themselves.
+
 A chunk sends a row to each bucket: with chunks of 6 MB and half as many buckets, a row holds over a
 kilobyte up to some TB of text; beyond, give larger chunks.
 
@@ -31,7 +34,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -40,6 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import bucketed
 from .chunks import by_key, mix64, rows_of, unzip_bytes, zip_bytes
 from .common import LOWER, NO_ID, UPPER, partitions, write_table
 
@@ -75,8 +79,8 @@ def _unzip(data: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0].astype(np.int64)
 
 
-def pack_tokens(docs: DataFrame, size: int) -> DataFrame:
-    """Chunks of about `size` bytes of text (at least one document), written: ids, tokens per document, token numbers and the hashes of the words that they number."""
+def pack_tokens(docs: DataFrame, size: int, parts: int) -> DataFrame:
+    """Chunks of about `size` bytes of text (at least one document), written to a table of so many buckets: ids, tokens per document, token numbers and the hashes of the words that they number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -108,7 +112,8 @@ def pack_tokens(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield out()
 
-    return write_table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, CHUNK), "token-chunks")
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, CHUNK)
+    return bucketed(packed, "token-chunks", "chunk", [], parts, dealt=False)
 
 
 def _batch(schema: str, cells: list) -> pa.RecordBatch:
@@ -252,9 +257,10 @@ def _sums(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def score(docs: DataFrame, depth: int = 2, least: int = 2, divergence: float = 0.05, discount: float = 0.75, chunk: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    chunks = pack_tokens(docs, chunk)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).head()[0] or 0
+    tasks = size // chunk + partitions(spark)
+    chunks = pack_tokens(docs, chunk, tasks)
     n_chunks = chunks.count()
-    tasks = max(n_chunks, partitions(spark))
     buckets = max(16, partitions(spark), n_chunks // 2)
     exchange = lambda asked: asked.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "chunk")
 
@@ -267,10 +273,10 @@ def score(docs: DataFrame, depth: int = 2, least: int = 2, divergence: float = 0
     total, vocabulary = int(totals[0] or 0), int(totals[1] or 0)
     hot: list[dict[int, int]] = [{}]  # of each level: how many successors the hot contexts that stay have
 
-    def reached(rows: list[dict], told: list[dict]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    def reached(row: dict, got: list[dict], told: list[dict]) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
         """The tokens of a chunk after the levels that have been answered: with the counts at the root, in the last level, and probabilities."""
-        t = Tokens(next(r for r in rows if r["ids"] is not None))
-        got = sorted((r for r in rows if r["ids"] is None), key=lambda r: (r["level"], r["bucket"]))
+        t = Tokens(row)
+        got = sorted(got, key=lambda r: (r["level"], r["bucket"]))
         answer = lambda level, c: np.concatenate([_unzip(r[c]) for r in got if r["level"] == level] or [np.zeros(0, np.int64)])
         of_words = np.zeros(len(t.hashes), np.int64)
         of_words[t.by_hash] = answer(0, "counts")
@@ -297,32 +303,35 @@ def score(docs: DataFrame, depth: int = 2, least: int = 2, divergence: float = 0
         many = float("inf")
     for level in range(1, depth + 1):
 
-        def ask(batches: Iterator[pa.RecordBatch], level: int = level, told: list = list(hot)) -> Iterator[pa.RecordBatch]:
-            for k, rows in by_key(batches, "chunk"):
-                t, _, seen, p = reached(rows, told)
-                at = t.asked(level, seen, least)
-                here = Level(t, at, seen[at - 1], many)
-                logs = np.rint(np.log(p[at]) * PARTS).astype(np.int64) * t.train[at]
-                yield here.rows(buckets, k, _sums(logs, here.context, len(here.names)))
+        def ask(row: dict, got: list[dict], level: int = level, told: list = list(hot)) -> pa.RecordBatch:
+            t, _, seen, p = reached(row, got, told)
+            at = t.asked(level, seen, least)
+            here = Level(t, at, seen[at - 1], many)
+            logs = np.rint(np.log(p[at]) * PARTS).astype(np.int64) * t.train[at]
+            return here.rows(buckets, row["chunk"], _sums(logs, here.context, len(here.names)))
 
-        asked = _with_replies(chunks, replies, tasks).mapInArrow(ask, ASK)
+        asked = _with_replies(chunks, replies, tasks, ask, ASK)
         new = write_table(exchange(asked).mapInArrow(_adder(level, divergence), REPLY), f"replies-{level}")
         sums = new.where("hot is not null").groupBy("hot").agg(*[F.sum(c) for c in ("total", "gain", "logs", "different")]).collect()  # at most 1000 rows
         hot.append({r[0] & (2**64 - 1): r[4] for r in sums if _diverges(np.array(r[1]), r[2], r[3], divergence)})
         replies = replies.unionByName(new)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_key(batches, "chunk"):
-            t, root, _, p = reached(rows, hot)
-            starts = np.cumsum(t.sizes) - t.sizes
-            add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has a token, its end
-            base = np.log10((root + 1.0) / (total + vocabulary + 1.0))
-            cells = [pa.array(t.ids, mask=t.null), pa.array(t.out), pa.array(t.sizes), pa.array(add((root > 0).astype(np.int64))), pa.array(np.full(len(t.ids), total)), pa.array(add(base)), pa.array(add(np.log10(p)))]
-            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def finish(row: dict, got: list[dict]) -> pa.RecordBatch:
+        t, root, _, p = reached(row, got, hot)
+        starts = np.cumsum(t.sizes) - t.sizes
+        add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every text has a token, its end
+        base = np.log10((root + 1.0) / (total + vocabulary + 1.0))
+        cells = [pa.array(t.ids, mask=t.null), pa.array(t.out), pa.array(t.sizes), pa.array(add((root > 0).astype(np.int64))), pa.array(np.full(len(t.ids), total)), pa.array(add(base)), pa.array(add(np.log10(p)))]
+        return pa.RecordBatch.from_arrays(cells, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return _with_replies(chunks, replies, tasks, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
 
-    return _with_replies(chunks, replies, tasks).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def _with_replies(chunks: DataFrame, replies: DataFrame, tasks: int, run: Callable[[dict, list[dict]], pa.RecordBatch], schema: str) -> DataFrame:
+    """What run makes of each chunk and what it has been told; only the replies are exchanged."""
 
+    def each(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([run(row, told.to_pylist()) for row in chunk.to_pylist()])
 
-def _with_replies(chunks: DataFrame, replies: DataFrame, tasks: int) -> DataFrame:
-    told = replies.where("chunk is not null").select("chunk", "level", "bucket", "kinds", "counts")
-    return chunks.unionByName(told, allowMissingColumns=True).repartition(tasks, "chunk").sortWithinPartitions("chunk")
+    told = replies.where("chunk is not null").select("chunk", "level", "bucket", "kinds", "counts").repartition(tasks, "chunk")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(each, schema)

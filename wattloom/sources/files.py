@@ -167,10 +167,14 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def bucketed(rows: DataFrame, name: str, key: str, order: list[str], buckets: int | None = None) -> DataFrame:
-    """The same as a table bucketed by key and sorted in it: windows, aggregates and joins by the key need no exchange any more."""
+def bucketed(rows: DataFrame, name: str, key: str, order: list[str], buckets: int | None = None, dealt: bool = True) -> DataFrame:
+    """The same as a table bucketed by key and sorted in it: windows, aggregates and joins by the key need no exchange any more.
+
+    dealt: a file per bucket; otherwise (few large rows) no exchange, and each task writes its rows' buckets.
+    """
     spark = rows.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    rows.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).option("path", scratch(spark, name)).saveAsTable(table)
+    rows = rows.repartition(n, key) if dealt else rows
+    rows.write.bucketBy(n, key).sortBy(key, *order).option("path", scratch(spark, name)).saveAsTable(table)
     return spark.table(table)
