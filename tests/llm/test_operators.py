@@ -318,6 +318,13 @@ def test_neighbours_of_repeated_queries_and_odd_lengths(spark):
     assert shown((r.query_id, r.rank, r.vec_id, r.score) for r in got) == shown(want)
 
 
+def test_candidates_of_a_query_do_not_grow_with_the_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    assert 12 * 10 <= ann.candidates(frame, cells=16, shards=3, recall=1.0).count() <= 12 * 3 * 10  # a list per shard, not per pair
+
+
 def test_neighbours_of_nothing(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

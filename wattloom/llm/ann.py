@@ -9,9 +9,11 @@ taken hold enough vectors, which are reranked by the exact distance.
 How many are enough is measured: `trial` queries (a bounded number) are compared with brute force
 over all vectors, and the share of vectors at which they reach `recall` is taken.
 
-A pair with more than `block` vectors (many copies of one vector, say) is dealt to several tasks.
-Each task compares the queries of a pair with the vectors of a block and passes on the best `k` of
-each query, so what is shuffled does not grow with a pair's size.
+The pairs are dealt to a fixed number of shards of about equal size; one with more than `block` vectors
+(many copies of one vector, say) is dealt to several. A query is sent once to each shard that holds a pair
+it takes, with the largest sum of distances that it goes to. A shard compares it with the vectors of its pairs
+up to that sum and passes on its best `k`, so the rows that are sent and passed on grow with the queries,
+not with the pairs that they take. A shard's vectors stream by; its queries and their best are held.
 
 Vectors that are null, zero, or hold a null or a non-finite component take no part, nor does a null
 vec_id. Vectors of another length than most are compared exactly with all of their own length, without the
@@ -33,6 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import sampled, write_table
 
+#: Parts that the index is dealt to. Fixed, so that a query's candidates do not grow with the index; more machines may take more.
+SHARDS = 32
+
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, v, dim): the vectors that take part, as doubles."""
@@ -119,13 +124,74 @@ def _marks(x: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(np.ascontiguousarray(v).tobytes()) for v in x], np.int64)
 
 
-def search(rows: DataFrame, every: int = 100, k: int = 10, cells: int | None = None, sample: int = 8192, trial: int = 96, recall: float = 0.97, block: int = 2048) -> DataFrame:
+class Shard:
+    """The queries of a shard and the best k of each so far."""
+
+    def __init__(self, no: int, k: int, halves):
+        self.no, self.k, self.halves, self.asked, self.ready = no, k, halves, [], False
+
+    def ask(self, ids: np.ndarray, q: np.ndarray, reach: np.ndarray) -> None:
+        self.asked.append((ids, q, reach))
+
+    def see(self, pair: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Vectors in the order of their pairs, after all queries."""
+        if not self.asked:
+            return
+        if not self.ready:
+            self.names, self.q, self.reach = (np.concatenate(c) for c in zip(*self.asked, strict=True))
+            self.first, self.second = self.halves(self.q)
+            self.norm = (self.q**2).sum(1)
+            self.limit = self.reach + 1e-9 * np.maximum(np.maximum(self.reach, self.norm), 1)  # rounding
+            self.worst = np.full(len(self.names), np.inf)
+            self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(self.names), 1024)]
+            self.ready = True
+        for i in range(0, len(x), 2048):
+            for j in range(len(self.best)):
+                self._compare(j, pair[i : i + 2048], ids[i : i + 2048], x[i : i + 2048])
+
+    def _compare(self, j: int, pair: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        own = slice(1024 * j, 1024 * (j + 1))
+        q, width, k = self.q[own], self.second.shape[1], self.k
+        rough, edges = np.full((len(q), len(x)), np.inf), np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(x)], strict=True):
+            who = np.flatnonzero(self.first[own, pair[a] // width] + self.second[own, pair[a] % width] <= self.limit[own])
+            if len(who):
+                rough[who, a:b] = np.nan_to_num(_apart(q[who], x[a:b]), nan=np.finfo(float).max)
+        rough[self.names[own][:, None] == ids[None]] = np.inf
+        most = self.worst[own] if len(x) <= k else np.minimum(self.worst[own], np.partition(rough, k - 1, axis=1)[:, k - 1])
+        most = most + 1e-9 * np.maximum(np.maximum(most, self.norm[own]), 1)  # rounding of the fast form
+        r, c = np.nonzero((rough <= most[:, None]) & (rough < np.inf))
+        if not len(r):
+            return
+        d = np.sqrt(np.concatenate([((x[c[t : t + 65536]] - q[r[t : t + 65536]]) ** 2).sum(1) for t in range(0, len(r), 65536)]))
+        who, ids, d = (np.concatenate(z) for z in zip(self.best[j], (r, ids[c], d), strict=True))
+        order = np.lexsort((ids, d, who))
+        who, ids, d = who[order], ids[order], d[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        self.worst[own][who[rank == k - 1]] = d[rank == k - 1] ** 2
+        self.best[j] = tuple(z[rank < k] for z in (who, ids, d))
+
+    def found(self) -> pa.RecordBatch:
+        best = self.best if self.ready else []
+        who = np.concatenate([np.zeros(0, np.int64), *[w + 1024 * j for j, (w, _, _) in enumerate(best)]])
+        names, marks = (self.names, _marks(self.q)) if self.ready else (who, who)
+        cells = [names[who], marks[who], np.concatenate([np.zeros(0, np.int64), *[i for _, i, _ in best]]), np.concatenate([np.zeros(0), *[d for _, _, d in best]])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["query_id", "ask", "vec_id", "score"])
+
+
+def search(rows: DataFrame, every: int = 100, k: int = 10, **how) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
+    rank = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
+    return candidates(rows, every, k, **how).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def candidates(rows: DataFrame, every: int = 100, k: int = 10, cells: int | None = None, sample: int = 8192, trial: int = 96, recall: float = 0.97, block: int = 2048, shards: int = SHARDS) -> DataFrame:
+    """query_id, ask, vec_id, score: the k nearest that each shard has found of each query."""
     spark = rows.sparkSession
     all_ = write_table(valid_vectors(rows), "vectors")
     dims = all_.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not dims:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, ask long, vec_id long, score double")
     x = all_.where(F.col("dim") == dims[0]["dim"]).select("vec_id", "v")
     cells = cells or int(min(1024, max(16, dims[0]["count"] ** 0.5 / 7)))
     some = sampled(x, max(sample, 16 * cells), F.xxhash64(F.lit(11), "vec_id")).collect()
@@ -147,49 +213,63 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, cells: int | None = N
     for r in filed.groupBy("pair").count().collect():  # at most cells x cells rows
         held[r["pair"]] = r["count"]
     blocks = np.maximum(1, -(-held // block))
+    at = np.cumsum(blocks) - blocks  # of each pair's first block
+    place_of, turn = np.empty(int(blocks.sum()), np.int64), np.arange(int(blocks.sum()))
+    turn = np.where(turn // shards % 2, shards - 1 - turn % shards, turn % shards)  # there and back, the largest first
+    place_of[np.argsort(-np.repeat(held / blocks, blocks), kind="stable")] = turn
 
     asked = write_table(filed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), "asked")
     tried = sorted(sampled(asked.select("vec_id", "v"), trial, F.xxhash64(F.lit(13), "vec_id")).collect(), key=lambda r: (r.vec_id, r.v))
     enough = _enough(filed, tried, halves, held, width, k, recall)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per query, pair and block; where no query ever goes, nothing is sent."""
+        """A row per query and shard that holds a pair it takes."""
         for batch in batches:
-            a, b = halves(_matrix(batch.column(2)))
+            a, b = halves(_matrix(batch.column(1)))
             for q in range(batch.num_rows):
                 pairs = np.array(nearest_pairs(a[q], b[q], held, enough), np.int64)
-                pairs, n = np.repeat(pairs, blocks[pairs]), blocks[pairs]
-                no = np.arange(len(pairs)) - np.repeat(np.cumsum(n) - n, n)
-                one = pa.array(np.full(len(pairs), q))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(no), batch.column(1).take(one), pa.array(np.ones(len(pairs), bool)), batch.column(2).take(one)], ["pair", "block", "vec_id", "asks", "v"])
+                reach = float((a[q][pairs // width] + b[q][pairs % width]).max())
+                n = blocks[pairs]
+                to = np.unique(place_of[np.repeat(at[pairs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+                one = pa.array(np.full(len(to), q))
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(to), -1)), batch.column(0).take(one), pa.array(np.full(len(to), reach)), batch.column(1).take(one)], names)
 
-    kinds = "pair long, block long, vec_id long, asks boolean, v array<double>"
-    counts = spark.sparkContext.broadcast(blocks)
+    names, kinds = ["shard", "pair", "vec_id", "reach", "v"], "shard int, pair long, vec_id long, reach double, v array<double>"
+    where = spark.sparkContext.broadcast((place_of, at, blocks))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place_of, at, blocks = where.value
         for batch in batches:
             pair, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            no = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % counts.value[pair].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(no.astype(np.int64)), batch.column(1), pa.array(np.zeros(len(ids), bool)), batch.column(2)], ["pair", "block", "vec_id", "asks", "v"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
-        ids, v = table["vec_id"].to_numpy(), _matrix(table["v"].combine_chunks())
-        names, q, cand, y = ids[asks], v[asks], ids[~asks], v[~asks]
-        found = []
-        for i in range(0, len(names), 64):
-            which, n, d = _best(q[i : i + 64], names[i : i + 64], cand, y, k)
-            found.append((names[i + which], _marks(q[i : i + 64])[which], n, d))
-        cells = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "ask", "vec_id", "score"), map(pa.array, cells), strict=True)))
-
-    both = asked.select("pair", "vec_id", "v").mapInArrow(probe, kinds).unionByName(filed.mapInArrow(place, kinds))
-    met = both.groupBy("pair", "block").applyInArrow(meet, "query_id long, ask long, vec_id long, score double")
+            no = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % blocks[pair].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(place_of[at[pair] + no.astype(np.int64)].astype(np.int32)), batch.column(0), batch.column(1), pa.array(np.zeros(len(ids))), batch.column(2)], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches sorted by shard and pair; queries (pair -1) come first."""
+        now = None
+        for batch in batches:
+            shard, pair, ids, reach = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+            v = _matrix(batch.column(4))
+            for no in np.unique(shard).tolist():
+                if now is None or now.no != no:
+                    if now is not None:
+                        yield now.found()
+                    now = Shard(no, k, halves)
+                asks, seen = np.flatnonzero((shard == no) & (pair < 0)), np.flatnonzero((shard == no) & (pair >= 0))
+                if len(asks):
+                    now.ask(ids[asks], v[asks], reach[asks])
+                if len(seen):
+                    now.see(pair[seen], ids[seen], v[seen])
+        if now is not None:
+            yield now.found()
+
+    both = asked.select("vec_id", "v").mapInArrow(probe, kinds).unionByName(filed.mapInArrow(place, kinds))
+    both = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "pair", "vec_id")
+    met = both.mapInArrow(meet, "query_id long, ask long, vec_id long, score double")
     odd = all_.where(F.col("dim") != dims[0]["dim"])
     if not odd.isEmpty():
         met = met.unionByName(_odd_lengths(odd, every, k))
-    rank = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met
 
 
 def _enough(filed: DataFrame, tried: list, halves, held: np.ndarray, width: int, k: int, recall: float) -> int:
