@@ -15,16 +15,30 @@ WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows without an id count as after all others.
 NO_ID = 2**63 - 1
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch of whole texts, or of their shingles.
+TEXTS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it from there."""
+def write_table(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it from there.
+
+    batch: rows that Python gets at once while df is written, for rows that hold whole texts (Spark's default is 10,000, and both sides hold them).
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch is not None:
+            spark.conf.set(BATCH, min(batch, int(before)) if int(before) > 0 else batch)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch is not None:
+            spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import mix64
-from .common import LOWER, UPPER, frequent, join_unique, partitions, write_table
+from .common import LOWER, TEXTS, UPPER, frequent, join_unique, partitions, write_table
 from .components import connected_components
 from .simhash import bits_of_hashes, link_fingerprints, named_groups
 
@@ -276,13 +276,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, lea
 
     named = write_table(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).distinct(), "compared")
     texts = docs.join(named, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_tie")), "left_semi").select(F.col("text").cast("binary"))
-    held = write_table(texts.mapInArrow(sets, "sid long, found binary"), "compared-sets")
+    held = write_table(texts.mapInArrow(sets, "sid long, found binary"), "compared-sets", TEXTS)
     if held.count() > named.count():  # rows that repeat
         held = write_table(held.dropDuplicates(["sid"]), "compared-sets")
     often = {c: frequent(pairs, c) for c in "ab"}
     both = join_unique(pairs, held.select(F.col("sid").alias("a"), F.col("found").alias("x")), "a", often=often["a"])
     both = join_unique(both, held.select(F.col("sid").alias("b"), F.col("found").alias("y")), "b", often=often["b"])
-    return write_table(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "set-links")
+    return write_table(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "set-links", TEXTS)
 
 
 def _neighbours(classes: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
     """(doc_id, tie, group, component_id) of every row; component_id: the smallest doc_id that links reach; tie: the hash of the text; group: the component's own number."""
-    found = write_table(shingle_sets(docs, shingle, least), "shingle-sets")
+    found = write_table(shingle_sets(docs, shingle, least), "shingle-sets", TEXTS)
     firsts = found.groupBy("sid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place"), "doc_id", "tie")).alias("at"), *[F.first(c).alias(c) for c in ("fp", "n", "odd", "wide", "first")])
     classes = write_table(firsts.select("sid", F.col("at.doc_id").alias("doc"), F.col("at.tie").alias("tie"), "fp", "n", "odd", "wide", "first"), "set-classes")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import TEXTS, write_table
 from .tokenizing import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -114,7 +114,7 @@ def pack(lengths: np.ndarray, capacity: int, groups: int = 96, small: float = 1
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, shard_pieces: int = 3000) -> DataFrame:
     """pieces with sequence_id and offset."""
-    pieces = write_table(pieces, "pieces")
+    pieces = write_table(pieces, "pieces", TEXTS)
     shards = max(1, round(pieces.count() / shard_pieces))
 
     def run(table: pa.Table) -> pa.Table:

@@ -21,9 +21,9 @@ from itertools import chain, count, islice
 import numpy as np
 
 #: Pieces of LONGEST characters at most that a worker remembers, and ids of all; beyond, those used less than OFTEN times are forgotten.
-REMEMBER, LONGEST, POOL, OFTEN = 600_000, 64, 6_000_000, 2
+REMEMBER, LONGEST, POOL, OFTEN = 150_000, 64, 2_000_000, 2
 #: Characters of texts whose new pieces are encoded together.
-GROUP = 1 << 21
+GROUP = 1 << 20
 #: White space other than space and line break, and what stands between pieces here.
 _ODD = "\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
