@@ -278,6 +278,21 @@ def test_merge_of_runs():
 
 
 # --- 5 neighbours
+def test_merge_reads_long_copies_at_once():
+    read = []
+
+    class Counted(bytes):
+        def __getitem__(self, at):
+            read.append(at)
+            return super().__getitem__(at)
+
+    rng = random.Random(7)
+    text = bytes(rng.randrange(97, 100) for _ in range(75))
+    runs = [[Counted(text)] for _ in range(8)] + [[]]
+    assert suffix_dedup.merge_runs(runs, [[0]] * 8 + [[]], 75) == (list(range(8)), [0] + [75] * 7)
+    assert len(read) <= 4 * 7  # by single bytes: 150 for each of the 7
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 8)).astype(np.float32)

@@ -8,6 +8,7 @@ the order of what it asked, without naming documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +21,20 @@ from .common import NO_ID, write_table
 CHUNK = "chunk long, ids binary, null binary, lengths binary, texts binary"
 
 
-def zip_bytes(data: bytes) -> bytes:
+@cache
+def _zstd() -> tuple:
+    """A worker's compressor and decompressor: to make one costs more than to use it on a small array."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def unzip_bytes(data: bytes) -> bytes:
-    import zstandard
+def zip_bytes(data: bytes) -> bytes:
+    return _zstd()[0].compress(data)
+
 
-    return zstandard.ZstdDecompressor().decompress(data)
+def unzip_bytes(data: bytes) -> bytes:
+    return _zstd()[1].decompress(data)
 
 
 def pack_chunks(docs: DataFrame, size: int) -> DataFrame:

@@ -152,66 +152,52 @@ def front_decode(shared: np.ndarray, rest: bytes, size: int) -> np.ndarray:
 def merge_runs(runs: list[list[bytes]], shared: list[list[int]], size: int) -> tuple[list[int], list[int]]:
     """Merge sorted runs; (run of each output, prefix length that it shares with the output before).
 
-    heads[r] is the place in run r; known[r] the prefix that its head shares with the string it was
-    last compared with: the last output, for those on the path that is played again.
+    heads[r] is the place in run r. Each loser stands in its node with the prefix that it shares with
+    the string it was last compared with: the last output, for those on the path that is played again.
+    A run that has ended shares -1, and so loses.
     """
     k = 1
     while k < len(runs):
         k *= 2
-    heads, known = [0] * len(runs), [0] * len(runs)
-    now = [run[0] if run else None for run in runs] + [None] * (k - len(runs))
-    known += [0] * (k - len(runs))
-    losers = [0] * k
+    heads = [0] * len(runs)
+    now = [run[0] if run else b"" for run in runs] + [b""] * (k - len(runs))
+    losers, known = [0] * k, [0] * k  # by node
 
-    def duel(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); the loser then knows what it shares with the winner."""
+    def after(a: int, b: int, p: int) -> tuple[bool, int]:
+        """Whether the head of a comes after that of b, and what they share, which is p at least."""
         x, y = now[a], now[b]
-        if x is None:
-            return b, a
-        if y is None:
-            return a, b
-        p, q = known[a], known[b]
-        if p != q:
-            return (a, b) if p > q else (b, a)
-        while p < size and x[p] == y[p]:
-            p += 1
-        if p == size:
-            a, b = (a, b) if a < b else (b, a)
-        elif x[p] > y[p]:
-            a, b = b, a
-        known[b] = p
-        return a, b
-
-    winners = [0] * k + list(range(k))
+        if p < size and x[p] == y[p]:
+            p = size - ((int.from_bytes(x[p:]) ^ int.from_bytes(y[p:])).bit_length() + 7 >> 3)
+        return (a > b if p == size else x[p] > y[p]), p
+
+    winners = [(0, -1)] * k + [(i, 0 if i < len(runs) and runs[i] else -1) for i in range(k)]
     for node in range(k - 1, 0, -1):
-        winners[node], losers[node] = duel(winners[2 * node], winners[2 * node + 1])
-    best = winners[1] if k > 1 else 0
+        (a, p), (b, q) = winners[2 * node], winners[2 * node + 1]
+        if p < 0 or q < 0:
+            winners[node], (losers[node], known[node]) = ((a, p), (b, q)) if q < 0 else ((b, q), (a, p))
+        else:
+            swap, known[node] = after(a, b, 0)
+            winners[node], losers[node] = ((b, 0), a) if swap else ((a, 0), b)
+    best, p = winners[1]
     out, lengths = [], []
-    while now[best] is not None:
+    while p >= 0:
         out.append(best)
-        lengths.append(known[best])
+        lengths.append(p)
         at = heads[best] = heads[best] + 1
         if at < len(runs[best]):
-            now[best], known[best] = runs[best][at], shared[best][at]
+            now[best], p = runs[best][at], shared[best][at]
         else:
-            now[best] = None
+            p = -1
         node = (best + k) >> 1
         while node:
-            other = losers[node]
-            x, y = now[best], now[other]
-            if y is not None:
-                p, q = known[best], known[other]
-                if x is None or q > p:
-                    losers[node], best = best, other
-                elif p == q:
-                    while p < size and x[p] == y[p]:
-                        p += 1
-                    if p == size:
-                        if other < best:
-                            losers[node], best = best, other
-                    elif x[p] > y[p]:
-                        losers[node], best = best, other
-                    known[losers[node]] = p
+            q = known[node]
+            if q > p:
+                known[node], p = p, q
+                losers[node], best = best, losers[node]
+            elif q == p >= 0:
+                swap, known[node] = after(best, losers[node], p)
+                if swap:
+                    losers[node], best = best, losers[node]
             node >>= 1
     return out, lengths
 
@@ -235,7 +221,8 @@ def decide(x: np.ndarray, shared: np.ndarray, docs: np.ndarray, width: int, k: i
     first = starts[several]
     if len(first):
         rows, low = x[first], np.minimum.reduceat(docs, starts)[several]
-        right = np.append(shared[first[:1]] * 0, [shared[starts][a + 1 : b + 1].min() for a, b in zip(np.flatnonzero(several)[:-1], np.flatnonzero(several)[1:], strict=True)]).astype(np.int64)
+        apart, at = shared[starts], np.flatnonzero(several)
+        right = np.append(0, np.minimum.reduceat(apart[: at[-1] + 1], at[:-1] + 1)) if len(at) > 1 else np.zeros(1, np.int64)
         back = rows[:, width:]
         order = _sorted_rows(back)
         left = _shared(back[order])
@@ -310,13 +297,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk: int = 4 << 20) -> Da
             x, ids, places = x[stays], ids[stays], places[stays]
             strings = [b.tobytes() for b in x]
             cut = [0, *[bisect_left(strings, s) for s in limits], len(strings)]
+            shared = _shared(x)
+            shared[[a for a, b in zip(cut, cut[1:], strict=False) if b > a]] = 0
             out: list[dict] = []
             if len(gone):  # copies of a suffix of an earlier document of this chunk: all strings over it go
                 out.append({"range": row["chunk"] % ranges, "chunk": row["chunk"], "places": zip_bytes(gone.astype(np.uint32).tobytes())})
             for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
                 if b > a:
-                    part = x[a:b]
-                    prefixes, rest = front_code(part, _shared(part))
+                    prefixes, rest = front_code(x[a:b], shared[a:b])
                     out.append({"range": r, "chunk": row["chunk"], "prefixes": prefixes, "rest": rest, "docs": zip_bytes(ids[a:b].tobytes()), "places": zip_bytes(places[a:b].astype(np.uint32).tobytes())})
             yield pa.RecordBatch.from_pylist(out, schema=_RUN)
 
@@ -333,10 +321,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk: int = 4 << 20) -> Da
                 x = [front_decode(p, r["rest"], size) for p, r in zip(prefixes, rows, strict=True)]
                 run, shared = merge_runs([[b.tobytes() for b in part] for part in x], [p.tolist() for p in prefixes], size)
                 run, shared = np.array(run), np.array(shared)
-                begin = np.cumsum([0, *[len(p) for p in prefixes]])
                 order = np.empty(len(run), np.int64)
-                for i in range(len(rows)):
-                    order[run == i] = begin[i] + np.arange(len(prefixes[i]))
+                order[np.argsort(run, kind="stable")] = np.arange(len(run))  # each run keeps its order
                 x = np.concatenate(x)[order]
                 docs_ = np.concatenate([np.frombuffer(unzip_bytes(r["docs"]), np.int64) for r in rows])[order]
                 places = np.concatenate([np.frombuffer(unzip_bytes(r["places"]), np.uint32) for r in rows])[order]
@@ -364,14 +350,15 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk: int = 4 << 20) -> Da
             ends = np.cumsum(lengths)
             begins = ends - lengths
             marks = np.zeros(len(a) + 1, bool)  # strings that go, by their first byte
-            for r in (r for r in rows if r["ids"] is None):
-                places = np.frombuffer(unzip_bytes(r["places"]), np.uint32).astype(np.int64)
-                masks = np.frombuffer(unzip_bytes(r["masks"]), np.uint32)
-                doc = np.searchsorted(ends, places, side="right")
-                for o in range(width - k + 1):
-                    start = places - o
-                    ok = (masks >> np.uint32(o) & np.uint32(1) > 0) & (start >= begins[doc]) & (start + width <= ends[doc])
-                    marks[start[ok]] = True
+            got = [r for r in rows if r["ids"] is None]
+            places, masks = (np.frombuffer(b"".join(unzip_bytes(r[c]) for r in got), np.uint32) for c in ("places", "masks"))
+            places = places.astype(np.int64)
+            doc = np.searchsorted(ends, places, side="right")
+            low, high = begins[doc], ends[doc] - width
+            for o in range(width - k + 1):
+                start = places - o
+                ok = (masks >> np.uint32(o) & np.uint32(1) > 0) & (start >= low) & (start <= high)
+                marks[start[ok]] = True
             seen = np.cumsum(marks)
             gone = (seen[:-1] - np.concatenate([np.zeros(min(width, len(a)), seen.dtype), seen[: max(len(a) - width, 0)]])) > 0
             edge = gone.copy()
