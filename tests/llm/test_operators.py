@@ -215,6 +215,21 @@ def test_line_dedup_takes_short_lines_and_other_bounds(spark, monkeypatch):
         assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=repr) == brute_lines(rows, apart), bound
 
 
+def test_lines_that_share_a_piece_with_few_make_no_variants(spark, monkeypatch):
+    """Such lines are compared two by two; only those of a crowded piece make a row per character, and none is lost between the two."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    alone, crowd, asked = [word(30) for _ in range(20)], word(20), []
+    lines = [*alone, *[x[:-1] + "z" for x in alone], *[crowd + word(20) for _ in range(30)]]
+    lines += [lines[-1][:-3] + "z" + lines[-1][-2:], "\u00c9T\u00c9\tet  \u03a3\u03a3", "\u00e9t\u00e9 et \u03c3\u03c2"]
+    rows = [(i, "\n".join(lines[i::7])) for i in range(7)]
+    made = line_dedup._partners_of_one
+    monkeypatch.setattr(line_dedup, "_partners_of_one", lambda texts, window: asked.append(texts.count()) or made(texts, window))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=repr) == brute_lines(rows)
+    assert asked == [31] and sum(r.n_removed for r in got) >= 22
+
+
 def test_line_dedup_odd_rows(docs, rows):
     got = line_dedup.dedup_lines(docs)
     assert got.count() == len(rows)

@@ -10,13 +10,15 @@ compared; all others are, whatever their length.
 2. Which lines can have a neighbour at all: cut the shorter of two lines within `bound` edits into
    bound + 1 pieces, and one of them stands in the other, moved by at most `bound` characters (by pieces
    that end a line, for a bound of 1, by none). Lines that share such a piece with another distinct line go on.
-3. Deletion neighbourhood: each of those emits itself and all its variants with up to `bound` characters
-   left out, as hashed keys. Lines with equal variants and equal places left out are all as near as their
+   Where at most FEW lines share it, each two of them are a pair, at most FEW / 2 of them per line.
+3. Deletion neighbourhood: each line that shares a piece with more emits itself and all its variants with up to
+   `bound` characters left out, as hashed keys. (Two lines in reach of each other that share no piece of few lines are both among these.) Lines with equal variants and equal places left out are all as near as their
    earliest is, so that one stands for them and no pairs are made within such a group.
-   For a bound of 1, a key is made per window of `window` characters, of all before the window, the
-   variant of the window and all behind it; so long lines cost little more than short ones. For more,
-   variants of whole lines are made; their number grows as the length to the power of the bound.
-4. Those pairs (a line and an earlier one) are verified with levenshtein(), and the lines that
+   For a bound of 1, lines are first compared by all that lies before and behind a window of `window`
+   characters; again, few that agree in it are pairs, and only where more do, variants of the window are made.
+   So long lines cost little more than short ones. For more, variants of whole lines are made; their number
+   grows as the length to the power of the bound.
+4. Those pairs are verified with levenshtein(), the later line of each goes, and the lines that
    remain are kept where they came first.
 
 Nulls: a null text stays null; rows without doc_id come after all others. Rows with the same doc_id
@@ -31,23 +33,26 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, write_table
 
-GAPS = r"[\x20\x09-\x0D]+"
+GAPS = r"[\x20\x09\x0B-\x0D]+"
 #: So many lines (48 bytes each) that share a piece with another may be broadcast; more are joined by a shuffle.
 SMALL = 200_000
 #: A piece that a thousandth of all lines and at least so many have is looked up by broadcast (there are at most 1000 times the pieces of a line).
 HOT = 1000
+#: Lines with the same piece are compared two by two if they are so many or fewer.
+FEW = 16
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _normal(line: Column) -> Column:
-    line = F.lower(line)
-    odd = line.contains("  ")
+def _normal(text: Column) -> Column:
+    """A text or line in lower case, with one space for each run of white space; line breaks stay. Lines of it still are to be trimmed."""
+    text = F.lower(text)
+    odd = text.contains("  ")
     for gap in "\t\r\x0b\x0c":
-        odd = odd | line.contains(gap)
-    return F.trim(F.when(odd, F.regexp_replace(line, GAPS, " ")).otherwise(line))
+        odd = odd | text.contains(gap)
+    return F.when(odd, F.regexp_replace(text, GAPS, " ")).otherwise(text)
 
 
 def _place(docs: DataFrame) -> DataFrame:
@@ -57,7 +62,7 @@ def _place(docs: DataFrame) -> DataFrame:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """One row per line that takes part: id1, id2 (its hashes), at (its place), line."""
-    rows = _place(docs).select("_id", "_hash", F.posexplode(F.transform(_lines(F.col("text")), _normal)).alias("_no", "line")).where("line <> ''")
+    rows = _place(docs).select("_id", "_hash", F.posexplode(_lines(_normal(F.col("text")))).alias("_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     return rows.select(*_names(), F.struct("_id", "_hash", "_no").alias("at"), "line")
 
 
@@ -65,8 +70,8 @@ def _names() -> list[Column]:
     return [F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2")]
 
 
-def _pieces(bound: int) -> Column:
-    """Keys of the pieces of a line as the shorter of two, and of what may match them as the longer.
+def _pieces(bound: int) -> list[Column]:
+    """Keys (or null) of the pieces of a line as the shorter of two, and of what may match them as the longer: columns, which cost far less here than an array that is filtered.
 
     A key tells the length of the shorter line, so pieces of lines of other lengths do not meet.
     """
@@ -77,21 +82,25 @@ def _pieces(bound: int) -> Column:
             start, end = f"({n} * {j} div {bound + 1})", f"({n} * {j + 1} div {bound + 1})"
             moves = [0] if j == 0 and bound == 1 else [less] if bound == 1 else range(-bound, bound + 1) if less or bound > 1 else [0]
             for m in moves:
-                keys.append(f"if({start} + {m} >= 0, xxhash64({n}, {j}, substring(line, {start} + {m} + 1, {end} - {start})), null)")
-    return F.filter(F.array_distinct(F.expr(f"array({', '.join(keys)})")), lambda x: x.isNotNull())
+                key = f"xxhash64({n}, {j}, substring(line, {start} + {m} + 1, {end} - {start}))"
+                keys.append(key if bound == 1 else f"if({start} + {m} >= 0, {key}, null)")
+    return [F.expr(key).alias(f"piece{k}") for k, key in enumerate(keys)]
 
 
-def _variants(window: int) -> Column:
-    """(key, gap) of a line and its variants with one character left out; gap: that place, null for the line itself.
-
-    The parts before and behind each window are hashed once per window.
-    """
+def _windows(texts: DataFrame, window: int) -> DataFrame:
+    """Per window of a line, as the shorter of two (less = 0) and as the longer or one of equals (1): here, its characters, and piece, a key of what lies before and behind it and of the shorter's length."""
     w = window
-    parts = f"transform(sequence(0, greatest(n - {{less}} - 1, 0) div {w}), c -> named_struct('c', c, 'before', xxhash64(substring(line, 1, c * {w})), 'here', substring(line, c * {w} + 1, {w} + {{less}}), 'behind', xxhash64(substring(line, (c + 1) * {w} + 1 + {{less}}))))"
-    whole = f"transform({parts.format(less=0)}, p -> named_struct('key', xxhash64(p.c, p.before, p.here, p.behind), 'gap', int(null)))"
-    less = f"""flatten(transform({parts.format(less=1)}, p -> transform(sequence(0, length(p.here) - 1), i -> named_struct(
-        'key', xxhash64(p.c, p.before, concat(substring(p.here, 1, i), substring(p.here, i + 2)), p.behind), 'gap', p.c * {w} + i))))"""
-    return F.expr(f"concat({whole}, {less})")
+    rows = texts.select("at", "id1", "id2", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("less"))
+    rows = rows.select("*", F.explode(F.expr(f"sequence(0, int(greatest(length(line) - less - 1, 0) div {w}))")).alias("c"))
+    piece = F.expr(f"xxhash64(length(line) - less, c, xxhash64(substring(line, 1, c * {w})), xxhash64(substring(line, (c + 1) * {w} + 1 + less)))")
+    return rows.select("at", "id1", "id2", "less", F.expr(f"substring(line, c * {w} + 1, {w} + less)").alias("here"), piece.alias("piece"))
+
+
+def _variants(windows: DataFrame) -> DataFrame:
+    """(key, gap) of the windows of shorter lines, and of longer ones with one character left out; gap: its place in the window, null for the shorter."""
+    rows = windows.select("at", "id1", "id2", "piece", "here", F.explode(F.expr("if(less = 0, array(int(null)), sequence(0, length(here) - 1))")).alias("gap"))
+    left = F.expr("if(gap is null, here, concat(substring(here, 1, gap), substring(here, gap + 2)))")
+    return rows.select("at", "id1", "id2", F.xxhash64("piece", left).alias("key"), "gap")
 
 
 def _whole_variants(bound: int) -> Column:
@@ -104,8 +113,10 @@ def _whole_variants(bound: int) -> Column:
 
 
 def _partners_of_one(texts: DataFrame, window: int) -> DataFrame:
-    """(id1, id2, other1, other2): lines and earlier ones that a variant with one character left out joins."""
-    variants = texts.withColumn("n", F.length("line")).select("at", "id1", "id2", F.explode(_variants(window)).alias("v")).select("at", "id1", "id2", "v.*")
+    """(id1, id2, other1, other2): lines that agree outside a window, if few do, else lines and earlier ones that a variant with one character left out joins."""
+    windows = write_table(_windows(texts, window), "line-windows")
+    met = write_table(_meetings(windows, windows.count()), "windows-met")
+    variants = _variants(met.where("not few"))
     me, by_key = F.struct("at", "id1", "id2"), Window.partitionBy("key")
     own = variants.withColumn("_line", me).withColumns({
         "_same": F.min("_line").over(Window.partitionBy("key", "gap")),
@@ -113,7 +124,8 @@ def _partners_of_one(texts: DataFrame, window: int) -> DataFrame:
         "_less": F.min(F.when(F.col("gap").isNotNull(), F.col("_line"))).over(by_key),
     })
     partners = F.filter(F.array(F.when(F.col("gap").isNotNull(), F.col("_same")), F.when(F.col("gap").isNotNull(), F.col("_whole")), F.when(F.col("gap").isNull(), F.col("_less"))), lambda p: p.isNotNull() & (p < F.col("_line")))
-    return own.select("id1", "id2", F.explode(partners).alias("_other")).select("id1", "id2", F.col("_other.id1").alias("other1"), F.col("_other.id2").alias("other2")).distinct()
+    crowded = own.select("id1", "id2", F.explode(partners).alias("_other")).select("id1", "id2", F.col("_other.id1").alias("other1"), F.col("_other.id2").alias("other2")).distinct()
+    return crowded.unionByName(_pairs_of_few(met))
 
 
 def _partners(texts: DataFrame, bound: int) -> DataFrame:
@@ -124,33 +136,48 @@ def _partners(texts: DataFrame, bound: int) -> DataFrame:
     return met.select("_line.id1", "_line.id2", F.col("_first.id1").alias("other1"), F.col("_first.id2").alias("other2")).distinct()
 
 
-def _with_neighbours(firsts: DataFrame) -> DataFrame:
-    """(id1, id2) of the lines that share a piece with another line."""
-    keys = firsts.select("id1", "id2", F.explode("pieces").alias("piece"))
+def _pieces_of(firsts: DataFrame) -> DataFrame:
+    pieces = F.array_distinct(F.array(*[c for c in firsts.columns if c.startswith("piece")]))
+    return firsts.select("id1", "id2", F.explode(pieces).alias("piece")).where("piece is not null")
+
+
+def _meetings(keys: DataFrame, n: int) -> DataFrame:
+    """The rows of keys (n lines or windows) whose piece another line has, too; few: whether at most FEW rows have it."""
     shared = keys.groupBy("piece").agg(F.min("id1").alias("_a"), F.max("id1").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("piece", "_n")
     shared = write_table(shared, "shared-pieces")
-    often = [r.piece for r in shared.where(F.col("_n") >= max(HOT, firsts.count() / 1000)).select("piece").collect()]
+    often = [r.piece for r in shared.where(F.col("_n") >= max(HOT, FEW + 1, n / 1000)).select("piece").collect()]
     some = F.col("piece").isin(often) if often else F.lit(False)
-    rest = keys.where(~some).join(shared.where(~some).select("piece"), "piece", "left_semi").select("id1", "id2")
-    return rest.unionByName(keys.where(some).select("id1", "id2")).distinct()
+    rest = keys.where(~some).join(shared.where(~some), "piece").select(*keys.columns, (F.col("_n") <= FEW).alias("few"))
+    return rest.unionByName(keys.where(some).withColumn("few", F.lit(False)))
+
+
+def _pairs_of_few(met: DataFrame) -> DataFrame:
+    """(id1, id2, other1, other2): each two lines with the same piece, where few have it."""
+    one = met.where("few").select("piece", "id1", "id2")
+    other = one.select("piece", F.col("id1").alias("other1"), F.col("id2").alias("other2"))
+    return one.join(other, "piece").where("id1 < other1 or id1 = other1 and id2 < other2").select("id1", "id2", "other1", "other2").distinct()
 
 
 def kept_lines(docs: DataFrame, bound: int = 1, window: int = 64) -> DataFrame:
     """(_id, _hash, keep): per document the places of the lines that stay, blank ones apart."""
-    found = _occurrences(docs).withColumn("pieces", _pieces(bound))
-    firsts = write_table(found.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("pieces").alias("pieces")), "lines")
-    near = write_table(_with_neighbours(firsts).join(firsts.select("id1", "id2", "at"), ["id1", "id2"]), "lines-near")
+    found = _occurrences(docs).select("id1", "id2", "at", *_pieces(bound))
+    firsts = write_table(found.groupBy("id1", "id2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in found.columns[3:]]), "lines")
+    met = write_table(_meetings(_pieces_of(firsts), firsts.count()), "lines-met")
+    near = met.groupBy("id1", "id2").agg((~F.min("few")).alias("crowded"))
+    near = write_table(near.join(firsts.select("id1", "id2", "at"), ["id1", "id2"]), "lines-near")
     places = near.groupBy("at._id", "at._hash").agg(F.collect_list("at._no").alias("_nos"))
     if near.count() <= SMALL:
         places = F.broadcast(places)
     rows = _place(docs).join(places, ["_id", "_hash"]).withColumn("_all", _lines(F.col("text")))
-    rows = rows.select("_id", "_hash", F.explode("_nos").alias("_no"), "_all").withColumn("line", _normal(F.expr("_all[_no]")))
+    rows = rows.select("_id", "_hash", F.explode("_nos").alias("_no"), "_all").withColumn("line", F.trim(_normal(F.expr("_all[_no]"))))
     texts = rows.select(*_names(), F.struct("_id", "_hash", "_no").alias("at"), "line")
     texts = write_table(texts.groupBy("id1", "id2").agg(F.min("at").alias("at"), F.first("line").alias("line")), "line-texts")
-    pairs = _partners_of_one(texts, window) if bound == 1 else _partners(texts, bound)
-    one, other = texts.select("id1", "id2", "line"), texts.select(F.col("id1").alias("other1"), F.col("id2").alias("other2"), F.col("line").alias("_line"))
+    crowd = texts.join(near.where("crowded").select("id1", "id2"), ["id1", "id2"], "left_semi")
+    pairs = _pairs_of_few(met).unionByName(_partners_of_one(crowd, window) if bound == 1 else _partners(crowd, bound))
+    one, other = texts.select("id1", "id2", "at", "line"), texts.select(*[F.col(c).alias(x) for c, x in (("id1", "other1"), ("id2", "other2"), ("at", "_at"), ("line", "_line"))])
     checked = pairs.join(one, ["id1", "id2"]).join(other, ["other1", "other2"]).where(F.levenshtein("line", "_line", bound) >= 0)
-    stay = firsts.select("id1", "id2", "at").join(checked.select("id1", "id2").distinct(), ["id1", "id2"], "left_anti")
+    later = F.when(F.col("at") > F.col("_at"), F.struct("id1", "id2")).otherwise(F.struct(F.col("other1").alias("id1"), F.col("other2").alias("id2")))
+    stay = firsts.select("id1", "id2", "at").join(checked.select(later.alias("_later")).select("_later.*").distinct(), ["id1", "id2"], "left_anti")
     return stay.groupBy("at._id", "at._hash").agg(F.collect_list("at._no").alias("keep"))
 
 
