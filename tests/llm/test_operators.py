@@ -145,6 +145,19 @@ def test_tokens_are_exact(monkeypatch):
             assert [x.tolist() for x in tokenizing.encoder(public_tokenizers.path(name), keeps)(texts)] == want
 
 
+def test_a_piece_is_looked_up_once_for_a_group_of_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    texts, asked, numbers = ["one two one, two.", "", "two one\ntwo", "a  b"] * 30, [], tokenizing._Memory.numbers
+    monkeypatch.setattr(tokenizing._Memory, "numbers", lambda self, pieces, n: asked.append(list(pieces)) or numbers(self, asked[-1], n))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizing.encoder.cache_clear()
+    got = [x.tolist() for x in tokenizing.encoder(path, True)(texts)]
+    tokenizing.encoder.cache_clear()
+    assert got == [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert asked and all(len(x) == len(set(x)) for x in asked)
+
+
 # --- 3 line dedup
 def near(a, b):
     if abs(len(a) - len(b)) > 1:

@@ -5,7 +5,7 @@ a space or line break that stands between two other characters, nor joins a lett
 the comma or full stop that ends its word. So a text in which no two white-space characters meet
 is cut at those places, and each piece (with the space before it, where the tokenizer keeps that)
 is encoded once per worker, gets a number, and its ids are then gathered by that number from a pool of bounded size. New pieces of many texts (GROUP
-characters, or one longer text) are encoded together. Any other text, and any that may hold a
+characters, or one longer text) are encoded together, and a piece is looked up once for all of them. Any other text, and any that may hold a
 special token's string, is encoded as a whole. The ids are the same either way.
 """
 
@@ -16,12 +16,14 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, count, islice
+from itertools import count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces of LONGEST characters at most that a worker remembers, and ids of all; beyond, those used less than OFTEN times are forgotten.
-REMEMBER, LONGEST, POOL, OFTEN = 150_000, 64, 2_000_000, 2
+REMEMBER, LONGEST, POOL, OFTEN = 300_000, 64, 3_000_000, 2
 #: Characters of texts whose new pieces are encoded together.
 GROUP = 1 << 20
 #: White space other than space and line break, and what stands between pieces here.
@@ -44,14 +46,14 @@ class _Memory:
         self.pool, self.held, self.n = np.zeros(1 << 16, np.int32), 0, 0
         self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
 
-    def numbers(self, pieces: Iterable[str], many: int) -> tuple[np.ndarray, list[str]]:
-        """The numbers of pieces, and those that are new, in the order of theirs."""
-        found = np.fromiter(map(self.number.__getitem__, pieces), np.int64, many)
+    def numbers(self, pieces: list[str], times: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """The numbers of different pieces, and those that are new, in the order of theirs; times: how often each is used."""
+        found = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         more = max(0, int(found.max(initial=-1)) + 1 - self.n)
         new = list(islice(reversed(self.number), more))[::-1]
         self.first, self.n = self.n, self.n + more
         self.starts, self.sizes, self.uses = (np.append(x, np.zeros(more, np.int64)) for x in (self.starts, self.sizes, self.uses))
-        self.uses += np.bincount(found, minlength=self.n)
+        self.uses[found] += times
         return found, new
 
     def learn(self, places: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
@@ -80,7 +82,7 @@ class _Memory:
             if len(ids) > POOL // 2:
                 often, ids, sizes = [], ids[:0], sizes[:0]
             self.__init__()
-            self.numbers(often, len(often))
+            self.numbers(often, np.ones(len(often), np.int64))
             self.learn(np.arange(len(often)), sizes, ids)
 
 
@@ -117,21 +119,24 @@ def encoder(path: str, keeps_space: bool):
             found = [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast([pieces[k] for k in others], add_special_tokens=False)]
             memory.learn(np.array(others), np.array([len(x) for x in found]), np.concatenate(found))
 
-    def cut(text: str) -> list[str]:
+    def cut(text: str) -> str:
+        """The text with NUL between its pieces."""
         text = text.replace(" ", gap).replace("\n", "\0\n\0" if keeps_space else "\0")
-        return (text + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0").rstrip("\0").split("\0")
+        return (text + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0").rstrip("\0")
 
     def together(texts: list[str]) -> Iterator[np.ndarray]:
         pieces = [None if not t or _as_a_whole(t) else cut(t) for t in texts]
-        own = [p for p in pieces if p]
-        numbers, new = memory.numbers(chain.from_iterable(own), sum(map(len, own)))
+        own = pc.split_pattern(pa.array([p for p in pieces if p is not None], pa.large_string()), "\0")
+        many, each = pc.list_value_length(own).to_numpy(), own.flatten().dictionary_encode()
+        places = each.indices.to_numpy()
+        numbers, new = memory.numbers(each.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(places, minlength=len(each.dictionary)))
         if new:
             learn(new)
-        ids, sizes = memory.ids(numbers)
-        ends = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, own)])].tolist()
+        ids, sizes = memory.ids(numbers[places])
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(many))].tolist()
         at = 0
         for text, some in zip(texts, pieces, strict=True):
-            if some:
+            if some is not None:
                 yield ids[ends[at] : ends[at + 1]]
                 at += 1
             else:
