@@ -27,7 +27,7 @@ Issues = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 def chooser(given: bool, days: int = 28, least: int = 7) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over (series_id, _at, power, _days), with all rows of a series one after another; (series_id, COLUMNS) of each issue.
 
-    Slots without a row have no power; _days is the length of a series' calendar. given: rows have (day_no, release_hour, leads) of the issue at their time, too,
+    Slots without a row have no power; _days is the length of a series' calendar. given: rows also have (day_no, release_hour, leads) of the issue at their time,
     or nulls; otherwise the issues are those of standard_issues().
     """
 
